@@ -20,7 +20,7 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 MISSING_LABEL = "(missing)"
 # -----------------------------------------------------------------------------
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)%?$"
 _TIME = r"([ T][0-9].*)?$"
 _ISO = r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2}" + _TIME[:-1] + r")?$"
 _YEAR_FIRST = r"^([0-9]{4})[./]([0-9]{1,2})[./]([0-9]{1,2})" + _TIME
@@ -33,15 +33,16 @@ def strip_marks(text: Column, decimal_comma: bool = False) -> Column:
     """Drop currency signs, separators, spaces and one trailing percent sign."""
     if decimal_comma:
         text = F.translate(text, ",.", ".")  # "." maps to nothing, "," to "."
-    bare = F.translate(text, NUMBER_MARKS + SPACES, "")
-    shorter = bare.substr(F.lit(1), F.length(bare) - 1)
-    return F.when(F.endswith(bare, F.lit("%")), shorter).otherwise(bare)
+    return F.regexp_replace(F.translate(text, NUMBER_MARKS + SPACES, ""), "%$", "")
 
 
 def text_to_number(text: Column, decimal_comma: bool = False) -> Column:
-    bare = strip_marks(text, decimal_comma)
-    # The pattern keeps out spellings only the JVM accepts, such as "1d" or "0x1p3".
-    return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
+    if decimal_comma:
+        text = F.translate(text, ",.", ".")
+    bare = F.translate(text, NUMBER_MARKS + SPACES, "")
+    # One pattern drops a trailing percent sign and keeps out spellings that only the
+    # JVM accepts ("1d", "0x1p3"); a mismatch gives "", which casts to null.
+    return F.regexp_extract(bare, _NUMBER, 1).try_cast("double")
 
 
 def text_to_moment(text: Column) -> Column:
