@@ -36,12 +36,17 @@ NEAR_ZERO = 1e-9
 HISTORY_POINTS = 400
 HORIZON_MIN, HORIZON_MAX, HORIZON_DEFAULT = 2, 365, 30
 MODELS = ("seasonal_naive", "holt_winters")  # earlier wins a tie
+ONE_SERIES = "_series"
 # -----------------------------------------------------------------------------
 
 
 @dataclass
 class Series:
-    """Regular series, one row per key and bucket: keys, period, value."""
+    """Regular series, one row per key and bucket: keys, period, value.
+
+    A table without series keys gets one constant key, so that every join is on a key;
+    results leave it out again.
+    """
 
     frame: DataFrame
     frequency: str
@@ -51,6 +56,9 @@ class Series:
     def season(self) -> int:
         return SEASONS[self.frequency]
 
+    def public(self, frame: DataFrame) -> DataFrame:
+        return frame.drop(ONE_SERIES)
+
     def stored(self) -> "Series":
         """The same series read back from a written table, for use by several jobs."""
         return Series(written(self.frame, "series"), self.frequency, self.keys)
@@ -58,9 +66,10 @@ class Series:
 
 def prepare_series(frame: DataFrame, date_column: str, metric: str, keys: Sequence[str] = ()) -> Series:
     """Bucket totals, gaps as 0, unfinished edge weeks or months dropped."""
-    names = list(keys)
+    names = list(keys) or [ONE_SERIES]
+    labels = [label_of(frame, k).alias(k) for k in keys] or [F.lit("all").alias(ONE_SERIES)]
     rows = frame.select(
-        *[label_of(frame, k).alias(k) for k in names],
+        *labels,
         moment_of(frame, date_column).alias("_d"),
         number_of(frame, metric).alias("_v"),
     )
@@ -87,7 +96,7 @@ def series_eligibility(series: Series) -> DataFrame:
     """Per series: its length, and why it cannot be forecast if so."""
     n = F.col("observations")
     short = F.concat(F.lit("only "), n, F.lit(f" usable periods, at least {MIN_PERIODS} are needed"))
-    return (
+    return series.public(
         series.frame.groupBy(*series.keys)
         .agg(F.count("*").alias("observations"))
         .withColumns({"eligible": n >= MIN_PERIODS, "reason": F.when(n < MIN_PERIODS, short)})
@@ -114,9 +123,9 @@ def check_eligibility(frame: DataFrame, profile: TableProfile) -> Eligibility:
         return Eligibility(False, "no numeric metric column", date)
     series = prepare_series(frame, date, metrics[0])
     found = series_eligibility(series).first()
-    n = found["observations"]
+    n = found["observations"] if found else 0
     if n < MIN_PERIODS:
-        return Eligibility(False, found["reason"], date, observations=n)
+        return Eligibility(False, f"only {n} usable periods, at least {MIN_PERIODS} are needed", date, observations=n)
     return Eligibility(True, None, date, metrics, series.frequency, n)
 
 
@@ -161,8 +170,7 @@ def naive_predictions(points: DataFrame, series: Series, horizon: int) -> DataFr
 def smoothed_predictions(points: DataFrame, series: Series, horizon: int) -> DataFrame:
     """Holt-Winters for every series; a fit that does not stay finite yields no rows."""
     keys, season = series.keys, series.season
-    by = keys or ["_all"]
-    rows = points.select(*([] if keys else [F.lit(0).alias("_all")]), *keys, "i", "value", "holdout")
+    rows = points.select(*keys, "i", "value", "holdout")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -175,13 +183,13 @@ def smoothed_predictions(points: DataFrame, series: Series, horizon: int) -> Dat
             if np.isfinite(predicted).all():
                 parts.append(pd.DataFrame({"phase": phase, "h": np.arange(1, steps + 1, dtype="int32"), "predicted": predicted}))
         found = pd.concat(parts) if parts else pd.DataFrame({"phase": [], "h": [], "predicted": []})
-        for k in by:
+        for k in keys:
             found[k] = group[k].iloc[0]
-        return found[[*by, "phase", "h", "predicted"]]
+        return found[[*keys, "phase", "h", "predicted"]]
 
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in by), "phase string", "h int", "predicted double"])
-    fitted = rows.groupBy(*by).applyInPandas(fit, schema)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "phase string", "h int", "predicted double"])
+    fitted = rows.groupBy(*keys).applyInPandas(fit, schema)
     return fitted.select(*keys, F.lit(MODELS[1]).alias("model"), "phase", "h", "predicted")
 
 
@@ -198,10 +206,9 @@ def backtest(points: DataFrame, predictions: DataFrame, keys: Sequence[str]) ->
     scored = held.join(actual, [*keys, "h"]).groupBy(*keys, "model").agg(
         (F.avg(F.abs(miss) / size) * 100).alias("mape"), F.stddev_pop(miss).alias("_residual")
     )
-    both = scored.join(spread, keys) if keys else scored.crossJoin(spread)  # one row, no keys
     zero = F.lit(0.0)
     std = F.coalesce(F.nullif("_residual", zero), F.nullif("_train", zero), F.lit(1.0))
-    return both.select(*keys, "model", "mape", std.alias("std"))
+    return scored.join(spread, keys).select(*keys, "model", "mape", std.alias("std"))
 
 
 def select_model(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -217,14 +224,13 @@ def with_bands(points: DataFrame, chosen: DataFrame, series: Series) -> DataFram
     """Calendar, non-negativity and 80/95% bands for chosen future predictions."""
     keys = series.keys
     ends = points.groupBy(*keys).agg(F.max("period").alias("_end"), F.min("value").alias("_least"))
-    rows = chosen.join(ends, keys) if keys else chosen.crossJoin(ends)  # one row, no keys
     mean = F.when(F.col("_least") >= 0, F.greatest(F.col("predicted"), F.lit(0.0))).otherwise(F.col("predicted"))
     width = F.col("std") * F.sqrt("h")
 
     def band(z: float) -> Column:
         return F.round(mean + z * width, 2)
 
-    return rows.select(
+    return chosen.join(ends, keys).select(
         *keys, "h", shift_bucket(F.col("_end"), F.col("h"), series.frequency).alias("period"), "model",
         F.round("mape", 1).alias("backtest_mape"), F.round(mean, 2).alias("mean"),
         band(-Z80).alias("lo80"), band(Z80).alias("hi80"), band(-Z95).alias("lo95"), band(Z95).alias("hi95"),
@@ -265,7 +271,8 @@ def run_forecast(series: Series, horizon: int = HORIZON_DEFAULT, models: Sequenc
     history = points.where(F.col("n") - F.col("i") < HISTORY_POINTS).select(
         *keys, "period", F.round("value", 2).alias("value")
     )
-    return Forecast(forecast, history, scores, forecast_summary(forecast, history, keys, horizon))
+    summary = forecast_summary(forecast, history, keys, horizon)
+    return Forecast(*[series.public(f) for f in (forecast, history, scores, summary)])
 
 
 def forecast_summary(forecast: DataFrame, history: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
@@ -279,9 +286,8 @@ def forecast_summary(forecast: DataFrame, history: DataFrame, keys: Sequence[str
         .groupBy(*keys)
         .agg(F.sum("value").alias("_r"))
     )
-    both = ahead.join(recent, keys) if keys else ahead.crossJoin(recent)  # one row each
     f, r = F.col("_f"), F.col("_r")
-    return both.select(
+    return ahead.join(recent, keys).select(
         *keys, "model", F.round(f, 2).alias("forecast_total"), F.round(r, 2).alias("recent_total"),
         F.round((f - r) / F.nullif(F.abs(r), F.lit(0.0)) * 100, 1).alias("change_pct"),
     )
