@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("plans",)
+PARTS = ("plans", "profiles", "cleaning")
 
 
 def load():

@@ -13,7 +13,7 @@ from quillgrid.operators.frequencies import most_frequent
 from quillgrid.operators.profile import TableProfile
 from quillgrid.operators.quantiles import grouped_quantiles
 from quillgrid.operators.roles import pick_date_column, rank_dimensions, rank_metrics
-from quillgrid.operators.small import small_frame
+from quillgrid.operators.small import half_up, small_frame
 from quillgrid.operators.timeseries import (
     FREQUENCIES,
     bucket_end,
@@ -91,12 +91,12 @@ def kpi_table(frame: DataFrame, metrics: Sequence[str], date_column: str | None)
             moment_of(frame, date_column).alias("d"), *[c.alias(f"v{i}") for i, c in enumerate(numbers.values())]
         )
         found = recent_deltas(rows, "d", {m: F.col(f"v{i}") for i, m in enumerate(metrics)})
-        deltas = {m: None if d is None else round(d, 1) for m, d in found.items()}
+        deltas = {m: half_up(d, 1) for m, d in found.items()}
     tiles = [
         F.struct(F.lit(0).alias("place"), F.lit("Records").alias("label"), F.col("n").cast("double").alias("value"),
                  F.format_number("n", 0).alias("shown"), F.lit(None).cast("double").alias("delta_pct"))
     ] + [
-        F.struct(F.lit(i + 1).alias("place"), F.lit(f"Total {m}").alias("label"), F.col(f"t{i}").cast("double").alias("value"),
+        F.struct(F.lit(i + 1).alias("place"), F.lit(f"Total {m}").alias("label"), F.round(F.col(f"t{i}"), 2).cast("double").alias("value"),
                  compact_number(F.col(f"t{i}").cast("double")).alias("shown"), F.lit(deltas.get(m)).cast("double").alias("delta_pct"))
         for i, m in enumerate(metrics)
     ]

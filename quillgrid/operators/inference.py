@@ -14,6 +14,7 @@ from quillgrid.functions.parsing import (
     text_to_moment,
     text_to_number,
 )
+from quillgrid.operators.small import half_up
 
 # --- Fixed values: thresholds and the identifier name pattern ----------------
 PARSE_SHARE = 0.80
@@ -122,7 +123,7 @@ def read_column(fact: ColumnFacts) -> Reading:
             continue
         if target == "numeric" and _identifier(fact, fact.distinct_numbers, fact.numbers, True):
             return Reading("id")
-        return Reading(target, target, round(share * 100, 1))
+        return Reading(target, target, half_up(share * 100, 1))
 
     if _identifier(fact, fact.distinct, fact.present, False):
         return Reading("id")

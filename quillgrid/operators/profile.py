@@ -27,7 +27,7 @@ from quillgrid.operators.moments import adjusted_skew, mean, pearson, sample_std
 from quillgrid.operators.outliers import iqr_outlier, zscore_outlier
 from quillgrid.operators.quantiles import column_quantiles
 from quillgrid.operators.ranks import MAX_COLUMNS, spearman_pairs
-from quillgrid.operators.small import small_frame
+from quillgrid.operators.small import half_up, small_frame
 
 SAMPLES = 5  # fixed value
 
@@ -207,10 +207,6 @@ def _plain_text(frame: DataFrame, name: str):
     return c.cast("string")
 
 
-def _r(value, digits: int = 4):
-    return None if value is None else round(float(value), digits)
-
-
 def numeric_summary(frame: DataFrame, columns: dict, counts: dict[str, int]) -> dict[str, NumericStats]:
     """Passes 3 and 4 for a set of numeric expressions; unrounded."""
     if not columns:
@@ -240,7 +236,7 @@ def correlation_rows(names: list[str], stats: dict[str, NumericStats], pairs: di
                     r = 1.0 if stats[a].std else None
                 else:
                     r = found[(a, b)] if (a, b) in found else found[(b, a)]
-                rows.append((method, a, b, _r(r, 3)))
+                rows.append((method, a, b, half_up(r, 3)))
     return rows
 
 
@@ -295,13 +291,13 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
                 stored_type=frame.schema[f.name].dataType.simpleString(),
                 semantic_type=r.semantic,
                 missing_count=rows - f.present,
-                missing_pct=round((rows - f.present) / rows * 100, 2) if rows else 0.0,
+                missing_pct=half_up((rows - f.present) / rows * 100, 2) if rows else 0.0,
                 unique_count=f.distinct,
                 sample_values=samples[f.name],
                 is_constant=f.distinct <= 1 and f.present > 0,
                 suggested_type=r.suggested,
                 parse_success_pct=r.parse_pct,
-                stats=NumericStats(**{k: _r(v) for k, v in asdict(s).items()}) if s else None,
+                stats=NumericStats(**{k: half_up(v, 4) for k, v in asdict(s).items()}) if s else None,
                 outlier_count_iqr=iqr,
                 outlier_count_zscore=z,
                 valid_dates=valid,

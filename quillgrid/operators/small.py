@@ -1,8 +1,8 @@
 """Small driver-side results as DataFrames (schema first, rows bounded by columns)."""
 
 from collections.abc import Iterable, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -24,5 +24,8 @@ def small_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> D
     return spark.createDataFrame(table).select(*["`" + n + "`" for n in struct.names])
 
 
-def as_timestamp(text: str) -> pd.Timestamp:
-    return pd.Timestamp(text)
+def half_up(value: float | None, digits: int) -> float | None:
+    """Round a driver value the way `F.round` rounds a column."""
+    if value is None:
+        return None
+    return float(Decimal(repr(float(value))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))

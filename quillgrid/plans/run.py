@@ -16,7 +16,7 @@ from quillgrid.functions.parsing import (
 from quillgrid.operators.frequencies import most_frequent
 from quillgrid.operators.moments import mean, pearson, total
 from quillgrid.operators.quantiles import SMALL, column_quantiles, grouped_quantiles, largest_group
-from quillgrid.operators.small import small_frame
+from quillgrid.operators.small import half_up, small_frame
 from quillgrid.operators.timeseries import (
     bucket_end,
     choose_frequency,
@@ -176,7 +176,7 @@ def _describe(frame: DataFrame, plan: QueryPlan) -> PlanResult:
     for n in names:
         count, average, low, high, stored = facts[n]
         if n in medians:
-            cells = [round(x, 4) for x in (average, medians[n][0], low, high)]
+            cells = [half_up(x, 4) for x in (average, medians[n][0], low, high)]
             rows.append((n, count, *cells, None, None))
         else:
             shown = frame.select(text_of(frame, n).alias("t"))
@@ -197,7 +197,7 @@ def _correlate(frame: DataFrame, plan: QueryPlan) -> PlanResult:
     r, n = both.agg(pearson(F.col("a"), F.col("b")), F.count("*")).first()
     if n < MIN_PAIRS:
         raise PlanError("not enough overlapping numbers to correlate")
-    r = None if r is None else round(r, 4)
+    r = half_up(r, 4)
     spark = frame.sparkSession
     return PlanResult(
         small_frame(spark, [(*plan.columns, r)], "column_a string, column_b string, pearson_r double"),
