@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("plans", "profiles", "cleaning")
+PARTS = ("plans", "profiles", "cleaning", "dashboards", "forecasts")
 
 
 def load():

@@ -320,7 +320,10 @@ def metrics_ranked(spark, sf):
     return small_frame(spark, list(enumerate(names, 1)), "place bigint, name string")
 
 
-@query("pick_date", "SELECT 'order_date' AS date_column")
+@query(
+    "pick_date",
+    f"WITH {PARSED_SQL} SELECT CASE WHEN count(moment) >= 3 AND max(moment) > min(moment) THEN 'order_date' END AS date_column FROM parsed",
+)
 def date_picked(spark, sf):
     return small_frame(spark, [(pick_date_column(profile_table(dirty(spark, sf))),)], "date_column string")
 

@@ -17,7 +17,7 @@ FALLBACK_PRICE = (2.50, 10.00)
 
 
 def price_table(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{m}', {i}D, {o}D)" for m, (i, o) in PRICES.items())
+    rows = ", ".join(f"('{m}', cast({i} as decimal(10,4)), cast({o} as decimal(10,4)))" for m, (i, o) in PRICES.items())
     return spark.sql(f"select * from values {rows} as t(model, input_price, output_price)")
 
 
@@ -29,10 +29,14 @@ def with_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """
     table = F.broadcast(price_table(usage.sparkSession)) if prices is None else prices
     priced = usage.join(table, "model", "left")
-    rate_in = F.coalesce("input_price", F.lit(FALLBACK_PRICE[0]))
-    rate_out = F.coalesce("output_price", F.lit(FALLBACK_PRICE[1]))
-    cost = F.col("prompt_tokens") / 1e6 * rate_in + F.col("completion_tokens") / 1e6 * rate_out
-    return priced.withColumn("cost_usd", F.round(cost, 6)).drop("input_price", "output_price")
+    cost = F.lit(0)
+    for tokens, rate, fallback in zip(
+        ("prompt_tokens", "completion_tokens"), ("input_price", "output_price"), FALLBACK_PRICE
+    ):
+        price = F.coalesce(rate, F.lit(fallback).cast("decimal(10,4)"))
+        cost = cost + F.col(tokens).cast("decimal(14,0)") * price
+    usd = F.round(cost * F.lit("0.000001").cast("decimal(6,6)"), 6).cast("double")
+    return priced.withColumn("cost_usd", usd).drop("input_price", "output_price")
 
 
 def budget_rollup(costs: DataFrame, cap: float, key: str = "project_id") -> DataFrame:
