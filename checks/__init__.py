@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("plans", "profiles", "cleaning", "dashboards", "forecasts")
+PARTS = ("plans", "profiles", "cleaning", "dashboards", "forecasts", "sources")
 
 
 def load():

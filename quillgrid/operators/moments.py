@@ -29,8 +29,14 @@ def adjusted_skew(c: Column) -> Column:
     return F.when(n > 2, raw * correction)
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation over rows where both are present; null when either is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+def pearson(a: Column, b: Column, complete: bool = False) -> Column:
+    """Correlation over rows where both are present; null when either is constant.
+
+    Pass `complete` when neither column has gaps: the deviations are then the same
+    expressions for every pair, and the planner computes each only once.
+    """
+    x, y = a.cast("double"), b.cast("double")
+    if not complete:
+        both = a.isNotNull() & b.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -28,8 +28,10 @@ from quillgrid.operators.outliers import iqr_outlier, zscore_outlier
 from quillgrid.operators.quantiles import column_quantiles
 from quillgrid.operators.ranks import MAX_COLUMNS, spearman_pairs
 from quillgrid.operators.small import half_up, small_frame
+from quillgrid.sources.scratch import written
 
 SAMPLES = 5  # fixed value
+SPREAD_BYTES = 256 * 1024 * 1024
 
 
 @dataclass
@@ -240,8 +242,21 @@ def correlation_rows(names: list[str], stats: dict[str, NumericStats], pairs: di
     return rows
 
 
+def spread_small(frame: DataFrame, size: int) -> DataFrame:
+    """A small table as one file per core, so that every pass uses the whole machine.
+
+    A file of a few megabytes is one unit of scan work however many cores there are.
+    Tables beyond the size limit are read where they lie.
+    """
+    if not 0 < size <= SPREAD_BYTES:
+        return frame
+    return written(frame.repartition(frame.sparkSession.sparkContext.defaultParallelism), "spread")
+
+
 def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
     spark = frame.sparkSession
+    size = file_bytes(frame)
+    frame = spread_small(frame, size)
     rows, facts, readings, samples = typed_columns(frame, approximate)
     numeric = {
         f.name: number_of(frame, f.name) for f, r in zip(facts, readings) if r.semantic == "numeric"
@@ -270,7 +285,10 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
             s, c = stats[n], numeric[n]
             tests.append(F.count_if(iqr_outlier(c, usable[n], s.q1, s.q3)))
             tests.append(F.count_if(zscore_outlier(c, usable[n], s.mean, s.std)))
-        row = frame.agg(*tests, *[pearson(numeric[a], numeric[b]) for a, b in pairs]).first()
+        full = {n for n in names if usable[n] == rows}
+        row = frame.agg(
+            *tests, *[pearson(numeric[a], numeric[b], full >= {a, b}) for a, b in pairs]
+        ).first()
         outliers = {n: (row[2 * k], row[2 * k + 1]) for k, n in enumerate(names)}
         pearson_found = dict(zip(pairs, row[2 * len(names) :]))
     correlations = []
@@ -308,7 +326,7 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
     result = TableProfile(
         row_count=rows,
         column_count=len(columns),
-        file_bytes=file_bytes(frame),
+        file_bytes=size,
         duplicate_row_count=duplicate_rows(frame).first()[0],
         columns=columns,
         correlations=correlations,

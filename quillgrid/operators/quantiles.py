@@ -147,14 +147,16 @@ def _split(values: DataFrame, intervals: list[_Interval], found: dict) -> list[_
     return still_open
 
 
-def value_ranges(frame: DataFrame, value: str, rows: int, per_range: int = SMALL) -> list[float]:
-    """Cut points that split a column into ranges of similar row count."""
+def value_ranges(
+    frame: DataFrame, values: Sequence[str], rows: int, per_range: int = SMALL
+) -> dict[str, list[float]]:
+    """Cut points that split each column into ranges of similar row count, in one pass."""
     ranges = min(MAX_RANGES, max(1, math.ceil(rows / per_range)))
     if ranges == 1:
-        return [-math.inf, math.inf]
+        return {v: [-math.inf, math.inf] for v in values}
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = frame.agg(F.percentile_approx(F.col(value).cast("double"), steps, SKETCH)).first()[0]
-    return [-math.inf, *sorted(set(cuts or [])), math.inf]
+    found = frame.agg(*[F.percentile_approx(F.col(v).cast("double"), steps, SKETCH) for v in values]).first()
+    return {v: [-math.inf, *sorted(set(cuts or [])), math.inf] for v, cuts in zip(values, found)}
 
 
 def with_range(frame: DataFrame, value: str, cuts: list[float], name: str = "_range") -> DataFrame:
@@ -191,7 +193,7 @@ def grouped_quantiles(
         wanted = F.array(*[F.lit(float(f)) for f in fractions])
         return rows.groupBy(*keys).agg(F.percentile("_v", wanted).alias(into))
 
-    cuts = value_ranges(rows, "_v", total, small)
+    cuts = value_ranges(rows, ["_v"], total, small)["_v"]
     counted = with_range(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), "_v", cuts)
     by_group = Window.partitionBy(*keys)
     spans = (

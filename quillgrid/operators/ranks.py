@@ -19,18 +19,23 @@ def _pairs(size: int):
     return [(i, j) for i in range(size) for j in range(i + 1, size)]
 
 
-def pearson_pairs(frame: DataFrame, columns: dict[str, Column]) -> dict[tuple[str, str], float | None]:
+def pearson_pairs(
+    frame: DataFrame, columns: dict[str, Column], gaps: set[str] | None = None
+) -> dict[tuple[str, str], float | None]:
+    """All pairs in one aggregation. `gaps` names the columns with missing values."""
     names = list(columns)[:MAX_COLUMNS]
+    gaps = set(names) if gaps is None else gaps
     pairs = _pairs(len(names))
     if not pairs:
         return {}
-    row = frame.agg(*[pearson(columns[names[i]], columns[names[j]]) for i, j in pairs]).first()
+    row = frame.agg(
+        *[pearson(columns[names[i]], columns[names[j]], not gaps & {names[i], names[j]}) for i, j in pairs]
+    ).first()
     return {(names[i], names[j]): r for (i, j), r in zip(pairs, row)}
 
 
-def average_ranks(rows: DataFrame, value: str, masks: dict[str, Column], total: int, per_range: int = SMALL) -> DataFrame:
+def average_ranks(rows: DataFrame, value: str, masks: dict[str, Column], cuts: list[float]) -> DataFrame:
     """Distinct values of a column with their average rank among the rows of each mask."""
-    cuts = value_ranges(rows, value, total, per_range)
     counted = (
         rows.where(F.col(value).isNotNull())
         .groupBy(value)
@@ -72,18 +77,23 @@ def spearman_pairs(
     total, *present = rows.agg(F.count("*"), *[F.count(f"v{i}") for i in ids]).first()
     gaps = {i for i in ids if present[i] < total}
 
+    cuts = value_ranges(rows, [f"v{i}" for i in ids], total, per_range)
     ranked = rows
     for i in ids:
         masks = {"all": F.lit(True)}
         masks.update({f"w{j}": F.col(f"v{j}").isNotNull() for j in gaps if j != i})
-        table = average_ranks(rows, f"v{i}", masks, total, per_range)
+        table = average_ranks(rows, f"v{i}", masks, cuts[f"v{i}"])
         renamed = table.select(F.col(f"v{i}"), *[F.col(f"r_{m}").alias(f"r{i}_{m}") for m in masks])
         ranked = ranked.join(renamed, f"v{i}", "left")
 
     def rank(i: int, partner: int) -> Column:
         return F.col(f"r{i}_w{partner}" if partner in gaps else f"r{i}_all")
 
-    row = ranked.agg(
-        *[pearson(F.when(F.col(f"v{j}").isNotNull(), rank(i, j)), F.when(F.col(f"v{i}").isNotNull(), rank(j, i))) for i, j in pairs]
-    ).first()
+    def pair(i: int, j: int) -> Column:
+        if not gaps & {i, j}:
+            return pearson(rank(i, j), rank(j, i), complete=True)
+        both = F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
+        return pearson(F.when(both, rank(i, j)), F.when(both, rank(j, i)))
+
+    row = ranked.agg(*[pair(i, j) for i, j in pairs]).first()
     return {(names[i], names[j]): r for (i, j), r in zip(pairs, row)}
