@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.parsing import moment_of, number_of
@@ -11,6 +11,7 @@ from quillgrid.operators.dashboard import category_totals
 from quillgrid.operators.moments import mean, total
 from quillgrid.operators.profile import TableProfile
 from quillgrid.operators.roles import pick_date_column, rank_dimensions, rank_metrics
+from quillgrid.operators.small import small_frame
 from quillgrid.operators.timeseries import (
     bucket_end,
     date_range,
@@ -44,47 +45,40 @@ class Facts:
 def metric_facts(frame: DataFrame, metrics: Sequence[str], date_column: str | None) -> DataFrame:
     """Total and mean per metric; growth and extreme buckets where dates allow.
 
-    Each metric uses the bucket size of its own span. One aggregation finds the spans;
-    metrics with the same bucket size share the aggregation to buckets.
+    Each metric uses the bucket size of its own span. One aggregation finds totals and
+    spans; metrics with the same bucket size share the aggregation to buckets.
     """
     names = list(metrics)[:METRICS]
     moment = moment_of(frame, date_column) if date_column else F.lit(None).cast("timestamp_ntz")
     rows = frame.select(moment.alias("d"), *[number_of(frame, m).alias(f"v{i}") for i, m in enumerate(names)])
-    cells = [
-        F.struct(
-            F.lit(m).alias("metric"), F.col(f"t{i}").alias("total"), F.col(f"a{i}").alias("mean")
-        )
-        for i, m in enumerate(names)
-    ]
     measures = []
     for i in range(len(names)):
         v = F.col(f"v{i}")
+        seen = F.when(v.isNotNull(), F.col("d"))
         measures += [
-            F.round(total(v), 2).cast("double").alias(f"t{i}"),
-            F.round(F.coalesce(mean(v), F.lit(0.0)), 2).alias(f"a{i}"),
+            F.round(total(v), 2).cast("double"),
+            F.round(F.coalesce(mean(v), F.lit(0.0)), 2),
+            F.count(seen),
+            whole_days(F.min(seen), F.max(seen)),
         ]
-    totals = rows.agg(*measures).select(F.inline(F.array(*cells)))
-    if not date_column:
-        return totals.withColumns({n: F.lit(None).cast(t) for n, t in _NO_GROWTH.items()})
-
-    spans = []
-    for i in range(len(names)):
-        seen = F.when(F.col(f"v{i}").isNotNull(), F.col("d"))
-        spans += [F.count(seen), whole_days(F.min(seen), F.max(seen))]
-    found = rows.agg(*spans).first()
+    found = rows.agg(*measures).first()
+    totals = small_frame(
+        frame.sparkSession,
+        [(m, *found[4 * i : 4 * i + 2]) for i, m in enumerate(names)],
+        "metric string, total double, mean double",
+    )
     by_frequency: dict[str, list[int]] = {}
     for i in range(len(names)):
-        if found[2 * i] >= GROWTH_ROWS:
-            by_frequency.setdefault(frequency_for(found[2 * i + 1]), []).append(i)
+        dated, days = found[4 * i + 2 : 4 * i + 4]
+        if dated >= GROWTH_ROWS:
+            by_frequency.setdefault(frequency_for(days), []).append(i)
     growth = None
     for frequency, places in by_frequency.items():
         wide = rows.where("d is not null").groupBy(bucket_end(F.col("d"), frequency).alias("period")).agg(
             *[F.sum(f"v{i}").alias(f"s{i}") for i in places]
         )
-        tall = wide.select(
-            "period",
-            F.inline(F.array(*[F.struct(F.lit(names[i]).alias("metric"), F.col(f"s{i}").alias("value")) for i in places])),
-        ).where("value is not null")
+        cells = [F.struct(F.lit(names[i]).alias("metric"), F.col(f"s{i}").alias("value")) for i in places]
+        tall = wide.select("period", F.inline(F.array(*cells))).where("value is not null")
         part = half_growth(fill_gaps(tall, frequency, ["metric"], ["value"]), "value", ["metric"])
         growth = part if growth is None else growth.unionByName(part)
     if growth is None:
@@ -95,33 +89,25 @@ def metric_facts(frame: DataFrame, metrics: Sequence[str], date_column: str | No
 def segment_facts(frame: DataFrame, metric: str, dimensions: Sequence[str]) -> DataFrame:
     """Largest and smallest category of each dimension, and the largest one's share."""
     grouped = category_totals(frame, metric, list(dimensions)[:SEGMENTS])
-    w = Window.partitionBy("dimension")
-    ranked = grouped.withColumns(
-        {
-            "_top": F.row_number().over(w.orderBy(F.desc("total"), "category")),
-            "_all": F.sum("total").over(w).cast("double"),
-            "_n": F.count("*").over(w),
-        }
+    segment = F.struct("category", F.col("total").cast("double").alias("total"))
+    place = F.struct(-F.col("total"), F.col("category"))  # largest first, then by name
+    whole = F.nullif(F.sum("total").cast("double"), F.lit(0.0))
+    ends = grouped.groupBy("dimension", "metric").agg(
+        F.min_by(segment, place).alias("top"),
+        F.max_by(segment, place).alias("bottom"),
+        whole.alias("whole"),
+        F.count("*").alias("segments_count"),
     )
-    first = F.col("_top") == 1
-    last = F.col("_top") == F.col("_n")
-    value = F.col("total").cast("double")
-
-    def pick(test, c):
-        return F.max(F.when(test, c))
-
-    share = F.coalesce(pick(first, value) / F.nullif(F.max("_all"), F.lit(0.0)) * 100, F.lit(0.0))
-    return (
-        ranked.groupBy("dimension", "metric")
-        .agg(
-            pick(first, F.col("category")).alias("top_name"),
-            F.round(pick(first, value), 2).alias("top_value"),
-            F.round(share, 1).alias("top_share_pct"),
-            pick(last, F.col("category")).alias("bottom_name"),
-            F.round(pick(last, value), 2).alias("bottom_value"),
-            F.max("_n").alias("segments_count"),
-        )
-        .where("segments_count >= 2")
+    share = F.coalesce(F.col("top.total") / F.col("whole") * 100, F.lit(0.0))
+    return ends.where("segments_count >= 2").select(
+        "dimension",
+        "metric",
+        F.col("top.category").alias("top_name"),
+        F.round("top.total", 2).alias("top_value"),
+        F.round(share, 1).alias("top_share_pct"),
+        F.col("bottom.category").alias("bottom_name"),
+        F.round("bottom.total", 2).alias("bottom_value"),
+        "segments_count",
     )
 
 

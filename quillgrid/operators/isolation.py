@@ -21,6 +21,7 @@ SEED = 42
 TREES = 100
 TREE_ROWS = 256
 CUT = 0.5  # scores above are outliers
+SPREAD_ROWS = 5_000_000
 # -----------------------------------------------------------------------------
 
 _NODE = "tree int, node int, feature int, cut double, size int, depth int"
@@ -112,6 +113,8 @@ def isolation_scores(frame: DataFrame, columns: dict[str, Column]) -> DataFrame
             yield batch.assign(score=values)
 
     schema = ", ".join(f"{n} double" for n in names) + ", score double"
+    if rows <= SPREAD_ROWS:  # few files, costly scoring: use every core
+        points = points.repartition(frame.sparkSession.sparkContext.defaultParallelism)
     scored = points.mapInPandas(score, schema)
     return scored.withColumnsRenamed(dict(zip(names, columns)))
 

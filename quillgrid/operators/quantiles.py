@@ -13,6 +13,7 @@ Small inputs, by a counted size, use the built-in exact `percentile`. Beyond tha
 """
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -147,16 +148,29 @@ def _split(values: DataFrame, intervals: list[_Interval], found: dict) -> list[_
     return still_open
 
 
+@dataclass
+class Ranges:
+    """Cut points of a column, and the values that alone fill more than one range."""
+
+    cuts: list[float]
+    hot: list[float]
+
+
 def value_ranges(
     frame: DataFrame, values: Sequence[str], rows: int, per_range: int = SMALL
-) -> dict[str, list[float]]:
-    """Cut points that split each column into ranges of similar row count, in one pass."""
+) -> dict[str, Ranges]:
+    """Split each column into ranges of similar row count, all columns in one pass."""
     ranges = min(MAX_RANGES, max(1, math.ceil(rows / per_range)))
     if ranges == 1:
-        return {v: [-math.inf, math.inf] for v in values}
+        return {v: Ranges([-math.inf, math.inf], []) for v in values}
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     found = frame.agg(*[F.percentile_approx(F.col(v).cast("double"), steps, SKETCH) for v in values]).first()
-    return {v: [-math.inf, *sorted(set(cuts or [])), math.inf] for v, cuts in zip(values, found)}
+    result = {}
+    for v, marks in zip(values, found):
+        repeats = Counter(marks or [])
+        hot = sorted(m for m, n in repeats.items() if n > 1)
+        result[v] = Ranges([-math.inf, *sorted(repeats), math.inf], hot)
+    return result
 
 
 def with_range(frame: DataFrame, value: str, cuts: list[float], name: str = "_range") -> DataFrame:
@@ -193,7 +207,7 @@ def grouped_quantiles(
         wanted = F.array(*[F.lit(float(f)) for f in fractions])
         return rows.groupBy(*keys).agg(F.percentile("_v", wanted).alias(into))
 
-    cuts = value_ranges(rows, ["_v"], total, small)["_v"]
+    cuts = value_ranges(rows, ["_v"], total, small)["_v"].cuts
     counted = with_range(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), "_v", cuts)
     by_group = Window.partitionBy(*keys)
     spans = (

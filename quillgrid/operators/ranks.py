@@ -13,6 +13,7 @@ from quillgrid.operators.moments import pearson
 from quillgrid.operators.quantiles import SMALL, value_ranges, with_range
 
 MAX_COLUMNS = 15  # fixed value: columns taken into the matrices
+SALTS = 64
 
 
 def _pairs(size: int):
@@ -68,23 +69,40 @@ def average_ranks(rows: DataFrame, value: str, masks: dict[str, Column], cuts: l
 def spearman_pairs(
     frame: DataFrame, columns: dict[str, Column], per_range: int = SMALL
 ) -> dict[tuple[str, str], float | None]:
+    """All pairs: ranks are joined to the rows by value, then correlated in one pass.
+
+    On large inputs the rows of a hot value, and rows without a value, are salted over
+    several join keys, and the few hot rank rows are repeated once per salt.
+    """
     names = list(columns)[:MAX_COLUMNS]
     pairs = _pairs(len(names))
     if not pairs:
         return {}
     ids = range(len(names))
-    rows = frame.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    rows = frame.select(
+        *[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)],
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"),
+    )
     total, *present = rows.agg(F.count("*"), *[F.count(f"v{i}") for i in ids]).first()
     gaps = {i for i in ids if present[i] < total}
+    ranges = value_ranges(rows, [f"v{i}" for i in ids], total, per_range)
 
-    cuts = value_ranges(rows, [f"v{i}" for i in ids], total, per_range)
     ranked = rows
     for i in ids:
+        v = f"v{i}"
         masks = {"all": F.lit(True)}
         masks.update({f"w{j}": F.col(f"v{j}").isNotNull() for j in gaps if j != i})
-        table = average_ranks(rows, f"v{i}", masks, cuts[f"v{i}"])
-        renamed = table.select(F.col(f"v{i}"), *[F.col(f"r_{m}").alias(f"r{i}_{m}") for m in masks])
-        ranked = ranked.join(renamed, f"v{i}", "left")
+        table = average_ranks(rows, v, masks, ranges[v].cuts)
+        table = table.select(v, *[F.col(f"r_{m}").alias(f"r{i}_{m}") for m in masks])
+        on = [v]
+        if total > per_range and (ranges[v].hot or i in gaps):
+            hot = F.col(v).isin(ranges[v].hot) if ranges[v].hot else F.lit(False)
+            salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+            table = table.withColumn("_s", F.explode(salts))
+            spread = hot | F.col(v).isNull()
+            ranked = ranked.withColumn("_s", F.when(spread, F.col("_salt")).otherwise(0))
+            on = [v, "_s"]
+        ranked = ranked.join(table, on, "left").drop("_s")
 
     def rank(i: int, partner: int) -> Column:
         return F.col(f"r{i}_w{partner}" if partner in gaps else f"r{i}_all")

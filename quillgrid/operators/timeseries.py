@@ -5,6 +5,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions.parsing import column
+
 # --- Fixed values: span limits for the frequency, window and row gates --------
 DAILY_UP_TO, WEEKLY_UP_TO = 62, 370  # days
 DELTA_ROWS, GROWTH_BUCKETS, EDGE_BUCKETS = 10, 4, 3
@@ -47,13 +49,15 @@ def bucket_start(end: Column, frequency: str) -> Column:
     return F.date_sub(end, 6) if frequency == "W" else F.trunc(end, "month")
 
 
-def bucket_ends(first: Column, last: Column, frequency: str) -> Column:
-    """All bucket labels from one label to another, as an array."""
+def buckets_until(end: Column, following: Column, frequency: str) -> Column:
+    """The bucket itself and the empty ones before the following bucket, as an array."""
     if frequency == "ME":
-        starts = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
-        return F.transform(starts, F.last_day)
-    step = F.expr("interval 1 day" if frequency == "D" else "interval 7 days")
-    return F.sequence(first, last, step)
+        starts = F.sequence(F.trunc(end, "month"), F.trunc(F.add_months(following, -1), "month"), F.expr("interval 1 month"))
+        ends = F.transform(starts, F.last_day)
+    else:
+        days = 1 if frequency == "D" else 7
+        ends = F.sequence(end, F.date_sub(following, days), F.make_dt_interval(F.lit(days)))
+    return F.when(following.isNull(), F.array(end)).otherwise(ends)
 
 
 def shift_bucket(end: Column, steps: Column, frequency: str) -> Column:
@@ -66,15 +70,24 @@ def shift_bucket(end: Column, steps: Column, frequency: str) -> Column:
 def fill_gaps(series: DataFrame, frequency: str, keys: Sequence[str] = (), zero: Sequence[str] = ()) -> DataFrame:
     """Add the missing buckets of each series; columns named in `zero` become 0 there.
 
-    The series is aggregated already, so the calendar is joined to small data.
+    Each bucket brings along the empty ones up to the next, so the rows behind the
+    series are aggregated once and nothing is joined. The series holds one row per
+    bucket, so ordering it per key is ordering a calendar.
     """
     keys = list(keys)
-    bounds = series.groupBy(*keys).agg(F.min("period").alias("_a"), F.max("period").alias("_z"))
-    calendar = bounds.where("_a is not null").select(
-        *keys, F.explode(bucket_ends(F.col("_a"), F.col("_z"), frequency)).alias("period")
+    following = F.lead("period").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("period"))
+    spread = (
+        series.where("period is not null")
+        .withColumn("_next", following)
+        .withColumn("_bucket", F.explode(buckets_until(F.col("period"), F.col("_next"), frequency)))
+    )
+    real = F.col("_bucket") == F.col("period")
+    others = [c for c in series.columns if c not in {"period", *keys}]
+    filled = {c: F.when(real, column(c)) for c in others}
+    filled |= {c: F.coalesce(filled[c], F.lit(0)) for c in zero}
+    return spread.select(
+        *[column(k) for k in keys], F.col("_bucket").alias("period"), *[filled[c].alias(c) for c in others]
     )
-    filled = calendar.join(series, [*keys, "period"], "left")
-    return filled.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
 
 
 def resample(

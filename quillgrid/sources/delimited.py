@@ -115,28 +115,29 @@ def missing_tokens(text: Column) -> Column:
     return F.when(~text.isin(*NA_TOKENS), text)
 
 
-def drop_empty(frame: DataFrame) -> DataFrame:
-    """Rows without any value, then columns without any value, are dropped."""
-    rows = frame.dropna(how="all")
-    counted = rows.agg(*[F.count(column(n)) for n in rows.columns]).first()
-    kept = [n for n, c in zip(rows.columns, counted) if c]
-    if not kept:
-        raise TableError("no data rows could be read")
-    return rows.select(*[column(n) for n in kept])
-
+def settle(frame: DataFrame) -> DataFrame:
+    """Drop rows, then columns, without any value, and give each column its stored type.
 
-def typed(frame: DataFrame) -> DataFrame:
-    """Store a text column as boolean, bigint or double when every value reads as one."""
+    A text column becomes boolean, bigint or double when every value reads as one; all
+    columns are judged in a single pass.
+    """
     whole, real = r"^\s*[+-]?[0-9]{1,18}\s*$", r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
     truth = r"^(True|TRUE|true|False|FALSE|false)$"
-    checks = [F.bool_and(column(n).rlike(p)) for n in frame.columns for p in (truth, whole, real)]
-    row = frame.agg(*checks).first()
+    rows = frame.dropna(how="all")
+    checks = []
+    for n in rows.columns:
+        c = column(n)
+        checks += [F.count(c), *[F.bool_and(c.rlike(p)) for p in (truth, whole, real)]]
+    row = rows.agg(*checks).first()
     cells = []
-    for i, n in enumerate(frame.columns):
-        is_truth, is_whole, is_real = row[3 * i : 3 * i + 3]
+    for i, n in enumerate(rows.columns):
+        values, is_truth, is_whole, is_real = row[4 * i : 4 * i + 4]
         kind = "boolean" if is_truth else "bigint" if is_whole else "double" if is_real else "string"
-        cells.append(column(n).cast(kind).alias(n))
-    return frame.select(*cells)
+        if values:
+            cells.append(column(n).cast(kind).alias(n))
+    if not cells:
+        raise TableError("no data rows could be read")
+    return rows.select(*cells)
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_BYTES, multi_line: bool | None = None) -> DataFrame:
@@ -160,7 +161,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], max_bytes: i
         if g["header"]
     ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
-    return typed(drop_empty(merged))
+    return settle(merged)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
