@@ -41,8 +41,9 @@ def text_to_number(text: Column, decimal_comma: bool = False) -> Column:
         text = F.translate(text, ",.", ".")
     bare = F.translate(text, NUMBER_MARKS + SPACES, "")
     # One pattern drops a trailing percent sign and keeps out spellings that only the
-    # JVM accepts ("1d", "0x1p3"); a mismatch gives "", which casts to null.
-    return F.regexp_extract(bare, _NUMBER, 1).try_cast("double")
+    # JVM accepts ("1d", "0x1p3"); a mismatch gives "", which casts to null. Text without
+    # any digit, the common case of a category, is passed over cheaply.
+    return F.when(text.rlike("[0-9]"), F.regexp_extract(bare, _NUMBER, 1).try_cast("double"))
 
 
 def text_to_moment(text: Column) -> Column:
@@ -62,7 +63,8 @@ def text_to_moment(text: Column) -> Column:
         ).try_cast("timestamp_ntz")
 
     return (
-        F.when(t.rlike(_ISO), t.try_cast("timestamp_ntz"))
+        F.when(~text.rlike("[0-9]{4}"), F.lit(None).cast("timestamp_ntz"))  # every form has a year
+        .when(t.rlike(_ISO), t.try_cast("timestamp_ntz"))
         .when(t.rlike(_YEAR_FIRST), rewritten(_YEAR_FIRST, "$1-$2-$3$4"))
         .when(
             t.rlike(_YEAR_LAST),

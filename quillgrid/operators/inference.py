@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.functions.parsing import (
     BOOLEAN_TOKENS,
@@ -73,22 +74,24 @@ def column_facts(frame: DataFrame) -> tuple[int, list[ColumnFacts]]:
         c = present(frame, field.name)
         measures.append(F.count(c).alias(f"present{i}"))
         kind = kind_of(field.dataType)
-        if kind == "numeric":
+        if kind == "numeric" and not isinstance(field.dataType, T.IntegralType):
             measures.append(F.coalesce(F.bool_and(c % 1 == 0), F.lit(True)).alias(f"whole{i}"))
         elif kind == "text":
             text = column(field.name).cast("string")
             token = F.lower(F.trim(text))
+            # Two different hashes are two different tokens; equal ones can only be one of ten.
+            mark = F.when(token.isNotNull(), F.xxhash64(token))
             known = F.coalesce(F.bool_and(token.isin(list(BOOLEAN_TOKENS))), F.lit(False))
             measures += [
                 F.count(text_to_number(text)).alias(f"numbers{i}"),
                 F.count(text_to_moment(text)).alias(f"moments{i}"),
-                (known & (F.min(token) < F.max(token))).alias(f"tokens{i}"),
+                F.coalesce(known & (F.min(mark) < F.max(mark)), F.lit(False)).alias(f"tokens{i}"),
             ]
     row = frame.agg(*measures).first()
     facts = []
     for i, field in enumerate(frame.schema.fields):
         fact = ColumnFacts(field.name, kind_of(field.dataType), row[f"present{i}"])
-        if fact.kind == "numeric":
+        if f"whole{i}" in row:
             fact.whole = row[f"whole{i}"]
         elif fact.kind == "text":
             fact.numbers, fact.moments = row[f"numbers{i}"], row[f"moments{i}"]

@@ -54,25 +54,31 @@ def grow_tree(tree: int, points: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "size", "depth"])
 
 
-def forest_scores(points: np.ndarray, forest: pd.DataFrame, sample_size: int) -> np.ndarray:
-    """Anomaly score per point: near 1 isolates early, below 0.5 is ordinary."""
-    depth = np.zeros(len(points))
-    trees = list(forest.groupby("tree"))
-    for _, nodes in trees:
+def packed(forest: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """Trees as arrays by node number; a leaf points back at itself."""
+    trees = []
+    for _, nodes in forest.groupby("tree"):
         slots = int(nodes["node"].max()) + 1
-        feature, cut, reach = np.full(slots, -1), np.zeros(slots), np.zeros(slots)
-        at = nodes["node"].to_numpy()
-        feature[at], cut[at] = nodes["feature"], nodes["cut"]
+        feature, cut = np.zeros(slots, dtype=np.int64), np.full(slots, np.inf)
+        below, reach = np.arange(slots, dtype=np.int64), np.zeros(slots)
+        at, inner = nodes["node"].to_numpy(), (nodes["feature"] >= 0).to_numpy()
         reach[at] = nodes["depth"] + _expected_depth(nodes["size"])
-        here = np.zeros(len(points), dtype=int)
-        for _ in range(int(nodes["depth"].max())):
-            f = feature[here]
-            inner = np.flatnonzero(f >= 0)
-            if len(inner) == 0:
-                break
-            goes_right = points[inner, f[inner]] > cut[here[inner]]
-            here[inner] = 2 * here[inner] + 1 + goes_right
-        depth += reach[here]
+        feature[at[inner]], cut[at[inner]] = nodes["feature"][inner], nodes["cut"][inner]
+        below[at[inner]] = 2 * at[inner] + 1
+        trees.append((feature, cut, below, reach, int(nodes["depth"].max())))
+    return trees
+
+
+def forest_scores(points: np.ndarray, trees: list[tuple[np.ndarray, ...]], sample_size: int) -> np.ndarray:
+    """Anomaly score per point: near 1 isolates early, below 0.5 is ordinary."""
+    flat = np.ascontiguousarray(points).ravel()
+    row = np.arange(len(points)) * points.shape[1]
+    depth = np.zeros(len(points))
+    for feature, cut, below, reach, levels in trees:
+        here = np.zeros(len(points), dtype=np.int64)
+        for _ in range(levels):
+            here = below.take(here) + (flat.take(row + feature.take(here)) > cut.take(here))
+        depth += reach.take(here)
     return 2.0 ** (-(depth / len(trees)) / float(_expected_depth(sample_size)))
 
 
@@ -103,7 +109,7 @@ def isolation_scores(frame: DataFrame, columns: dict[str, Column]) -> DataFrame
     def train(group: pd.DataFrame) -> pd.DataFrame:
         return grow_tree(int(group["tree"].iloc[0]), group.sort_values("_k")[names].to_numpy())
 
-    forest = per_tree.groupBy("tree").applyInPandas(train, _NODE).toPandas()
+    forest = packed(per_tree.groupBy("tree").applyInPandas(train, _NODE).toPandas())
     shared = frame.sparkSession.sparkContext.broadcast(forest)
     used = min(TREE_ROWS, rows)
 

@@ -16,6 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -82,14 +83,17 @@ class _Interval:
     low: float | None = None
     high: float | None = None
 
-    def values(self) -> Column:
+    def holds(self) -> Column:
         c = F.col(self.column)
         test = c.isNotNull()
         if self.low is not None:
             test = test & (c > self.low)
         if self.high is not None:
             test = test & (c < self.high)
-        return F.when(test, c)
+        return test
+
+    def values(self) -> Column:
+        return F.when(self.holds(), F.col(self.column))
 
 
 def _values_at_ranks(values: DataFrame, ranks: dict[str, tuple[int, list[int]]], small: int):
@@ -101,17 +105,29 @@ def _values_at_ranks(values: DataFrame, ranks: dict[str, tuple[int, list[int]]],
         narrow = [i for i in intervals if i.inside <= few]
         wide = [i for i in intervals if i.inside > few]
         if narrow:
-            # At most `few` values per interval remain, so sorting them in one buffer is safe.
-            picks = [
-                F.array(*[F.element_at(F.sort_array(F.collect_list(i.values())), r - i.below + 1) for r in i.ranks])
-                for i in narrow
-            ]
-            for i, picked in zip(narrow, values.agg(*picks).first()):
-                found.update({(i.column, r): v for r, v in zip(i.ranks, picked)})
+            found.update(_read(values, narrow))
         intervals = _split(values, wide, found) if wide else []
     return found
 
 
+def _read(values: DataFrame, intervals: list[_Interval]) -> dict[tuple[str, int], float]:
+    """Order the few values left in each interval and pick the sought ones."""
+    touched = reduce(lambda a, b: a | b, [i.holds() for i in intervals])
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), i.values().alias("v")) for k, i in enumerate(intervals)])
+    ordered = (
+        values.where(touched)
+        .select(F.inline(cells))
+        .where("v is not null")
+        .groupBy("k")
+        .agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most `few` values each
+    )
+    wanted = F.create_map(
+        *[x for k, i in enumerate(intervals) for x in (F.lit(k), F.array(*[F.lit(r - i.below + 1) for r in i.ranks]))]
+    )
+    picked = ordered.select("k", F.transform(wanted[F.col("k")], lambda r: F.element_at("vs", r)).alias("vs")).collect()
+    return {(intervals[p["k"]].column, r): v for p in picked for r, v in zip(intervals[p["k"]].ranks, p["vs"])}
+
+
 def _split(values: DataFrame, intervals: list[_Interval], found: dict) -> list[_Interval]:
     """Sketch cut points around the sought ranks, count between them, keep what is open."""
     slack = 2.0 / SKETCH
@@ -122,29 +138,29 @@ def _split(values: DataFrame, intervals: list[_Interval], found: dict) -> list[_
         sketches.append(F.percentile_approx(i.values(), F.array(*[F.lit(e) for e in ends]), SKETCH))
     cuts = [sorted(set(row)) for row in values.agg(*sketches).first()]
 
-    counters = []
-    for i, points in zip(intervals, cuts):
-        v = i.values()
-        for p, q in zip([None, *points], [*points, None]):
-            test = F.lit(True) if p is None else v > p
-            counters.append(F.count_if(test & (v.isNotNull() if q is None else v < q)))
-            if q is not None:
-                counters.append(F.count_if(v == q))
-    counted = iter(values.agg(*counters).first())
+    # Cells of an interval are numbered upwards: below the first cut, on it, above it, ...
+    cells = []
+    for k, (i, points) in enumerate(zip(intervals, cuts)):
+        v = F.col(i.column)
+        place = F.when(~i.holds() | v.isNull(), F.lit(None))
+        for p, q in enumerate(points):
+            place = place.when(v < q, 2 * p).when(v == q, 2 * p + 1)
+        cells.append(F.struct(F.lit(k).alias("k"), place.otherwise(2 * len(points)).alias("cell")))
+    counted = values.select(F.inline(F.array(*cells))).where("cell is not null").groupBy("k", "cell").count()
+    sizes = {(r["k"], r["cell"]): r["count"] for r in counted.collect()}
 
     still_open = []
-    for i, points in zip(intervals, cuts):
-        below, ranks = i.below, list(i.ranks)
-        for p, q in zip([i.low, *points], [*points, i.high]):
-            between = next(counted)
-            here = [r for r in ranks if below <= r < below + between]
-            if here:
-                still_open.append(_Interval(i.column, here, between, below, p, q))
-            below += between
-            if q != i.high:
-                same = next(counted)
-                found.update({(i.column, r): q for r in ranks if below <= r < below + same})
-                below += same
+    for k, (i, points) in enumerate(zip(intervals, cuts)):
+        below = i.below
+        edges = [i.low, *points, i.high]
+        for cell in range(2 * len(points) + 1):
+            size = sizes.get((k, cell), 0)
+            here = [r for r in i.ranks if below <= r < below + size]
+            if cell % 2:
+                found.update({(i.column, r): points[cell // 2] for r in here})
+            elif here:
+                still_open.append(_Interval(i.column, here, size, below, edges[cell // 2], edges[cell // 2 + 1]))
+            below += size
     return still_open
 
 

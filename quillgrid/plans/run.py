@@ -37,6 +37,11 @@ AGGREGATE_FUNCTIONS = {
     "count": F.count,
     "nunique": F.count_distinct,
 }
+# Fixed-size sketches in place of the two aggregates that must see every value.
+APPROXIMATE_FUNCTIONS = AGGREGATE_FUNCTIONS | {
+    "nunique": F.approx_count_distinct,
+    "median": lambda c: F.percentile_approx(c.cast("double"), 0.5),
+}
 _ON_STORED = ("count", "nunique")  # the others work on the parsed number
 
 
@@ -59,7 +64,9 @@ def _tidy(frame: DataFrame) -> DataFrame:
     return frame.select(*cells)
 
 
-def run_plan(frame: DataFrame, plan: QueryPlan) -> PlanResult:
+def run_plan(frame: DataFrame, plan: QueryPlan, approximate: bool = False) -> PlanResult:
+    """Rows and summary of a plan. `approximate` trades exact medians and distinct
+    counts of aggregates and trends for sketches of fixed size."""
     plan.check(frame.columns)
     rows = apply_filters(frame, plan.filters)
     runner = {
@@ -67,17 +74,20 @@ def run_plan(frame: DataFrame, plan: QueryPlan) -> PlanResult:
         "compare_periods": _compare, "describe": _describe, "correlate": _correlate,
         "filter_rows": _filter_rows,
     }[plan.operation]
+    if runner in (_aggregate, _trend):
+        return runner(rows, plan, approximate)
     return runner(rows, plan)
 
 
-def _metrics(frame: DataFrame, plan_metrics, keys: list[str]) -> DataFrame:
+def _metrics(frame: DataFrame, plan_metrics, keys: list[str], approximate: bool) -> DataFrame:
     """Metrics per group of `keys`; `frame` holds the keys and inputs v0, v1, ..."""
-    medians = [i for i, m in enumerate(plan_metrics) if m.agg == "median"]
+    functions = APPROXIMATE_FUNCTIONS if approximate else AGGREGATE_FUNCTIONS
+    medians = [i for i, m in enumerate(plan_metrics) if m.agg not in functions]
     inline = bool(keys and medians) and largest_group(frame, keys) <= SMALL
     plain = [
-        (F.percentile(f"v{i}", 0.5) if m.agg == "median" else AGGREGATE_FUNCTIONS[m.agg](F.col(f"v{i}"))).alias(f"m{i}")
+        (F.percentile(f"v{i}", 0.5) if i in medians else functions[m.agg](F.col(f"v{i}"))).alias(f"m{i}")
         for i, m in enumerate(plan_metrics)
-        if inline or m.agg != "median"
+        if inline or i not in medians
     ]
     result = frame.groupBy(*keys).agg(*(plain or [F.count("*").alias("_rows")]))
     for i in [] if inline else medians:
@@ -92,14 +102,14 @@ def _metrics(frame: DataFrame, plan_metrics, keys: list[str]) -> DataFrame:
     return result.select(*keys, *[F.col(f"m{i}").alias(m.name) for i, m in enumerate(plan_metrics)])
 
 
-def _aggregate(frame: DataFrame, plan: QueryPlan) -> PlanResult:
+def _aggregate(frame: DataFrame, plan: QueryPlan, approximate: bool) -> PlanResult:
     metrics = list(dict.fromkeys(plan.metrics))
     inputs = [_input(frame, m).alias(f"v{i}") for i, m in enumerate(metrics)]
     if not plan.group_by:
-        return PlanResult(_tidy(_metrics(frame.select(*inputs), metrics, [])))
+        return PlanResult(_tidy(_metrics(frame.select(*inputs), metrics, [], approximate)))
     keys = [f"k{i}" for i in range(len(plan.group_by))]
     labels = [label_of(frame, g).alias(k) for k, g in zip(keys, plan.group_by)]
-    groups = _metrics(frame.select(*labels, *inputs), metrics, keys)
+    groups = _metrics(frame.select(*labels, *inputs), metrics, keys, approximate)
     first = column(metrics[0].name)
     order = first.desc_nulls_last() if plan.sort_desc else first.asc_nulls_last()
     top = groups.orderBy(order, *keys).limit(plan.limit)
@@ -110,7 +120,7 @@ def _aggregate(frame: DataFrame, plan: QueryPlan) -> PlanResult:
     return PlanResult(_tidy(named), counted)
 
 
-def _trend(frame: DataFrame, plan: QueryPlan) -> PlanResult:
+def _trend(frame: DataFrame, plan: QueryPlan, approximate: bool) -> PlanResult:
     m = plan.metrics[0]
     value = present(frame, m.column) if m.agg == "count" else number_of(frame, m.column)
     rows = frame.select(moment_of(frame, plan.date_column).alias("d"), value.alias("v0"))
@@ -120,7 +130,7 @@ def _trend(frame: DataFrame, plan: QueryPlan) -> PlanResult:
         raise PlanError("no usable dates for trend")
     frequency = plan.frequency or found
     bucketed = rows.select(bucket_end(F.col("d"), frequency).alias("period"), "v0")
-    series = _metrics(bucketed, [m], ["period"])
+    series = _metrics(bucketed, [m], ["period"], approximate)
     zero = [m.name] if m.agg in ("sum", "count", "nunique") else []
     filled = fill_gaps(series, frequency, zero=zero)
     summary = small_frame(frame.sparkSession, [(frequency,)], "frequency string")

@@ -129,6 +129,13 @@ def test_limits(spark):
     assert run_plan(wide, QueryPlan("filter_rows", limit=100)).rows.count() == 20
 
 
+def test_approximate_aggregates(spark):
+    frame = spark.range(20_000).selectExpr("id % 3 as g", "cast(id as double) as v")
+    plan = QueryPlan("aggregate", [Metric("v", "median"), Metric("v", "nunique")], group_by=["g"])
+    for exact, rough in zip(*[sorted(rows(run_plan(frame, plan, a))) for a in (False, True)]):
+        assert rough[0] == exact[0] and rough[1:] == pytest.approx(exact[1:], rel=0.1)
+
+
 @pytest.mark.parametrize(
     "plan",
     [

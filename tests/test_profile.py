@@ -28,6 +28,7 @@ def semantic(spark, values, name="col", kind="string"):
         (["Yes", "No", "Yes"], "col", "string", "boolean"),
         (["0", "1", "1", "0"], "col", "string", "boolean"),
         (["Yes", "Yes", "Yes"], "col", "string", "categorical"),
+        (["Yes", None, "Yes"], "col", "string", "categorical"),
         ([900001, 900002, 900003], "customer_id", "bigint", "id"),
         (list(range(100_000, 100_060)), "account", "bigint", "id"),
         ([1, 2, 2, 3, 1, 2, 4, 1], "quantity", "int", "numeric"),

@@ -149,3 +149,30 @@ def test_streamed_totals_equal_batch(spark, tmp_path):
     found = sorted(cells(spark.read.parquet(str(tmp_path / "out"))))
     expected = rows.groupBy(F.col("ts").cast("date")).agg(F.count("*"), F.sum("v"))
     assert found == sorted(cells(expected))
+
+
+def test_project_from_file_to_forecast(spark, tmp_path):
+    from quillgrid.errors import ForecastError
+    from quillgrid.operators.suggest import accepted_steps
+    from quillgrid.sources.projects import Project
+
+    lines = ["order_id,sold_on,region,revenue"]
+    for i in range(500):
+        day = f"2025-{1 + i % 12:02d}-{1 + i % 28:02d}" if i % 50 else "unknown"
+        lines.append(f"{i},{day},{'NSEW'[i % 4] if i % 9 else ''},\"${1000 + i * 7 % 400:,}.25\"")
+    lines += lines[5:15]
+    (tmp_path / "sales.csv").write_text("\n".join(lines))
+    project = Project(VersionStore(spark, str(tmp_path / "store")), "sales")
+    assert project.ingest(str(tmp_path / "sales.csv")).count() == 510
+    assert project.profile() == project.profile()
+    comparison = project.clean(accepted_steps(project.suggestions()), run=1)
+    assert (comparison.rows_after, comparison.duplicate_rows_after) == (500, 0)
+    assert comparison.health_after > comparison.health_before
+    assert project.store.read_log("sales").count() > 2
+    assert project.facts().first()["metric"] == "revenue" and project.facts().count() == 1
+    made = project.forecast("revenue", 4, run=1)
+    assert made.forecast.count() == 4 == project.store.read_forecasts().count()
+    with pytest.raises(ForecastError):
+        project.forecast("region", 4, run=2)
+    project.export(str(tmp_path / "out"))
+    assert read_delimited(spark, str(tmp_path / "out" / "*.csv")).count() == 500
