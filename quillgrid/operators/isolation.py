@@ -97,12 +97,15 @@ def isolation_scores(frame: DataFrame, columns: dict[str, Column]) -> DataFrame
     sample = written(
         drawn.withColumn("_u", F.rand(SEED)).orderBy("_u").limit(SAMPLE_ROWS), "forest-sample"
     )
+    # Each tree takes the rows with its smallest marks; half as many again as needed are
+    # let through to the ordering.
+    marked = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn(
+        "_m", F.pmod(F.xxhash64("_u", "tree"), F.lit(1 << 30))
+    )
+    reach = int((1 << 30) * min(1.0, 1.5 * TREE_ROWS / min(rows, SAMPLE_ROWS)))
     per_tree = (
-        sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        .withColumn(
-            "_k",
-            F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_u", "tree"), "_u")),
-        )
+        marked.where(F.col("_m") < reach)
+        .withColumn("_k", F.row_number().over(Window.partitionBy("tree").orderBy("_m", "_u")))
         .where(F.col("_k") <= TREE_ROWS)
     )
 

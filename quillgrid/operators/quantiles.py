@@ -22,7 +22,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000  # values one aggregation buffer may hold
+SMALL = 250_000  # values one exact percentile buffer may hold
+RANGE_ROWS = 1_000_000  # rows ordered together
 SKETCH = 10_000  # rank precision of the sketch: n / SKETCH
 MAX_RANGES = 4_096
 
@@ -173,7 +174,7 @@ class Ranges:
 
 
 def value_ranges(
-    frame: DataFrame, values: Sequence[str], rows: int, per_range: int = SMALL
+    frame: DataFrame, values: Sequence[str], rows: int, per_range: int = RANGE_ROWS
 ) -> dict[str, Ranges]:
     """Split each column into ranges of similar row count, all columns in one pass."""
     ranges = min(MAX_RANGES, max(1, math.ceil(rows / per_range)))

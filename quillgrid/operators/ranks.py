@@ -6,11 +6,13 @@ within a range, and shifted by the rows in earlier ranges. Rows where the partne
 column is missing are left out of the counts, so ranks are exact for every pair.
 """
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators.moments import pearson
-from quillgrid.operators.quantiles import SMALL, value_ranges, with_range
+from quillgrid.operators.quantiles import RANGE_ROWS, Ranges, value_ranges
+from quillgrid.sources.scratch import scratch_path
 
 MAX_COLUMNS = 15  # fixed value: columns taken into the matrices
 SALTS = 64
@@ -35,67 +37,85 @@ def pearson_pairs(
     return {(names[i], names[j]): r for (i, j), r in zip(pairs, row)}
 
 
-def average_ranks(rows: DataFrame, value: str, masks: dict[str, Column], cuts: list[float]) -> DataFrame:
-    """Distinct values of a column with their average rank among the rows of each mask."""
+def rank_tables(rows: DataFrame, columns: list[str], gaps: list[str], ranges: dict[str, Ranges]) -> DataFrame:
+    """Average rank of every distinct value: (c, v, r_all, and r_<g> per column with gaps).
+
+    `r_<g>` ranks among the rows where g is present. All columns share one shuffle of
+    (column, value) pairs.
+    """
+    masks = ["all", *gaps]
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(v).alias("v")) for i, v in enumerate(columns)])
     counted = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(value)
-        .agg(*[F.count_if(test).alias(f"n_{m}") for m, test in masks.items()])
+        rows.select(F.inline(pairs), *[F.col(g).isNotNull().alias(f"in_{g}") for g in gaps])
+        .where("v is not null")
+        .groupBy("c", "v")
+        .agg(F.count("*").alias("n_all"), *[F.count_if(f"in_{g}").alias(f"n_{g}") for g in gaps])
+    )
+    counted = _with_ranges(counted, [ranges[v].cuts for v in columns])
+    ordered = Window.partitionBy("c", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("c").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per column and range; joined on the window's own partitioning.
+    shifts = counted.groupBy("c", "_range").agg(*[F.sum(f"n_{m}").alias(f"s_{m}") for m in masks])
+    shifts = shifts.select(
+        "c", "_range", *[F.coalesce(F.sum(f"s_{m}").over(earlier), F.lit(0)).alias(f"s_{m}") for m in masks]
+    )
+    inside = counted.withColumns(
+        {f"p_{m}": F.coalesce(F.sum(f"n_{m}").over(ordered), F.lit(0)) for m in masks}
+    )
+    return inside.join(shifts, ["c", "_range"]).select(
+        "c",
+        "v",
+        *[(F.col(f"s_{m}") + F.col(f"p_{m}") + (F.col(f"n_{m}") + 1) / 2).alias(f"r_{m}") for m in masks],
+    )
+
+
+def _with_ranges(counted: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """Range number of each value, by the cut points of its own column."""
+    if all(len(c) == 2 for c in cuts):
+        return counted.withColumn("_range", F.lit(0))
+    ids = range(len(cuts))
+    split = Bucketizer(
+        inputCols=[f"_x{i}" for i in ids], outputCols=[f"_b{i}" for i in ids], splitsArray=cuts, handleInvalid="keep"
     )
-    counted = with_range(counted, value, cuts)
-    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    shift: dict[str, Column] = {m: F.lit(0) for m in masks}
-    if len(cuts) > 2:
-        # One row per range (bounded by the number of cuts) decides the shifts.
-        sizes = counted.groupBy("_range").agg(*[F.sum(f"n_{m}").alias(m) for m in masks]).collect()
-        sizes.sort(key=lambda r: r["_range"])
-        for m in masks:
-            before, steps = 0, [0] * (len(cuts) - 1)
-            for r in sizes:
-                steps[r["_range"]] = before
-                before += r[m]
-            shift[m] = F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("_range") + 1)
-    ranks = [
-        (
-            shift[m]
-            + F.coalesce(F.sum(f"n_{m}").over(inside), F.lit(0))
-            + (F.col(f"n_{m}") + 1) / 2
-        ).alias(f"r_{m}")
-        for m in masks
-    ]
-    return counted.select(value, *ranks)
+    apart = counted.withColumns({f"_x{i}": F.when(F.col("c") == i, F.col("v")) for i in ids})
+    own = F.coalesce(*[F.when(F.col("c") == i, F.col(f"_b{i}")) for i in ids])
+    return split.transform(apart).select(*counted.columns, own.cast("int").alias("_range"))
 
 
 def spearman_pairs(
-    frame: DataFrame, columns: dict[str, Column], per_range: int = SMALL
+    frame: DataFrame, columns: dict[str, Column], per_range: int = RANGE_ROWS
 ) -> dict[tuple[str, str], float | None]:
     """All pairs: ranks are joined to the rows by value, then correlated in one pass.
 
-    On large inputs the rows of a hot value, and rows without a value, are salted over
-    several join keys, and the few hot rank rows are repeated once per salt.
+    The rank tables are written first, so their sizes are known when the joins are
+    planned: columns with few values are joined without moving the rows. On large inputs
+    the rows of a hot value, and rows without a value, are salted over several join keys,
+    and the few hot rank rows are repeated once per salt.
     """
     names = list(columns)[:MAX_COLUMNS]
     pairs = _pairs(len(names))
     if not pairs:
         return {}
     ids = range(len(names))
+    values = [f"v{i}" for i in ids]
     rows = frame.select(
-        *[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)],
+        *[columns[n].cast("double").alias(v) for n, v in zip(names, values)],
         F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"),
     )
-    total, *present = rows.agg(F.count("*"), *[F.count(f"v{i}") for i in ids]).first()
-    gaps = {i for i in ids if present[i] < total}
-    ranges = value_ranges(rows, [f"v{i}" for i in ids], total, per_range)
+    total, *present = rows.agg(F.count("*"), *[F.count(v) for v in values]).first()
+    gaps = [v for v, n in zip(values, present) if n < total]
+    ranges = value_ranges(rows, values, total, per_range)
+    path = scratch_path(frame.sparkSession, "ranks")
+    rank_tables(rows, values, gaps, ranges).write.partitionBy("c").parquet(path)
+    stored = frame.sparkSession.read.parquet(path)
 
     ranked = rows
-    for i in ids:
-        v = f"v{i}"
-        masks = {"all": F.lit(True)}
-        masks.update({f"w{j}": F.col(f"v{j}").isNotNull() for j in gaps if j != i})
-        table = average_ranks(rows, v, masks, ranges[v].cuts)
-        table = table.select(v, *[F.col(f"r_{m}").alias(f"r{i}_{m}") for m in masks])
+    for i, v in zip(ids, values):
+        table = stored.where(F.col("c") == i).select(
+            F.col("v").alias(v), *[F.col(f"r_{m}").alias(f"{v}_{m}") for m in ["all", *gaps] if m != v]
+        )
         on = [v]
-        if total > per_range and (ranges[v].hot or i in gaps):
+        if total > per_range and (ranges[v].hot or v in gaps):
             hot = F.col(v).isin(ranges[v].hot) if ranges[v].hot else F.lit(False)
             salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
             table = table.withColumn("_s", F.explode(salts))
@@ -104,14 +124,14 @@ def spearman_pairs(
             on = [v, "_s"]
         ranked = ranked.join(table, on, "left").drop("_s")
 
-    def rank(i: int, partner: int) -> Column:
-        return F.col(f"r{i}_w{partner}" if partner in gaps else f"r{i}_all")
+    def rank(v: str, partner: str) -> Column:
+        return F.col(f"{v}_{partner}" if partner in gaps else f"{v}_all")
 
-    def pair(i: int, j: int) -> Column:
-        if not gaps & {i, j}:
-            return pearson(rank(i, j), rank(j, i), complete=True)
-        both = F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
-        return pearson(F.when(both, rank(i, j)), F.when(both, rank(j, i)))
+    def pair(a: str, b: str) -> Column:
+        if a not in gaps and b not in gaps:
+            return pearson(rank(a, b), rank(b, a), complete=True)
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        return pearson(F.when(both, rank(a, b)), F.when(both, rank(b, a)))
 
-    row = ranked.agg(*[pair(i, j) for i, j in pairs]).first()
+    row = ranked.agg(*[pair(values[i], values[j]) for i, j in pairs]).first()
     return {(names[i], names[j]): r for (i, j), r in zip(pairs, row)}
