@@ -10,7 +10,7 @@ from quillgrid.functions.render import compact_number
 from quillgrid.operators import dashboard, facts, ledger
 from quillgrid.operators.profile import profile_table
 from quillgrid.operators.small import small_frame
-from quillgrid.operators.timeseries import date_range, half_growth, recent_deltas, resample, trim_edges
+from quillgrid.operators.timeseries import choose_frequency, date_range, half_growth, recent_deltas, resample, trim_edges
 from quillgrid.plans.run import run_plan
 from quillgrid.plans.starter import starter_plans
 
@@ -207,6 +207,23 @@ def date_ranges(spark, sf):
     return date_range(table(spark, sf, "orders"), "o_orderdate")
 
 
+_SPANS = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+
+
+@query(
+    "frequency_choice",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS source, CASE WHEN d <= 62 THEN 'D' WHEN d <= 370 THEN 'W' ELSE 'ME' END AS frequency FROM (SELECT datediff('second', min({c}), max({c})) // 86400 AS d FROM {t})"
+        for t, c in _SPANS.items()
+    )
+    + " UNION ALL SELECT 'one year', CASE WHEN d <= 62 THEN 'D' WHEN d <= 370 THEN 'W' ELSE 'ME' END FROM (SELECT datediff('day', min(o_orderdate), max(o_orderdate)) AS d FROM orders WHERE year(o_orderdate) = 1997)",
+)
+def frequency_choice(spark, sf):
+    frames = {t: table(spark, sf, t).withColumnRenamed(c, "d") for t, c in _SPANS.items()}
+    frames["one year"] = frames["orders"].where(F.year("d") == 1997)
+    return small_frame(spark, [(n, choose_frequency(f, "d")) for n, f in frames.items()], "source string, frequency string")
+
+
 @query("resample_week", _series_sql("orders", "o_orderdate", {"orders": "cast(o_totalprice AS decimal(18,2))"}, "W"))
 def resample_week(spark, sf):
     series = resample(table(spark, sf, "orders"), "o_orderdate", "W", {"total": F.sum("o_totalprice")})

@@ -3,7 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from quillgrid.operators.forecast import prepare_series, run_forecast, series_eligibility
+from quillgrid.operators.forecast import (
+    check_eligibility,
+    prepare_series,
+    run_forecast,
+    series_eligibility,
+)
+from quillgrid.operators.profile import profile_table
+from quillgrid.operators.small import small_frame
 
 KEY = "o_orderpriority"
 HORIZON = 18
@@ -52,6 +59,21 @@ def eligibility(spark, sf):
     return series_eligibility(_series(spark, sf))
 
 
+@query(
+    "forecast_eligibility",
+    "WITH s AS (SELECT last_day(cast(o_orderdate AS date)) AS period, cast(min(o_orderdate) AS date) AS a, cast(max(o_orderdate) AS date) AS z FROM orders GROUP BY 1), "
+    "b AS (SELECT min(period) AS p0, max(period) AS p1, min(a) AS a, max(z) AS z, date_diff('month', min(period), max(period)) + 1 AS n FROM s), "
+    "o AS (SELECT n - CASE WHEN z < p1 THEN 1 ELSE 0 END - CASE WHEN a > date_trunc('month', p0) THEN 1 ELSE 0 END AS observations FROM b) "
+    "SELECT observations >= 12 AS eligible, 'o_orderdate' AS date_column, 'o_totalprice' AS metric, 'ME' AS frequency, observations FROM o",
+)
+def table_eligibility(spark, sf):
+    """The whole table judged from its own profile: date, first metric, enough periods."""
+    orders = table(spark, sf, "orders")
+    found = check_eligibility(orders, profile_table(orders))
+    row = (found.eligible, found.date_column, found.metric_options[0], found.frequency, found.observations)
+    return small_frame(spark, [row], "eligible boolean, date_column string, metric string, frequency string, observations bigint")
+
+
 @query("seasonal_naive_backtest", SERIES_SQL + f"SELECT {KEY}, 'seasonal_naive' AS model, round(mape, 4) AS mape, round(std, 2) AS std FROM scores")
 def naive_backtest(spark, sf):
     return _naive(spark, sf).scores.select(KEY, "model", F.round("mape", 4).alias("mape"), F.round("std", 2).alias("std"))

@@ -54,6 +54,19 @@ def csv_ragged_lines(spark, sf):
     return read_delimited(spark, _ragged(spark, sf))
 
 
+@query(
+    "csv_repaired_names",
+    'SELECT o_orderkey AS id, o_custkey AS "value", o_orderstatus AS value_1, o_totalprice AS "Value_2", o_orderpriority AS column_5 FROM orders',
+)
+def csv_repaired_names(spark, sf):
+    """A header with repeated, padded and blank names."""
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")])
+    path = scratch_path(spark, "names")
+    lines = table(spark, sf, "orders").select(line.alias("id,value,value, Value ,"))
+    lines.write.options(header=True, quote="", sep="\x01").csv(path)
+    return read_delimited(spark, path + GLOB)
+
+
 @query("file_layouts", "SELECT 'UTF-8' AS encoding, ',' AS delimiter, 'id,status,price' AS header, true AS all_bytes_listed")
 def file_layouts(spark, sf):
     manifest = file_manifest(audit_files(spark, _ragged(spark, sf)))

@@ -19,6 +19,7 @@ from quillgrid.operators.timeseries import (
     bucket_end,
     choose_frequency,
     date_range,
+    delta_spans,
     fill_gaps,
     recent_deltas,
 )
@@ -82,28 +83,28 @@ def dashboard_rows(frame: DataFrame, date_column: str | None, dimension: str | N
 
 
 def kpi_table(frame: DataFrame, metrics: Sequence[str], date_column: str | None) -> DataFrame:
-    """Row count and metric totals, with the change against the previous window."""
+    """Row count and metric totals, with the change against the previous window.
+
+    Totals and covered spans come from one aggregation; the windows take a second one
+    over the recent dates only.
+    """
     metrics = list(metrics)[:KPI_METRICS]
-    numbers = {m: number_of(frame, m) for m in metrics}
-    deltas: dict[str, float | None] = {}
-    if date_column and metrics:
-        rows = frame.select(
-            moment_of(frame, date_column).alias("d"), *[c.alias(f"v{i}") for i, c in enumerate(numbers.values())]
-        )
-        found = recent_deltas(rows, "d", {m: F.col(f"v{i}") for i, m in enumerate(metrics)})
-        deltas = {m: half_up(d, 1) for m, d in found.items()}
-    tiles = [
-        F.struct(F.lit(0).alias("place"), F.lit("Records").alias("label"), F.col("n").cast("double").alias("value"),
-                 F.format_number("n", 0).alias("shown"), F.lit(None).cast("double").alias("delta_pct"))
-    ] + [
-        F.struct(F.lit(i + 1).alias("place"), F.lit(f"Total {m}").alias("label"), F.round(F.col(f"t{i}"), 2).cast("double").alias("value"),
-                 compact_number(F.col(f"t{i}").cast("double")).alias("shown"), F.lit(deltas.get(m)).cast("double").alias("delta_pct"))
-        for i, m in enumerate(metrics)
-    ]
-    sums = [F.sum(c).alias(f"t{i}") for i, c in enumerate(numbers.values())]
-    one = frame.agg(F.count("*").alias("n"), *sums)
-    return one.select(F.inline(F.array(*tiles))).where("value is not null").withColumn(
-        "delta_positive", F.col("delta_pct") >= 0
+    moment = moment_of(frame, date_column) if date_column else F.lit(None).cast("timestamp_ntz")
+    rows = frame.select(moment.alias("d"), *[number_of(frame, m).alias(f"v{i}") for i, m in enumerate(metrics)])
+    measures = {m: F.col(f"v{i}") for i, m in enumerate(metrics)}
+    sums = [F.round(F.sum(c), 2).cast("double") for c in measures.values()]
+    records, *found = rows.agg(F.count("*"), *sums, *delta_spans("d", measures)).first()
+    totals, spans = found[: len(metrics)], found[len(metrics) :]
+    deltas = recent_deltas(rows, "d", measures, spans) if date_column else {}
+    tiles = [(0, "Records", float(records), None)] + [
+        (i, f"Total {m}", value, half_up(deltas.get(m), 1))
+        for i, (m, value) in enumerate(zip(metrics, totals), 1)
+        if value is not None
+    ]
+    table = small_frame(frame.sparkSession, tiles, "place int, label string, value double, delta_pct double")
+    whole = F.when(F.col("place") == 0, F.format_number("value", 0))
+    return table.withColumns(
+        {"shown": whole.otherwise(compact_number(F.col("value"))), "delta_positive": F.col("delta_pct") >= 0}
     )
 
 

@@ -2,9 +2,9 @@
 
 1. facts          one aggregation over all columns (counts, parse shares)
 2. distinct       one (column, value) shuffle, for distinct counts and samples
-3. moments        one aggregation over numeric and date columns
+3. moments        one aggregation over the numeric columns
 4. percentiles    quartiles of the numeric columns
-5. outliers       one aggregation against literal fences, with Pearson pairs
+5. outliers       one aggregation against literal fences, with Pearson pairs and date ranges
 6. ranks          Spearman pairs
 7. duplicates     one grouping of whole rows
 8. isolation      sampled forest, all complete rows scored
@@ -32,6 +32,7 @@ from quillgrid.sources.scratch import written
 
 SAMPLES = 5  # fixed value
 SPREAD_BYTES = 256 * 1024 * 1024
+SKETCH_BITS = 14  # about 1% error
 
 
 @dataclass
@@ -146,7 +147,8 @@ def distinct_and_samples(frame: DataFrame, approximate: bool = False) -> tuple[d
     if not names:
         return {}, {}
     if approximate:
-        row = frame.agg(*[F.approx_count_distinct(column(n), 0.01) for n in names]).first()
+        sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(column(n), SKETCH_BITS)) for n in names]
+        row = [found or 0 for found in frame.agg(*sketches).first()]
         return dict(zip(names, row)), {n: [] for n in names}
     pairs = frame.unpivot([], [column(n) for n in names], "c", "v").where("v is not null").distinct()
     first = Window.partitionBy("c").orderBy("v")
@@ -265,32 +267,25 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
         f.name: f.numbers if f.kind == "text" else f.present for f in facts if f.name in numeric
     }
     stats = numeric_summary(frame, numeric, usable)
-    dates = [f.name for f, r in zip(facts, readings) if r.semantic == "datetime"]
-    spans = {}
-    if dates:
-        bounds = []
-        for d in dates:
-            m = moment_of(frame, d)
-            bounds += [F.count(m), F.min(m).cast("string"), F.max(m).cast("string")]
-        row = frame.agg(*bounds).first()
-        spans = {d: tuple(row[3 * k : 3 * k + 3]) for k, d in enumerate(dates)}
-
     names = list(numeric)
     paired = names[:MAX_COLUMNS]
     pairs = [(a, b) for i, a in enumerate(paired) for b in paired[i + 1 :]]
-    outliers, pearson_found = {}, {}
-    if names:
-        tests = []
-        for n in names:
-            s, c = stats[n], numeric[n]
-            tests.append(F.count_if(iqr_outlier(c, usable[n], s.q1, s.q3)))
-            tests.append(F.count_if(zscore_outlier(c, usable[n], s.mean, s.std)))
-        full = {n for n in names if usable[n] == rows}
-        row = frame.agg(
-            *tests, *[pearson(numeric[a], numeric[b], full >= {a, b}) for a, b in pairs]
-        ).first()
-        outliers = {n: (row[2 * k], row[2 * k + 1]) for k, n in enumerate(names)}
-        pearson_found = dict(zip(pairs, row[2 * len(names) :]))
+    full = {n for n in names if usable[n] == rows}
+    dates = [f.name for f, r in zip(facts, readings) if r.semantic == "datetime"]
+    tests, bounds = [], []
+    for n in names:
+        s, c = stats[n], numeric[n]
+        tests.append(F.count_if(iqr_outlier(c, usable[n], s.q1, s.q3)))
+        tests.append(F.count_if(zscore_outlier(c, usable[n], s.mean, s.std)))
+    for d in dates:
+        m = moment_of(frame, d)
+        bounds += [F.count(m), F.min(m).cast("string"), F.max(m).cast("string")]
+    together = [pearson(numeric[a], numeric[b], full >= {a, b}) for a, b in pairs]
+    found = list(frame.agg(F.count("*"), *tests, *bounds, *together).first())[1:]
+    hits, found = found[: len(tests)], found[len(tests) :]
+    outliers = {n: (hits[2 * k], hits[2 * k + 1]) for k, n in enumerate(names)}
+    spans = {d: tuple(found[3 * k : 3 * k + 3]) for k, d in enumerate(dates)}
+    pearson_found = dict(zip(pairs, found[len(bounds) :]))
     correlations = []
     if pairs:
         spearman_found = spearman_pairs(frame, {n: numeric[n] for n in paired})

@@ -1,6 +1,7 @@
 """Regular calendar series: buckets, gap filling, growth, edges, period comparison."""
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,7 @@ def frequency_for(days: int) -> str:
 
 def whole_days(first: Column, last: Column) -> Column:
     """Completed days between two moments."""
-    seconds = F.unix_timestamp(last.cast("timestamp")) - F.unix_timestamp(first.cast("timestamp"))
-    return F.floor(seconds / 86_400)
+    return F.floor(F.timestamp_diff("SECOND", first, last) / 86_400)
 
 
 def choose_frequency(frame: DataFrame, moment: str) -> str | None:
@@ -155,36 +155,46 @@ def half_growth(series: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
     return summary.where(F.col("buckets") >= GROWTH_BUCKETS)
 
 
-def recent_deltas(frame: DataFrame, moment: str, measures: dict[str, Column]) -> dict[str, float | None]:
+def delta_spans(moment: str, measures: dict[str, Column]) -> list[Column]:
+    """Per metric: how many dated values it has, the latest moment, and the days covered."""
+    spans = []
+    for c in measures.values():
+        seen = F.when(c.isNotNull(), F.col(moment))
+        spans += [F.count(seen), F.max(seen).cast("string"), whole_days(F.min(seen), F.max(seen))]
+    return spans
+
+
+def recent_deltas(
+    frame: DataFrame, moment: str, measures: dict[str, Column], spans: Sequence | None = None
+) -> dict[str, float | None]:
     """Percent change of each metric's total, latest window against the one before.
 
     The window is half the covered span, between 7 and 90 days, counted back from the
-    latest moment; windows are open on the left and closed on the right.
+    latest moment; windows are open on the left and closed on the right. Pass the values
+    of `delta_spans` when another aggregation has found them already.
     """
     if not measures:
         return {}
+    spans = frame.agg(*delta_spans(moment, measures)).first() if spans is None else spans
     m = F.col(moment)
-    spans = []
-    for c in measures.values():
-        seen = F.when(c.isNotNull(), m)
-        spans += [F.count(seen), F.max(seen).cast("string"), whole_days(F.min(seen), F.max(seen))]
-    row = frame.agg(*spans).first()
-    sums, used = [], []
+    sums, used, starts = [], [], []
     for k, (name, c) in enumerate(measures.items()):
-        count, last, days = row[3 * k : 3 * k + 3]
+        count, last, days = spans[3 * k : 3 * k + 3]
         if count < DELTA_ROWS:
             continue
         window = max(DELTA_DAYS_MIN, min(days // 2, DELTA_DAYS_MAX))
         end = F.lit(last).cast("timestamp_ntz")
         edge, start = (end - F.make_dt_interval(F.lit(window * k)) for k in (1, 2))
         used.append(name)
+        starts.append(m > start)
         sums += [
             F.sum(F.when((m > edge) & (m <= end), c)).cast("double"),
             F.sum(F.when((m > start) & (m <= edge), c)).cast("double"),
         ]
     deltas: dict[str, float | None] = dict.fromkeys(measures)
     if sums:
-        found = frame.agg(*sums).first()
+        recent = reduce(lambda a, b: a | b, starts)  # earlier dates need not be read
+        found = frame.where(recent).agg(*sums).first()
         for k, name in enumerate(used):
             now, before = found[2 * k] or 0.0, found[2 * k + 1] or 0.0
             deltas[name] = (now - before) / abs(before) * 100 if before else None

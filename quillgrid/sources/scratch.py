@@ -6,19 +6,23 @@ column pruning and row-group statistics, which a row checkpoint would not.
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"quillgrid-{application}-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="quillgrid-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root(spark.conf.get("spark.app.id", "local"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

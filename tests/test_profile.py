@@ -138,3 +138,16 @@ def test_isolation_finds_the_far_point(spark):
     assert 1 <= far < 200
     assert isolation_outliers(frame.limit(20), columns) == 0
     assert isolation_outliers(frame, {"a": F.col("a")}) == 0
+
+
+def test_awkward_column_names(spark):
+    frame = spark.createDataFrame([(i, f"${i}.5", "ab"[i % 2]) for i in range(40)] * 2, "`k.id` int, `unit price ($)` string, `a``b` string")
+    p = profile_table(frame)
+    assert [c.semantic_type for c in p.columns] == ["numeric", "numeric", "categorical"]
+    assert p.duplicate_row_count == 40 and rank_dimensions(p) == ["a`b"]
+
+
+def test_sketched_distinct_counts(spark):
+    frame = spark.range(30_000).selectExpr("concat('v', id % 9000) as t", "cast(null as string) as gone")
+    _, facts, _, _ = typed_columns(frame, approximate=True)
+    assert facts[0].distinct == pytest.approx(9000, rel=0.05) and facts[1].distinct == 0

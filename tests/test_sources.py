@@ -176,3 +176,17 @@ def test_project_from_file_to_forecast(spark, tmp_path):
         project.forecast("region", 4, run=2)
     project.export(str(tmp_path / "out"))
     assert read_delimited(spark, str(tmp_path / "out" / "*.csv")).count() == 500
+
+
+def test_scratch_folder():
+    from types import SimpleNamespace
+
+    from quillgrid.sources.scratch import scratch_root
+
+    def root(**conf):
+        return scratch_root(SimpleNamespace(conf={k.replace("_", "."): v for k, v in conf.items()}))
+
+    assert root(spark_checkpoint_dir="hdfs://x/y/", spark_master="yarn") == "hdfs://x/y"
+    assert root(spark_master="local[2]", spark_app_id="t") == root(spark_master="local[2]", spark_app_id="t")
+    with pytest.raises(RuntimeError):
+        root(spark_master="yarn")
