@@ -14,6 +14,24 @@ def total(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
+def steady_sum(c: Column) -> Column:
+    """Sum of doubles whose shown digits do not depend on the order of the rows.
+
+    Whole parts add exactly; what is below one stays too small to lose digits.
+    """
+    c = c.cast("double")
+    whole = F.rint(c)
+    return F.sum(whole) + F.sum(F.nanvl(c - whole, F.lit(0.0)))
+
+
+def steady_total(c: Column) -> Column:
+    return F.coalesce(steady_sum(c), F.lit(0.0))
+
+
+def steady_mean(c: Column) -> Column:
+    return F.try_divide(steady_sum(c), F.count(c).cast("double"))
+
+
 def sample_std(c: Column) -> Column:
     """Sample deviation; zero for one value, null for none."""
     c = c.cast("double")

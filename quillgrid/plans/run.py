@@ -14,7 +14,7 @@ from quillgrid.functions.parsing import (
     text_of,
 )
 from quillgrid.operators.frequencies import most_frequent
-from quillgrid.operators.moments import mean, pearson, total
+from quillgrid.operators.moments import mean, pearson, steady_mean, steady_total, total
 from quillgrid.operators.quantiles import SMALL, column_quantiles, grouped_quantiles, largest_group
 from quillgrid.operators.small import half_up, small_frame
 from quillgrid.operators.timeseries import (
@@ -42,9 +42,16 @@ APPROXIMATE_FUNCTIONS = AGGREGATE_FUNCTIONS | {
     "nunique": F.approx_count_distinct,
     "median": lambda c: F.percentile_approx(c.cast("double"), 0.5),
 }
+# For doubles: the same sums on every run, however the rows are partitioned.
+STEADY_FUNCTIONS = {"sum": steady_total, "mean": steady_mean}
 _ON_STORED = ("count", "nunique")  # the others work on the parsed number
 
 
+def _functions(dtype: T.DataType, approximate: bool = False) -> dict:
+    functions = APPROXIMATE_FUNCTIONS if approximate else AGGREGATE_FUNCTIONS
+    return functions | STEADY_FUNCTIONS if isinstance(dtype, (T.FloatType, T.DoubleType)) else functions
+
+
 def _input(frame: DataFrame, m: Metric) -> Column:
     return present(frame, m.column) if m.agg in _ON_STORED else number_of(frame, m.column)
 
@@ -81,11 +88,11 @@ def run_plan(frame: DataFrame, plan: QueryPlan, approximate: bool = False) -> Pl
 
 def _metrics(frame: DataFrame, plan_metrics, keys: list[str], approximate: bool) -> DataFrame:
     """Metrics per group of `keys`; `frame` holds the keys and inputs v0, v1, ..."""
-    functions = APPROXIMATE_FUNCTIONS if approximate else AGGREGATE_FUNCTIONS
-    medians = [i for i, m in enumerate(plan_metrics) if m.agg not in functions]
+    functions = [_functions(frame.schema[f"v{i}"].dataType, approximate) for i in range(len(plan_metrics))]
+    medians = [i for i, m in enumerate(plan_metrics) if m.agg not in functions[i]]
     inline = bool(keys and medians) and largest_group(frame, keys) <= SMALL
     plain = [
-        (F.percentile(f"v{i}", 0.5) if i in medians else functions[m.agg](F.col(f"v{i}"))).alias(f"m{i}")
+        (F.percentile(f"v{i}", 0.5) if i in medians else functions[i][m.agg](F.col(f"v{i}"))).alias(f"m{i}")
         for i, m in enumerate(plan_metrics)
         if inline or i not in medians
     ]
@@ -151,7 +158,7 @@ def _compare(frame: DataFrame, plan: QueryPlan) -> PlanResult:
         ]
         values = small_frame(frame.sparkSession, [[x or 0.0 for x in middles]], "a double, b double")
     else:
-        aggregate = AGGREGATE_FUNCTIONS[m.agg]
+        aggregate = _functions(frame.select(value.alias("v")).schema["v"].dataType)[m.agg]
         values = period_values(frame, moment, aggregate, value, *periods, m.agg == "count")
     both = compare_values(values)
     names = [" → ".join(p) for p in periods]

@@ -36,6 +36,17 @@ def test_several_aggregates_of_one_column(frame):
     assert rows(run_plan(frame, plan)) == [(1050.0, 175.0, 175.0, 50.0, 300.0, 6)]
 
 
+def test_sums_of_doubles_are_steady(spark):
+    cents = spark.range(200_000).selectExpr("cast(250000 + id % 977 + (id % 100) / 100 as double) as v")
+    plan = QueryPlan("aggregate", [Metric("v"), Metric("v", "mean")])
+    expected = sum(25_000_000 + (i % 977) * 100 + i % 100 for i in range(200_000)) / 100
+    for parts in (1, 7):
+        found = rows(run_plan(cents.repartition(parts), plan))[0]
+        assert found == (expected, round(expected / 200_000, 4))
+    odd = spark.createDataFrame([(1.5,), (float("inf"),), (None,), (float("nan"),)], "v double")
+    assert rows(run_plan(odd, QueryPlan("aggregate", [Metric("v")]))) == [(float("inf"),)]
+
+
 def test_sum_of_nothing_is_zero(frame):
     plan = QueryPlan("aggregate", [Metric("revenue"), Metric("revenue", "mean")], filters=[Filter("revenue", "gt", 1e6)])
     assert rows(run_plan(frame, plan)) == [(0.0, None)]
