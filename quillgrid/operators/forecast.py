@@ -6,6 +6,7 @@ model and the bands are joins and aggregations; only the Holt-Winters fit runs i
 Python, one short series per call.
 """
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -37,6 +38,7 @@ HISTORY_POINTS = 400
 HORIZON_MIN, HORIZON_MAX, HORIZON_DEFAULT = 2, 365, 30
 MODELS = ("seasonal_naive", "holt_winters")  # earlier wins a tie
 ONE_SERIES = "_series"
+SERIES_PER_TASK, MAX_TASKS = 32, 20_000
 # -----------------------------------------------------------------------------
 
 
@@ -168,9 +170,15 @@ def naive_predictions(points: DataFrame, series: Series, horizon: int) -> DataFr
 
 
 def smoothed_predictions(points: DataFrame, series: Series, horizon: int) -> DataFrame:
-    """Holt-Winters for every series; a fit that does not stay finite yields no rows."""
+    """Holt-Winters for every series; a fit that does not stay finite yields no rows.
+
+    Series are small but fits are not: the number of tasks follows the number of series,
+    where adaptive execution would merge them by their few bytes.
+    """
     keys, season = series.keys, series.season
-    rows = points.select(*keys, "i", "value", "holdout")
+    count = series.frame.select(*keys).distinct().count()
+    tasks = min(MAX_TASKS, math.ceil(count / SERIES_PER_TASK))
+    rows = points.select(*keys, "i", "value", "holdout").repartition(tasks, *keys)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
