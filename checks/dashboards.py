@@ -1,6 +1,5 @@
 """Dashboard tables, facts, ledger rollups and calendar helpers."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.plans import ENDS, SPINES
@@ -379,16 +378,12 @@ def storage_rollup(spark, sf):
 
 @query(
     "newest_first",
-    "SELECT o_orderkey AS project_id, cast(o_orderdate AS date) AS created_on, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' ORDER BY place LIMIT 100",
+    "SELECT o_orderkey AS project_id, cast(o_orderdate AS date) AS created_on FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey",
 )
 def newest_first(spark, sf):
-    """A listing page: the first hundred live projects of one owner."""
+    """All live projects of one owner, latest first."""
     projects = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("project_id"), F.col("o_orderpriority").alias("owner_id"), F.col("o_orderdate").alias("created_at"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"),
     )
-    page = ledger.newest_first(projects, "1-URGENT").limit(100)
-    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("created_at"), "project_id"))
-    return page.select("project_id", F.col("created_at").cast("date").alias("created_on"), place.alias("place"))
-
-
+    return ledger.newest_first(projects, "1-URGENT").select("project_id", F.col("created_at").cast("date").alias("created_on"))

@@ -55,7 +55,9 @@ class Dashboard:
     roles: dict = field(default_factory=dict)
 
 
-def filter_options(frame: DataFrame, date_column: str | None, dimension: str | None) -> tuple[DataFrame | None, DataFrame | None]:
+def filter_options(
+    frame: DataFrame, date_column: str | None, dimension: str | None
+) -> tuple[DataFrame | None, DataFrame | None]:
     """Date range, and the most frequent values of the first dimension."""
     dates = values = None
     if date_column:
@@ -66,7 +68,9 @@ def filter_options(frame: DataFrame, date_column: str | None, dimension: str | N
     return dates, values
 
 
-def dashboard_rows(frame: DataFrame, date_column: str | None, dimension: str | None, filters: DashboardFilters | None) -> DataFrame:
+def dashboard_rows(
+    frame: DataFrame, date_column: str | None, dimension: str | None, filters: DashboardFilters | None
+) -> DataFrame:
     """Rows inside the date range (end day included whole) and the chosen categories."""
     if filters is None:
         return frame

@@ -154,8 +154,13 @@ def naive_predictions(points: DataFrame, series: Series, horizon: int) -> DataFr
     keys, season = series.keys, F.lit(series.season)
     lengths = points.groupBy(*keys).agg(F.max("n").alias("n"), F.max("holdout").alias("holdout"))
     phases = F.array(
-        F.struct(F.lit("holdout").alias("phase"), (F.col("n") - F.col("holdout")).alias("m"), F.col("holdout").alias("steps")),
-        F.struct(F.lit("future").alias("phase"), F.col("n").alias("m"), F.lit(horizon).alias("steps")),
+        *[
+            F.struct(F.lit(phase).alias("phase"), m.alias("m"), steps.alias("steps"))
+            for phase, m, steps in (
+                ("holdout", F.col("n") - F.col("holdout"), F.col("holdout")),
+                ("future", F.col("n"), F.lit(horizon)),
+            )
+        ]
     )
     m = F.col("m")
     cyclic = (m >= season) & (season > 1)
@@ -189,7 +194,8 @@ def smoothed_predictions(points: DataFrame, series: Series, horizon: int) -> Dat
         for phase, known, steps in (("holdout", values[:-holdout], holdout), ("future", values, horizon)):
             predicted = holt_winters(known, steps, season)
             if np.isfinite(predicted).all():
-                parts.append(pd.DataFrame({"phase": phase, "h": np.arange(1, steps + 1, dtype="int32"), "predicted": predicted}))
+                h = np.arange(1, steps + 1, dtype="int32")
+                parts.append(pd.DataFrame({"phase": phase, "h": h, "predicted": predicted}))
         found = pd.concat(parts) if parts else pd.DataFrame({"phase": [], "h": [], "predicted": []})
         for k in keys:
             found[k] = group[k].iloc[0]

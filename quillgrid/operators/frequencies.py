@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.parsing import column, present
+from quillgrid.functions.parsing import present
 
 
 def most_frequent(frame: DataFrame, name: str, size: int = 1) -> DataFrame:
@@ -16,6 +16,3 @@ def mode_of(frame: DataFrame, name: str):
     top = most_frequent(frame, name).first()
     return None if top is None else top["value"]
 
-
-def distinct_count(frame: DataFrame, name: str):
-    return frame.agg(F.count_distinct(column(name))).first()[0]

@@ -32,7 +32,9 @@ def health_issues(columns: DataFrame, rows: int, duplicates: int) -> DataFrame:
     stored = F.lit(rows) - F.col("missing_count")
     unparsed = F.round((100 - F.col("parse_success_pct")) / 100 * stored).cast("bigint")
 
-    def issue(source: DataFrame, kind: str, severity: Column, column: Column, affected: Column, penalty: Column, text: Column) -> DataFrame:
+    def issue(
+        source: DataFrame, kind: str, severity: Column, column: Column, affected: Column, penalty: Column, text: Column
+    ) -> DataFrame:
         return source.select(
             F.lit(kind).alias("kind"), severity.alias("severity"), column.alias("column"),
             affected.cast("bigint").alias("affected_rows"),

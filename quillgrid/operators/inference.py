@@ -120,7 +120,11 @@ def read_column(fact: ColumnFacts) -> Reading:
     if fact.present == 0:
         return Reading("text")
 
-    readings = (("boolean", float(fact.boolean_tokens), BOOLEAN_SHARE), ("datetime", fact.moment_share, PARSE_SHARE), ("numeric", fact.number_share, PARSE_SHARE))
+    readings = (
+        ("boolean", float(fact.boolean_tokens), BOOLEAN_SHARE),
+        ("datetime", fact.moment_share, PARSE_SHARE),
+        ("numeric", fact.number_share, PARSE_SHARE),
+    )
     for target, share, needed in readings:
         if share < needed:
             continue

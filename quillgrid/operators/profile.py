@@ -173,8 +173,10 @@ def duplicate_rows(frame: DataFrame) -> DataFrame:
 
 
 def _groupable(frame: DataFrame):
+    """Columns to group whole rows by; types that cannot be compared go by their text."""
+    odd = (T.MapType, T.VariantType)
     return [
-        (column(f.name).cast("string") if isinstance(f.dataType, (T.MapType, T.VariantType)) else column(f.name)).alias(f"g{i}")
+        (column(f.name).cast("string") if isinstance(f.dataType, odd) else column(f.name)).alias(f"g{i}")
         for i, f in enumerate(frame.schema.fields)
     ]
 

@@ -233,11 +233,12 @@ def grouped_quantiles(
         .withColumn("_upto", F.sum("_in").over(by_group.orderBy("_range")))
         .withColumn("_all", F.sum("_in").over(by_group))
     )
-    positions = F.array(
-        *[F.struct(F.lit(k).alias("k"), ((F.col("_all") - 1) * F.lit(float(f))).alias("at")) for k, f in enumerate(fractions)]
-    )
+    positions = [
+        F.struct(F.lit(k).alias("k"), ((F.col("_all") - 1) * F.lit(float(f))).alias("at"))
+        for k, f in enumerate(fractions)
+    ]
     wanted = (
-        spans.withColumn("_p", F.explode(positions))
+        spans.withColumn("_p", F.explode(F.array(*positions)))
         .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_p.at"), F.ceil("_p.at")))))
         .where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_in")))
     )

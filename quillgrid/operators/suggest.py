@@ -26,7 +26,10 @@ def suggest_cleaning(spark: SparkSession, profile: TableProfile) -> DataFrame:
     rows = F.lit(profile.row_count)
     none = F.lit(None).cast("string")
 
-    def suggest(source: DataFrame, step: int, rule: str, affected: Column, target=none, strategy=none, options=_words(()), on=True) -> DataFrame:
+    def suggest(
+        source: DataFrame, step: int, rule: str, affected: Column,
+        target: Column = none, strategy: Column = none, options: Column = _words(()), on: bool = True,
+    ) -> DataFrame:
         name = F.col("name")
         return source.select(
             F.lit(step).alias("step"), "place",

@@ -28,7 +28,9 @@ _EXTRA = "_quillgrid_extra"
 _MANIFEST = "path string, length bigint, encoding string, delimiter string, header array<string>"
 
 
-def audit_files(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_BYTES, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+def audit_files(
+    spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_BYTES, extensions: Sequence[str] = EXTENSIONS
+) -> DataFrame:
     """Every file with the reason it would be refused, if any. Contents are not read."""
     listed = spark.read.format("binaryFile").load(paths).select("path", "length")
     extension = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
@@ -88,7 +90,10 @@ def _spans_lines(spark: SparkSession, paths: list[str], encoding: str) -> bool:
     return not lines.where(quotes % 2 == 1).isEmpty()
 
 
-def read_group(spark: SparkSession, paths: list[str], encoding: str, delimiter: str, header: Sequence[str], multi_line: bool | None = None) -> DataFrame:
+def read_group(
+    spark: SparkSession, paths: list[str], encoding: str, delimiter: str, header: Sequence[str],
+    multi_line: bool | None = None,
+) -> DataFrame:
     """Files of one layout as text columns; rows with too many fields are left out.
 
     The extra last column catches a surplus field, which a plain schema would cut off
@@ -140,7 +145,9 @@ def settle(frame: DataFrame) -> DataFrame:
     return rows.select(*cells)
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_BYTES, multi_line: bool | None = None) -> DataFrame:
+def read_delimited(
+    spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_BYTES, multi_line: bool | None = None
+) -> DataFrame:
     """One typed table from delimited files; refuses what the audit refuses."""
     audited = audit_files(spark, paths, max_bytes)
     refused = audited.where("reject_reason is not null").first()
