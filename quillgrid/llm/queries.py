@@ -2,12 +2,16 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import sql
+from quillgrid.llm.chat_tree import prefix_trees, read_back
 from quillgrid.llm.fingerprints import fingerprint_edits
 from quillgrid.llm.mixing import Level, mixture_table, plan_mixture
+from quillgrid.llm.one_bit_search import nearest
+from quillgrid.llm.pair_index_bpe import encode_documents
 from quillgrid.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +72,32 @@ URL_RULES = [
 @query("op4_url_filter")
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op5_one_bit_search", sql.NEAREST)
+def one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query("op6_chat_tree")
+def chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    added = spark.createDataFrame(added, "conv_id long, turn long, role string, text string")
+    return read_back(prefix_trees(conversations.unionByName(added)))
+
+
+@query("op7_pair_index_bpe")
+def pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -91,3 +91,16 @@ SELECT doc_id, {keys}, n_tokens::BIGINT AS n_tokens, (full_epochs + (start < res
   (full_epochs * n_tokens + CASE WHEN start < rest THEN least(n_tokens, rest - start) ELSE 0 END)::BIGINT AS tokens_taken
 FROM started WHERE full_epochs + (start < rest)::INT > 0
 """
+
+
+NEAREST = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0))
+WHERE rank <= 20
+"""
