@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 SECTION_END = r"([048c])\."
 #: Consecutive keys that share a window: bounds its rows whatever the table's size.
 SPAN_BITS = 8
+KEYLESS = 1 << 62
 FANOUT = 1 << 16
 
 
@@ -98,20 +99,20 @@ def with_next_text(documents: DataFrame, key: str = "doc_id", text: str = "text"
     docs = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = docs.agg(F.min("id"), F.max("id")).first()
     lowest, highest = (0, 0) if bounds[0] is None else (b >> SPAN_BITS for b in bounds)
-    # Rows without a key are spread by their text; their groups are no neighbours of any.
-    group = F.coalesce(F.shiftright("id", SPAN_BITS), F.xxhash64("text"))
-    docs = docs.withColumn("group", group).withColumn("keyless", F.col("id").isNull())
-    window = Window.partitionBy("group", "keyless").orderBy("id", "text")
+    # Rows without a key are spread by their text, over groups that no key falls into.
+    spread = F.xxhash64("text").bitwiseAND(F.lit(KEYLESS - 1)).bitwiseOR(F.lit(KEYLESS))
+    docs = docs.withColumn("group", F.coalesce(F.shiftright("id", SPAN_BITS), spread))
+    window = Window.partitionBy("group").orderBy("id", "text")
     placed = docs.select("*", F.lead("text").over(window).alias("next_text"), F.lead(F.lit(True)).over(window).alias("inner"))
 
-    keyed = docs.filter(~F.col("keyless"))
+    keyed = docs.filter("id is not null")
     heads = keyed.groupBy("group").agg(F.min_by("text", F.struct("id", "text")).alias("head"))
     order = following_group(keyed.select("group").distinct(), lowest, highest)
     order = order.select("group", F.coalesce("next_group", F.lit(lowest)).alias("next_group"))
     heads = heads.withColumnRenamed("group", "next_group")
-    across = order.join(heads, "next_group").select("group", "head", F.lit(False).alias("keyless"))
-    placed = placed.join(across, ["group", "keyless"], "left")
-    following = F.when(F.col("keyless"), F.lit("")).when(F.col("inner"), F.col("next_text")).otherwise(F.col("head"))
+    across = order.join(heads, "next_group").select("group", "head")
+    placed = placed.join(across, "group", "left")
+    following = F.when(F.col("id").isNull(), F.lit("")).when(F.col("inner"), F.col("next_text")).otherwise(F.col("head"))
     return placed.select(F.col("id").alias(key), F.col("text").alias(text), following.alias("next_text"))
 
 
