@@ -10,8 +10,10 @@ from quillgrid.llm import sql
 from quillgrid.llm.chat_tree import prefix_trees, read_back
 from quillgrid.llm.fingerprints import fingerprint_edits
 from quillgrid.llm.mixing import Level, mixture_table, plan_mixture
+from quillgrid.llm.near_duplicates import near_duplicates
 from quillgrid.llm.one_bit_search import nearest
 from quillgrid.llm.pair_index_bpe import encode_documents
+from quillgrid.llm.toxicity import fit_toxicity, toxic_documents
 from quillgrid.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +103,28 @@ def pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def remainder(key: str, modulus: int):
+    return F.crc32(F.col(key).cast("string")) % modulus
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame):
+    """Learns from all labels but those of every fifth hash; a quarter of the others calibrates."""
+    calibrating = F.floor(F.crc32(F.col("key").cast("string")) / 5) % 4 == 0
+    return fit_toxicity(documents, labels, remainder("key", 5) != 0, calibrating)
+
+
+@query("op8_toxic_segments")
+def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity_model(documents, table(spark, sf_dir, "labels"))
+    found = toxic_documents(documents, model)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "passages")
+
+
+@query("op10_hamming_near_duplicates")
+def hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
