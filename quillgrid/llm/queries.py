@@ -13,6 +13,7 @@ from quillgrid.llm.mixing import Level, mixture_table, plan_mixture
 from quillgrid.llm.near_duplicates import near_duplicates
 from quillgrid.llm.one_bit_search import nearest
 from quillgrid.llm.pair_index_bpe import encode_documents
+from quillgrid.llm.suffixes import repeated_passages
 from quillgrid.llm.toxicity import fit_toxicity, toxic_documents
 from quillgrid.llm.url_filter import Rule, judge_urls
 
@@ -128,3 +129,8 @@ def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hamming_near_duplicates")
 def hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_suffix_array_repeats")
+def suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
