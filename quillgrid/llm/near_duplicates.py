@@ -255,3 +255,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         return written(
             placed.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))), "near-duplicates"
         )
+
+
+def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group, the one with the smallest key; rows without a key stay."""
+    judged = near_duplicates(documents, key, text)
+    gone = judged.filter("not kept").select(F.col(key).alias("gone")).distinct()
+    left = documents.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    if judged.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
+        return left
+    return left.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.filter(F.col(key).isNull()))

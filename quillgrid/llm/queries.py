@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 from quillgrid.llm import sql
 from quillgrid.llm.chat_tree import prefix_trees, read_back
 from quillgrid.llm.fingerprints import fingerprint_edits
-from quillgrid.llm.mixing import Level, mixture_table, plan_mixture
+from quillgrid.llm.katz import katz_scores
+from quillgrid.llm.mixing import mixture_table, plan_mixture
 from quillgrid.llm.near_duplicates import near_duplicates
 from quillgrid.llm.one_bit_search import nearest
 from quillgrid.llm.pair_index_bpe import encode_documents
+from quillgrid.llm.parameters import MAX_EPOCHS, SEED, SHARE, WEIGHTS, remainder, source_tree, toxicity_model
 from quillgrid.llm.suffixes import repeated_passages
-from quillgrid.llm.toxicity import fit_toxicity, toxic_documents
+from quillgrid.llm.toxicity import toxic_documents
 from quillgrid.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,22 +43,6 @@ def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-#: Weights down the tree, the share of all tokens to use, and how often a text may be used.
-WEIGHTS = {
-    "domain": {"group0": 4, "group1": 3, "group2": 2, "group3": 1},
-    "lang": {"en": 4, "de": 3, "es": 3, "fr": 2},
-    "source": {"src0": 2},
-}
-SHARE, MAX_EPOCHS, SEED = (4, 5), 2, 11
-
-
-def source_tree() -> list[Level]:
-    """Domains are groups of sources by the number in their name."""
-    domain = F.concat(F.lit("group"), F.expr(r"try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int) % 4"))
-    labels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
-    return [Level(name, label, WEIGHTS[name]) for name, label in labels.items()]
-
-
 @query("op2_source_mixture", sql.mixture(WEIGHTS, SHARE, MAX_EPOCHS, SEED))
 def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -106,16 +93,6 @@ def pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def remainder(key: str, modulus: int):
-    return F.crc32(F.col(key).cast("string")) % modulus
-
-
-def toxicity_model(documents: DataFrame, labels: DataFrame):
-    """Learns from all labels but those of every fifth hash; a quarter of the others calibrates."""
-    calibrating = F.floor(F.crc32(F.col("key").cast("string")) / 5) % 4 == 0
-    return fit_toxicity(documents, labels, remainder("key", 5) != 0, calibrating)
-
-
 @query("op8_toxic_segments")
 def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -134,3 +111,11 @@ def hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_array_repeats")
 def suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_katz_backoff")
+def katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"), remainder("id", 7) != 2)
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

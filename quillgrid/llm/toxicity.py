@@ -313,6 +313,25 @@ def toxic_documents(documents: DataFrame, model: Model, key: str = "doc_id", tex
     return rows.mapInArrow(judged, f"{key} long, score double, passages {PASSAGES}")
 
 
+def without_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents, all columns, whose score is under one half."""
+    share = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = share.value
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(at))
+            evidence = np.zeros(batch.num_rows)
+            for lo, hi in slices(bounds) if model.lexicon else ():
+                found, hashes = level_words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                for number, _, value in scanned(model.lexicon, found, hashes):
+                    evidence[lo + number] = value
+            yield batch.filter(pa.array(model.score(evidence) < 0.5))
+
+    return documents.mapInArrow(passed, documents.schema)
+
+
 PASSAGE_TYPE = pa.list_(
     pa.struct([(n, pa.int32()) for n in ("first_word", "last_word", "start", "end")] + [(n, pa.float64()) for n in ("score", "expected")])
 )
