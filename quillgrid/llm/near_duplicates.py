@@ -9,10 +9,14 @@ turn (the allowed chunk errors, enumerated) put all such pairs together. Sets of
 similarity 0.75 differ in 16 slots on average and in more than 31 once in 100,000 pairs.
 
 Documents with equal sets are one class, found by an aggregate, and only classes are
-joined. Within a key, first each class is compared with the key's first class; what that
-leaves in different components is then compared pair by pair, in blocks of bounded size,
-by signature distance and then by set, so no link between components is lost and no
-group is spelt out in pairs. All links are confirmed on the full sets of whole texts.
+joined. A shingle that no other class with a shared key has can be in no intersection
+with one, so the count of such lone shingles bounds every similarity of a class from
+above, exactly: classes with too many have no links, and the class with the smallest
+share of them stands in the middle of its group. Each class is first compared with the
+middle of a key it shares; what that leaves in different components is then compared
+pair by pair, in blocks of bounded size, by signature distance and by that bound, and
+the pairs left are confirmed like all links: on the full sets of whole texts. No link
+between components is lost, and no group is spelt out in pairs.
 
 Defined results: texts without words have empty sets and are linked with nothing; fewer
 than five words are one shingle; rows that repeat an id are one document with several
@@ -98,7 +102,7 @@ def slot_rows(column: pa.Array) -> np.ndarray:
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """key, id: for each chunk and each slot of it left out, a hash of the other slots."""
+    """key, id: for each chunk and each slot of it left out, a hash of the other slots; the last bits number the key."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = random_words(CHUNK, 303) | U64(1)
@@ -109,41 +113,35 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
             for chunk in range(CHUNKS if len(ids) else 0):
                 terms = (slots[:, chunk * CHUNK : (chunk + 1) * CHUNK] + U64(1)) * factors
                 for left_out in range(CHUNK):
-                    key = mixed((terms.sum(axis=1) - terms[:, left_out]) ^ marks[chunk * CHUNK + left_out])
+                    number = chunk * CHUNK + left_out
+                    key = mixed((terms.sum(axis=1) - terms[:, left_out]) ^ marks[number])
+                    key = (key & ~U64(SLOTS - 1)) | U64(number)
                     yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids)], names=["key", "id"])
 
     return classes.select("id", "signature").mapInArrow(keyed, "key long, id long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """key, id, leader: rows whose key others have too; the leader is the key's smallest id. Runs are streamed."""
+    """key, id: rows whose key other ids have too. Runs of a key are streamed, with one row held back."""
 
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, leader, alone = None, None, False
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)  # the last row, whose successor is not known yet
+        before = None  # the key of the row before it
         for batch in batches:
-            if not batch.num_rows:
+            rows = np.concatenate([held, [batch.column(0).to_numpy(), batch.column(1).to_numpy()]], axis=1)
+            if not rows.shape[1]:
                 continue
-            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
-            fresh[0] = key[0] != last_key
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-            leaders = np.where(first >= 0, ids[np.maximum(first, 0)], 0 if leader is None else leader)
-            followers = np.flatnonzero(~fresh)
-            # A leader's own row appears with its first follower.
-            own = first[followers[first[followers] == followers - 1]]
-            own = own[own >= 0]
-            rows = [(key[followers], ids[followers], leaders[followers]), (key[own], ids[own], ids[own])]
-            if alone and not fresh[0]:
-                rows.append((key[:1], np.array([leader]), np.array([leader])))
-            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)]
-            if len(columns[0]):
-                yield pa.record_batch(columns, names=["key", "id", "leader"])
-            alone = bool(fresh[-1]) or (alone and len(key) == 0)
-            last_key, leader = key[-1], leaders[-1]
+            as_before = np.concatenate([[rows[0, 0] == before], rows[0, 1:] == rows[0, :-1]])
+            kept = np.flatnonzero(as_before[:-1] | as_before[1:])
+            yield pa.record_batch([pa.array(rows[0, kept]), pa.array(rows[1, kept])], names=["key", "id"])
+            if rows.shape[1] > 1:
+                before = rows[0, -2]
+            held = rows[:, -1:]
+        if held.shape[1] and held[0, 0] == before:
+            yield pa.record_batch([pa.array(held[0]), pa.array(held[1])], names=["key", "id"])
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "id")
-    return ordered.mapInArrow(led, "key long, id long, leader long")
+    return ordered.mapInArrow(shared, "key long, id long")
 
 
 def packed_texts(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -190,38 +188,82 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return either > 0 and LIKE[1] * both >= LIKE[0] * either
 
 
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """id, lone: how many shingles of each text no other of the texts has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            plain = pa.array([restore(p) for p in batch.column(1).to_pylist()], pa.binary())
+            data, bounds = text_bytes(plain.cast(pa.string()))
+            for lo, hi in slices(bounds):
+                sets, cuts = shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                owners = np.repeat(ids[lo:hi], np.diff(cuts))
+                yield pa.record_batch([pa.array(sets.view(np.int64)), pa.array(owners)], names=["shingle", "id"])
+
+    rows = texts.select("id", "packed").mapInArrow(spread, "shingle long, id long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("lone"))
+
+
+def hopeful(shared: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, id, size, lone: without the classes whose lone shingles rule out every link."""
+    sizes = classes.groupBy("id").agg(F.max("n_shingles").alias("size"), F.count("*").alias("sets"))
+    known = sizes.join(lone_shingles(texts), "id", "left")
+    # The bound is of one set; an id with several goes without.
+    lone = F.when(F.col("sets") == 1, F.coalesce("lone", F.lit(0))).otherwise(F.lit(0))
+    known = known.select("id", "size", lone.alias("lone"))
+    return shared.join(known.filter(LIKE[1] * (F.col("size") - F.col("lone")) >= LIKE[0] * F.col("size")), "id")
+
+
 def first_pairs(shared: DataFrame) -> DataFrame:
-    """a, b: each class with the leader that it shares most keys with."""
-    times = shared.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
-    best = F.max(F.struct("n", (-F.col("leader")).alias("least")))
-    return times.groupBy("id").agg(best.alias("best")).select(F.col("id").alias("a"), (-F.col("best.least")).alias("b"))
+    """a, b: each class with the middle of its keys that it shares most keys with."""
+    middle = F.min(F.struct((F.col("lone") / F.col("size")).alias("share"), "id")).alias("middle")
+    led = shared.select("key", "id").join(shared.groupBy("key").agg(middle), "key")
+    times = led.filter(F.col("id") != F.col("middle.id")).groupBy("id", "middle").agg((-F.count("*")).alias("fewer"))
+    best = F.min(F.struct("fewer", "middle")).alias("best")
+    return times.groupBy("id").agg(best).select(F.col("id").alias("a"), F.col("best.middle.id").alias("b"))
+
+
+def first_shared(differ: np.ndarray) -> np.ndarray:
+    """The lowest number among the keys that two signatures share, given where they differ: one key speaks for a pair."""
+    in_chunk = differ.reshape(-1, CHUNKS, CHUNK)
+    chunk = (in_chunk.sum(axis=2) <= 1).argmax(axis=1)
+    return chunk * CHUNK + in_chunk[np.arange(len(differ)), chunk].argmax(axis=1)
 
 
 def crossing_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
-    """a > b: classes that share a key, lie in different components and differ in at most FARTHEST slots."""
+    """a > b: classes that share a key, lie in different components and may be alike by signature and by bound."""
 
     def close(rows: pa.Table) -> pa.Table:
         ids, inside = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        sizes = rows.column("size").to_numpy()
+        common = sizes - rows.column("lone").to_numpy()
         side, slots = rows.column("block").to_numpy(), slot_rows(rows.column("signature"))
         low, high = int(rows.column("low")[0].as_py()), int(rows.column("high")[0].as_py())
         left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        number = rows.column("key")[0].as_py() % SLOTS
         found = []
         for i in left.tolist():
-            far = (slots[right] != slots[i]).sum(axis=1)
-            near = right[(far <= FARTHEST) & (inside[right] != inside[i]) & ((ids[right] > ids[i]) | (low != high))]
+            most = np.minimum(common[right], common[i])
+            able = LIKE[1] * most >= LIKE[0] * (sizes[right] + sizes[i] - most)
+            near = right[able & (inside[right] != inside[i]) & ((ids[right] > ids[i]) | (low != high))]
+            differ = slots[near] != slots[i]
+            near = near[(differ.sum(axis=1) <= FARTHEST) & (first_shared(differ) == number)]
             found += [(max(ids[i], j), min(ids[i], j)) for j in ids[near]]
         a, b = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    placed = shared.select("key", "id").join(component, F.col("id") == F.col("node"), "left")
-    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = shared.join(component, F.col("id") == F.col("node"), "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id")).drop("node")
     crossing = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     rows = placed.join(crossing.select("key"), "key", "left_semi").join(classes.select("id", "signature"), "id")
     rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / ROWS_PER_BLOCK))
     sizes = rows.groupBy("key").agg(F.max("block").alias("last"))
     # A key's rows meet block by block; nearly every key has one block.
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    rows = rows.join(sizes, "key").select("key", "id", "component", "signature", "block", other)
+    rows = rows.join(sizes, "key").select(*rows.columns, other)
     rows = rows.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return rows.groupBy("key", "low", "high").applyInArrow(close, "a long, b long").distinct()
 
@@ -243,6 +285,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         shared = scratch.written(shared_keys(chunk_keys(classes)))
         wanted = shared.select("id").distinct()
         texts = scratch.written(packed_texts(documents, key, text).join(wanted, "id", "left_semi"))
+        shared = scratch.written(hopeful(shared, classes, texts))
         links = scratch.written(confirmed(first_pairs(shared), texts))
         crossing = scratch.written(crossing_pairs(shared, components(links, scratch), classes))
         more = confirmed(crossing, texts)
