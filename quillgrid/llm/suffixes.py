@@ -9,6 +9,11 @@ matches if both together reach 50 words. Kept places lie so close that these bou
 matches cover every longer one whole. A run of matching neighbours is one passage, and
 its first place is the original, the others are copies.
 
+Only neighbours are compared, as the method says. Passages that stand in different
+surroundings are found whole; among many edited variants of one text a place may have
+another variant for its neighbour than the one it shares 50 words with, and is missed
+unless another kept place of the same 50 words finds its partner.
+
 The sort spreads a passage that a third of all texts share over as many partitions as
 it needs; the two ends of each partition, and nothing else, are matched across them on
 the driver. Codes have 16 bits, so an end may come out a word too far once in 65,536.
