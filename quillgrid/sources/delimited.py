@@ -17,7 +17,6 @@ from quillgrid.sources.sniff import SNIFF_BYTES, layout_of
 
 # --- Fixed values ------------------------------------------------------------
 EXTENSIONS = (".csv",)
-MAX_BYTES = 100 * 1024 * 1024
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -29,7 +28,7 @@ _MANIFEST = "path string, length bigint, encoding string, delimiter string, head
 
 
 def audit_files(
-    spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_BYTES, extensions: Sequence[str] = EXTENSIONS
+    spark: SparkSession, paths: str | Sequence[str], max_bytes: int | None = None, extensions: Sequence[str] = EXTENSIONS
 ) -> DataFrame:
     """Every file with the reason it would be refused, if any. Contents are not read."""
     listed = spark.read.format("binaryFile").load(paths).select("path", "length")
@@ -37,7 +36,7 @@ def audit_files(
     return listed.withColumn(
         "reject_reason",
         F.when(~extension.isin(*extensions), "extension")
-        .when(F.col("length") > max_bytes, "too large")
+        .when(F.col("length") > F.lit(max_bytes), "too large")
         .when(F.col("length") == 0, "empty"),
     )
 
@@ -146,9 +145,9 @@ def settle(frame: DataFrame) -> DataFrame:
 
 
 def read_delimited(
-    spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_BYTES, multi_line: bool | None = None
+    spark: SparkSession, paths: str | Sequence[str], max_bytes: int | None = None, multi_line: bool | None = None
 ) -> DataFrame:
-    """One typed table from delimited files; refuses what the audit refuses."""
+    """One typed table from delimited files; refuses what the audit refuses, files over max_bytes only if it is given."""
     audited = audit_files(spark, paths, max_bytes)
     refused = audited.where("reject_reason is not null").first()
     if refused is not None:
