@@ -14,9 +14,12 @@ with one, so the count of such lone shingles bounds every similarity of a class
 above, exactly: classes with too many have no links, and the class with the smallest
 share of them stands in the middle of its group. Each class is first compared with the
 middle of a key it shares; what that leaves in different components is then compared
-pair by pair, in blocks of bounded size, by signature distance and by that bound, and
-the pairs left are confirmed like all links: on the full sets of whole texts. No link
-between components is lost, and no group is spelt out in pairs.
+pair by pair, in blocks of bounded size, by signature distance, by that bound and by
+bitmaps: each shingle sets one of 4,096 bits, and a bit that only one of two sets has
+stands for at least one shingle that the other lacks, so those bits bound the similarity
+from above, exactly, whatever the sizes. The pairs left are confirmed like all links: on
+the full sets of whole texts. No link between components is lost, and no group is spelt
+out in pairs.
 
 Defined results: texts without words have empty sets and are linked with nothing; fewer
 than five words are one shingle; rows that repeat an id are one document with several
@@ -44,6 +47,8 @@ CHUNKS = SLOTS // CHUNK
 #: One error allowed in each chunk: more than this many, and every chunk may have two.
 FARTHEST = 2 * CHUNKS - 1
 PAIRS_PER_GROUP, ROWS_PER_BLOCK = 256, 1024
+#: 64-bit words of a set's bitmap.
+BIT_WORDS = 64
 
 FACTORS = random_words(SLOTS, 101) | U64(1)
 SHIFTS = random_words(SLOTS, 202)
@@ -77,8 +82,17 @@ def digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return rows
 
 
+def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row of BIT_WORDS words per set; each member sets the bit that its hash names."""
+    rows = np.zeros((len(bounds) - 1, BIT_WORDS), U64)
+    places = (mixed(sets ^ U64(0x5BD1E995C2B2AE35)) & U64(64 * BIT_WORDS - 1)).astype(np.int64)
+    owners = np.repeat(np.arange(len(rows)), np.diff(bounds))
+    np.bitwise_or.at(rows, (owners, places >> 6), U64(1) << (places & 63).astype(U64))
+    return rows
+
+
 def signed_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n_shingles, digest, signature of each row."""
+    """id, n_shingles, digest, signature, bits of each row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,17 +104,34 @@ def signed_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
                     pa.array(np.diff(cuts), pa.int64()),
                     binary_rows(digests(sets, cuts)),
                     binary_rows(signatures(sets, cuts)),
+                    binary_rows(bitmaps(sets, cuts)),
                 ]
-                yield pa.record_batch(columns, names=["id", "n_shingles", "digest", "signature"])
+                yield pa.record_batch(columns, names=["id", "n_shingles", "digest", "signature", "bits"])
 
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(signed, "id long, n_shingles long, digest binary, signature binary")
+    return rows.mapInArrow(signed, "id long, n_shingles long, digest binary, signature binary, bits binary")
 
 
 def slot_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
 
 
+def bit_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, BIT_WORDS)
+
+
+def most_common(own: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The most members that a set can share with each of others, by the bits that only one of the two has."""
+    lacking = np.bitwise_count(own & ~others).sum(axis=1, dtype=np.int64)
+    extra = np.bitwise_count(others & ~own).sum(axis=1, dtype=np.int64)
+    return np.minimum(size - lacking, sizes - extra)
+
+
+def able(most: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with at most so many members in common may be linked."""
+    return LIKE[1] * most >= LIKE[0] * (size + sizes - most)
+
+
 def chunk_keys(classes: DataFrame) -> DataFrame:
     """key, id: for each chunk and each slot of it left out, a hash of the other slots; the last bits number the key."""
 
@@ -241,16 +272,17 @@ def crossing_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame)
         sizes = rows.column("size").to_numpy()
         common = sizes - rows.column("lone").to_numpy()
         side, slots = rows.column("block").to_numpy(), slot_rows(rows.column("signature"))
+        bits = bit_rows(rows.column("bits"))
         low, high = int(rows.column("low")[0].as_py()), int(rows.column("high")[0].as_py())
         left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
         number = rows.column("key")[0].as_py() % SLOTS
         found = []
         for i in left.tolist():
-            most = np.minimum(common[right], common[i])
-            able = LIKE[1] * most >= LIKE[0] * (sizes[right] + sizes[i] - most)
-            near = right[able & (inside[right] != inside[i]) & ((ids[right] > ids[i]) | (low != high))]
+            hope = able(np.minimum(common[right], common[i]), sizes[i], sizes[right])
+            near = right[hope & (inside[right] != inside[i]) & ((ids[right] > ids[i]) | (low != high))]
             differ = slots[near] != slots[i]
             near = near[(differ.sum(axis=1) <= FARTHEST) & (first_shared(differ) == number)]
+            near = near[able(most_common(bits[i], sizes[i], bits[near], sizes[near]), sizes[i], sizes[near])]
             found += [(max(ids[i], j), min(ids[i], j)) for j in ids[near]]
         a, b = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
         return pa.table({"a": a, "b": b})
@@ -258,7 +290,9 @@ def crossing_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame)
     placed = shared.join(component, F.col("id") == F.col("node"), "left")
     placed = placed.withColumn("component", F.coalesce("component", "id")).drop("node")
     crossing = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rows = placed.join(crossing.select("key"), "key", "left_semi").join(classes.select("id", "signature"), "id")
+    # Each set of an id comes with its own size; no lone shingles are counted for an id with several.
+    own = classes.select("id", "signature", "bits", F.col("n_shingles").alias("size"))
+    rows = placed.drop("size").join(crossing.select("key"), "key", "left_semi").join(own, "id")
     rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / ROWS_PER_BLOCK))
     sizes = rows.groupBy("key").agg(F.max("block").alias("last"))
     # A key's rows meet block by block; nearly every key has one block.
@@ -273,7 +307,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     with Scratch(documents.sparkSession, "near-duplicates") as scratch:
         signed = scratch.written(signed_documents(documents, key, text))
         linkable = signed.filter("id is not null and n_shingles > 0")
-        classes = linkable.groupBy("digest", "n_shingles").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+        classes = linkable.groupBy("digest", "n_shingles").agg(F.min("id").alias("id"), F.first(F.struct("signature", "bits")).alias("of"))
+        classes = classes.select("id", "digest", "n_shingles", "of.signature", "of.bits")
         classes = scratch.written(classes)
         # The sets of an id that is repeated are linked by it, though their texts may differ.
         of_class = linkable.select("id", "digest", "n_shingles").join(

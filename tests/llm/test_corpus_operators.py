@@ -320,3 +320,49 @@ def test_near_duplicates(spark, corpus):
     kept = [r["doc_id"] for r in left.filter("doc_id is not null").collect()]
     assert sorted(kept) == sorted(i for i in sets if top(i) == i)
     assert near_duplicates.near_duplicates(frame(spark, [])).count() == 0
+
+
+def brute_components(sets):
+    """The smallest id that each id reaches over linked sets; an id may have several."""
+    parent = {i: i for i, _ in sets}
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    for n, (i, x) in enumerate(sets):
+        for j, y in sets[:n]:
+            both = len(x & y)
+            if both and 100 * both >= 75 * len(x | y):
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: top(i) for i in parent}
+
+
+def test_one_group_of_many_variants(spark, monkeypatch):
+    """Similarities on both sides of the threshold, blocks smaller than the group, ids with sets of different sizes."""
+    monkeypatch.setattr(near_duplicates, "ROWS_PER_BLOCK", 50)
+    rng = np.random.default_rng(14)
+    base, texts = prose(rng, 120).split(), []
+    for i in range(220):
+        words = list(base)
+        for place in rng.integers(0, len(base), int(rng.integers(1, 5))):
+            words[place] = f"v{i}x{int(rng.integers(0, 3))}"
+        texts.append((i, " ".join(words)))
+    long, short = prose(rng, 900), prose(rng, 30)
+    texts += [(300, long), (300, short), (301, long + " more"), (302, short + " more"), (303, prose(rng, 900))]
+    sets = [(i, {tuple(words_of(t)[p : p + 5]) for p in range(len(words_of(t)) - 4)}) for i, t in texts]
+    truth = brute_components(sets)
+    assert 10 < len(set(truth.values())) < 200
+    found = near_duplicates.near_duplicates(frame(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == truth
+
+
+def test_bitmaps_bound_the_intersection():
+    rng = np.random.default_rng(15)
+    for size in (1, 20, 400, 9000):
+        a, b = (np.unique(rng.integers(0, size, size)).astype(np.uint64) for _ in range(2))
+        bits = near_duplicates.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        most = near_duplicates.most_common(bits[0], len(a), bits[1:], np.array([len(b)]))[0]
+        both = len(np.intersect1d(a, b))
+        assert both <= most <= (min(len(a), len(b)) if size > 4096 else both + 0.2 * size)
+    assert not near_duplicates.bitmaps(np.zeros(0, np.uint64), np.array([0, 0])).any()
