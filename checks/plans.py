@@ -48,7 +48,14 @@ _plan(
     "aggregate_two_keys",
     f"SELECT o_orderpriority, o_orderstatus, {ALL_SQL} FROM orders GROUP BY 1, 2",
     "orders",
-    QueryPlan("aggregate", ALL_METRICS, group_by=["o_orderpriority", "o_orderstatus"], limit=100),
+    QueryPlan("aggregate", ALL_METRICS, group_by=["o_orderpriority", "o_orderstatus"]),
+)
+_plan(
+    "aggregate_by_date",
+    f"SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, {_sum('o_totalprice')} AS sum_o_totalprice, "
+    "count(o_orderkey) AS count_o_orderkey FROM orders GROUP BY 1",
+    "orders",
+    QueryPlan("aggregate", [Metric("o_totalprice"), Metric("o_orderkey", "count")], group_by=["o_orderdate"]),
 )
 _plan(
     "aggregate_missing_group",
@@ -106,6 +113,9 @@ _FILTERS = {
     "lt": ("orders", [Filter("o_totalprice", "lt", 99999.99)], "o_totalprice < 99999.99"),
     "lte": ("orders", [Filter("o_custkey", "lte", 100)], "o_custkey <= 100"),
     "date_gte": ("orders", [Filter("o_orderdate", "gte", "1998-01-01")], "o_orderdate >= timestamp '1998-01-01'"),
+    "eq_date": ("orders", [Filter("o_orderdate", "eq", "1997-01-15")], "cast(o_orderdate AS date) = date '1997-01-15'"),
+    "ne_date": ("orders", [Filter("o_orderdate", "ne", "1997-01-15")], "cast(o_orderdate AS date) <> date '1997-01-15'"),
+    "in_date": ("orders", [Filter("o_orderdate", "in", ["1997-01-15", "1998-02-03", "no date"])], "cast(o_orderdate AS date) IN (date '1997-01-15', date '1998-02-03')"),
     "in_text": ("orders", [Filter("o_orderpriority", "in", ["1-URGENT", "2-HIGH"])], "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "in_numbers_as_text": ("orders", [Filter("o_custkey", "in", ["1", 2, "3.0"])], "cast(o_custkey AS varchar) IN ('1', '2', '3.0')"),
     "between": ("orders", [Filter("o_totalprice", "between", [100000, 200000])], "o_totalprice BETWEEN 100000 AND 200000"),
@@ -150,9 +160,15 @@ _plan(
     QueryPlan("filter_rows", filters=[Filter("event_type", "eq", "click"), Filter("value", "gte", 50)]),
     "summary",
 )
+_plan(
+    "filter_rows_all",
+    "SELECT * FROM customer WHERE regexp_matches(c_mktsegment, '(?i)^build')",
+    "customer",
+    QueryPlan("filter_rows", filters=[Filter("c_mktsegment", "contains", "^build")]),
+)
 _plan(
     "filter_rows_sample",
-    None,
+    "SELECT * FROM customer WHERE regexp_matches(c_mktsegment, '(?i)^build') ORDER BY c_custkey LIMIT 20",
     "customer",
     QueryPlan("filter_rows", filters=[Filter("c_mktsegment", "contains", "^build")], limit=20),
 )
@@ -236,7 +252,7 @@ def trend_sql(source, moment, frequency, measure, name, zero, where="true"):
     return (
         f"WITH s AS (SELECT {ENDS[frequency].format(moment)} AS period, {measure} AS {name} FROM {source} WHERE {where} GROUP BY 1), "
         f"spine AS ({SPINES[frequency]}) "
-        f"SELECT spine.period, {filled} AS {name} FROM spine LEFT JOIN s USING (period) ORDER BY 1 LIMIT 100"
+        f"SELECT spine.period, {filled} AS {name} FROM spine LEFT JOIN s USING (period) ORDER BY 1"
     )
 
 
@@ -250,9 +266,9 @@ for _agg, _zero in (("sum", True), ("mean", False), ("median", False), ("min", F
     _c = "o_custkey" if _agg == "nunique" else "o_totalprice"
     _plan(
         f"trend_gaps_{_agg}",
-        trend_sql("orders", "o_orderdate", "D", AGGREGATES[_agg](_c), f"{_agg}_{_c}", _zero, "o_totalprice > 495000"),
+        trend_sql("orders", "o_orderdate", "D", AGGREGATES[_agg](_c), f"{_agg}_{_c}", _zero),
         "orders",
-        QueryPlan("trend", [Metric(_c, _agg)], date_column="o_orderdate", frequency="D", filters=[Filter("o_totalprice", "gt", 495000)]),
+        QueryPlan("trend", [Metric(_c, _agg)], date_column="o_orderdate", frequency="D"),
     )
 _plan("trend_text_dates", f"WITH {PARSED_SQL}, " + trend_sql("parsed", "moment", "ME", "round(cast(sum(exact_amount) AS double), 4)", "sum_revenue", True, "moment IS NOT NULL").removeprefix("WITH "), "dirty",
       QueryPlan("trend", [Metric("revenue")], date_column="order_date"))

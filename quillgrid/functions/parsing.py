@@ -133,9 +133,18 @@ def moment_of(frame: DataFrame, name: str) -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
+def whole_days_only(frame: DataFrame, name: str) -> bool:
+    """Whether no moment of the column has a time of day: one scan of this column."""
+    with_time = column(name) != F.date_trunc("day", column(name))
+    return frame.where(with_time).select(F.lit(1)).isEmpty()
+
+
 def text_of(frame: DataFrame, name: str) -> Column:
-    """The column as display text; numbers are written out without an exponent."""
+    """The column as display text; numbers are written out without an exponent, moments that are
+    all midnights as dates."""
     c, dtype = present(frame, name), frame.schema[name].dataType
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) and whole_days_only(frame, name):
+        return c.cast("date").cast("string")
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.BooleanType):

@@ -48,10 +48,9 @@ def pick_date_column(profile: TableProfile) -> str | None:
 
 
 def rank_dimensions(profile: TableProfile) -> list[str]:
-    """Columns to group by, fewest values first."""
-    usable = [
-        c
-        for c in profile.of_type("categorical", "boolean")
-        if 1 < c.unique_count <= MAX_DIMENSION_VALUES
-    ]
-    return [c.name for c in sorted(usable, key=lambda c: c.unique_count)]
+    """Columns to group by, fewest values first, then in the order of the table."""
+    found = pd.DataFrame(
+        [(c.name, c.semantic_type, c.unique_count) for c in profile.columns], columns=["name", "kind", "size"]
+    )
+    small = found["kind"].isin(["categorical", "boolean"]) & found["size"].between(2, MAX_DIMENSION_VALUES)
+    return found[small].sort_values("size", kind="stable")["name"].to_list()

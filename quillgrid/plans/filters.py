@@ -1,6 +1,8 @@
 """Plan filters as predicates shaped so that the file scan can apply them."""
 
+import datetime as dt
 import re
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -70,10 +72,37 @@ def _text_equals(frame: DataFrame, name: str, values: list[str]) -> Column:
     return text_of(frame, name).isin(values)
 
 
+def _same_moment(frame: DataFrame, name: str, value: Any) -> Column:
+    """Equality on a stored date or moment; a plain date stands for its whole day. Text that is no date equals nothing."""
+    c, dtype = column(name), frame.schema[name].dataType
+    never = c.isNull() & F.lit(False)
+    try:
+        stamp = pd.Timestamp(value)
+    except (TypeError, ValueError):
+        return never
+    if _is_number(value) or stamp is pd.NaT:
+        return never
+    if isinstance(dtype, T.DateType):
+        return c == F.lit(stamp.date()) if stamp == stamp.normalize() else never
+
+    def moment(at: pd.Timestamp) -> Column:
+        return F.lit(at.isoformat(sep=" ")).cast(dtype)
+
+    day = isinstance(value, dt.date) and not isinstance(value, dt.datetime)
+    if day or (isinstance(value, str) and ":" not in value):
+        return (c >= moment(stamp)) & (c < moment(stamp + pd.Timedelta(days=1)))
+    return c == moment(stamp)
+
+
 def predicate(frame: DataFrame, f: Filter) -> Column:
     kind = kind_of(frame.schema[f.column].dataType)
+    if kind == "datetime" and f.op in ("eq", "ne", "in"):
+        values = f.value if f.op == "in" and isinstance(f.value, (list, tuple)) else [f.value]
+        never = column(f.column).isNull() & F.lit(False)
+        same = reduce(lambda a, b: a | b, [_same_moment(frame, f.column, v) for v in values], never)
+        return ~same & column(f.column).isNotNull() if f.op == "ne" else same
     if f.op in ("eq", "ne"):
-        if _is_number(f.value) and kind != "datetime":
+        if _is_number(f.value):
             c, (v,) = _operands(frame, f, [f.value])
             if f.op == "eq":
                 return c == v

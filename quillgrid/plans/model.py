@@ -6,12 +6,12 @@ from typing import Any
 
 from quillgrid.errors import PlanError
 
-# --- Fixed values: the vocabulary and its limits ------------------------------
+# --- Fixed values: the vocabulary, the size of a top list without one, pairs a correlation needs ------------------------------
 OPERATIONS = ("aggregate", "top_n", "trend", "compare_periods", "describe", "correlate", "filter_rows")
 AGGREGATES = ("sum", "mean", "median", "min", "max", "count", "nunique")
 FILTERS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "between", "contains")
 FREQUENCIES = ("D", "W", "ME")
-LIMIT_DEFAULT, LIMIT_MAX, RESULT_ROWS, SAMPLE_ROWS = 10, 100, 100, 20
+TOP_ROWS = 10
 MIN_PAIRS = 3
 # -----------------------------------------------------------------------------
 
@@ -46,7 +46,7 @@ class QueryPlan:
     period_b: Sequence[str] | None = None
     columns: Sequence[str] = ()
     sort_desc: bool = True
-    limit: int = LIMIT_DEFAULT
+    limit: int | None = None  # None: all rows, but TOP_ROWS of a top list
 
     @classmethod
     def from_dict(cls, raw: dict) -> "QueryPlan":
@@ -65,7 +65,7 @@ class QueryPlan:
                 problems.append(problem)
 
         need(self.operation in OPERATIONS, f"unknown operation {self.operation!r}")
-        need(1 <= self.limit <= LIMIT_MAX, f"limit must be 1..{LIMIT_MAX}")
+        need(self.limit is None or self.limit >= 1, "limit must be at least 1")
         need(self.frequency in (None, *FREQUENCIES), f"unknown frequency {self.frequency!r}")
         for m in self.metrics:
             need(m.agg in AGGREGATES, f"unknown aggregate {m.agg!r}")

@@ -26,7 +26,7 @@ from quillgrid.operators.timeseries import (
     period_values,
 )
 from quillgrid.plans.filters import apply_filters
-from quillgrid.plans.model import MIN_PAIRS, RESULT_ROWS, SAMPLE_ROWS, Metric, PlanResult, QueryPlan
+from quillgrid.plans.model import MIN_PAIRS, TOP_ROWS, Metric, PlanResult, QueryPlan
 
 # One expression per aggregate; the median has its own path.
 AGGREGATE_FUNCTIONS = {
@@ -119,11 +119,12 @@ def _aggregate(frame: DataFrame, plan: QueryPlan, approximate: bool) -> PlanResu
     groups = _metrics(frame.select(*labels, *inputs), metrics, keys, approximate)
     first = column(metrics[0].name)
     order = first.desc_nulls_last() if plan.sort_desc else first.asc_nulls_last()
-    top = groups.orderBy(order, *keys).limit(plan.limit)
-    named = top.withColumnsRenamed(dict(zip(keys, plan.group_by)))
-    counted = groups.agg(
-        F.count("*").alias("groups"), F.least(F.count("*"), F.lit(plan.limit)).alias("rows_returned")
-    )
+    limit = plan.limit or (TOP_ROWS if plan.operation == "top_n" else None)
+    ordered = groups.orderBy(order, *keys)
+    named = (ordered.limit(limit) if limit else ordered).withColumnsRenamed(dict(zip(keys, plan.group_by)))
+    found = F.count("*")
+    returned = F.least(found, F.lit(limit)) if limit else found
+    counted = groups.agg(found.alias("groups"), returned.alias("rows_returned"))
     return PlanResult(_tidy(named), counted)
 
 
@@ -141,9 +142,7 @@ def _trend(frame: DataFrame, plan: QueryPlan, approximate: bool) -> PlanResult:
     zero = [m.name] if m.agg in ("sum", "count", "nunique") else []
     filled = fill_gaps(series, frequency, zero=zero)
     summary = small_frame(frame.sparkSession, [(frequency,)], "frequency string")
-    return PlanResult(
-        _tidy(filled.orderBy("period").limit(RESULT_ROWS)), summary, {"frequency": frequency}
-    )
+    return PlanResult(_tidy(filled.orderBy("period")), summary, {"frequency": frequency})
 
 
 def _compare(frame: DataFrame, plan: QueryPlan) -> PlanResult:
@@ -223,7 +222,10 @@ def _correlate(frame: DataFrame, plan: QueryPlan) -> PlanResult:
 
 
 def _filter_rows(frame: DataFrame, plan: QueryPlan) -> PlanResult:
-    sample = frame.limit(min(plan.limit, SAMPLE_ROWS))
-    return PlanResult(_tidy(sample), frame.agg(F.count("*").alias("matching_rows")))
-
-
+    """All matching rows, or the first ones in the order of the columns."""
+    page = frame
+    if plan.limit:
+        unordered = (T.MapType, T.VariantType)
+        order = [column(f.name) for f in frame.schema.fields if not isinstance(f.dataType, unordered)]
+        page = frame.orderBy(*order).limit(plan.limit)
+    return PlanResult(_tidy(page), frame.agg(F.count("*").alias("matching_rows")))

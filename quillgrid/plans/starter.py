@@ -4,17 +4,15 @@ from quillgrid.operators.profile import TableProfile
 from quillgrid.operators.roles import rank_dimensions, rank_metrics
 from quillgrid.plans.model import Metric, QueryPlan
 
+#: How many metrics, dimensions and dates a plan needs, and the plan from their names.
+STARTERS = (
+    ((1, 1, 0), lambda m, k, d: QueryPlan("top_n", [Metric(m[0])], group_by=k[:1])),
+    ((1, 0, 1), lambda m, k, d: QueryPlan("trend", [Metric(m[0])], date_column=d[0])),
+    ((2, 0, 0), lambda m, k, d: QueryPlan("correlate", columns=m[:2])),
+    ((1, 0, 0), lambda m, k, d: QueryPlan("aggregate", [Metric(m[0], "mean")])),
+)
+
 
 def starter_plans(profile: TableProfile) -> list[QueryPlan]:
-    metrics, dimensions = rank_metrics(profile), rank_dimensions(profile)
-    dates = [c.name for c in profile.of_type("datetime")]
-    plans = []
-    if metrics and dimensions:
-        plans.append(QueryPlan("top_n", [Metric(metrics[0])], group_by=[dimensions[0]]))
-    if metrics and dates:
-        plans.append(QueryPlan("trend", [Metric(metrics[0])], date_column=dates[0]))
-    if len(metrics) > 1:
-        plans.append(QueryPlan("correlate", columns=metrics[:2]))
-    if metrics:
-        plans.append(QueryPlan("aggregate", [Metric(metrics[0], "mean")]))
-    return plans
+    roles = rank_metrics(profile), rank_dimensions(profile), [c.name for c in profile.of_type("datetime")]
+    return [plan(*roles) for needs, plan in STARTERS if all(len(r) >= n for r, n in zip(roles, needs))]
