@@ -1,11 +1,14 @@
 """Delimited text files of unknown layout, read as one table.
 
 The heads of all files are inspected in tasks; files that share a layout are then read
-together by the built-in reader, as text, and typed from their whole content.
+together by the built-in reader, as text, and typed from their whole content. All bytes
+decide whether a file is UTF-8, not its head.
 """
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,11 +85,30 @@ def repair_names(names: Sequence[str]) -> list[str]:
     return repaired
 
 
+def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """value: each line of the files. The text source splits bytes and leaves decoding to us."""
+    if not encoding.startswith("UTF-16"):
+        return spark.read.text(paths)
+    lines = spark.read.options(encoding=encoding, lineSep="\n").text(paths)
+    return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+
+
 def _spans_lines(spark: SparkSession, paths: list[str], encoding: str) -> bool:
     """Whether any quoted field holds a line break: some line has an odd quote count."""
-    lines = spark.read.option("encoding", encoding).text(paths)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+    return not _lines(spark, paths, encoding).where(quotes % 2 == 1).isEmpty()
+
+
+def _local_name(path: str) -> str:
+    """One spelling of a path: without the scheme of local files, escapes undone."""
+    return re.sub(r"^file:/+", "/", unquote(path))
+
+
+def _not_utf8(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files whose bytes are not UTF-8 somewhere, by all of their lines."""
+    broken = spark.read.text(paths).where(~F.is_valid_utf8("value")).select("_metadata.file_path").distinct()
+    found = {_local_name(r[0]) for r in broken.collect()}
+    return [p for p in paths if _local_name(p) in found]
 
 
 def read_group(
@@ -98,11 +120,19 @@ def read_group(
     The extra last column catches a surplus field, which a plain schema would cut off
     silently. Short rows are padded with nulls.
     """
+    if encoding == "UTF-8" and (others := _not_utf8(spark, paths)):
+        # Their heads were plain letters only; the bytes after them decide.
+        rest = [p for p in paths if p not in others]
+        parts = [(others, "ISO-8859-1"), (rest, encoding)]
+        return reduce(
+            DataFrame.unionByName,
+            [read_group(spark, p, e, delimiter, header, multi_line) for p, e in parts if p],
+        )
     names = repair_names(header)
     width = range(len(names))
     wide = encoding.startswith("UTF-16")
     if multi_line is None:
-        multi_line = not wide and _spans_lines(spark, paths, encoding)
+        multi_line = _spans_lines(spark, paths, encoding)
     reader = spark.read.schema(", ".join([*(f"c{i} string" for i in width), f"{_EXTRA} string"])).options(
         header=True, enforceSchema=True, sep=delimiter, encoding=encoding, escape='"', multiLine=multi_line
     )

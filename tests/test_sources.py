@@ -56,6 +56,21 @@ def test_windows_line_ends(load):
     assert cells(load("a,b\r\n1,x\r\n2,y\r\n", encoding="utf-16", name="w.csv")) == [(1, "x"), (2, "y")]
 
 
+def test_wide_encoding_with_embedded_line_break(load):
+    text = 'a,b\n1,"x\ny"\n2,"z, ""w"""\n'
+    for encoding in ("utf-16", "utf-16-be"):
+        assert cells(load(text, encoding=encoding, name=f"{encoding}.csv")) == [(1, "x\ny"), (2, 'z, "w"')]
+
+
+def test_bytes_after_the_head_decide_the_encoding(spark, tmp_path):
+    plain = "id,name\n" + "".join(f"{i},plain letters\n" for i in range(6000))
+    (tmp_path / "late one.csv").write_bytes((plain + "6000,café\n").encode("latin-1"))
+    (tmp_path / "other.csv").write_bytes((plain + "6001,naïve \ufffd\n").encode())
+    found = read_delimited(spark, str(tmp_path / "*.csv"))
+    assert found.count() == 12_002
+    assert {tuple(r) for r in found.where("id >= 6000").collect()} == {(6000, "café"), (6001, "naïve \ufffd")}
+
+
 def test_ragged_and_blank_lines(load):
     frame = load('a,b,c\n1,2,3\n\n4,5\n6,7,8,9\n"x,y",1,2\n   \n')
     assert [r[0] for r in cells(frame)] == ["1", "4", "x,y"]
