@@ -14,8 +14,9 @@ Only per-column results reach the driver.
 
 import json
 from dataclasses import asdict, dataclass, field
+from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,7 @@ from quillgrid.operators.isolation import isolation_outliers
 from quillgrid.operators.moments import adjusted_skew, mean, pearson, sample_std
 from quillgrid.operators.outliers import iqr_outlier, zscore_outlier
 from quillgrid.operators.quantiles import column_quantiles
-from quillgrid.operators.ranks import MAX_COLUMNS, spearman_pairs
+from quillgrid.operators.ranks import PAIRS_PER_PASS, by_blocks, spearman_pairs
 from quillgrid.operators.small import half_up, small_frame
 from quillgrid.sources.scratch import written
 
@@ -270,8 +271,7 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
     }
     stats = numeric_summary(frame, numeric, usable)
     names = list(numeric)
-    paired = names[:MAX_COLUMNS]
-    pairs = [(a, b) for i, a in enumerate(paired) for b in paired[i + 1 :]]
+    pairs = list(combinations(names, 2))
     full = {n for n in names if usable[n] == rows}
     dates = [f.name for f, r in zip(facts, readings) if r.semantic == "datetime"]
     tests, bounds = [], []
@@ -282,17 +282,21 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
     for d in dates:
         m = moment_of(frame, d)
         bounds += [F.count(m), F.min(m).cast("string"), F.max(m).cast("string")]
-    together = [pearson(numeric[a], numeric[b], full >= {a, b}) for a, b in pairs]
+
+    def related(a: str, b: str) -> Column:
+        return pearson(numeric[a], numeric[b], full >= {a, b})
+
+    together = [related(*p) for p in pairs[:PAIRS_PER_PASS]]
     found = list(frame.agg(F.count("*"), *tests, *bounds, *together).first())[1:]
     hits, found = found[: len(tests)], found[len(tests) :]
     outliers = {n: (hits[2 * k], hits[2 * k + 1]) for k, n in enumerate(names)}
     spans = {d: tuple(found[3 * k : 3 * k + 3]) for k, d in enumerate(dates)}
-    pearson_found = dict(zip(pairs, found[len(bounds) :]))
+    pearson_found = dict(zip(pairs, found[len(bounds) :])) | by_blocks(frame, pairs[PAIRS_PER_PASS:], related)
     correlations = []
     if pairs:
-        spearman_found = spearman_pairs(frame, {n: numeric[n] for n in paired})
+        spearman_found = spearman_pairs(frame, numeric)
         correlations = correlation_rows(
-            paired, stats, {"pearson": pearson_found, "spearman": spearman_found}
+            names, stats, {"pearson": pearson_found, "spearman": spearman_found}
         )
 
     columns = []

@@ -6,35 +6,38 @@ within a range, and shifted by the rows in earlier ranges. Rows where the partne
 column is missing are left out of the counts, so ranks are exact for every pair.
 """
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators.moments import pearson
 from quillgrid.operators.quantiles import RANGE_ROWS, Ranges, value_ranges
-from quillgrid.sources.scratch import scratch_path
+from quillgrid.sources.scratch import scratch_path, written
 
-MAX_COLUMNS = 15  # fixed value: columns taken into the matrices
+PAIRS_PER_PASS = 120  # coefficients in one aggregation; more columns take more passes
 SALTS = 64
 
 
-def _pairs(size: int):
-    return [(i, j) for i in range(size) for j in range(i + 1, size)]
-
-
 def pearson_pairs(
     frame: DataFrame, columns: dict[str, Column], gaps: set[str] | None = None
 ) -> dict[tuple[str, str], float | None]:
-    """All pairs in one aggregation. `gaps` names the columns with missing values."""
-    names = list(columns)[:MAX_COLUMNS]
-    gaps = set(names) if gaps is None else gaps
-    pairs = _pairs(len(names))
-    if not pairs:
-        return {}
-    row = frame.agg(
-        *[pearson(columns[names[i]], columns[names[j]], not gaps & {names[i], names[j]}) for i, j in pairs]
-    ).first()
-    return {(names[i], names[j]): r for (i, j), r in zip(pairs, row)}
+    """All pairs, in blocks of one aggregation each. `gaps` names the columns with missing values."""
+    gaps = set(columns) if gaps is None else gaps
+    return by_blocks(
+        frame, list(combinations(columns, 2)), lambda a, b: pearson(columns[a], columns[b], not gaps & {a, b})
+    )
+
+
+def by_blocks(frame: DataFrame, pairs: list[tuple], measure: Callable[..., Column]) -> dict[tuple, float | None]:
+    """A measure of each pair, PAIRS_PER_PASS of them in a pass over the rows."""
+    found = {}
+    for k in range(0, len(pairs), PAIRS_PER_PASS):
+        block = pairs[k : k + PAIRS_PER_PASS]
+        found |= dict(zip(block, frame.agg(*[measure(*p) for p in block]).first()))
+    return found
 
 
 def rank_tables(rows: DataFrame, columns: list[str], gaps: list[str], ranges: dict[str, Ranges]) -> DataFrame:
@@ -92,9 +95,8 @@ def spearman_pairs(
     the rows of a hot value, and rows without a value, are salted over several join keys,
     and the few hot rank rows are repeated once per salt.
     """
-    names = list(columns)[:MAX_COLUMNS]
-    pairs = _pairs(len(names))
-    if not pairs:
+    names = list(columns)
+    if len(names) < 2:
         return {}
     ids = range(len(names))
     values = [f"v{i}" for i in ids]
@@ -133,5 +135,8 @@ def spearman_pairs(
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         return pearson(F.when(both, rank(a, b)), F.when(both, rank(b, a)))
 
-    row = ranked.agg(*[pair(values[i], values[j]) for i, j in pairs]).first()
-    return {(names[i], names[j]): r for (i, j), r in zip(pairs, row)}
+    pairs = list(combinations(ids, 2))
+    if len(pairs) > PAIRS_PER_PASS:  # joined once, read by every pass
+        ranked = written(ranked, "ranked")
+    found = by_blocks(ranked, pairs, lambda i, j: pair(values[i], values[j]))
+    return {(names[i], names[j]): r for (i, j), r in found.items()}

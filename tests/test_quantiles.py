@@ -73,3 +73,15 @@ def test_correlations(spark, skewed, per_range):
                 assert r is None
             else:
                 assert r == pytest.approx(expected.loc[a, b], abs=1e-9)
+
+
+def test_correlations_of_many_columns(spark):
+    names = [f"n{i}" for i in range(18)]  # 153 pairs: two passes
+    frame = spark.range(300).select(
+        *[F.when(F.col("id") % (11 + i) > 0, F.pmod(F.col("id") * 7, 17 + i)).cast("double").alias(n) for i, n in enumerate(names)]
+    )
+    pdf, columns = frame.toPandas(), {n: F.col(n) for n in names}
+    for method, found in (("pearson", pearson_pairs(frame, columns)), ("spearman", spearman_pairs(frame, columns))):
+        assert len(found) == 153
+        for (a, b), r in found.items():
+            assert r == pytest.approx(pdf[[a, b]].dropna().corr(method).iloc[0, 1], abs=1e-9)
