@@ -99,8 +99,7 @@ def category_bars(spark, sf):
 
 @query(
     "category_shares",
-    _GROUPED + "SELECT dimension, category, 'revenue' AS metric, round(cast(total AS double), 2) AS total, round(cast(total AS double) / cast(sum(total) OVER (PARTITION BY dimension) AS double) * 100, 2) AS share_pct "
-    "FROM g QUALIFY count(*) OVER (PARTITION BY dimension) <= 8",
+    _GROUPED + "SELECT dimension, category, 'revenue' AS metric, round(cast(total AS double), 2) AS total, round(cast(total AS double) / cast(sum(total) OVER (PARTITION BY dimension) AS double) * 100, 2) AS share_pct FROM g",
 )
 def category_shares(spark, sf):
     return dashboard.share_table(dirty(spark, sf), "revenue", ["fulfilled", "priority"])

@@ -27,8 +27,7 @@ from quillgrid.plans.filters import predicate
 from quillgrid.plans.model import Filter
 
 # --- Fixed values ------------------------------------------------------------
-KPI_METRICS, LINE_METRICS, HISTOGRAM_METRICS, DIMENSIONS = 3, 2, 2, 2
-TOP_CATEGORIES, SHARE_CATEGORIES, OPTION_VALUES = 10, 8, 30
+TOP_CATEGORIES, OPTION_VALUES = 10, 30
 LINE_ROWS, HISTOGRAM_ROWS, BOX_ROWS = 3, 10, 5
 BINS_MIN, BINS_MAX = 8, 30
 # -----------------------------------------------------------------------------
@@ -56,7 +55,7 @@ class Dashboard:
 
 
 def filter_options(
-    frame: DataFrame, date_column: str | None, dimension: str | None
+    frame: DataFrame, date_column: str | None, dimension: str | None, top: int = OPTION_VALUES
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """Date range, and the most frequent values of the first dimension."""
     dates = values = None
@@ -64,7 +63,7 @@ def filter_options(
         dates = date_range(frame.select(moment_of(frame, date_column).alias("d")), "d")
     if dimension:
         shown = frame.select(text_of(frame, dimension).alias("t"))
-        values = most_frequent(shown, "t", OPTION_VALUES)
+        values = most_frequent(shown, "t", top)
     return dates, values
 
 
@@ -92,7 +91,7 @@ def kpi_table(frame: DataFrame, metrics: Sequence[str], date_column: str | None)
     Totals and covered spans come from one aggregation; the windows take a second one
     over the recent dates only.
     """
-    metrics = list(metrics)[:KPI_METRICS]
+    metrics = list(metrics)
     moment = moment_of(frame, date_column) if date_column else F.lit(None).cast("timestamp_ntz")
     rows = frame.select(moment.alias("d"), *[number_of(frame, m).alias(f"v{i}") for i, m in enumerate(metrics)])
     measures = {m: F.col(f"v{i}") for i, m in enumerate(metrics)}
@@ -114,7 +113,7 @@ def kpi_table(frame: DataFrame, metrics: Sequence[str], date_column: str | None)
 
 def metric_series(frame: DataFrame, metrics: Sequence[str], date_column: str) -> DataFrame:
     """Totals per metric and calendar bucket, gaps zero; short metrics left out."""
-    metrics = list(metrics)[:LINE_METRICS]
+    metrics = list(metrics)
     rows = frame.select(
         moment_of(frame, date_column).alias("d"),
         *[number_of(frame, m).alias(f"v{i}") for i, m in enumerate(metrics)],
@@ -155,27 +154,25 @@ def category_totals(frame: DataFrame, metric: str, dimensions: Sequence[str]) ->
     )
 
 
-def bar_table(frame: DataFrame, metric: str, dimensions: Sequence[str]) -> DataFrame:
-    """The ten largest categories of each dimension."""
+def bar_table(frame: DataFrame, metric: str, dimensions: Sequence[str], top: int = TOP_CATEGORIES) -> DataFrame:
+    """The largest categories of each dimension."""
     best = Window.partitionBy("dimension").orderBy(F.desc("total"), "category")
     return (
-        category_totals(frame, metric, list(dimensions)[:DIMENSIONS])
+        category_totals(frame, metric, dimensions)
         .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") <= TOP_CATEGORIES)
+        .where(F.col("place") <= top)
         .withColumn("total", F.round(F.col("total"), 2).cast("double"))
     )
 
 
 def share_table(frame: DataFrame, metric: str, dimensions: Sequence[str]) -> DataFrame:
-    """All categories with their share, for dimensions of at most eight categories."""
+    """All categories of all dimensions with their share."""
     whole = Window.partitionBy("dimension")
     share = F.col("total").cast("double") / F.nullif(F.sum("total").over(whole).cast("double"), F.lit(0.0))
     return (
-        category_totals(frame, metric, list(dimensions)[:DIMENSIONS])
-        .withColumns({"_n": F.count("*").over(whole), "share_pct": F.round(share * 100, 2)})
-        .where(F.col("_n") <= SHARE_CATEGORIES)
+        category_totals(frame, metric, dimensions)
+        .withColumn("share_pct", F.round(share * 100, 2))
         .withColumn("total", F.round(F.col("total"), 2).cast("double"))
-        .drop("_n")
     )
 
 
@@ -186,7 +183,7 @@ def bin_count(rows: int) -> int:
 def histogram_table(frame: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Equal-width bins per metric, the last one closed, empty ones included."""
     spark = frame.sparkSession
-    names = list(metrics)[:HISTOGRAM_METRICS]
+    names = list(metrics)
     rows = frame.select(*[number_of(frame, m).cast("double").alias(f"v{i}") for i, m in enumerate(names)])
     measures = [f(f"v{i}") for i in range(len(names)) for f in (F.count, F.min, F.max)]
     found = rows.agg(*measures).first()
@@ -219,14 +216,11 @@ def histogram_table(frame: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
 
 
-def box_table(frame: DataFrame, metric: str, dimension: str) -> DataFrame | None:
-    """Five-number summary per category; only for two to eight categories."""
+def box_table(frame: DataFrame, metric: str, dimension: str) -> DataFrame:
+    """Five-number summary per category of at least five rows."""
     rows = frame.select(label_of(frame, dimension).alias("category"), number_of(frame, metric).alias("v"))
     rows = rows.where("v is not null")
     sizes = rows.groupBy("category").count()
-    groups = sizes.count()
-    if not 1 < groups <= SHARE_CATEGORIES:
-        return None
     cuts = grouped_quantiles(rows, ["category"], "v", [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ["min", "q1", "median", "q3", "max"]
     return cuts.join(sizes.where(F.col("count") >= BOX_ROWS), "category").select(
@@ -244,7 +238,7 @@ def build_dashboard(frame: DataFrame, profile: TableProfile, filters: DashboardF
     first = dimensions[0] if dimensions else None
     dates, values = filter_options(frame, date, first)
     rows = dashboard_rows(frame, date, first, filters)
-    used = list(dict.fromkeys([*([date] if date else []), *metrics[:KPI_METRICS], *dimensions[:DIMENSIONS]]))
+    used = list(dict.fromkeys([*([date] if date else []), *metrics, *dimensions]))
     rows = rows.select(*[column(n) for n in used])
 
     result = Dashboard(kpi_table(rows, metrics, date), dates, values)

@@ -22,7 +22,6 @@ from quillgrid.operators.timeseries import (
 )
 
 # --- Fixed values ------------------------------------------------------------
-METRICS, SEGMENTS = 3, 3
 GROWTH_ROWS, MISSING_NOTE_PCT = 10, 5
 # -----------------------------------------------------------------------------
 
@@ -48,7 +47,7 @@ def metric_facts(frame: DataFrame, metrics: Sequence[str], date_column: str | No
     Each metric uses the bucket size of its own span. One aggregation finds totals and
     spans; metrics with the same bucket size share the aggregation to buckets.
     """
-    names = list(metrics)[:METRICS]
+    names = list(metrics)
     moment = moment_of(frame, date_column) if date_column else F.lit(None).cast("timestamp_ntz")
     rows = frame.select(moment.alias("d"), *[number_of(frame, m).alias(f"v{i}") for i, m in enumerate(names)])
     measures = []
@@ -88,7 +87,7 @@ def metric_facts(frame: DataFrame, metrics: Sequence[str], date_column: str | No
 
 def segment_facts(frame: DataFrame, metric: str, dimensions: Sequence[str]) -> DataFrame:
     """Largest and smallest category of each dimension, and the largest one's share."""
-    grouped = category_totals(frame, metric, list(dimensions)[:SEGMENTS])
+    grouped = category_totals(frame, metric, dimensions)
     segment = F.struct("category", F.col("total").cast("double").alias("total"))
     place = F.struct(-F.col("total"), F.col("category"))  # largest first, then by name
     whole = F.nullif(F.sum("total").cast("double"), F.lit(0.0))

@@ -34,7 +34,6 @@ SEASONS = {"D": 7, "W": 52, "ME": 12}
 HOLDOUT_MIN, HOLDOUT_PART = 4, 5
 Z80, Z95 = 1.2816, 1.96
 NEAR_ZERO = 1e-9
-HISTORY_POINTS = 400
 HORIZON_MIN, HORIZON_MAX, HORIZON_DEFAULT = 2, 365, 30
 MODELS = ("seasonal_naive", "holt_winters")  # earlier wins a tie
 ONE_SERIES = "_series"
@@ -282,9 +281,7 @@ def run_forecast(series: Series, horizon: int = HORIZON_DEFAULT, models: Sequenc
     best = select_model(scores, keys)
     chosen = predictions.where("phase = 'future'").join(best, [*keys, "model"])
     forecast = with_bands(points, chosen, series)
-    history = points.where(F.col("n") - F.col("i") < HISTORY_POINTS).select(
-        *keys, "period", F.round("value", 2).alias("value")
-    )
+    history = points.select(*keys, "period", F.round("value", 2).alias("value"))
     summary = forecast_summary(forecast, history, keys, horizon)
     return Forecast(*[series.public(f) for f in (forecast, history, scores, summary)])
 

@@ -68,7 +68,25 @@ def test_boxes(sales, built):
     north = pdf[pdf["region"] == "N"]["revenue"]
     assert found["N"]["median"] == pytest.approx(north.median(), abs=0.01)
     wide = sales[1].withColumn("region", F.concat("region", F.col("quantity")))
-    assert dashboard.box_table(wide, "revenue", "region") is None
+    found = {r["category"] for r in dashboard.box_table(wide, "revenue", "region").collect()}
+    sizes = (pdf["region"].dropna() + pdf["quantity"].astype(str)).value_counts()
+    assert len(found) > 8 and found - {"(missing)"} == set(sizes[sizes >= 5].index)
+
+
+def test_all_categories_have_shares(sales):
+    pdf, frame = sales
+    wide = frame.withColumn("region", F.concat("region", F.col("quantity")))
+    rows = dashboard.share_table(wide, "revenue", ["region", "quantity"]).collect()
+    assert {r["dimension"] for r in rows} == {"region", "quantity"}
+    assert sum(r["share_pct"] for r in rows) == pytest.approx(200, abs=0.5)
+
+
+def test_all_metrics(spark):
+    names = [f"m{i}" for i in range(5)]
+    frame = spark.range(40).select(*[(F.col("id") * (i + 1)).cast("double").alias(n) for i, n in enumerate(names)])
+    assert {r["metric"] for r in dashboard.histogram_table(frame, names).collect()} == set(names)
+    assert dashboard.kpi_table(frame, names, None).count() == 1 + len(names)
+    assert facts.metric_facts(frame, names, None).count() == len(names)
 
 
 def test_filters(sales, built):
