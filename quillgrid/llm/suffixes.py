@@ -1,28 +1,26 @@
 """Passages of at least 50 words that stand in more than one place, from a sparse suffix array.
 
 Of every 25 neighbouring places of a text, the one whose next 26 words have the least
-hash is kept, so every 50 words that repeat hold a place that is kept wherever they
-stand. The suffixes at the kept places are sorted over the whole cluster, by those 26
-words, what follows and what precedes, each given by codes of growing runs of words up
-to 24; neighbours are compared to the right and extended to the left, and a place
-matches if both together reach 50 words. Kept places lie so close that these bounded
-matches cover every longer one whole. A run of matching neighbours is one passage, and
-its first place is the original, the others are copies.
-
-Only neighbours are compared, as the method says. Passages that stand in different
-surroundings are found whole; among many edited variants of one text a place may have
-another variant for its neighbour than the one it shares 50 words with, and is missed
-unless another kept place of the same 50 words finds its partner.
-
-The sort spreads a passage that a third of all texts share over as many partitions as
-it needs; the two ends of each partition, and nothing else, are matched across them on
-the driver. Codes have 16 bits, so an end may come out a word too far once in 65,536.
+hash (the first of equals) is kept, and has the windows of 50 words it was kept for.
+Equal windows are kept for at equal places, so the suffixes at the kept places are sorted
+over the whole cluster by those 26 words, and only places that share them with a
+neighbour go on. Their windows are sorted by all 50 words: a window that has an equal
+neighbour repeats, and the one that stands first, by id and place, is the original.
+
+So every repeated window is found, among edited variants of one text too. Words are cut
+where they stand in a copy and in no original: each repeated window stays whole in the
+place that keeps it. Where a copy lies between the originals of two other passages, its
+words belong to those and stay as well.
+
+Both sorts spread a passage that a third of all texts share over as many partitions as
+it needs; the two ends of each partition, and nothing else, are compared across them on
+the driver. Windows are compared by hashes of 64 bits.
 
 Defined results: null texts and texts under 50 words have no passages; words are what
 white space separates, and A-Z count as a-z; a passage repeated within one text counts;
-rows that repeat an id are one text standing twice, of which the later place is the
-copy; a row without an id has no passages; an empty table gives an empty result. Only
-the id and the text column are read, and `without_copies` keeps the others.
+rows that repeat an id are one text standing twice, which keeps its words; a row without
+an id has no passages; an empty table gives an empty result. Only the id and the text
+column are read, and `without_copies` keeps the others.
 """
 
 from collections.abc import Iterator
@@ -30,19 +28,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tokens import U64, Words, binary_rows, mixed, slices, text_bytes, words
+from quillgrid.llm.tokens import U64, Words, mixed, slices, text_bytes, words
 from quillgrid.sources.scratch import Scratch, written
 
 LEAST, ANCHOR = 50, 26
-WINDOW, CONTEXT = LEAST - ANCHOR + 1, LEAST - ANCHOR
+WINDOW = LEAST - ANCHOR + 1
 BASE = 0x9E3779B97F4A7C15
-ORDER = ("anchor", "right", "left", "id", "place")
-SUFFIX_SCHEMA = "anchor long, right binary, left binary, id long, place long"
-MATCH_SCHEMA = "part long, run long, id long, place long, first long, stop long, matched boolean, edge string, anchor long, right binary, left binary"
+SUFFIX_ORDER = ("anchor", "id", "place")
+SUFFIX_SCHEMA = "anchor long, id long, place long, windows binary"
+WINDOW_ORDER = ("window", "id", "place")
+WINDOW_SCHEMA = "window long, id long, place long"
+MATCH_SCHEMA = "part long, edge string, window long, id long, place long, repeat boolean, copy boolean"
+RANGE_SCHEMA = "kind string, id long, first long, stop long"
 NEVER = U64(2**64 - 1)
+#: Rows of a batch, which has up to WINDOW windows for each.
+ROWS = 1 << 14
+#: Texts of one call lie this far apart when their ranges are compared.
+APART = 1 << 40
 
 
 class Runs:
@@ -67,36 +72,21 @@ def sliding(values: np.ndarray, size: int, of, rest) -> np.ndarray:
     return of(reach[: len(values)], reach[size - width : size - width + len(values)])
 
 
-def kept_places(found: Words, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """The minimiser places of all texts, and the hash of the words that follow each."""
+def kept_places(found: Words, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the windows of all texts start, the place that is kept for each, and the hash of the words from any place."""
     n = len(found.hashes)
     stop = np.repeat(found.bounds[1:], found.counts)
     at = np.arange(n)
     able = at + ANCHOR <= stop
-    anchors = np.full(n, NEVER)
-    anchors[able] = runs.of(at[able], at[able] + ANCHOR)
-    least = sliding(anchors, WINDOW, np.minimum, NEVER)
-    least[at + LEAST > stop] = 0  # the window reaches beyond the text
-    # A place is kept if it is the least of any window that holds it: of those starting up to 24 places before.
-    best = sliding(least[::-1], WINDOW, np.maximum, U64(0))[::-1]
-    kept = np.flatnonzero(able & (best == anchors))
-    return kept, anchors[kept]
-
-
-def codes(runs: Runs, kept: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the runs of 1 to CONTEXT words after the anchor and before the place; 0 beyond the text."""
-    right, left = (np.zeros((len(kept), CONTEXT), np.uint16) for _ in range(2))
-    for j in range(CONTEXT):
-        inside = np.flatnonzero(kept + ANCHOR + j + 1 <= high)
-        start = kept[inside] + ANCHOR
-        right[inside, j] = np.maximum(runs.of(start, start + j + 1) >> U64(48), U64(1))
-        inside = np.flatnonzero(kept - j - 1 >= low)
-        left[inside, j] = np.maximum(runs.of(kept[inside] - j - 1, kept[inside]) >> U64(48), U64(1))
-    return right, left
+    anchors = np.full(n + 1, NEVER)
+    anchors[:-1][able] = runs.of(at[able], at[able] + ANCHOR)
+    least = sliding(at, WINDOW, lambda a, b: np.where(anchors[a] <= anchors[b], a, b), n)
+    starts = np.flatnonzero(at + LEAST <= stop)
+    return starts, least[starts], anchors
 
 
 def suffixes(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per kept place: its anchor, contexts, id and place (counted in words)."""
+    """One row per kept place: its anchor, its id, the place of its first window (counted in words), the hash of each."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,141 +95,170 @@ def suffixes(documents: DataFrame, key: str, text: str) -> DataFrame:
             for lo, hi in slices(bounds):
                 found = words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 runs = Runs(found.hashes)
-                kept, anchors = kept_places(found, runs)
-                owner = np.searchsorted(found.bounds, kept, "right") - 1
-                right, left = codes(runs, kept, found.bounds[owner], found.bounds[owner + 1])
+                starts, kept, anchors = kept_places(found, runs)
+                # The first least place never moves back, so the windows of a place follow each other.
+                opens = np.flatnonzero(np.diff(kept, prepend=-1))
+                owner = np.searchsorted(found.bounds, kept[opens], "right") - 1
+                hashes = pa.py_buffer(runs.of(starts, starts + LEAST))
+                offsets = pa.py_buffer((np.append(opens, len(starts)) * 8).astype(np.int32))
                 columns = [
-                    pa.array(anchors.view(np.int64)), binary_rows(right), binary_rows(left),
-                    pa.array(ids[lo:hi][owner]), pa.array(kept - found.bounds[owner], pa.int64()),
+                    pa.array(anchors[kept[opens]].view(np.int64)), pa.array(ids[lo:hi][owner]),
+                    pa.array(starts[opens] - found.bounds[owner], pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(opens), [None, offsets, hashes]),
                 ]
-                yield pa.record_batch(columns, names=list(ORDER))
+                whole = pa.record_batch(columns, names=[*SUFFIX_ORDER, "windows"])
+                for i in range(0, whole.num_rows, ROWS):
+                    yield whole.slice(i, ROWS)
 
     rows = documents.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(sampled, SUFFIX_SCHEMA)
 
 
-def shared_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many codes agree from the start, row by row."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def matches(anchor: np.ndarray, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row and the next: whether they match, and by how many words after the anchor and before the place."""
-    after, before = shared_words(right[:-1], right[1:]), shared_words(left[:-1], left[1:])
-    return (anchor[:-1] == anchor[1:]) & (after + before + ANCHOR >= LEAST), after, before
-
-
-def context_rows(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, CONTEXT)
-
-
-def neighbour_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted suffixes that match a neighbour, numbered by run, and the two ends of the partition."""
-    part, run, held, joined = TaskContext.get().partitionId(), 0, None, (False, 0, 0)
+def shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of sorted suffixes that share their anchor with a neighbour; the ends of the partition may share theirs."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # The last row waits for the one after it.
+        table = pa.Table.from_batches([batch] if held is None else [held[0], batch]).combine_chunks()
+        rows = table.to_batches()[0]
+        anchors = rows.column(0).to_numpy()
+        same = anchors[:-1] == anchors[1:]
+        before = np.concatenate([[held is None or held[1]], same])
+        yield from exploded(rows, np.flatnonzero(before[:-1] | same))
+        held = rows.slice(rows.num_rows - 1), bool(before[-1])
+    if held is not None:
+        yield from exploded(held[0], np.array([0]))
+
+
+def exploded(rows: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per window of the suffixes at these rows."""
+    if not len(at):
+        return
+    found = rows.take(pa.array(at))
+    windows = found.column(3).to_pylist()
+    counts = np.array([len(w) // 8 for w in windows])
+    after = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    columns = [
+        pa.array(np.frombuffer(b"".join(windows), np.int64)),
+        pa.array(np.repeat(found.column(1).to_numpy(), counts)),
+        pa.array(np.repeat(found.column(2).to_numpy(), counts) + after),
+    ]
+    yield pa.record_batch(columns, names=list(WINDOW_ORDER))
+
+
+def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted windows that equal a neighbour (repeat) or the one before (copy), and the two ends of the partition."""
+    part, held = TaskContext.get().partitionId(), None
     start = True
 
-    def out(rows: dict, at: np.ndarray, runs: np.ndarray, after: np.ndarray, before: np.ndarray, matched: np.ndarray, edges: list):
-        places = rows["place"][at]
-        picked = [rows["anchor"][at].tolist(), [rows["right"][i] for i in at], [rows["left"][i] for i in at]]
-        shown = [[v if e else None for v, e in zip(c, edges, strict=True)] for c in picked]
+    def out(rows: list, at: np.ndarray, repeat: np.ndarray, copy: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         columns = [
-            pa.array(np.full(len(at), part)), pa.array(runs), pa.array(rows["id"][at]), pa.array(places),
-            pa.array(places - before), pa.array(places + ANCHOR + after), pa.array(matched), pa.array(edges, pa.string()),
-            pa.array(shown[0], pa.int64()), pa.array(shown[1], pa.binary()), pa.array(shown[2], pa.binary()),
+            pa.array(np.full(len(at), part)), pa.array(edges[at].tolist(), pa.string()), *(pa.array(c[at]) for c in rows),
+            pa.array(repeat[at]), pa.array(copy[at]),
         ]
         return pa.record_batch(columns, names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = {c: batch.column(c).to_pylist() if c in ("right", "left") else batch.column(c).to_numpy() for c in ORDER}
+        rows = [batch.column(i).to_numpy() for i in range(3)]
         if held is not None:
-            rows = {c: [held[c], *rows[c]] if c in ("right", "left") else np.concatenate([[held[c]], rows[c]]) for c in ORDER}
-        n = len(rows["anchor"])
-        same, after, before = matches(rows["anchor"], context_rows(rows["right"]), context_rows(rows["left"]))
-        # With the match to the row before: the first row's comes from the last batch.
-        previous = np.concatenate([[joined[0]], same])
-        after_previous, before_previous = np.concatenate([[joined[1]], after]), np.concatenate([[joined[2]], before])
-        runs = run + np.cumsum(~previous) - (0 if previous[0] else 1)
-        most_after = np.maximum(np.where(previous[:-1], after_previous[:-1], 0), np.where(same, after, 0))
-        most_before = np.maximum(np.where(previous[:-1], before_previous[:-1], 0), np.where(same, before, 0))
-        matched = previous[:-1] | same
-        wanted = matched.copy()
-        edges = np.full(n - 1, None, object)
-        if start and n > 1:
-            wanted[0], edges[0] = True, "first"
+            rows = [np.concatenate([[h], c]) for h, c in zip(held[0], rows, strict=True)]
+        same = rows[0][:-1] == rows[0][1:]
+        copy = np.concatenate([[held is not None and held[1]], same])
+        edges = np.full(len(same), None, object)
+        repeat = copy[:-1] | same
+        wanted = repeat.copy()
+        if start and len(same):
+            wanted[0], edges[0], start = True, "first", False
         at = np.flatnonzero(wanted)
         if len(at):
-            yield out(rows, at, runs[at], most_after[at], most_before[at], matched[at], edges[at].tolist())
-        start = start and n == 1
-        run, held = int(runs[-1]), {c: rows[c][-1] for c in ORDER}
-        joined = (bool(previous[-1]), int(after_previous[-1]), int(before_previous[-1]))
+            yield out(rows, at, repeat, copy, edges)
+        held = [c[-1] for c in rows], bool(copy[-1])
     if held is not None:
-        rows = {c: [held[c]] if c in ("right", "left") else np.array([held[c]]) for c in ORDER}
-        extent = [np.array([v if joined[0] else 0]) for v in joined[1:]]
-        edge = "both" if start else "last"
-        yield out(rows, np.array([0]), np.array([run]), *extent, np.array([joined[0]]), [edge])
+        flag = np.array([held[1]])
+        yield out([np.array([v]) for v in held[0]], np.array([0]), flag, flag, np.array(["both" if start else "last"], object))
 
 
-def across_partitions(edges: list) -> tuple[list[tuple], list[tuple]]:
-    """From the ends of the partitions: (part, run, root_part, root_run), and matches of end rows across them.
+def across_partitions(edges: list) -> list[tuple]:
+    """(id, place, copy) of the end rows that repeat, within their partition or across to the next.
 
     edges: two rows per partition at most, in order of partition.
     """
-    roots: dict[tuple, tuple] = {}
-    extended = []
-    for before, after in zip(edges, edges[1:], strict=False):
-        if before["part"] == after["part"]:
+    repeat, copy = [r["repeat"] for r in edges], [r["copy"] for r in edges]
+    for i, (before, after) in enumerate(zip(edges, edges[1:], strict=False)):
+        if before["window"] == after["window"]:
+            repeat[i] = repeat[i + 1] = copy[i + 1] = True
+    return [(r["id"], r["place"], c) for r, e, c in zip(edges, repeat, copy, strict=True) if e]
+
+
+def joined(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and stop of the ranges that windows at sorted places cover; touching ones are one."""
+    apart = np.diff(at) > LEAST
+    return at[np.append(len(at) > 0, apart)[: len(at)]], at[np.append(apart, len(at) > 0)[: len(at)]] + LEAST
+
+
+def without(ranges: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What these ranges cover and the others do not."""
+    edges = np.unique(np.concatenate([*ranges, *others]))
+
+    def covered(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return np.searchsorted(first, edges[:-1], "right") > np.searchsorted(stop, edges[:-1], "right")
+
+    inside = np.flatnonzero(covered(*ranges) & ~covered(*others)) if len(edges) else np.zeros(0, int)
+    return edges[inside], edges[inside + 1]
+
+
+def word_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges of each id that repeat, and those to give up, from windows sorted by id and place."""
+
+    def ranges(ids: np.ndarray, places: np.ndarray, copy: np.ndarray) -> pa.RecordBatch:
+        known, number = np.unique(ids, return_inverse=True)
+        at = number * APART + places
+        found = {"repeat": joined(at), "copy": without(joined(at[copy]), joined(at[~copy]))}
+        first, stop = (np.concatenate([r[i] for r in found.values()]) for i in range(2))
+        text = first // APART
+        kinds = np.repeat(list(found), [len(r[0]) for r in found.values()])
+        columns = [pa.array(kinds.tolist(), pa.string()), pa.array(known[text]), pa.array(first - text * APART), pa.array(stop - text * APART)]
+        return pa.record_batch(columns, names=[c.split()[0] for c in RANGE_SCHEMA.split(", ")])
+
+    waiting: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        anchor = np.array([before["anchor"], after["anchor"]])
-        contexts = [context_rows([bytes(before[c]), bytes(after[c])]) for c in ("right", "left")]
-        same, right, left = matches(anchor, *contexts)
-        if same[0]:
-            here = (before["part"], before["run"])
-            roots[after["part"], after["run"]] = roots.get(here, here)
-            for row, own in ((before, here), (after, (after["part"], after["run"]))):
-                extended.append((*own, row["id"], row["place"], row["place"] - int(left[0]), row["place"] + ANCHOR + int(right[0])))
-    return [(*k, *v) for k, v in roots.items()], extended
-
-
-def merged(rows: DataFrame) -> DataFrame:
-    """id, first, stop: overlapping or touching word ranges of an id made one."""
-    order = Window.partitionBy("id").orderBy("first", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("opens", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
-    rows = rows.withColumn("range", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("id", "range").agg(F.min("first").alias("first"), F.max("stop").alias("stop")).drop("range")
-
-
-def repeated_places(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, first, stop (words), copy: the match of each kept place that has one."""
+        rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
+        # The last id may go on in the next batch.
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last or (waiting and waiting[-1][0][-1] != rows[0][-1]):
+            waiting.append([c[:last] for c in rows])
+            yield ranges(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+            waiting = []
+        waiting.append([c[last:] for c in rows])
+    if waiting:
+        yield ranges(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+
+
+def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """kind, id, first, stop (words): ranges that repeat elsewhere (repeat) and those to give up (copy)."""
     spark = documents.sparkSession
     with Scratch(spark, "suffixes") as scratch:
-        ordered = suffixes(documents, key, text).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-        found = scratch.written(ordered.mapInArrow(neighbour_matches, MATCH_SCHEMA))
+        ordered = suffixes(documents, key, text).repartitionByRange(*SUFFIX_ORDER).sortWithinPartitions(*SUFFIX_ORDER)
+        windows = scratch.written(ordered.mapInArrow(shared_windows, WINDOW_SCHEMA))
+        ordered = windows.repartitionByRange(*WINDOW_ORDER).sortWithinPartitions(*WINDOW_ORDER)
+        found = scratch.written(ordered.mapInArrow(equal_neighbours, MATCH_SCHEMA))
         # Two rows per partition at most.
         ends = found.filter("edge is not null").orderBy("part", F.col("edge") == "last").collect()
-        roots, extended = across_partitions(ends)
-        columns = "part long, run long, id long, place long, first long, stop long"
-        places = found.filter("matched").select("part", "run", "id", "place", "first", "stop")
-        places = places.unionByName(spark.createDataFrame(extended, columns))
-        root = spark.createDataFrame(roots, "part long, run long, root_part long, root_run long")
-        # At most one row per partition.
-        places = places.join(F.broadcast(root), ["part", "run"], "left")
-        places = places.withColumn("part", F.coalesce("root_part", "part")).withColumn("run", F.coalesce("root_run", "run"))
-        first = F.min(F.struct("id", "place")).alias("original")
-        places = places.join(places.groupBy("part", "run").agg(first), ["part", "run"])
-        copy: Column = F.struct("id", "place") != F.col("original")
-        return written(places.select("id", "first", "stop", copy.alias("copy")), "repeated-places")
+        places = found.filter("edge is null").select("id", "place", "copy")
+        places = places.unionByName(spark.createDataFrame(across_partitions(ends), "id long, place long, copy boolean"))
+        places = places.repartition("id").sortWithinPartitions("id", "place")
+        return written(places.mapInArrow(word_ranges, RANGE_SCHEMA), "repeated-ranges")
 
 
 def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, kind, first_word, stop_word, n_words: ranges that repeat elsewhere (repeat) and those to give up (copy)."""
-    places = repeated_places(documents, key, text)
-    kinds = [("repeat", places), ("copy", places.filter("copy"))]
-    frames = [merged(rows.select("id", "first", "stop")).select(F.lit(kind).alias("kind"), "*") for kind, rows in kinds]
-    rows = frames[0].unionByName(frames[1])
+    rows = repeated_ranges(documents, key, text)
     return rows.select(
         F.col("id").alias(key), "kind", F.col("first").alias("first_word"), F.col("stop").alias("stop_word"),
         (F.col("stop") - F.col("first")).alias("n_words"),
@@ -247,12 +266,11 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def without_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the words of all copies cut out; one that was nothing but copies goes.
+    """The documents with the words of copies cut out that stand in no original; one that was nothing but such words goes.
 
     A text is cut from the start of a copy's first word to the start of the word after it.
     """
-    places = repeated_places(documents, key, text).filter("copy")
-    cuts = merged(places.select("id", "first", "stop")).groupBy("id")
+    cuts = repeated_ranges(documents, key, text).filter("kind = 'copy'").groupBy("id")
     cuts = cuts.agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("cuts")).withColumnRenamed("id", "cut_id")
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document")
     rows = documents.select(F.col(key).cast("long").alias("cut_id"), F.col(text).alias("text"), whole)

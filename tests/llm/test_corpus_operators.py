@@ -290,6 +290,27 @@ def test_repeated_passages(spark, corpus):
     assert suffixes.repeated_passages(frame(spark, [])).count() == 0
 
 
+def windows_of(texts):
+    """How often each 50 words stand."""
+    return collections.Counter(tuple(w[p : p + 50]) for w in (words_of(t) for _, t in texts) for p in range(len(w) - 49))
+
+
+def test_each_repeated_passage_still_stands(spark, corpus):
+    rng = np.random.default_rng(5)
+    passage, long, before, after = prose(rng, 60), prose(rng, 200), prose(rng, 60), prose(rng, 60)
+    texts = [(1, f"{prose(rng, 30)} {passage} {prose(rng, 30)}")]
+    texts += [(i, f"{prose(rng, 9)} {before} {passage} {after}") for i in (2, 3)]
+    texts += [(4, f"{prose(rng, 30)} {long}")] + [(i, f"{before} {long} {prose(rng, 30)}") for i in (5, 6)]
+    texts += [(100 + i, t) for i, t in corpus if i is not None and i != 80]
+    left = suffixes.without_copies(frame(spark, texts))
+    stands = windows_of([(r["doc_id"], r["text"]) for r in left.collect()])
+    repeated = {w: n for w, n in windows_of(texts).items() if n > 1}
+    assert repeated and all(stands[w] for w in repeated)
+    # Words that no other shared passage comes near stand only once.
+    inner = [w for w in windows_of([(0, " ".join(long.split()[50:150]))])]
+    assert {stands[w] for w in inner} == {1} and {repeated[w] for w in inner} == {3}
+
+
 def test_near_duplicates(spark, corpus):
     sets = {}
     for i, text in corpus:
