@@ -311,6 +311,26 @@ def test_each_repeated_passage_still_stands(spark, corpus):
     assert {stands[w] for w in inner} == {1} and {repeated[w] for w in inner} == {3}
 
 
+def test_every_repeat_among_variants_is_found(spark, corpus):
+    texts = [(n, t) for n, (_, t) in enumerate(corpus)]
+    rng = np.random.default_rng(3)
+    parts = prose(rng, 200).split()
+    for i in range(200, 320):
+        variant = list(parts)
+        for place in rng.integers(0, 200, 5):
+            variant[place] = f"edit{int(rng.integers(0, 3))}"
+        texts.append((i, " ".join(variant)))
+    # One word over and over, and windows that repeat within their own text.
+    texts += [(400, "same " * 120), (401, f"{' '.join(parts[:70])} {' '.join(parts[:70])}")]
+    found = collections.defaultdict(set)
+    for r in suffixes.repeated_passages(frame(spark, texts)).filter("kind = 'repeat'").collect():
+        found[r["doc_id"]].update(range(r["first_word"], r["stop_word"]))
+    assert found == repeated_words(texts)
+    left = [(r["doc_id"], r["text"]) for r in suffixes.without_copies(frame(spark, texts)).collect()]
+    stands = windows_of(left)
+    assert all(stands[w] for w, n in windows_of(texts).items() if n > 1)
+
+
 def test_near_duplicates(spark, corpus):
     sets = {}
     for i, text in corpus:
