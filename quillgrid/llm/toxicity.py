@@ -12,8 +12,9 @@ two-parameter logistic curve, fitted on training texts that the lexicon has not
 maps that to the score; it also decides how strict the lexicon is.
 
 The classifier is fitted on a bounded sample of labelled rows (`train_rows` of each
-class, drawn by hash); all texts are scored, whole. Labels are matched by key and are
-inputs of the fit only.
+class, drawn by hash); all texts are scored, whole. The curve weighs each class by how
+many labels one drawn row stands for, so one half means the same whatever the table's
+size. Labels are matched by key and are inputs of the fit only.
 
 Defined results: null and empty texts have no passages and the lowest score; labels
 other than 0 and 1, and labels without a text, are ignored; a key labelled both ways
@@ -207,18 +208,22 @@ def lexicon_of(found: list, strictness: float) -> Lexicon | None:
     return Lexicon(np.array([k[0] for k in kept], U64), odds, chance * math.exp(low * float(odds.min())), low)
 
 
-def fitted_curve(evidence: np.ndarray, toxic: np.ndarray, penalty: float = 0.01) -> tuple[float, float, float]:
-    """Slope (not negative) and intercept of a logistic curve, and the penalised loss."""
+def fitted_curve(evidence: np.ndarray, toxic: np.ndarray, rates: tuple[float, float] = (1, 1), penalty: float = 0.01) -> tuple[float, float, float]:
+    """Slope (not negative) and intercept of a logistic curve, and the penalised loss.
+
+    rates: how many rows a clean and a toxic one stand for.
+    """
+    stands = np.where(toxic > 0, rates[1], rates[0])
     scale = max(float(evidence.std()), 1e-9)
     x = np.stack([evidence / scale, np.ones(len(evidence))], 1)
     weights = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (p - toxic) + penalty * weights
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(2)
+        gradient = x.T @ (stands * (p - toxic)) + penalty * weights
+        curvature = (x * (stands * p * (1 - p))[:, None]).T @ x + penalty * np.eye(2)
         weights -= np.clip(np.linalg.solve(curvature, gradient), -2, 2)
     p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-12, 1 - 1e-12)
-    loss = -float((toxic * np.log(p) + (1 - toxic) * np.log(1 - p)).sum()) + penalty / 2 * float(weights @ weights)
+    loss = -float((stands * (toxic * np.log(p) + (1 - toxic) * np.log(1 - p))).sum()) + penalty / 2 * float(weights @ weights)
     return max(float(weights[0] / scale), 0.0), float(weights[1]), loss
 
 
@@ -239,13 +244,22 @@ def evidence_rows(rows: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(measured, "toxic long, evidence array<double>")
 
 
-def training_rows(
-    documents: DataFrame, labels: DataFrame, training: Column, fold: Column, train_rows: int, key: str, text: str, label: str
-) -> DataFrame:
-    """text, toxic, fold: of at most train_rows keys of each class, different texts only."""
+def labelled_keys(labels: DataFrame, training: Column, fold: Column, key: str, label: str) -> DataFrame:
+    """key, toxic, fold: of the keys that may be learnt from."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("long").alias("toxic"))
     marked = marked.filter(F.col("key").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("key").agg(F.max("toxic").alias("toxic"))
-    marked = marked.select("key", "toxic", training.alias("training"), fold.alias("fold")).filter("training")
+    return marked.select("key", "toxic", training.alias("training"), fold.alias("fold")).filter("training").drop("training")
+
+
+def class_rates(marked: DataFrame, train_rows: int) -> tuple[float, float]:
+    """How many labels a drawn clean and a drawn toxic row stand for, the lesser being one."""
+    totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    stand = [max(1.0, totals.get(c, 0) / train_rows) for c in (0, 1)]
+    return stand[0] / min(stand), stand[1] / min(stand)
+
+
+def training_rows(documents: DataFrame, marked: DataFrame, train_rows: int, key: str, text: str) -> DataFrame:
+    """text, toxic, fold: of at most train_rows keys of each class, different texts only."""
     drawn = [marked.filter(F.col("toxic") == c).orderBy(F.xxhash64("key"), "key").limit(train_rows) for c in (0, 1)]
     # At most 2 * train_rows keys, so a copy of them fits every executor.
     sample = F.broadcast(drawn[0].union(drawn[1]))
@@ -268,26 +282,29 @@ def fit_toxicity(
 ) -> Model:
     """training: which keys (column key) may be learnt from; fold: of those, which calibrate instead."""
     with Scratch(documents.sparkSession, "toxicity") as scratch:
-        rows = scratch.written(training_rows(documents, labels, training, fold, train_rows, key, text, label))
+        marked = labelled_keys(labels, training, fold, key, label)
+        rates = class_rates(marked, train_rows)
+        rows = scratch.written(training_rows(documents, marked, train_rows, key, text))
         kinds = {(r["toxic"], r["fold"]): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
         if min(kinds.get((c, f), 0) for c in (0, 1) for f in (False, True)) == 0:
-            return constant(kinds)
+            return constant(kinds, rates)
         found = candidates(rows.filter("not fold"), scratch)
         lexicons = {s: x for s in STRICTNESS if (x := lexicon_of(found, s)) is not None}
         if not lexicons:
-            return constant(kinds)
+            return constant(kinds, rates)
         measured = evidence_rows(rows.filter("fold"), list(lexicons.values())).collect()
         toxic = np.array([r["toxic"] for r in measured], float)
-        curves = {s: fitted_curve(np.array([r["evidence"][j] for r in measured]), toxic) for j, s in enumerate(lexicons)}
+        curves = {s: fitted_curve(np.array([r["evidence"][j] for r in measured]), toxic, rates) for j, s in enumerate(lexicons)}
         best = min(curves, key=lambda s: (curves[s][2], -s))
         # The strictness and the curve stay; the lexicon is counted again over all training texts.
         final = lexicon_of(candidates(rows, scratch), best) or lexicons[best]
     return Model(final, curves[best][0], curves[best][1])
 
 
-def constant(kinds: dict) -> Model:
+def constant(kinds: dict, rates: tuple[float, float]) -> Model:
     """The share of toxic training texts, for want of anything to tell them by."""
-    share = sum(n for (toxic, _), n in kinds.items() if toxic) / max(1, sum(kinds.values()))
+    clean, toxic = (rates[c] * sum(n for (k, _), n in kinds.items() if k == c) for c in (0, 1))
+    share = toxic / max(1, clean + toxic)
     return Model(None, 0.0, math.log((share + 1e-9) / (1 - share + 1e-9)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("quillgrid.llm")
 
-from quillgrid.llm import katz, near_duplicates, suffixes  # noqa: E402
+from quillgrid.llm import katz, near_duplicates, suffixes, toxicity  # noqa: E402
 from quillgrid.llm.chat_tree import prefix_trees, read_back  # noqa: E402
 from quillgrid.llm.fingerprints import fingerprint_edits  # noqa: E402
 from quillgrid.llm.mixing import Level, mixed_documents, mixture_table, plan_mixture  # noqa: E402
@@ -241,6 +241,22 @@ def test_toxic_documents(spark):
     assert len(none) == 1 and none[0][0] < 0.5
 
 
+def test_thinned_classes_keep_their_share(spark):
+    # Texts that nothing tells apart: the score is the share of all labels, not of the drawn rows.
+    texts = [(i, "same words " * (i + 1)) for i in range(880)]
+    marks = spark.createDataFrame([(i, int(i % 11 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    for train_rows in (10_000, 80, 40):
+        model = toxicity.fit_toxicity(frame(spark, texts), marks, F.lit(True), F.col("key") % 4 == 0, train_rows)
+        assert model.lexicon is None and math.isclose(model.score(np.zeros(1))[0], 1 / 11, rel_tol=1e-6)
+    # The curve of a thinned class crosses one half where that of all rows does.
+    rng = np.random.default_rng(4)
+    toxic = np.repeat([0.0, 1.0], [40_000, 4_000])
+    evidence = rng.normal(2 * toxic, 1)
+    kept = (toxic > 0) | (rng.random(len(toxic)) < 0.1)
+    whole, thinned = toxicity.fitted_curve(evidence, toxic), toxicity.fitted_curve(evidence[kept], toxic[kept], (10, 1))
+    assert math.isclose(-whole[1] / whole[0], -thinned[1] / thinned[0], abs_tol=0.1)
+
+
 def test_maximal_segments_are_the_best():
     rng = np.random.default_rng(2)
     for _ in range(200):
