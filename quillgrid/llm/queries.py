@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from quillgrid.llm import sql
 from quillgrid.llm.chat_tree import prefix_trees, read_back
 from quillgrid.llm.fingerprints import fingerprint_edits
+from quillgrid.llm.hard_negatives import hard_negatives
 from quillgrid.llm.katz import katz_scores
 from quillgrid.llm.mixing import mixture_table, plan_mixture
 from quillgrid.llm.near_duplicates import near_duplicates
 from quillgrid.llm.one_bit_search import nearest
 from quillgrid.llm.pair_index_bpe import encode_documents
 from quillgrid.llm.parameters import MAX_EPOCHS, SEED, SHARE, WEIGHTS, remainder, source_tree, toxicity_model
+from quillgrid.llm.simhash import simhash_duplicates
 from quillgrid.llm.suffixes import repeated_passages
 from quillgrid.llm.toxicity import toxic_documents
 from quillgrid.llm.url_filter import Rule, judge_urls
+from quillgrid.llm.variants import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,4 +121,21 @@ def katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"), remainder("id", 7) != 2)
 
 
+@query("op11_anchor_simhash")
+def anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_coordinate_negatives", sql.NEGATIVES)
+def coordinate_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+@query("op13_reduced_variants", sql.VARIANTS)
+def reduced_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

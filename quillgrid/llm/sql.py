@@ -104,3 +104,67 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
     FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0))
 WHERE rank <= 20
 """
+
+
+NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, p.vec_id AS positive_id,
+  row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+#: The table of the checksum is built from its polynomial, 3988292384.
+VARIANTS = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS owner, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM found WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT *, hex(encode(owner || ':' || run)) AS digits FROM runs),
+marked AS (
+  SELECT run, n, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(length(digits) // 2), lambda i: ('0x' || digits[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, entries[xor(c & 255, b) + 1])), 4294967295) AS mark
+  FROM bytes, crc),
+words AS (
+  SELECT CASE WHEN mark % 31 = 0 THEN left(run, (mark % length(run))::INT) || substr(run, (mark % length(run))::INT + 2) ELSE run END AS word,
+    sum(n)::BIGINT AS n
+  FROM marked GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+cut AS (
+  SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.rest = b.word),
+counted AS (
+  SELECT p.word, count(*) AS n_near, min({'fewer': -b.n, 'word': p.near}) AS best
+  FROM pairs p JOIN words b ON p.near = b.word GROUP BY 1),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.fewer >= 10 * w.n THEN best.word END AS form,
+    CASE WHEN -best.fewer >= 10 * w.n THEN -best.fewer END AS form_n
+  FROM words w LEFT JOIN counted c USING (word)),
+steps AS (
+  SELECT word, coalesce(form, word) AS root, form IS NULL AS ended FROM forms
+  UNION ALL SELECT s.word, coalesce(f.form, f.word), f.form IS NULL FROM steps s JOIN forms f ON s.root = f.word WHERE NOT s.ended)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN steps USING (word) WHERE ended
+"""
