@@ -1,12 +1,17 @@
 """Spelling variants: words one edit apart, found through one-edit neighbourhoods over a reduced alphabet.
 
 Letters are hashed to a few symbols, which turns words that differ in one edit into
-reduced words that are equal or differ in one edit. Each word's full neighbourhood is
-generated over the symbols: its reduced word, every deletion, replacement and insertion,
-each string once, as hashes that cost a constant time apiece however long the word is.
-The neighbourhoods are joined with the reduced words of the vocabulary, pairs whose
-letter parities differ in more than two bits are passed over in the join (one edit changes
-two at most), and the rest is verified on the original strings.
+reduced words that are equal or differ in one edit. The one-edit neighbourhoods of reduced
+words are generated over the symbols, each string once, as hashes that cost a constant
+time apiece however long the word is. Neighbours are mutual, so each two of them are
+generated from one side: an insertion as the deletion from the longer word, a replacement
+from the side with the lesser symbol. That is the full neighbourhood at a third of its
+rows. They are joined with the reduced words of the vocabulary, pairs whose letter
+parities differ in more than two bits are passed over in the join (one edit changes two at
+most), and the rest is verified on the original strings.
+
+The number of symbols follows the vocabulary, so that of the shortest words about
+SHARING share a reduced word on average, however many words there are.
 
 Words are counted within tasks before they are shuffled, so a frequent word costs one row
 per task. The join is over the vocabulary, not the corpus. A word has no more near words
@@ -18,6 +23,7 @@ to the smaller word in code-point order; an empty table gives an empty result. O
 and the text column are read.
 """
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -36,12 +42,12 @@ LETTERS = "a-zÀ-ÿ"
 LENGTH, OCCURRENCES, TIMES = 7, 2, 10
 #: One run in so many loses a letter.
 DAMAGED = 31
-SYMBOLS = 8
+SHARING, LEAST_SYMBOLS = 16, 4
 #: Distinct words of a task that wait to be passed on, and letters whose neighbourhoods are generated at once.
 WAITING, PIECE = 1 << 17, 1 << 14
 BASE = 0x9E3779B97F4A7C15
 INVERSE = U64(pow(BASE, -1, 2**64))
-CODES = random_words(SYMBOLS, 505)
+CODES = random_words(1 << 10, 505)
 
 
 def damaged(run: str, owner: str) -> str:
@@ -93,11 +99,12 @@ def parities(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Reduced:
     """Reduced words as polynomials of their symbols: hashes of any of their edits from sums of prefixes."""
 
-    def __init__(self, points: np.ndarray, bounds: np.ndarray):
+    def __init__(self, points: np.ndarray, bounds: np.ndarray, symbols: int):
         sizes = np.diff(bounds)
+        self.alphabet = symbols
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.place = np.arange(len(points)) - np.repeat(bounds[:-1], sizes)
-        self.symbols = (mixed((points + U64(1)) * U64(BASE)) % U64(SYMBOLS)).astype(np.int64)
+        self.symbols = (mixed((points + U64(1)) * U64(BASE)) % U64(symbols)).astype(np.int64)
         self.bounds, self.sizes = bounds, sizes
         longest = int(sizes.max()) if len(sizes) else 0
         self.powers = np.cumprod(np.concatenate([[U64(1)], np.full(longest + 1, U64(BASE))]))
@@ -111,66 +118,73 @@ class Reduced:
     def own(self) -> np.ndarray:
         return self.key(self.total, self.sizes)
 
-    def neighbours(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Owner and key of all edits at the letters lo to hi, each edited word once."""
+    def neighbours(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Owner, key, and whether it is the word itself, of the edits at the letters lo to hi; no edited word twice."""
         at = np.arange(lo, hi)
         owner, place, symbols, before = self.owner[at], self.place[at], self.symbols[at], self.before[at]
         power, total, size = self.powers[place], self.total[owner], self.sizes[owner]
         own = CODES[symbols] * power
         last = place == size - 1
-        following = np.append(self.symbols, -1)[at + 1]
-        # Of a run of equal symbols, only the last is left out, and a symbol is put in after its equals.
-        out = last | (following != symbols)
-        yield owner[out], self.key((before + (total - before - own) * INVERSE)[out], size[out] - 1)
-        for symbol in range(SYMBOLS):
-            other = symbols != symbol
-            change = CODES[symbol] * power
-            yield owner[other], self.key((total - own + change)[other], size[other])
-            yield owner[other], self.key((before + change + (total - before) * U64(BASE))[other], size[other] + 1)
-            # Behind the last letter.
-            change = CODES[symbol] * self.powers[size[last]]
-            yield owner[last], self.key(total[last] + change, size[last] + 1)
-        yield owner[last], self.key(total[last], size[last])
-
-
-def reduced_words(vocabulary: DataFrame) -> DataFrame:
+        yield owner[last], self.key(total[last], size[last]), True
+        # Of a run of equal symbols, only the last is left out.
+        out = last | (np.append(self.symbols, -1)[at + 1] != symbols)
+        yield owner[out], self.key((before + (total - before - own) * INVERSE)[out], size[out] - 1), False
+        for symbol in range(1, self.alphabet):
+            less = symbols < symbol
+            yield owner[less], self.key((total - own + CODES[symbol] * power)[less], size[less]), False
+
+
+def symbols_for(words: int) -> int:
+    return min(len(CODES), max(LEAST_SYMBOLS, math.ceil((words / SHARING) ** (1 / LENGTH))))
+
+
+def reduced_words(vocabulary: DataFrame, symbols: int) -> DataFrame:
     """key, word, n, parity, id: the reduced words of the vocabulary."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 points, bounds = letters(batch.column(0))
-                keys = Reduced(points, bounds).own()
+                keys = Reduced(points, bounds, symbols).own()
                 columns = [pa.array(keys.view(np.int64)), batch.column(0), batch.column(1), pa.array(parities(points, bounds).view(np.int64)), batch.column(2)]
                 yield pa.record_batch(columns, names=["key", "word", "n", "parity", "id"])
 
     return vocabulary.select("word", "n", "id").mapInArrow(reduced, "key long, word string, n long, parity long, id long")
 
 
-def neighbourhoods(vocabulary: DataFrame) -> DataFrame:
-    """key, of, of_parity: the whole one-edit neighbourhood of each reduced word."""
+def neighbourhoods(vocabulary: DataFrame, symbols: int) -> DataFrame:
+    """key, of, of_parity: the neighbours of each reduced word that are generated from its side. Itself has -1 - of."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             points, bounds = letters(batch.column(0))
-            ids, parity, words = batch.column(1).to_numpy(), parities(points, bounds).view(np.int64), Reduced(points, bounds)
+            ids, parity, words = batch.column(1).to_numpy(), parities(points, bounds).view(np.int64), Reduced(points, bounds, symbols)
             for lo in range(0, len(points), PIECE):
-                for owner, keys in words.neighbours(lo, min(lo + PIECE, len(points))):
-                    columns = [pa.array(keys.view(np.int64)), pa.array(ids[owner]), pa.array(parity[owner])]
+                for owner, keys, same in words.neighbours(lo, min(lo + PIECE, len(points))):
+                    of = -1 - ids[owner] if same else ids[owner]
+                    columns = [pa.array(keys.view(np.int64)), pa.array(of), pa.array(parity[owner])]
                     yield pa.record_batch(columns, names=["key", "of", "of_parity"])
 
     return vocabulary.select("word", "id").mapInArrow(spread, "key long, of long, of_parity long")
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
-    """of, n_near, best (fewer: the negated occurrences, word): of each word that has near words."""
-    close = (F.col("of") != F.col("id")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("of_parity"))) <= 2)
-    pairs = neighbourhoods(vocabulary).join(reduced_words(vocabulary), "key").filter(close).select("of", "word", "n")
-    own = vocabulary.select(F.col("id").alias("of"), F.col("word").alias("own"))
+    """id, n_near, best (fewer: the negated occurrences, word): of each word that has near words."""
+    symbols = symbols_for(vocabulary.count())
+    # Of two words with one reduced word, the one with the lesser id asks.
+    once = (F.col("of") >= 0) | (-1 - F.col("of") < F.col("id"))
+    close = once & (F.bit_count(F.col("parity").bitwiseXOR(F.col("of_parity"))) <= 2)
+    pairs = neighbourhoods(vocabulary, symbols).join(reduced_words(vocabulary, symbols), "key").filter(close)
+    pairs = pairs.select(F.when(F.col("of") < 0, -1 - F.col("of")).otherwise(F.col("of")).alias("of"), "id", "word", "n")
+    own = vocabulary.select(F.col("id").alias("of"), F.col("word").alias("own"), F.col("n").alias("own_n"))
     near = pairs.join(own, "of").filter(F.levenshtein("own", "word", 1) == 1)
-    return near.groupBy("of").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("fewer"), "word")).alias("best"))
+    sides = F.array(
+        F.struct("id", (-F.col("own_n")).alias("fewer"), F.col("own").alias("word")),
+        F.struct(F.col("of").alias("id"), (-F.col("n")).alias("fewer"), "word"),
+    )
+    return near.select(F.inline(sides)).groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct("fewer", "word")).alias("best"))
 
 
 def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
@@ -189,8 +203,7 @@ def spelling_variants(documents: DataFrame, key: str = "doc_id", text: str = "te
     with Scratch(documents.sparkSession, "variants") as scratch:
         counts = occurring_words(documents, key, text).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OCCURRENCES)
         vocabulary = scratch.written(counts.withColumn("id", F.monotonically_increasing_id()))
-        near = near_words(vocabulary).withColumnRenamed("of", "id")
-        found = vocabulary.join(near, "id", "left")
+        found = vocabulary.join(near_words(vocabulary), "id", "left")
         most = -F.col("best.fewer")
         enough = most >= TIMES * F.col("n")
         found = scratch.written(

@@ -265,15 +265,25 @@ def test_spelling_variants(spark):
 
 
 def test_neighbourhoods_are_whole_and_without_repeats():
-    points, bounds = variants.letters(pa.array(["aabbacad", "zzzzzzz"]))
-    words = variants.Reduced(points, bounds)
-    rows = [(o, k) for owners, keys in words.neighbours(0, len(points)) for o, k in zip(owners.tolist(), keys.tolist(), strict=True)]
-    assert len(rows) == len(set(rows))
-    for owner in range(2):
-        own = words.symbols[bounds[owner] : bounds[owner + 1]].tolist()
-        edits = {tuple(own)}
-        for i in range(len(own) + 1):
-            edits |= {tuple(own[:i] + own[i + 1 :])} if i < len(own) else set()
-            edits |= {tuple(own[:i] + [s] + own[i:]) for s in range(variants.SYMBOLS)}
-            edits |= {tuple(own[:i] + [s] + own[i + 1 :]) for s in range(variants.SYMBOLS)} if i < len(own) else set()
-        assert sum(o == owner for o, _ in rows) == len(edits)
+    """Every two reduced words that are one edit apart are found from exactly one of them."""
+    rng = np.random.default_rng(11)
+    texts = sorted({"".join(rng.choice(list("abcdé"), int(rng.integers(1, 5)))) for _ in range(250)})
+    points, bounds = variants.letters(pa.array(texts))
+    for symbols in (2, 3, 7):
+        words = variants.Reduced(points, bounds, symbols)
+        reduced = [tuple(words.symbols[lo:hi].tolist()) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        rows = [(o, k, same) for at in range(0, len(points), 50) for owners, keys, same in words.neighbours(at, min(at + 50, len(points)))
+                for o, k in zip(owners.tolist(), keys.tolist(), strict=True)]
+        assert len(rows) == len(set(rows))
+        of_key = collections.defaultdict(set)
+        for word, key in zip(reduced, words.own().tolist(), strict=True):
+            of_key[key].add(word)
+        assert all(len(found) == 1 for found in of_key.values())
+        found = collections.Counter((reduced[o], w, same) for o, k, same in rows for w in of_key.get(k, ()))
+        edits = set()
+        for own in set(reduced):
+            edits |= {(own, own[:i] + own[i + 1 :]) for i in range(len(own))}
+            edits |= {(own, own[:i] + (s,) + own[i + 1 :]) for i in range(len(own)) for s in range(own[i] + 1, symbols)}
+        times = collections.Counter(reduced)
+        expected = {(a, b, False): times[a] for a, b in edits if b in times} | {(a, a, True): n for a, n in times.items()}
+        assert found == expected
