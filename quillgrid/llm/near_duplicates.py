@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.components import components
-from quillgrid.llm.tokens import U64, binary_rows, mixed, random_words, shingles, slices, text_bytes, words
+from quillgrid.llm.tokens import SMALL_SLICE, U64, binary_rows, mixed, random_words, shingles, slices, text_bytes, words
 from quillgrid.sources.scratch import Scratch, written
 
 SHINGLE = 5
@@ -97,7 +97,7 @@ def signed_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            for lo, hi in slices(bounds):
+            for lo, hi in slices(bounds, SMALL_SLICE):
                 sets, cuts = shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 columns = [
                     batch.column(0).slice(lo, hi - lo),
@@ -197,7 +197,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         ids = rows.column("id").to_numpy()
         data, bounds = text_bytes(pa.array([restore(p) for p in rows.column("packed").to_pylist()], pa.binary()).cast(pa.string()))
         sets: dict[int, list[np.ndarray]] = {}
-        for lo, hi in slices(bounds):
+        for lo, hi in slices(bounds, SMALL_SLICE):
             members, cuts = shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
             for i, own in zip(ids[lo:hi].tolist(), np.split(members, cuts[1:-1]), strict=True):
                 sets.setdefault(i, []).append(own)
@@ -228,7 +228,7 @@ def lone_shingles(texts: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             plain = pa.array([restore(p) for p in batch.column(1).to_pylist()], pa.binary())
             data, bounds = text_bytes(plain.cast(pa.string()))
-            for lo, hi in slices(bounds):
+            for lo, hi in slices(bounds, SMALL_SLICE):
                 sets, cuts = shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 owners = np.repeat(ids[lo:hi], np.diff(cuts))
                 yield pa.record_batch([pa.array(sets.view(np.int64)), pa.array(owners)], names=["shingle", "id"])
@@ -336,10 +336,24 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, the one with the smallest key; rows without a key stay."""
-    judged = near_duplicates(documents, key, text)
-    gone = judged.filter("not kept").select(F.col(key).alias("gone")).distinct()
-    left = documents.join(gone, F.col(key) == F.col("gone"), "left_anti")
-    if judged.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
-        return left
-    return left.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.filter(F.col(key).isNull()))
+    """One row of each group of near-duplicates, the one with the smallest key; rows without a key stay.
+
+    Rows are judged one by one, whether they share a key or not: a row goes by a hash of
+    64 bits of its key and text. Of rows that share the smallest key the smaller hash
+    stays, of rows equal in both the first in the order of their columns' JSON.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document")
+    rows = documents.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), whole)
+    rows = rows.withColumn("row", F.when(F.col("key").isNotNull(), F.xxhash64("key", "text")))
+    with Scratch(documents.sparkSession, "near-duplicate-rows") as scratch:
+        keyed = rows.filter("row is not null").select("row", "key", "text")
+        judged = near_duplicates(keyed, "row", "text").select("row", "component_id")
+        members = judged.groupBy("row").agg(F.max("component_id").alias("component_id"), F.count("*").alias("times"))
+        members = scratch.written(members.join(keyed.groupBy("row").agg(F.min("key").alias("key")), "row"))
+        first = members.groupBy("component_id").agg(F.min(F.struct("key", "row")).alias("first"))
+        marked = members.join(first, "component_id").select("row", "times", (F.col("row") == F.col("first.row")).alias("stays"))
+        marked = written(marked.filter("not stays or times > 1").select("row", "stays"), "near-duplicate-marks")
+    lone = rows.join(marked.select("row"), "row", "left_anti").select("document")
+    repeated = rows.join(marked.filter("stays").select("row"), "row").groupBy("row")
+    repeated = repeated.agg(F.min_by("document", F.to_json("document")).alias("document")).select("document")
+    return lone.unionByName(repeated).select("document.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from quillgrid.llm.tokens import slices, text_bytes
 
 #: Bytes of text whose words are indexed together: bounds memory.
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 SCHEMA = "{key} long, ids array<int>, decoded string"
 
 

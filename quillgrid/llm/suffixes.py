@@ -4,8 +4,11 @@ Of every 25 neighbouring places of a text, the one whose next 26 words have the
 hash (the first of equals) is kept, and has the windows of 50 words it was kept for.
 Equal windows are kept for at equal places, so the suffixes at the kept places are sorted
 over the whole cluster by those 26 words, and only places that share them with a
-neighbour go on. Their windows are sorted by all 50 words: a window that has an equal
-neighbour repeats, and the one that stands first, by id and place, is the original.
+neighbour go on. Each of their windows says how far the match reaches left and right of
+the shared words: one that equals another place's window repeats, and the one that stands
+first, by id and place, is the original. Places with equal words lie next to each other,
+so this is decided where they lie; only what meets the ends of a partition, or has more
+places than one task should hold, is sorted once more by all 50 words.
 
 So every repeated window is found, among edited variants of one text too. Words are cut
 where they stand in a copy and in no original: each repeated window stays whole in the
@@ -13,14 +16,16 @@ place that keeps it. Where a copy lies between the originals of two other passag
 words belong to those and stay as well.
 
 Both sorts spread a passage that a third of all texts share over as many partitions as
-it needs; the two ends of each partition, and nothing else, are compared across them on
-the driver. Windows are compared by hashes of 64 bits.
+it needs; the two ends of each partition of the second, and nothing else, are compared
+across them on the driver. Windows are equal if two hashes of 64 bits are, of their 26
+words and of all 50.
 
 Defined results: null texts and texts under 50 words have no passages; words are what
 white space separates, and A-Z count as a-z; a passage repeated within one text counts;
-rows that repeat an id are one text standing twice, which keeps its words; a row without
-an id has no passages; an empty table gives an empty result. Only the id and the text
-column are read, and `without_copies` keeps the others.
+rows equal in id and text are one text standing twice, which keeps its words; rows that
+share an id but not the text are texts of their own, told apart by 23 bits of a hash; a
+row without an id has no passages; an empty table gives an empty result. Only the id and
+the text column are read, and `without_copies` keeps the others.
 """
 
 from collections.abc import Iterator
@@ -31,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tokens import U64, Words, mixed, slices, text_bytes, words
+from quillgrid.llm.tokens import SMALL_SLICE, U64, Words, mixed, slices, text_bytes, words
 from quillgrid.sources.scratch import Scratch, written
 
 LEAST, ANCHOR = 50, 26
@@ -39,15 +44,17 @@ WINDOW = LEAST - ANCHOR + 1
 BASE = 0x9E3779B97F4A7C15
 SUFFIX_ORDER = ("anchor", "id", "place")
 SUFFIX_SCHEMA = "anchor long, id long, place long, windows binary"
-WINDOW_ORDER = ("window", "id", "place")
-WINDOW_SCHEMA = "window long, id long, place long"
-MATCH_SCHEMA = "part long, edge string, window long, id long, place long, repeat boolean, copy boolean"
-RANGE_SCHEMA = "kind string, id long, first long, stop long"
+WINDOW_ORDER = ("anchor", "window", "id", "place")
+#: Decided: repeats and copies are set bits for the windows from `place` on. Else an undecided window.
+DECIDED_SCHEMA = "anchor long, window long, id long, place long, repeats long, copies long"
+MATCH_SCHEMA = "part long, edge string, anchor long, window long, id long, place long, repeats long, copies long"
+RANGE_SCHEMA = "kind string, id long, mark long, first long, stop long"
 NEVER = U64(2**64 - 1)
-#: Rows of a batch, which has up to WINDOW windows for each.
-ROWS = 1 << 14
-#: Texts of one call lie this far apart when their ranges are compared.
+#: Rows of a batch, which has up to WINDOW windows for each; places of one anchor that are decided together.
+ROWS, TOGETHER = 1 << 13, 1 << 14
+#: Words of a text are counted below this; above it a place carries bits of the text's hash.
 APART = 1 << 40
+MARK = "shiftrightunsigned(xxhash64(text), 41)"
 
 
 class Runs:
@@ -91,8 +98,8 @@ def suffixes(documents: DataFrame, key: str, text: str) -> DataFrame:
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for lo, hi in slices(bounds):
+            ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for lo, hi in slices(bounds, SMALL_SLICE):
                 found = words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 runs = Runs(found.hashes)
                 starts, kept, anchors = kept_places(found, runs)
@@ -103,7 +110,7 @@ def suffixes(documents: DataFrame, key: str, text: str) -> DataFrame:
                 offsets = pa.py_buffer((np.append(opens, len(starts)) * 8).astype(np.int32))
                 columns = [
                     pa.array(anchors[kept[opens]].view(np.int64)), pa.array(ids[lo:hi][owner]),
-                    pa.array(starts[opens] - found.bounds[owner], pa.int64()),
+                    pa.array(marks[lo:hi][owner] * APART + starts[opens] - found.bounds[owner], pa.int64()),
                     pa.Array.from_buffers(pa.binary(), len(opens), [None, offsets, hashes]),
                 ]
                 whole = pa.record_batch(columns, names=[*SUFFIX_ORDER, "windows"])
@@ -111,41 +118,90 @@ def suffixes(documents: DataFrame, key: str, text: str) -> DataFrame:
                     yield whole.slice(i, ROWS)
 
     rows = documents.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = rows.select("id", "text", F.coalesce(F.expr(MARK), F.lit(0)).alias("mark"))
     return rows.mapInArrow(sampled, SUFFIX_SCHEMA)
 
 
+def record(columns: list[np.ndarray | None], schema: str, size: int) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    arrays = [pa.nulls(size, pa.int64()) if c is None else pa.array(c) for c in columns]
+    return pa.record_batch(arrays, names=names)
+
+
+def exploded(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: the row it belongs to, its number there, its hash."""
+    windows = rows.column(3).to_pylist()
+    counts = np.array([len(w) // 8 for w in windows], np.int64)
+    after = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(np.arange(len(counts)), counts), after, np.frombuffer(b"".join(windows), np.int64)
+
+
+def undecided(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """One row per window, for the second sort."""
+    for i in range(0, rows.num_rows, ROWS):
+        part = rows.slice(i, ROWS)
+        row, after, hashes = exploded(part)
+        anchors, ids, places = (part.column(c).to_numpy()[row] for c in range(3))
+        yield record([anchors, hashes, ids, places + after, None, None], DECIDED_SCHEMA, len(row))
+
+
+def decided(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Repeats and copies of whole runs of equal anchors, a bit for each window of a place."""
+    if not rows.num_rows:
+        return
+    row, after, hashes = exploded(rows)
+    anchors, ids, places = (rows.column(c).to_numpy() for c in range(3))
+    run = np.cumsum(np.diff(anchors, prepend=anchors[0]) != 0)
+    # The rows are sorted by id and place within a run, and the sort is stable.
+    order = np.lexsort((hashes, run[row]))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (run[row][order][1:] == run[row][order][:-1])
+    copy = np.concatenate([[False], same])
+    repeat = copy | np.concatenate([same, [False]])
+    bits = np.int64(1) << after[order]
+    repeats, copies = (np.bincount(row[order][m], weights=bits[m], minlength=len(ids)).astype(np.int64) for m in (repeat, copy))
+    at = np.flatnonzero(repeats)
+    yield record([None, None, ids[at], places[at], repeats[at], copies[at]], DECIDED_SCHEMA, len(at))
+
+
 def shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of sorted suffixes that share their anchor with a neighbour; the ends of the partition may share theirs."""
-    held = None
+    """What the sorted suffixes that share their anchor with a neighbour say of their windows.
+
+    Runs of one anchor are decided here, but for the first and the last run of the
+    partition, which may go on in another, and runs of more than TOGETHER places.
+    """
+    held: list[pa.RecordBatch] = []  # the run that may go on
+    anchor, first, long = None, True, False
+
+    def closed(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, first, long
+        if held:
+            run = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if first or last or long:
+                yield from undecided(run)
+            elif run.num_rows > 1:
+                yield from decided(run)
+        held, first, long = [], False, False
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        # The last row waits for the one after it.
-        table = pa.Table.from_batches([batch] if held is None else [held[0], batch]).combine_chunks()
-        rows = table.to_batches()[0]
-        anchors = rows.column(0).to_numpy()
-        same = anchors[:-1] == anchors[1:]
-        before = np.concatenate([[held is None or held[1]], same])
-        yield from exploded(rows, np.flatnonzero(before[:-1] | same))
-        held = rows.slice(rows.num_rows - 1), bool(before[-1])
-    if held is not None:
-        yield from exploded(held[0], np.array([0]))
-
-
-def exploded(rows: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per window of the suffixes at these rows."""
-    if not len(at):
-        return
-    found = rows.take(pa.array(at))
-    windows = found.column(3).to_pylist()
-    counts = np.array([len(w) // 8 for w in windows])
-    after = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    columns = [
-        pa.array(np.frombuffer(b"".join(windows), np.int64)),
-        pa.array(np.repeat(found.column(1).to_numpy(), counts)),
-        pa.array(np.repeat(found.column(2).to_numpy(), counts) + after),
-    ]
-    yield pa.record_batch(columns, names=list(WINDOW_ORDER))
+        anchors = batch.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(anchors)) + 1, [len(anchors)]])
+        if anchor is not None and anchor != anchors[0]:
+            yield from closed(False)
+        held.append(batch.slice(0, int(cuts[1])))
+        if len(cuts) > 2:
+            yield from closed(False)
+            inner = np.diff(cuts[1:-1])
+            wanted = np.repeat(inner > 1, inner)
+            yield from decided(batch.slice(int(cuts[1]), len(wanted)).filter(pa.array(wanted)))
+            held.append(batch.slice(int(cuts[-2])))
+        anchor = anchors[-1]
+        if sum(part.num_rows for part in held) > TOGETHER:
+            for part in held:
+                yield from undecided(part)
+            held, long = [], True
+    yield from closed(True)
 
 
 def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,17 +212,17 @@ def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def out(rows: list, at: np.ndarray, repeat: np.ndarray, copy: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         columns = [
             pa.array(np.full(len(at), part)), pa.array(edges[at].tolist(), pa.string()), *(pa.array(c[at]) for c in rows),
-            pa.array(repeat[at]), pa.array(copy[at]),
+            pa.array(repeat[at].astype(np.int64)), pa.array(copy[at].astype(np.int64)),
         ]
         return pa.record_batch(columns, names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy() for i in range(3)]
+        rows = [batch.column(i).to_numpy() for i in range(4)]
         if held is not None:
             rows = [np.concatenate([[h], c]) for h, c in zip(held[0], rows, strict=True)]
-        same = rows[0][:-1] == rows[0][1:]
+        same = (rows[0][:-1] == rows[0][1:]) & (rows[1][:-1] == rows[1][1:])
         copy = np.concatenate([[held is not None and held[1]], same])
         edges = np.full(len(same), None, object)
         repeat = copy[:-1] | same
@@ -183,15 +239,15 @@ def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def across_partitions(edges: list) -> list[tuple]:
-    """(id, place, copy) of the end rows that repeat, within their partition or across to the next.
+    """(id, place, repeats, copies) of the end rows that repeat, within their partition or across to the next.
 
     edges: two rows per partition at most, in order of partition.
     """
-    repeat, copy = [r["repeat"] for r in edges], [r["copy"] for r in edges]
+    repeat, copy = [r["repeats"] for r in edges], [r["copies"] for r in edges]
     for i, (before, after) in enumerate(zip(edges, edges[1:], strict=False)):
-        if before["window"] == after["window"]:
-            repeat[i] = repeat[i + 1] = copy[i + 1] = True
-    return [(r["id"], r["place"], c) for r, e, c in zip(edges, repeat, copy, strict=True) if e]
+        if (before["anchor"], before["window"]) == (after["anchor"], after["window"]):
+            repeat[i] = repeat[i + 1] = copy[i + 1] = 1
+    return [(r["id"], r["place"], e, c) for r, e, c in zip(edges, repeat, copy, strict=True) if e]
 
 
 def joined(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,23 +268,33 @@ def without(ranges: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.
 
 
 def word_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ranges of each id that repeat, and those to give up, from windows sorted by id and place."""
-
-    def ranges(ids: np.ndarray, places: np.ndarray, copy: np.ndarray) -> pa.RecordBatch:
-        known, number = np.unique(ids, return_inverse=True)
-        at = number * APART + places
+    """The ranges of each id that repeat, and those to give up, from places sorted by id and place."""
+
+    def ranges(ids: np.ndarray, places: np.ndarray, repeats: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
+        bits = np.arange(WINDOW)
+        row, bit = np.nonzero(repeats[:, None] >> bits & 1)
+        copy = (copies[row] >> bit & 1).astype(bool)
+        marks = places // APART
+        heads = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(marks) != 0)))
+        number = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(ids)))
+        at = number[row] * APART + (places % APART)[row] + bit
+        order = np.argsort(at, kind="stable")
+        at, copy = at[order], copy[order]
         found = {"repeat": joined(at), "copy": without(joined(at[copy]), joined(at[~copy]))}
         first, stop = (np.concatenate([r[i] for r in found.values()]) for i in range(2))
         text = first // APART
         kinds = np.repeat(list(found), [len(r[0]) for r in found.values()])
-        columns = [pa.array(kinds.tolist(), pa.string()), pa.array(known[text]), pa.array(first - text * APART), pa.array(stop - text * APART)]
+        columns = [
+            pa.array(kinds.tolist(), pa.string()), pa.array(ids[heads[text]]), pa.array(marks[heads[text]]),
+            pa.array(first - text * APART), pa.array(stop - text * APART),
+        ]
         return pa.record_batch(columns, names=[c.split()[0] for c in RANGE_SCHEMA.split(", ")])
 
     waiting: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
+        rows = [batch.column(i).to_numpy() for i in range(4)]
         # The last id may go on in the next batch.
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         if last or (waiting and waiting[-1][0][-1] != rows[0][-1]):
@@ -241,17 +307,19 @@ def word_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """kind, id, first, stop (words): ranges that repeat elsewhere (repeat) and those to give up (copy)."""
+    """kind, id, mark, first, stop (words): ranges that repeat elsewhere (repeat) and those to give up (copy)."""
     spark = documents.sparkSession
     with Scratch(spark, "suffixes") as scratch:
         ordered = suffixes(documents, key, text).repartitionByRange(*SUFFIX_ORDER).sortWithinPartitions(*SUFFIX_ORDER)
-        windows = scratch.written(ordered.mapInArrow(shared_windows, WINDOW_SCHEMA))
-        ordered = windows.repartitionByRange(*WINDOW_ORDER).sortWithinPartitions(*WINDOW_ORDER)
+        windows = scratch.written(ordered.mapInArrow(shared_windows, DECIDED_SCHEMA))
+        rest = windows.filter("window is not null").select(*WINDOW_ORDER)
+        ordered = rest.repartitionByRange(*WINDOW_ORDER).sortWithinPartitions(*WINDOW_ORDER)
         found = scratch.written(ordered.mapInArrow(equal_neighbours, MATCH_SCHEMA))
         # Two rows per partition at most.
         ends = found.filter("edge is not null").orderBy("part", F.col("edge") == "last").collect()
-        places = found.filter("edge is null").select("id", "place", "copy")
-        places = places.unionByName(spark.createDataFrame(across_partitions(ends), "id long, place long, copy boolean"))
+        columns = ["id", "place", "repeats", "copies"]
+        places = windows.filter("window is null").select(*columns).unionByName(found.filter("edge is null").select(*columns))
+        places = places.unionByName(spark.createDataFrame(across_partitions(ends), "id long, place long, repeats long, copies long"))
         places = places.repartition("id").sortWithinPartitions("id", "place")
         return written(places.mapInArrow(word_ranges, RANGE_SCHEMA), "repeated-ranges")
 
@@ -270,11 +338,13 @@ def without_copies(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     A text is cut from the start of a copy's first word to the start of the word after it.
     """
-    cuts = repeated_ranges(documents, key, text).filter("kind = 'copy'").groupBy("id")
-    cuts = cuts.agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("cuts")).withColumnRenamed("id", "cut_id")
+    cuts = repeated_ranges(documents, key, text).filter("kind = 'copy'").groupBy("id", "mark")
+    cuts = cuts.agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("cuts"))
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document")
-    rows = documents.select(F.col(key).cast("long").alias("cut_id"), F.col(text).alias("text"), whole)
-    rows = rows.join(cuts, "cut_id", "left").drop("cut_id")
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), whole)
+    # Rows without an id meet no cuts, and are spread by their text.
+    mark = F.when(F.col("id").isNull(), -1 - F.expr(MARK)).otherwise(F.expr(MARK))
+    rows = rows.withColumn("mark", mark).withColumn("id", F.coalesce("id", F.lit(0))).join(cuts, ["id", "mark"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +367,7 @@ def remainder(text: str, ranges: list[tuple[int, int]]) -> str:
     edges = [*found.starts.tolist(), len(data)]
     kept, at = [], 0
     for first, stop in ranges:
-        # A repeated id may carry a shorter text than the one that was measured.
+        # Should 23 bits of a hash not tell two texts of one id apart, the shorter is not overrun.
         kept.append(data[at : max(at, edges[min(first, len(edges) - 1)])])
         at = max(at, edges[min(stop, len(edges) - 1)])
     return b"".join([*kept, data[at:]]).decode()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tokens import MARKS, U64, Words, slices, text_bytes, words
+from quillgrid.llm.tokens import MARKS, SMALL_SLICE, U64, Words, slices, text_bytes, words
 from quillgrid.sources.scratch import Scratch
 
 #: None: the whole word; else its first bytes. The first that is in the lexicon counts.
@@ -90,29 +90,36 @@ class Model:
 
 def level_words(data: np.ndarray, bounds: np.ndarray) -> tuple[Words, list[np.ndarray]]:
     """Words of texts, and the hash of each word's feature at each level."""
-    found = [words(data, bounds, MARKS, prefix) for prefix in LEVELS]
-    return found[0], [f.hashes ^ U64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i, f in enumerate(found)]
+    whole = words(data, bounds, MARKS, LEVELS[0])
+    hashes = [whole.hashes] + [words(data, bounds, MARKS, prefix).hashes for prefix in LEVELS[1:]]
+    return whole, [h ^ U64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i, h in enumerate(hashes)]
 
 
 def maximal_segments(at: np.ndarray, odds: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (Ruzzo and Tompa): first and last scoring token, and the sum.
+    """All maximal scoring segments (Ruzzo and Tompa) in linear time: first and last scoring token, and the sum.
 
     at: places of the positive tokens; those between them score NEUTRAL each.
     """
-    kept: list[list[float]] = []  # first, last, sum before it, sum after it
+    done: list[tuple[int, int, float]] = []
+    kept: list[tuple] = []  # first, last, sum before it, sum after it, the nearest one before with a lower sum before it
     total, previous = 0.0, -1
     for place, score in zip(at.tolist(), odds.tolist(), strict=True):
         total += NEUTRAL * (place - previous - 1)
-        segment = [place, place, total, total + score]
-        total, previous = total + score, place
+        first, last, before, after = place, place, total, total + score
+        total, previous = after, place
         while True:
-            j = next((j for j in range(len(kept) - 1, -1, -1) if kept[j][2] < segment[2]), None)
-            if j is None or kept[j][3] >= segment[3]:
+            j = len(kept) - 1
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= after:
                 break
-            segment = [kept[j][0], segment[1], kept[j][2], segment[3]]
+            first, before = kept[j][0], kept[j][2]
             del kept[j:]
-        kept.append(segment)
-    return [(int(a), int(b), after - before) for a, b, before, after in kept]
+        if j < 0:  # nothing to come can reach back beyond this one
+            done += [(a, b, up - low) for a, b, low, up, _ in kept]
+            kept = []
+        kept.append((first, last, before, after, j))
+    return done + [(a, b, up - low) for a, b, low, up, _ in kept]
 
 
 def evidence_of(lexicon: Lexicon, segments: list[tuple[int, int, float]], n: int) -> float:
@@ -148,7 +155,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(bounds):
+            for lo, hi in slices(bounds, SMALL_SLICE):
                 found, hashes = level_words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 cuts = found.bounds[1:-1]
                 for level, values in enumerate(hashes):
@@ -234,7 +241,7 @@ def evidence_rows(rows: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
             evidence = np.zeros((batch.num_rows, len(lexicons)))
-            for lo, hi in slices(bounds):
+            for lo, hi in slices(bounds, SMALL_SLICE):
                 found, hashes = level_words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 for j, lexicon in enumerate(lexicons):
                     for text, _, value in scanned(lexicon, found, hashes):
@@ -317,7 +324,7 @@ def toxic_documents(documents: DataFrame, model: Model, key: str = "doc_id", tex
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
             evidence, passages = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for lo, hi in slices(bounds) if model.lexicon else ():
+            for lo, hi in slices(bounds, SMALL_SLICE) if model.lexicon else ():
                 part = data[bounds[lo] : bounds[hi]]
                 found, hashes = level_words(part, bounds[lo : hi + 1] - bounds[lo])
                 for number, segments, value in scanned(model.lexicon, found, hashes):
@@ -340,7 +347,7 @@ def without_toxic(documents: DataFrame, model: Model, text: str = "text") -> Dat
         for batch in batches:
             data, bounds = text_bytes(batch.column(at))
             evidence = np.zeros(batch.num_rows)
-            for lo, hi in slices(bounds) if model.lexicon else ():
+            for lo, hi in slices(bounds, SMALL_SLICE) if model.lexicon else ():
                 found, hashes = level_words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 for number, _, value in scanned(model.lexicon, found, hashes):
                     evidence[lo + number] = value

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import re
+import time
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +272,34 @@ def test_maximal_segments_are_the_best():
         assert all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
 
 
+def brute_segments(scores):
+    """Ruzzo and Tompa by definition: the greatest segment, then those on both sides of it."""
+    best = max(((scores[i : j + 1].sum(), i, j) for i in range(len(scores)) for j in range(i, len(scores))), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, i, j = best
+    right = [(a + j + 1, b + j + 1) for a, b in brute_segments(scores[j + 1 :])]
+    return [*brute_segments(scores[:i]), (i, j), *right]
+
+
+def test_all_maximal_segments():
+    rng = np.random.default_rng(23)
+    for _ in range(60):
+        at = np.flatnonzero(rng.random(30) < rng.choice([0.1, 0.4]))
+        odds = rng.random(len(at)) * 2 + 0.1
+        scores = np.full(30, -0.2)
+        scores[at] = odds
+        assert [(a, b) for a, b, _ in maximal_segments(at, odds)] == brute_segments(scores)
+
+
+def test_segments_are_found_in_linear_time():
+    lone = np.arange(100_000) * 50
+    for odds in (np.full(100_000, 1.0), np.linspace(5, 1, 100_000), np.linspace(1, 12, 100_000)):
+        started = time.perf_counter()
+        maximal_segments(lone, odds)
+        assert time.perf_counter() - started < 2
+
+
 def repeated_words(texts):
     places = collections.defaultdict(set)
     for n, (i, text) in enumerate(texts):
@@ -290,12 +320,8 @@ def test_repeated_passages(spark, corpus):
     for r in suffixes.repeated_passages(frame(spark, corpus)).filter("kind = 'repeat'").collect():
         found[r["doc_id"]].update(range(r["first_word"], r["stop_word"]))
     truth = repeated_words(texts)
-    # Nothing that does not repeat; passages between different texts in full. Among many variants of
-    # one text a place may stand next to another variant than its partner, so some words are missed there.
+    assert found == truth
     variants = set(range(40, 62))
-    assert all(found[i] <= truth[i] for i in found)
-    assert {i: c for i, c in found.items() if i not in variants} == {i: c for i, c in truth.items() if i not in variants}
-    assert sum(len(found[i]) for i in variants) >= 0.8 * sum(len(truth[i]) for i in variants)
     docs = frame(spark, corpus)
     left = suffixes.without_copies(docs)
     assert left.columns == docs.columns
@@ -327,6 +353,50 @@ def test_each_repeated_passage_still_stands(spark, corpus):
     assert {stands[w] for w in inner} == {1} and {repeated[w] for w in inner} == {3}
 
 
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    """Cuts and near-duplicates go by row: a text is not cut, nor dropped, for what another of its id holds."""
+    rng = np.random.default_rng(21)
+    passage, own, other = prose(rng, 80), prose(rng, 100), prose(rng, 120)
+    texts = [(1, f"{passage} {prose(rng, 30)}"), (2, f"{prose(rng, 20)} {passage}"), (2, own), (3, other), (3, other), (None, passage)]
+    left = collections.Counter((r["doc_id"], r["text"]) for r in suffixes.without_copies(frame(spark, texts)).collect())
+    assert left[(2, own)] == 1 and left[(3, other)] == 2 and left[(1, texts[0][1])] == 1 and left[(None, passage)] == 1
+    assert (2, texts[1][1]) not in left and sum(left.values()) == 6
+    texts += [(4, own + " more"), (5, other), (6, None), (6, ""), (None, None)]
+    schema = "doc_id long, text string, gone string, row long, document string, `key` string"
+    docs = spark.createDataFrame([(i, t, "a", n, "d", "k") for n, (i, t) in enumerate(texts)], schema)
+    kept = near_duplicates.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    expected = [*texts[:3], (3, other), (None, passage), (6, None), (6, ""), (None, None)]
+    assert kept == collections.Counter(expected)
+    assert near_duplicates.without_near_duplicates(docs.limit(0)).count() == 0 == suffixes.without_copies(docs.limit(0)).count()
+
+
+def test_long_runs_and_partition_ends_are_decided_by_the_second_sort(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    passage = prose(rng, 75)
+    texts = [(i, f"{prose(rng, int(rng.integers(0, 40)))} {passage} {prose(rng, 12)}") for i in range(300)]
+    truth = repeated_words(texts)
+    rows = [r for r in suffixes.suffixes(frame(spark, texts), "doc_id", "text").orderBy(*suffixes.SUFFIX_ORDER).toArrow().to_batches(500)]
+    for together in (20, 1 << 14):
+        monkeypatch.setattr(suffixes, "TOGETHER", together)
+        out = pa.Table.from_batches(suffixes.shared_windows(iter(rows))).to_pylist()
+        rest = collections.defaultdict(set)
+        for r in out:
+            if r["window"] is not None:
+                rest[(r["anchor"], r["window"])].add((r["id"], r["place"]))
+        found = collections.defaultdict(set)
+        for places in rest.values():
+            for i, p in places if len(places) > 1 else ():
+                found[i].update(range(p % suffixes.APART, p % suffixes.APART + 50))
+        for r in out:
+            for bit in range(25) if r["window"] is None else ():
+                if r["repeats"] >> bit & 1:
+                    found[r["id"]].update(range(r["place"] % suffixes.APART + bit, r["place"] % suffixes.APART + bit + 50))
+        assert found == truth
+        assert (len(rest) > 20) == (together == 20)
+
+
 def test_every_repeat_among_variants_is_found(spark, corpus):
     texts = [(n, t) for n, (_, t) in enumerate(corpus)]
     rng = np.random.default_rng(3)
