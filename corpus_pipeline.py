@@ -1,4 +1,10 @@
-"""From raw documents to token ids: toxic ones go, copies go, sources are mixed, texts are encoded."""
+"""From raw documents to token ids: toxic ones go, copies go, sources are mixed, texts are encoded.
+
+Defined results: null and empty texts are clean, copies of nothing, and may be drawn; rows
+without an id stay in every filter and are encoded under a null id; rows that share an id
+are judged one by one, and of rows equal in id and text one stays; extra columns, whatever
+their names, are kept up to the last stage; an empty table gives an empty result.
+"""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +16,7 @@ from quillgrid.llm.pair_index_bpe import encode_documents
 from quillgrid.llm.parameters import SEED, SHARE, source_tree, toxicity_model
 from quillgrid.llm.suffixes import without_copies
 from quillgrid.llm.toxicity import without_toxic
-from quillgrid.sources.scratch import written
+from quillgrid.sources.scratch import remove, scratch_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and reread by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each result written and reread by the next, and removed when that is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        found = stage(spark, docs, sf_dir)
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
