@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.profiles import PROFILE_SQL
+from checks.profiles import PROFILE_SQL, SPELT_SQL, spelt
 from checks.registry import DIRTY_SQL, PARSED_SQL, dirty, query
 from quillgrid.operators.cleaning import Step, clean, clean_and_compare
 from quillgrid.operators.profile import profile_table
@@ -26,6 +26,12 @@ _cleaned("coerce_datetime", f"WITH {PARSED_SQL} SELECT order_id, cast(moment AS
 _cleaned("coerce_boolean", f"WITH {DIRTY_SQL} SELECT order_id, fulfilled = 'Yes' AS fulfilled FROM dirty",
          Step("coerce_type", "fulfilled", {"target": "boolean"}), columns=["order_id", "fulfilled"])
 
+
+@query("coerce_date_spellings", SPELT_SQL)
+def coerce_date_spellings(spark, sf):
+    return clean(spelt(spark, sf), [Step("coerce_type", "moment", {"target": "datetime"})]).frame
+
+
 _FILLS = {
     "median": ("quantity", "(SELECT quantile_cont(quantity, 0.5) FROM dirty)"),
     "mean": ("quantity", "(SELECT sum(quantity) / count(quantity) FROM dirty)"),
@@ -112,12 +118,13 @@ def suggestions(spark, sf):
     "before_after",
     PROFILE_SQL
     + ", after_rows AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM dirty)), bad AS (SELECT count(*) AS n FROM (SELECT DISTINCT order_id FROM dirty WHERE order_date = 'garbage')) "
-    "SELECT (SELECT max(total) FROM typed) AS rows_before, after_rows.n AS rows_after, (SELECT cast(sum(total - present) AS bigint) FROM typed) AS missing_cells_before, bad.n AS missing_cells_after, "
-    "copies.n AS duplicate_rows_before, cast(0 AS bigint) AS duplicate_rows_after, (SELECT cast(round(100 - sum(lost)) AS bigint) FROM capped) AS health_before FROM after_rows, bad, copies",
+    "SELECT 'rows' AS measure, (SELECT max(total) FROM typed) AS before, after_rows.n AS after FROM after_rows "
+    "UNION ALL SELECT 'missing_cells', (SELECT cast(sum(total - present) AS bigint) FROM typed), bad.n FROM bad "
+    "UNION ALL SELECT 'duplicate_rows', copies.n, 0 FROM copies UNION ALL SELECT 'health', (SELECT cast(round(100 - sum(lost)) AS bigint) FROM capped), NULL",
 )
 def before_after(spark, sf):
     frame = dirty(spark, sf)
     before = profile_table(frame)
     steps = accepted_steps(suggest_cleaning(spark, before))
     _, _, comparison = clean_and_compare(frame, steps, before)
-    return comparison.to_frame(spark).drop("health_after")
+    return comparison.withColumn("after", F.when(F.col("measure") != "health", F.col("after")))

@@ -1,5 +1,8 @@
 """Dashboard tables, facts, ledger rollups and calendar helpers."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.plans import ENDS, SPINES
@@ -155,43 +158,64 @@ def dashboard_filters(spark, sf):
     return rows.groupBy("priority").agg(F.count("*").alias("rows"))
 
 
+_SHOWN = {
+    "kpis": "SELECT 'Records' AS label, count(*) AS value FROM parsed UNION ALL SELECT 'Total revenue', cast(sum(exact_amount) AS double) FROM parsed "
+    "UNION ALL SELECT 'Total quantity', sum(quantity) FROM parsed",
+    "dates": "SELECT edge, datediff('day', DATE '1970-01-01', cast(day AS date)) FROM (SELECT unnest(['date_from', 'date_to']) AS edge, unnest([min(moment), max(moment)]) AS day FROM parsed)",
+    "options": "SELECT fulfilled, count(*) FROM parsed GROUP BY 1",
+    "lines": f"SELECT metric || ' ' || period, total FROM ({_series_sql('parsed', 'moment', _AMOUNT, 'ME')})",
+    "bars": "SELECT dimension || ' ' || category, round(cast(total AS double), 2) FROM g",
+    "shares": "SELECT dimension || ' ' || category, round(cast(total AS double) / cast(sum(total) OVER (PARTITION BY dimension) AS double) * 100, 2) FROM g",
+    "histograms": f"SELECT 'revenue ' || bin, count FROM ({_histogram_sql('(SELECT * FROM parsed WHERE amount IS NOT NULL)', 'amount')}) "
+    f"UNION ALL SELECT 'quantity ' || bin, count FROM ({_histogram_sql('(SELECT * FROM parsed WHERE quantity IS NOT NULL)', 'quantity')})",
+    "boxes": "SELECT fulfilled || ' ' || unnest(['min', 'q1', 'median', 'q3', 'max']), unnest(list_transform(quantile_cont(amount, [0, 0.25, 0.5, 0.75, 1]), lambda q: round(q, 2))) FROM parsed GROUP BY fulfilled",
+    "correlations": "SELECT a || '~' || b, r FROM (SELECT unnest(['revenue', 'quantity', 'revenue', 'quantity']) AS a, unnest(['revenue', 'quantity', 'quantity', 'revenue']) AS b, "
+    "unnest([1.0, 1.0, corr, corr]) AS r FROM (SELECT round(corr(amount, quantity), 3) AS corr FROM parsed))",
+}
+
+
 @query(
     "dashboard_build",
-    f"WITH {PARSED_SQL}, y AS (SELECT * FROM parsed WHERE moment >= timestamp '1997-01-01' AND moment < timestamp '1998-01-01'), "
-    "bars AS (SELECT 'bars' AS part, coalesce(priority, '(missing)') AS label, round(cast(sum(exact_amount) AS double), 2) AS value FROM y GROUP BY 2 "
-    "UNION ALL SELECT 'bars', fulfilled, round(cast(sum(exact_amount) AS double), 2) FROM y GROUP BY 2) "
-    "SELECT * FROM bars UNION ALL SELECT 'kpis', 'Records', count(*) FROM y UNION ALL SELECT 'kpis', 'Total revenue', cast(sum(exact_amount) AS double) FROM y "
-    "UNION ALL SELECT 'kpis', 'Total quantity', sum(quantity) FROM y "
-    "UNION ALL SELECT 'options', fulfilled, count(*) FROM parsed GROUP BY 2",
+    _GROUPED + " UNION ALL ".join(f"SELECT '{part}' AS part, label, cast(value AS double) AS value FROM ({sql}) t(label, value)" for part, sql in _SHOWN.items()),
 )
 def dashboard_build(spark, sf):
-    """The whole dashboard of one year; its tiles, bars and options as one table."""
+    """All nine tables of the dashboard over all rows, as one."""
     frame = dirty(spark, sf)
-    built = dashboard.build_dashboard(frame, profile_table(frame), dashboard.DashboardFilters("1997-01-01", "1997-12-31"))
-    part = lambda name, df, label, value: df.select(F.lit(name).alias("part"), F.col(label).alias("label"), F.col(value).cast("double").alias("value"))
-    return (
-        part("bars", built.bars, "category", "total")
-        .unionByName(part("kpis", built.kpis, "label", "value"))
-        .unionByName(part("options", built.category_options, "value", "count"))
-    )
+    built = dashboard.build_dashboard(frame, profile_table(frame))
+    days = built.date_options.select(F.inline(F.array(*[F.struct(F.lit(c).alias("edge"), F.datediff(c, F.lit("1970-01-01")).alias("day")) for c in ("date_from", "date_to")])))
+    stats = ["min", "q1", "median", "q3", "max"]
+    boxes = built.boxes.select("category", F.inline(F.array(*[F.struct(F.lit(m).alias("stat"), F.col(m).alias("value")) for m in stats])))
+    shown = {
+        "kpis": (built.kpis, ["label"], " ", "value"), "dates": (days, ["edge"], " ", "day"), "options": (built.category_options, ["value"], " ", "count"),
+        "lines": (built.lines, ["metric", "period"], " ", "total"), "bars": (built.bars, ["dimension", "category"], " ", "total"),
+        "shares": (built.shares, ["dimension", "category"], " ", "share_pct"), "histograms": (built.histograms, ["metric", "bin"], " ", "count"),
+        "boxes": (boxes, ["category", "stat"], " ", "value"), "correlations": (built.correlations, ["column_a", "column_b"], "~", "r"),
+    }
+    parts = [
+        rows.select(F.lit(part).alias("part"), F.concat_ws(mark, *[F.col(c).cast("string") for c in label]).alias("label"), F.col(value).cast("double").alias("value"))
+        for part, (rows, label, mark, value) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
     "starter_plan_answers",
     f"WITH {PARSED_SQL} SELECT 'top_n' AS operation, fulfilled AS label, round(cast(sum(exact_amount) AS double), 2) AS value FROM parsed GROUP BY 2 "
     "UNION ALL SELECT 'aggregate', 'mean_revenue', round(cast(sum(exact_amount) AS double) / count(exact_amount), 2) FROM parsed "
-    "UNION ALL SELECT 'correlate', 'revenue~quantity', round(corr(amount, quantity), 4) FROM parsed",
+    "UNION ALL SELECT 'correlate', 'revenue~quantity', round(corr(amount, quantity), 4) FROM parsed "
+    f"UNION ALL SELECT 'trend', cast(period AS varchar), total FROM ({_series_sql('parsed', 'moment', {'revenue': _AMOUNT['revenue']}, 'ME')})",
 )
 def starter_plan_answers(spark, sf):
     frame = dirty(spark, sf)
     top, trend, correlate, average = starter_plans(profile_table(frame))
-    assert trend.date_column == "order_date"
     answers = [
         run_plan(frame, top).rows.select(F.lit("top_n").alias("operation"), F.col("fulfilled").alias("label"), F.round("sum_revenue", 2).alias("value")),
         run_plan(frame, average).rows.select(F.lit("aggregate"), F.lit("mean_revenue"), F.round("mean_revenue", 2)),
         run_plan(frame, correlate).rows.select(F.lit("correlate"), F.concat_ws("~", "column_a", "column_b"), "pearson_r"),
     ]
-    return answers[0].union(answers[1]).union(answers[2])
+    series = run_plan(frame, trend).rows
+    answers.append(series.select(F.lit("trend"), F.col("period").cast("string"), F.round(trend.metrics[0].name, 2)))
+    return reduce(DataFrame.union, answers)
 
 
 # --- Calendar series ---------------------------------------------------------------

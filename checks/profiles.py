@@ -92,6 +92,30 @@ def parse_text_columns(spark, sf):
     )
 
 
+#: Spellings of a moment by turns, and what each of them keeps of it.
+SPELLINGS = (
+    ("MM/dd/yyyy h:mm a", "minute"), ("MM/dd/yy", "day"), ("MMM yyyy", "month"), ("yyyy-MM-dd hh:mm a", "minute"),
+    ("EEE, dd MMM yyyy", "day"), ("EEEE, MMMM d, yyyy HH:mm", "minute"), ("d-MMM-yy", "day"), ("yyyy/MM/dd HH:mm:ss", "second"),
+)
+SPELT_SQL = (
+    "SELECT o_orderkey, CASE o_orderkey % 8 "
+    + " ".join(f"WHEN {i} THEN date_trunc('{kept}', spelt)" for i, (_, kept) in enumerate(SPELLINGS))
+    + " END AS moment FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP + to_seconds(o_orderkey * 37 % 86400) AS spelt FROM orders)"
+)
+
+
+def spelt(spark, sf):
+    k = F.col("o_orderkey")
+    at = F.timestamp_add("SECOND", (k * 37 % 86400).cast("int"), F.col("o_orderdate").cast("timestamp"))
+    text = F.coalesce(*[F.when(k % 8 == i, F.date_format(at, pattern)) for i, (pattern, _) in enumerate(SPELLINGS)])
+    return table(spark, sf, "orders").select("o_orderkey", text.alias("moment"))
+
+
+@query("parse_date_spellings", SPELT_SQL)
+def parse_date_spellings(spark, sf):
+    return spelt(spark, sf).select("o_orderkey", text_to_moment(F.col("moment")).cast("timestamp").alias("moment"))
+
+
 @query(
     "missing_by_column",
     f"WITH {DIRTY_SQL}, m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS missing_count, round((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct FROM dirty" for c in DIRTY_COLUMNS) + ") SELECT * FROM m WHERE missing_count > 0",
@@ -137,8 +161,8 @@ def _stats_sql(source: str, columns: dict[str, str]) -> str:
 
 
 def _stats(spark, frame, names):
-    found = numeric_summary(frame, {n: number_of(frame, n) for n in names}, None)
-    rows = [(n, *[half_up(getattr(s, k), 4) for k in ("mean", "median", "std", "min", "max", "q1", "q3", "skew")]) for n, s in found.items()]
+    found = numeric_summary(frame, {n: number_of(frame, n) for n in names})
+    rows = [(n, *[half_up(s[k], 4) for k in ("mean", "median", "std", "min", "max", "q1", "q3", "skew")]) for n, s in found.items()]
     return small_frame(spark, rows, "name string, mean double, median double, std double, min double, max double, q1 double, q3 double, skew double")
 
 
@@ -164,11 +188,11 @@ def count_duplicates(spark, sf):
 def outlier_counts(spark, sf):
     frame = table(spark, sf, "events")
     n = frame.count()
-    s = numeric_summary(frame, {"value": F.col("value")}, {"value": n})["value"]
+    s = numeric_summary(frame, {"value": F.col("value")})["value"]
     v = F.col("value")
     return frame.agg(
-        F.count_if(iqr_outlier(v, n, s.q1, s.q3)).alias("iqr"),
-        F.count_if(zscore_outlier(v, n, s.mean, s.std)).alias("zscore"),
+        F.count_if(iqr_outlier(v, n, s["q1"], s["q3"])).alias("iqr"),
+        F.count_if(zscore_outlier(v, n, s["mean"], s["std"])).alias("zscore"),
     )
 
 
@@ -180,8 +204,8 @@ def outlier_counts(spark, sf):
 def outlier_rows(spark, sf):
     frame = table(spark, sf, "events")
     n = frame.count()
-    s = numeric_summary(frame, {"value": F.col("value")}, {"value": n})["value"]
-    return frame.where(iqr_outlier(F.col("value"), n, s.q1, s.q3)).select("event_id", "value")
+    s = numeric_summary(frame, {"value": F.col("value")})["value"]
+    return frame.where(iqr_outlier(F.col("value"), n, s["q1"], s["q3"])).select("event_id", "value")
 
 
 def _matrix_sql(source: str, columns: dict[str, str], method: str) -> str:
@@ -204,7 +228,7 @@ def _matrix_sql(source: str, columns: dict[str, str], method: str) -> str:
 def _matrix(spark, frame, names, method):
     columns = {n: number_of(frame, n) for n in names}
     found = {"pearson": pearson_pairs, "spearman": spearman_pairs}[method](frame, columns)
-    stats = numeric_summary(frame, columns, None)
+    stats = numeric_summary(frame, columns)
     return small_frame(spark, correlation_rows(names, stats, {method: found}), "method string, column_a string, column_b string, r double")
 
 
@@ -227,6 +251,24 @@ def isolation_forest(spark, sf):
     )
 
 
+@query(
+    "isolation_forest_planted",
+    "SELECT o_orderkey % 200 = 7 AS planted, count(*) AS rows, true AS in_range, true AS told_apart FROM orders GROUP BY 1",
+)
+def isolation_forest_planted(spark, sf):
+    """Orders far off in two columns: each of them scores above the cut, the others below it on average."""
+    far = F.col("o_orderkey") % 200 == 7
+    spread = (F.col("o_totalprice") / 1000 % 7, F.col("o_custkey") % 11)
+    cells = [F.when(far, 90.0 + c).otherwise(c.cast("double")).alias(n) for n, c in zip("ab", spread)]
+    scored = isolation_scores(table(spark, sf, "orders").select(*cells), {n: F.col(n) for n in "ab"})
+    planted, above = F.col("a") >= 90, F.col("score") > CUT
+    return scored.groupBy(planted.alias("planted")).agg(
+        F.count("*").alias("rows"),
+        F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+        F.when(F.first(planted), F.bool_and(above)).otherwise(F.avg("score") < CUT).alias("told_apart"),
+    )
+
+
 # --- Health --------------------------------------------------------------------
 
 PROFILE_SQL = (
@@ -342,6 +384,6 @@ def dimensions_ranked(spark, sf):
 def profile_of(facts, readings) -> TableProfile:
     from quillgrid.operators.profile import ColumnProfile
 
-    columns = [ColumnProfile(f.name, "", r.semantic, 0, 0.0, f.distinct, [], f.distinct <= 1) for f, r in zip(facts, readings)]
+    columns = [ColumnProfile(f, r) for f, r in zip(facts, readings)]
     return TableProfile(0, len(columns), 0, 0, columns, [], 0)
 

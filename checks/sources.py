@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.cleaning import FULL_PLAN
 from checks.dashboards import _GROUPED
+from checks.forecasts import HORIZON, KEY, SERIES_SQL
 from checks.registry import DIRTY_SQL, dirty, query, table
 from quillgrid.operators import facts
 from quillgrid.operators.cleaning import Step, clean
@@ -67,19 +68,100 @@ def csv_repaired_names(spark, sf):
     return read_delimited(spark, path + GLOB)
 
 
-@query("file_layouts", "SELECT 'UTF-8' AS encoding, ',' AS delimiter, 'id,status,price' AS header, true AS all_bytes_listed")
+def _export(spark, sf, label, mark="", **options) -> str:
+    """Orders with an accented text column that holds delimiters, written in one layout."""
+    k = F.col("o_orderkey")
+    note = F.concat(F.lit("né, "), "o_orderpriority", F.when(k % 5 == 0, ' "x"; y|z\tw').otherwise(""))
+    rows = table(spark, sf, "orders").select(k.alias(mark + "id"), F.col("o_totalprice").alias("price"), note.alias("note"), "o_orderstatus")
+    path = scratch_path(spark, label)
+    rows.write.options(header=True, escape='"', **options).csv(path)
+    return path + GLOB
+
+
+_EXPORTED_SQL = (
+    "SELECT o_orderkey AS id, o_totalprice AS price, 'né, ' || o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN ' \"x\"; y|z' || chr(9) || 'w' ELSE '' END AS note, "
+    "o_orderstatus FROM orders"
+)
+
+
+def _layout_query(name: str, mark: str = "", **options):
+    @query(f"csv_{name}", _EXPORTED_SQL)
+    def run(spark, sf):
+        """Written in this layout, read back without being told."""
+        return read_delimited(spark, _export(spark, sf, name, mark, **options))
+
+
+_layout_query("semicolon", sep=";")
+_layout_query("tab", sep="\t", ignoreTrailingWhiteSpace=False)
+_layout_query("pipe", sep="|")
+_layout_query("latin1", encoding="ISO-8859-1")
+_layout_query("utf16", encoding="UTF-16LE")
+_layout_query("bom", mark="\ufeff")
+
+
+@query(
+    "csv_empty_surplus",
+    "SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 5 > 1",
+)
+def csv_empty_surplus(spark, sf):
+    """Surplus fields make a line too long even where they are empty."""
+    k = F.col("o_orderkey")
+    price = F.when(k % 3 > 0, F.col("o_totalprice").cast("string")).otherwise("")
+    surplus = F.when(k % 5 == 0, ",").when(k % 5 == 1, ",,x").otherwise("")
+    line = F.concat_ws(",", k.cast("string"), "o_orderstatus", F.concat(price, surplus))
+    path = scratch_path(spark, "surplus")
+    table(spark, sf, "orders").select(line.alias("id,status,price")).write.options(header=True, quote="", sep="\x01").csv(path)
+    return read_delimited(spark, path + GLOB)
+
+
+@query(
+    "csv_line_breaks",
+    "SELECT o_orderkey AS id, 'first' || chr(10) || chr(10) || '\"' || o_orderstatus || '\", ' || o_orderpriority AS note, o_totalprice AS price FROM orders",
+)
+def csv_line_breaks(spark, sf):
+    """Quoted fields with line breaks, doubled quotes and delimiters, in splits that records go over."""
+    note = F.concat(F.lit('first\n\n"'), "o_orderstatus", F.lit('", '), "o_orderpriority")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), note.alias("note"), F.col("o_totalprice").alias("price"))
+    path = scratch_path(spark, "breaks")
+    write_csv(rows, path)
+    return read_delimited(spark, path + GLOB)
+
+
+@query(
+    "file_layouts",
+    "SELECT * FROM (VALUES ('UTF-8', ',', 'id,status,price'), ('UTF-8', ';', 'id,price,note,o_orderstatus'), ('UTF-16LE', ',', 'id,price,note,o_orderstatus'), "
+    "('ISO-8859-1', ',', 'id,price,note,o_orderstatus')) t(encoding, delimiter, header), (SELECT true AS all_bytes_listed)",
+)
 def file_layouts(spark, sf):
-    manifest = file_manifest(audit_files(spark, _ragged(spark, sf)))
+    """Layouts of files written from the orders, by what their first bytes hold."""
+    paths = [
+        _ragged(spark, sf), _export(spark, sf, "layout", sep=";"), _export(spark, sf, "layout", encoding="UTF-16LE"),
+        _export(spark, sf, "layout", encoding="ISO-8859-1"),
+    ]
+    manifest = file_manifest(audit_files(spark, paths))
     return manifest.groupBy("encoding", "delimiter", F.array_join("header", ",").alias("header")).agg(
         F.bool_and(F.col("length") > 0).alias("all_bytes_listed")
     )
 
 
-@query("file_audit")
+@query(
+    "file_audit",
+    "WITH p AS (SELECT count(DISTINCT o_orderpriority) AS n FROM orders) SELECT 'large' AS kind, 'too large' AS reject_reason, n AS files FROM p "
+    "UNION ALL SELECT 'small', NULL, n FROM p UNION ALL SELECT 'other', 'extension', n FROM p UNION ALL SELECT 'none', 'empty', 1",
+)
 def file_audit(spark, sf):
-    """Sizes of the given files against a limit: depends on the files, not on their rows."""
-    audited = audit_files(spark, sf, max_bytes=1_000_000, extensions=(".parquet",))
-    return audited.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "reject_reason")
+    """Orders as one file per priority: whole, one line of each, one line with another ending; and an empty file."""
+    path = scratch_path(spark, "audit")
+    lines = table(spark, sf, "orders").select("o_orderpriority", F.col("o_orderstatus").alias("value"))
+    first = lines.groupBy("o_orderpriority").agg(F.min("value").alias("value"))
+    written_as = {"large": (lines, "text"), "small": (first, "text"), "other": (first, "csv")}
+    for kind, (rows, form) in written_as.items():
+        rows.repartition("o_orderpriority").write.partitionBy("o_orderpriority").format(form).save(f"{path}/{kind}")
+    lines.limit(0).select("value").write.text(f"{path}/none")
+    places = [f"{path}/{kind}/*/part-*" for kind in written_as] + [f"{path}/none/part-*"]
+    audited = audit_files(spark, places, max_bytes=100, extensions=(".txt",))
+    kind = F.regexp_extract("path", "/(large|small|other|none)/", 1).alias("kind")
+    return audited.groupBy(kind, "reject_reason").agg(F.count("*").alias("files"))
 
 
 @query(
@@ -147,16 +229,21 @@ def stored_facts(spark, sf):
     return store.read_facts("segments").select("version", "dimension", "top_name")
 
 
-@query("stored_forecasts", "SELECT run, count AS periods FROM (VALUES (1, 6), (2, 12)) t(run, count)")
+@query(
+    "stored_forecasts",
+    SERIES_SQL + f"SELECT project, 1 AS run, 'o_totalprice' AS metric, 'ME' AS frequency, {HORIZON} AS horizon, bands.* FROM bands, (VALUES ('p1'), ('p2')) t(project)",
+)
 def stored_forecasts(spark, sf):
+    """Two projects with the same run number; a run that is written again replaces itself."""
     store = VersionStore(spark, scratch_path(spark, "store"))
-    series = prepare_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice")
-    for run, horizon in ((1, 6), (2, 12)):
-        store.append_forecast(run, run_forecast(series, horizon, ["seasonal_naive"]).forecast)
-    return store.read_forecasts().groupBy(F.col("run").cast("int").alias("run")).agg(F.count("*").cast("int").alias("periods"))
+    made = run_forecast(prepare_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", [KEY]), HORIZON, ["seasonal_naive"])
+    for project in ("p1", "p2", "p1"):
+        store.append_forecast(project, 1, "o_totalprice", made)
+    found = store.read_forecasts().withColumn(KEY, F.col("series")[KEY]).drop("series")
+    return found.withColumn("run", F.col("run").cast("int"))
 
 
-@query("preview_rows")
+@query("preview_rows", "SELECT * FROM lineitem ORDER BY ALL LIMIT 100")
 def preview_rows(spark, sf):
     return preview(table(spark, sf, "lineitem"))
 

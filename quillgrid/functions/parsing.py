@@ -3,6 +3,7 @@
 Everything here stays inside whole-stage codegen: no Python runs per row.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,17 +17,30 @@ BOOLEAN_TOKENS = {
 }
 NUMBER_MARKS = "$€£₹¥,"
 SPACES = " \t\n\r\f\v                 　"
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+SHORT_YEARS = 69  # 69 to 99 are 1969 to 1999, 00 to 68 are 2000 to 2068
+LONGEST_DATE = 60
 MISSING_LABEL = "(missing)"
 # -----------------------------------------------------------------------------
 
 _NUMBER = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)%?$"
-_TIME = r"([ T][0-9].*)?$"
-_ISO = r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2}" + _TIME[:-1] + r")?$"
-_YEAR_FIRST = r"^([0-9]{4})[./]([0-9]{1,2})[./]([0-9]{1,2})" + _TIME
-_YEAR_LAST = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})" + _TIME
-_MONTH_NAMED = r"^([A-Za-z]{3})[A-Za-z]*\.? ([0-9]{1,2}),? ([0-9]{4})" + _TIME
-_DAY_NAMED = r"^([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*\.?,?[ -]([0-9]{4})" + _TIME
+# Spellings of days. Each pattern is anchored, so a cell that is no date fails at its first letters.
+_REST = r"([ T][0-9].*)?$"
+_YEAR_FIRST = r"^[0-9]{4}[./-][0-9]"
+_YEAR_SLASHED = r"^([0-9]{4})[./]([0-9]{1,2})[./]([0-9]{1,2})" + _REST
+_YEAR_DASHED = r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2}" + _REST[:-1] + r")?$"
+_YEAR_LAST = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})" + _REST
+_SHORT_YEAR = r"^(?<day>[0-9]{1,2}[/.-][0-9]{1,2}[/.-])(?=[0-9]{2}(?:[ T]|$))"
+_ORDINAL, _YEAR, _DAY, _NAME = "(?:st|nd|rd|th)?", "([0-9]{4}|[0-9]{2})", "([0-9]{1,2})", r"([a-z]{3,9})\.?"
+# Groups: name, day, year | day, name, year | name, year | year, name, day; then the time.
+_NAMED = (
+    rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +)?(?:{_NAME}[ -]{_DAY}{_ORDINAL},?[ -]{_YEAR}|{_DAY}{_ORDINAL}[ -]{_NAME},?[ -]{_YEAR}"
+    rf"|{_NAME},?[ -]([0-9]{{4}})|([0-9]{{4}})[ -]{_NAME}[ -]{_DAY})((?:,? [0-9].*)?)$"
+)
+_NAMED_PARTS = "$3$6$8$9;$1$5$7$10;$2$4$11;$12"
+_PLAIN_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9:.]+)?$"
+_HALF_DAY = r"[aApP]\.?[mM]\.?$"
+_CLOCK = r"(?i)^(.+?),?[ T]+([0-9]{1,2})(?::([0-9]{2}))?(?::([0-9]{2}(?:\.[0-9]{1,6})?))? ?([ap])\.?m\.?$"
 
 
 def strip_marks(text: Column, decimal_comma: bool = False) -> Column:
@@ -46,32 +60,72 @@ def text_to_number(text: Column, decimal_comma: bool = False) -> Column:
     return F.when(text.rlike("[0-9]"), F.regexp_extract(bare, _NUMBER, 1).try_cast("double"))
 
 
-def text_to_moment(text: Column) -> Column:
-    """Read mixed date spellings; month comes first where day and month are ambiguous."""
-    t = F.trim(text)
+def century(year: Column) -> Column:
+    """Two digits from SHORT_YEARS on are of the last century."""
+    prefix = F.when(year >= f"{SHORT_YEARS:02d}", "19").otherwise("20")
+    return F.when(F.length(year) == 2, F.concat(prefix, year)).otherwise(year)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used; keeps generated code small."""
+    return F.transform(F.array(value), use)[0]
+
 
-    def rewritten(pattern: str, order: str) -> Column:
-        return F.regexp_replace(t, pattern, order).try_cast("timestamp_ntz")
+def _named_day(parts: Column) -> Column:
+    """From year, month name, day and time."""
+    year, name, day, time = (parts[i] for i in range(4))
+    numbers = {m: i for i, long in enumerate(MONTHS, 1) for m in (long, long[:3])} | {"sept": 9}
+    month = F.create_map(*[F.lit(str(x)) for pair in numbers.items() for x in pair])[F.lower(name)]
+    day = F.when(day == "", "1").otherwise(day)
+    time = F.regexp_replace(time, "^,? ", " ")
+    return F.concat(century(year), F.lit("-"), month, F.lit("-"), day, time).try_cast("timestamp_ntz")
 
-    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, str(i))])
 
-    def named(pattern: str, month: int, day: int) -> Column:
-        number = months[F.lower(F.regexp_extract(t, pattern, month))]
-        return F.concat(
-            F.regexp_extract(t, pattern, 3), F.lit("-"), number, F.lit("-"),
-            F.regexp_extract(t, pattern, day), F.regexp_extract(t, pattern, 4),
-        ).try_cast("timestamp_ntz")
+def _day_and_time(t: Column) -> Column:
+    """Moments of the spellings without am and pm."""
 
+    def rewritten(text: Column, pattern: str, order: str) -> Column:
+        return F.regexp_replace(text, pattern, order).try_cast("timestamp_ntz")
+
+    def year_last(text: Column) -> Column:
+        return F.coalesce(rewritten(text, _YEAR_LAST, "$3-$1-$2$4"), rewritten(text, _YEAR_LAST, "$3-$2-$1$4"))
+
+    full = F.regexp_replace(t, _SHORT_YEAR, r"${day}20")
+    last = F.regexp_replace(t, _SHORT_YEAR, r"${day}19")
+    recent = F.regexp_extract(t, _SHORT_YEAR + "([0-9]{2})", 2) < f"{SHORT_YEARS:02d}"
+    year_first = F.when(t.rlike(_YEAR_DASHED), t.try_cast("timestamp_ntz")).otherwise(
+        F.when(t.rlike(_YEAR_SLASHED), rewritten(t, _YEAR_SLASHED, "$1-$2-$3$4"))
+    )
     return (
-        F.when(~text.rlike("[0-9]{4}"), F.lit(None).cast("timestamp_ntz"))  # every form has a year
-        .when(t.rlike(_ISO), t.try_cast("timestamp_ntz"))
-        .when(t.rlike(_YEAR_FIRST), rewritten(_YEAR_FIRST, "$1-$2-$3$4"))
-        .when(
-            t.rlike(_YEAR_LAST),
-            F.coalesce(rewritten(_YEAR_LAST, "$3-$1-$2$4"), rewritten(_YEAR_LAST, "$3-$2-$1$4")),
-        )
-        .when(t.rlike(_MONTH_NAMED), named(_MONTH_NAMED, 1, 2))
-        .when(t.rlike(_DAY_NAMED), named(_DAY_NAMED, 2, 1))
+        F.when(t.rlike(_YEAR_FIRST), year_first)
+        .when(t.rlike(_YEAR_LAST), year_last(t))
+        .when(t.rlike(_SHORT_YEAR), once(F.when(recent, full).otherwise(last), year_last))
+        .when(t.rlike(_NAMED), once(F.split(F.regexp_replace(t, _NAMED, _NAMED_PARTS), ";"), _named_day))
+    )
+
+
+def _with_clock(parts: Column) -> Column:
+    """From the day, hour, minute, second and a or p."""
+    day, hour, minute, second, half = (parts[i] for i in range(5))
+    hour = hour.try_cast("int")
+    hour = F.when(hour.between(1, 12), hour % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
+    minute = F.when(minute == "", 0).otherwise(minute.try_cast("int"))
+    second = F.when(second == "", 0).otherwise(second.try_cast("decimal(8,6)"))
+    clock = F.when((minute < 60) & (second < 60), F.make_dt_interval(F.lit(0), hour, minute, second))
+    return once(day, _day_and_time) + clock
+
+
+def text_to_moment(text: Column) -> Column:
+    """Read mixed date spellings; month comes first where day and month are ambiguous."""
+
+    def read(t: Column) -> Column:
+        clock = once(F.split(F.regexp_replace(t, _CLOCK, "$1;$2;$3;$4;$5"), ";"), _with_clock)
+        return F.when(t.rlike(_HALF_DAY) & t.rlike(_CLOCK), clock).otherwise(_day_and_time(t))
+
+    # The common spelling stays in generated code; without two digits in a row, or longer
+    # than any day name, text is passed over.
+    return F.when(text.rlike(_PLAIN_DATE), text.try_cast("timestamp_ntz")).when(
+        F.length(text).between(6, LONGEST_DATE) & text.rlike("[0-9]{2}"), once(F.trim(text), read)
     )
 
 
@@ -133,18 +187,11 @@ def moment_of(frame: DataFrame, name: str) -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
-def whole_days_only(frame: DataFrame, name: str) -> bool:
-    """Whether no moment of the column has a time of day: one scan of this column."""
-    with_time = column(name) != F.date_trunc("day", column(name))
-    return frame.where(with_time).select(F.lit(1)).isEmpty()
-
-
 def text_of(frame: DataFrame, name: str) -> Column:
-    """The column as display text; numbers are written out without an exponent, moments that are
-    all midnights as dates."""
+    """The column as display text; numbers are written out without an exponent, midnights as dates."""
     c, dtype = present(frame, name), frame.schema[name].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) and whole_days_only(frame, name):
-        return c.cast("date").cast("string")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.when(c == F.date_trunc("day", c), c.cast("date").cast("string")).otherwise(c.cast("string"))
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.BooleanType):

@@ -25,6 +25,7 @@ from quillgrid.operators.timeseries import (
 )
 from quillgrid.plans.filters import predicate
 from quillgrid.plans.model import Filter
+from quillgrid.sources.scratch import written
 
 # --- Fixed values ------------------------------------------------------------
 TOP_CATEGORIES, OPTION_VALUES = 10, 30
@@ -219,16 +220,24 @@ def histogram_table(frame: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def box_table(frame: DataFrame, metric: str, dimension: str) -> DataFrame:
     """Five-number summary per category of at least five rows."""
     rows = frame.select(label_of(frame, dimension).alias("category"), number_of(frame, metric).alias("v"))
-    rows = rows.where("v is not null")
-    sizes = rows.groupBy("category").count()
     cuts = grouped_quantiles(rows, ["category"], "v", [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ["min", "q1", "median", "q3", "max"]
-    return cuts.join(sizes.where(F.col("count") >= BOX_ROWS), "category").select(
+    return cuts.where(F.col("values") >= BOX_ROWS).select(
         "category", *[F.round(F.col("quantiles")[i], 2).alias(n) for i, n in enumerate(names)]
     )
 
 
-def build_dashboard(frame: DataFrame, profile: TableProfile, filters: DashboardFilters | None = None) -> Dashboard:
+def typed_rows(frame: DataFrame, date: str | None, metrics: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
+    """The columns of a dashboard in their own types, parsed in one scan of the table and written for all that follows."""
+    cells = {d: column(d) for d in dimensions} | {m: number_of(frame, m) for m in metrics}
+    if date:
+        cells[date] = moment_of(frame, date)
+    return written(frame.select(*[cell.alias(n) for n, cell in cells.items()]), "dashboard")
+
+
+def build_dashboard(
+    frame: DataFrame, profile: TableProfile, filters: DashboardFilters | None = None, top: int = TOP_CATEGORIES, options: int = OPTION_VALUES
+) -> Dashboard:
     """Every table the dashboard shows. Options and correlations ignore the filters."""
     spark = frame.sparkSession
     have = set(frame.columns)
@@ -236,17 +245,15 @@ def build_dashboard(frame: DataFrame, profile: TableProfile, filters: DashboardF
     metrics = [m for m in rank_metrics(profile) if m in have]
     dimensions = [d for d in rank_dimensions(profile) if d in have]
     first = dimensions[0] if dimensions else None
-    dates, values = filter_options(frame, date, first)
-    rows = dashboard_rows(frame, date, first, filters)
-    used = list(dict.fromkeys([*([date] if date else []), *metrics, *dimensions]))
-    rows = rows.select(*[column(n) for n in used])
+    whole = typed_rows(frame, date, metrics, dimensions)
+    rows = dashboard_rows(whole, date, first, filters)
 
-    result = Dashboard(kpi_table(rows, metrics, date), dates, values)
+    result = Dashboard(kpi_table(rows, metrics, date), *filter_options(whole, date, first, options))
     result.roles = {"date": date, "metrics": metrics, "dimensions": dimensions}
     if date and metrics:
         result.lines = metric_series(rows, metrics, date)
     if metrics and dimensions:
-        result.bars = bar_table(rows, metrics[0], dimensions)
+        result.bars = bar_table(rows, metrics[0], dimensions, top)
         result.shares = share_table(rows, metrics[0], dimensions)
         result.boxes = box_table(rows, metrics[0], dimensions[0])
     if metrics:
@@ -254,5 +261,3 @@ def build_dashboard(frame: DataFrame, profile: TableProfile, filters: DashboardF
     if profile.correlations:
         result.correlations = profile.correlations_frame(spark).where("method = 'pearson'")
     return result
-
-

@@ -256,6 +256,9 @@ class Forecast:
     history: DataFrame
     scores: DataFrame
     summary: DataFrame
+    frequency: str
+    horizon: int
+    keys: list[str]
 
 
 def run_forecast(series: Series, horizon: int = HORIZON_DEFAULT, models: Sequence[str] = MODELS) -> Forecast:
@@ -283,7 +286,8 @@ def run_forecast(series: Series, horizon: int = HORIZON_DEFAULT, models: Sequenc
     forecast = with_bands(points, chosen, series)
     history = points.select(*keys, "period", F.round("value", 2).alias("value"))
     summary = forecast_summary(forecast, history, keys, horizon)
-    return Forecast(*[series.public(f) for f in (forecast, history, scores, summary)])
+    named = [k for k in keys if k != ONE_SERIES]
+    return Forecast(*[series.public(f) for f in (forecast, history, scores, summary)], series.frequency, horizon, named)
 
 
 def forecast_summary(forecast: DataFrame, history: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:

@@ -1,9 +1,11 @@
 """Multivariate outliers by isolation forest.
 
-A bounded random sample trains the trees, one grouped-map task per tree; the finished
-forest (a fixed number of nodes) is broadcast and every complete row is scored.
+Each tree is trained on the rows with its smallest random marks among all complete rows,
+one grouped-map task per tree; the finished forest (a fixed number of nodes) is broadcast
+and every complete row is scored.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators.moments import total
-from quillgrid.sources.scratch import written
 
 # --- Fixed values ------------------------------------------------------------
-SAMPLE_ROWS = 10_000
 MIN_ROWS = 50
 SEED = 42
 TREES = 100
@@ -82,6 +82,31 @@ def forest_scores(points: np.ndarray, trees: list[tuple[np.ndarray, ...]], sampl
     return 2.0 ** (-(depth / len(trees)) / float(_expected_depth(sample_size)))
 
 
+def tree_rows(points: DataFrame, rows: int) -> DataFrame:
+    """The training rows of each tree: the TREE_ROWS smallest marks of (row, tree) among all rows.
+
+    Trees come in groups, and a row draws one tree of each group, so a mark is one hash per
+    group, not per tree; there are as many groups as keep half as many rows again as each
+    tree needs. Only rows whose mark is under the threshold that follows go on to the ordering.
+    """
+    wanted = 1.5 * TREE_ROWS
+    groups = min(TREES, math.ceil(wanted * TREES / rows))
+    size = -(-TREES // groups)
+    reach = int((1 << 30) * min(1.0, wanted * size / rows))
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(groups - 1)),
+        lambda g: F.struct(
+            (g * size + F.pmod(F.xxhash64("_u", g), F.lit(size))).cast("int").alias("tree"),
+            F.pmod(F.xxhash64(g, "_u"), F.lit(1 << 30)).alias("mark"),
+        ),
+    )
+    near = F.filter(drawn, lambda d: (d["mark"] < reach) & (d["tree"] < TREES))
+    marked = points.withColumn("_u", F.rand(SEED)).withColumn("_d", F.explode(near))
+    order = Window.partitionBy("tree").orderBy("_m", "_u")
+    marked = marked.select("*", F.col("_d.tree").alias("tree"), F.col("_d.mark").alias("_m")).drop("_d")
+    return marked.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= TREE_ROWS)
+
+
 def isolation_scores(frame: DataFrame, columns: dict[str, Column]) -> DataFrame | None:
     """Score of every row that is complete in the columns; None when not applicable."""
     if len(columns) < 2:
@@ -92,22 +117,7 @@ def isolation_scores(frame: DataFrame, columns: dict[str, Column]) -> DataFrame
     rows = points.count()
     if rows < MIN_ROWS:
         return None
-    share = min(1.0, 4.0 * SAMPLE_ROWS / rows)
-    drawn = points.sample(share, SEED) if share < 1 else points
-    sample = written(
-        drawn.withColumn("_u", F.rand(SEED)).orderBy("_u").limit(SAMPLE_ROWS), "forest-sample"
-    )
-    # Each tree takes the rows with its smallest marks; half as many again as needed are
-    # let through to the ordering.
-    marked = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn(
-        "_m", F.pmod(F.xxhash64("_u", "tree"), F.lit(1 << 30))
-    )
-    reach = int((1 << 30) * min(1.0, 1.5 * TREE_ROWS / min(rows, SAMPLE_ROWS)))
-    per_tree = (
-        marked.where(F.col("_m") < reach)
-        .withColumn("_k", F.row_number().over(Window.partitionBy("tree").orderBy("_m", "_u")))
-        .where(F.col("_k") <= TREE_ROWS)
-    )
+    per_tree = tree_rows(points, rows)
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         return grow_tree(int(group["tree"].iloc[0]), group.sort_values("_k")[names].to_numpy())

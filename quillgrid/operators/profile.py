@@ -7,13 +7,14 @@
 5. outliers       one aggregation against literal fences, with Pearson pairs and date ranges
 6. ranks          Spearman pairs
 7. duplicates     one grouping of whole rows
-8. isolation      sampled forest, all complete rows scored
+8. isolation      trees drawn from all complete rows, which are all scored
 
 Only per-column results reach the driver.
 """
 
 import json
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, astuple, dataclass, field
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,36 +37,56 @@ SPREAD_BYTES = 256 * 1024 * 1024
 SKETCH_BITS = 14  # about 1% error
 
 
-@dataclass
-class NumericStats:
-    mean: float | None = None
-    median: float | None = None
-    std: float | None = None
-    min: float | None = None
-    max: float | None = None
-    q1: float | None = None
-    q3: float | None = None
-    skew: float | None = None
+#: Measures of a numeric column, by the name they have in every result: one aggregate each ...
+AGGREGATES: dict[str, Callable[[Column], Column]] = {
+    "mean": mean,
+    "std": sample_std,
+    "min": lambda c: F.min(c).cast("double"),
+    "max": lambda c: F.max(c).cast("double"),
+    "skew": adjusted_skew,
+}
+#: ... or one percentile each.
+PERCENTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+Measures = dict[str, float | None]
 
 
 @dataclass
 class ColumnProfile:
-    name: str
-    stored_type: str
-    semantic_type: str
-    missing_count: int
-    missing_pct: float
-    unique_count: int
-    sample_values: list[str]
-    is_constant: bool
-    suggested_type: str | None = None
-    parse_success_pct: float | None = None
-    stats: NumericStats | None = None
-    outlier_count_iqr: int = 0
-    outlier_count_zscore: int = 0
-    valid_dates: int = 0
-    min_date: str | None = None
-    max_date: str | None = None
+    """What was counted of a column, how it reads, and what followed from that reading."""
+
+    facts: ColumnFacts
+    reading: Reading
+    rows: int = 0
+    dtype: str = ""
+    samples: list[str] = field(default_factory=list)
+    measures: Measures | None = None
+    #: Outliers by rule.
+    outliers: dict[str, int] = field(default_factory=dict)
+    #: How many dates, the first and the last.
+    dates: tuple[int, str | None, str | None] = (0, None, None)
+
+    name = property(lambda self: self.facts.name)
+    semantic_type = property(lambda self: self.reading.semantic)
+    unique_count = property(lambda self: self.facts.distinct)
+    missing_count = property(lambda self: self.rows - self.facts.present)
+    is_constant = property(lambda self: self.facts.present > 0 and self.facts.distinct <= 1)
+
+    def cells(self) -> dict:
+        """The row of this column in the table of columns."""
+        missing = self.missing_count
+        row = {"name": self.name, "stored_type": self.dtype, "sample_values": self.samples}
+        row |= dict(zip(("semantic_type", "suggested_type", "parse_success_pct"), astuple(self.reading)))
+        row |= {"missing_count": missing, "missing_pct": half_up(missing / self.rows * 100, 2) if self.rows else 0.0}
+        row |= {"unique_count": self.unique_count, "is_constant": self.is_constant}
+        row |= {f"outlier_count_{rule}": self.outliers.get(rule, 0) for rule in OUTLIER_RULES}
+        row |= dict(zip(("valid_dates", "min_date", "max_date"), self.dates))
+        return row | {m: (self.measures or {}).get(m) for m in (*AGGREGATES, *PERCENTILES)}
+
+
+OUTLIER_RULES = ("iqr", "zscore")
+_CELL_TYPES = {str: "string", int: "bigint", float: "double", bool: "boolean", list: "array<string>"}
+#: Cells that may be null, whose type a row cannot tell.
+_OPEN_CELLS = {"suggested_type": str, "parse_success_pct": float, "min_date": str, "max_date": str} | dict.fromkeys((*AGGREGATES, *PERCENTILES), float)
 
 
 @dataclass
@@ -94,33 +115,18 @@ class TableProfile:
     def from_json(cls, text: str) -> "TableProfile":
         raw = json.loads(text)
         for c in raw["columns"]:
-            c["stats"] = NumericStats(**c["stats"]) if c["stats"] else None
+            c |= {"facts": ColumnFacts(**c["facts"]), "reading": Reading(**c["reading"]), "dates": tuple(c["dates"])}
         raw["columns"] = [ColumnProfile(**c) for c in raw["columns"]]
         raw["correlations"] = [tuple(r) for r in raw["correlations"]]
         return cls(**raw)
 
     def columns_frame(self, spark: SparkSession) -> DataFrame:
-        stats = list(NumericStats.__dataclass_fields__)
-        rows = [
-            (
-                c.name, c.stored_type, c.semantic_type, c.missing_count, c.missing_pct,
-                c.unique_count, c.sample_values, c.is_constant, c.suggested_type,
-                c.parse_success_pct, c.outlier_count_iqr, c.outlier_count_zscore,
-                c.valid_dates, c.min_date, c.max_date,
-                *[getattr(c.stats, s) if c.stats else None for s in stats],
-            )
-            for c in self.columns
-        ]
-        flat = small_frame(
-            spark,
-            rows,
-            "name string, stored_type string, semantic_type string, missing_count bigint, "
-            "missing_pct double, unique_count bigint, sample_values array<string>, "
-            "is_constant boolean, suggested_type string, parse_success_pct double, "
-            "outlier_count_iqr bigint, outlier_count_zscore bigint, valid_dates bigint, "
-            "min_date string, max_date string, " + ", ".join(f"{s} double" for s in stats),
-        )
-        return flat.withColumn("stats", F.struct(*stats)).drop(*stats)
+        """One row per column, its measures as one struct."""
+        cells = ColumnProfile(ColumnFacts("", "text", 0), Reading("text")).cells()
+        kinds = {n: _CELL_TYPES[_OPEN_CELLS.get(n, type(v))] for n, v in cells.items()}
+        flat = small_frame(spark, [list(c.cells().values()) for c in self.columns], ", ".join(f"{n} {k}" for n, k in kinds.items()))
+        measures = [*AGGREGATES, *PERCENTILES]
+        return flat.withColumn("stats", F.struct(*measures)).drop(*measures)
 
     def issues_frame(self, spark: SparkSession) -> DataFrame:
         names = ["kind", "severity", "column", "affected_rows", "penalty", "description"]
@@ -168,11 +174,27 @@ def distinct_and_samples(frame: DataFrame, approximate: bool = False) -> tuple[d
 
 
 def duplicate_rows(frame: DataFrame) -> DataFrame:
-    """Rows that repeat another row (missing values compare equal), as one count."""
-    copies = frame.groupBy(*_groupable(frame)).agg(F.count("*").alias("n"))
+    """Rows that repeat another row (missing values compare equal), as one count.
+
+    Digests of 128 bits are counted first, which moves 16 bytes a row and one row per
+    repeated digest and task; whole rows are compared only where a digest repeats.
+    """
+    rows = frame.select(*_groupable(frame))
+    cells = [part for n in rows.columns for part in (F.col(n).isNull(), _one_zero(rows, n))]
+    marked = rows.select("*", F.xxhash64(*cells).alias("_a"), F.xxhash64(F.lit(1), *cells).alias("_b"))
+    again = marked.groupBy("_a", "_b").agg(F.count("*").alias("_n")).where("_n > 1").select("_a", "_b")
+    copies = marked.join(again, ["_a", "_b"], "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def _one_zero(rows: DataFrame, name: str) -> Column:
+    """The cell with one spelling of zero, as grouping compares it; cells that hash only as text go by it."""
+    kind = rows.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.col(name) + F.lit(0.0).cast(kind)
+    return F.col(name) if isinstance(kind, T.AtomicType) else F.to_json(F.struct(name))
+
+
 def _groupable(frame: DataFrame):
     """Columns to group whole rows by; types that cannot be compared go by their text."""
     odd = (T.MapType, T.VariantType)
@@ -214,33 +236,25 @@ def _plain_text(frame: DataFrame, name: str):
     return c.cast("string")
 
 
-def numeric_summary(frame: DataFrame, columns: dict, counts: dict[str, int]) -> dict[str, NumericStats]:
-    """Passes 3 and 4 for a set of numeric expressions; unrounded."""
+def numeric_summary(frame: DataFrame, columns: dict[str, Column]) -> dict[str, Measures]:
+    """Passes 3 and 4: the measures of a set of numeric expressions; unrounded."""
     if not columns:
         return {}
-    names = list(columns)
-    measures = []
-    for n in names:
-        c = columns[n]
-        measures += [mean(c), sample_std(c), F.min(c).cast("double"), F.max(c).cast("double"), adjusted_skew(c)]
-    row = frame.agg(*measures).first()
-    quartiles = column_quantiles(frame, columns, [0.25, 0.5, 0.75], counts)
-    result = {}
-    for k, n in enumerate(names):
-        m, std, low, high, skew = row[5 * k : 5 * k + 5]
-        q1, median, q3 = quartiles[n]
-        result[n] = NumericStats(m, median, std, low, high, q1, q3, skew)
-    return result
+    row = iter(frame.agg(*[measure(c) for c in columns.values() for measure in AGGREGATES.values()]).first())
+    found = {n: {m: next(row) for m in AGGREGATES} for n in columns}
+    for n, cuts in column_quantiles(frame, columns, list(PERCENTILES.values())).items():
+        found[n] |= dict(zip(PERCENTILES, cuts))
+    return found
 
 
-def correlation_rows(names: list[str], stats: dict[str, NumericStats], pairs: dict[str, dict]) -> list:
+def correlation_rows(names: list[str], stats: dict[str, Measures], pairs: dict[str, dict]) -> list:
     """Symmetric long matrix per method, three decimals, null where undefined."""
     rows = []
     for method, found in pairs.items():
         for a in names:
             for b in names:
                 if a == b:
-                    r = 1.0 if stats[a].std else None
+                    r = 1.0 if stats[a]["std"] else None
                 else:
                     r = found[(a, b)] if (a, b) in found else found[(b, a)]
                 rows.append((method, a, b, half_up(r, 3)))
@@ -269,7 +283,7 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
     usable = {
         f.name: f.numbers if f.kind == "text" else f.present for f in facts if f.name in numeric
     }
-    stats = numeric_summary(frame, numeric, usable)
+    stats = numeric_summary(frame, numeric)
     names = list(numeric)
     pairs = list(combinations(names, 2))
     full = {n for n in names if usable[n] == rows}
@@ -277,8 +291,8 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
     tests, bounds = [], []
     for n in names:
         s, c = stats[n], numeric[n]
-        tests.append(F.count_if(iqr_outlier(c, usable[n], s.q1, s.q3)))
-        tests.append(F.count_if(zscore_outlier(c, usable[n], s.mean, s.std)))
+        rules = {"iqr": iqr_outlier(c, usable[n], s["q1"], s["q3"]), "zscore": zscore_outlier(c, usable[n], s["mean"], s["std"])}
+        tests += [F.count_if(rules[r]) for r in OUTLIER_RULES]
     for d in dates:
         m = moment_of(frame, d)
         bounds += [F.count(m), F.min(m).cast("string"), F.max(m).cast("string")]
@@ -289,7 +303,7 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
     together = [related(*p) for p in pairs[:PAIRS_PER_PASS]]
     found = list(frame.agg(F.count("*"), *tests, *bounds, *together).first())[1:]
     hits, found = found[: len(tests)], found[len(tests) :]
-    outliers = {n: (hits[2 * k], hits[2 * k + 1]) for k, n in enumerate(names)}
+    outliers = {n: dict(zip(OUTLIER_RULES, hits[2 * k : 2 * k + 2])) for k, n in enumerate(names)}
     spans = {d: tuple(found[3 * k : 3 * k + 3]) for k, d in enumerate(dates)}
     pearson_found = dict(zip(pairs, found[len(bounds) :])) | by_blocks(frame, pairs[PAIRS_PER_PASS:], related)
     correlations = []
@@ -299,31 +313,14 @@ def profile_table(frame: DataFrame, approximate: bool = False) -> TableProfile:
             names, stats, {"pearson": pearson_found, "spearman": spearman_found}
         )
 
-    columns = []
-    for f, r in zip(facts, readings):
-        s = stats.get(f.name)
-        valid, first, last = spans.get(f.name, (0, None, None))
-        iqr, z = outliers.get(f.name, (0, 0))
-        columns.append(
-            ColumnProfile(
-                name=f.name,
-                stored_type=frame.schema[f.name].dataType.simpleString(),
-                semantic_type=r.semantic,
-                missing_count=rows - f.present,
-                missing_pct=half_up((rows - f.present) / rows * 100, 2) if rows else 0.0,
-                unique_count=f.distinct,
-                sample_values=samples[f.name],
-                is_constant=f.distinct <= 1 and f.present > 0,
-                suggested_type=r.suggested,
-                parse_success_pct=r.parse_pct,
-                stats=NumericStats(**{k: half_up(v, 4) for k, v in asdict(s).items()}) if s else None,
-                outlier_count_iqr=iqr,
-                outlier_count_zscore=z,
-                valid_dates=valid,
-                min_date=first,
-                max_date=last,
-            )
+    columns = [
+        ColumnProfile(
+            f, r, rows, frame.schema[f.name].dataType.simpleString(), samples[f.name],
+            {m: half_up(v, 4) for m, v in stats[f.name].items()} if f.name in stats else None,
+            outliers.get(f.name, {}), spans.get(f.name, (0, None, None)),
         )
+        for f, r in zip(facts, readings)
+    ]
     result = TableProfile(
         row_count=rows,
         column_count=len(columns),

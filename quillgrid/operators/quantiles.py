@@ -1,205 +1,68 @@
-"""Exact percentiles (linear interpolation) that never gather a column in one task.
+"""Exact percentiles (linear interpolation) by selection over histograms, whatever the size.
 
-Small inputs, by a counted size, use the built-in exact `percentile`. Beyond that:
+Values are put into buckets that keep their order, counted per group with map-side
+combining, and only the bucket that holds a wanted rank is looked at again:
 
-* a whole column is searched by rank: a bounded sketch proposes a narrow value
-  interval, one counting pass checks it, and only values strictly inside the
-  interval are looked at again. Each round shrinks the interval some 2500-fold, so
-  three scans settle 10^12 rows, and a value that fills a third of the rows becomes
-  an interval end that is simply counted;
-* grouped percentiles count each (group, value) once, with map-side combining, cut
-  the value axis into ranges shared by all groups, and order only the range that
-  holds the wanted rank.
+* the first pass needs no bounds: 4,096 buckets for each power of two, by sign and logarithm;
+* each further pass cuts the values between a bucket's least and greatest into 65,536
+  equal parts, so the 52 bits of a fraction are settled after four passes at most, and a
+  bucket of a single value (a third of all rows, say) is settled when it is counted.
+
+Rows meet the open buckets by group and bucket, so a group with a third of all rows is
+spread over as many tasks as it has buckets. What is ordered in one place is buckets of
+one group, never rows. The driver sees whether buckets are open, and for whole columns the
+percentiles themselves.
 """
 
 import math
-from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 250_000  # values one exact percentile buffer may hold
-RANGE_ROWS = 1_000_000  # rows ordered together
-SKETCH = 10_000  # rank precision of the sketch: n / SKETCH
-MAX_RANGES = 4_096
-
-
-def _interpolate(low: float, high: float, weight: float) -> float:
-    return low if weight == 0 else low + (high - low) * weight
-
-
-def column_quantiles(
-    frame: DataFrame,
-    columns: dict[str, Column],
-    fractions: Sequence[float],
-    counts: dict[str, int] | None = None,
-    small: int = SMALL,
-) -> dict[str, list[float | None]]:
-    """Percentiles of whole columns, as driver values: one short list per column."""
-    if not columns:
-        return {}
-    names = list(columns)
-    values = frame.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    if counts is None:
-        row = values.agg(*[F.count(f"v{i}") for i in range(len(names))]).first()
-        counts = dict(zip(names, row))
-    result: dict[str, list[float | None]] = {n: [None] * len(fractions) for n in names}
-
-    light = [(i, n) for i, n in enumerate(names) if 0 < counts[n] <= small]
-    if light:
-        wanted = F.array(*[F.lit(float(f)) for f in fractions])
-        row = values.agg(*[F.percentile(f"v{i}", wanted) for i, _ in light]).first()
-        for (_, n), found in zip(light, row):
-            result[n] = list(found)
-
-    heavy = [(i, n) for i, n in enumerate(names) if counts[n] > small]
-    if heavy:
-        ranks = {}
-        for i, n in heavy:
-            positions = [(counts[n] - 1) * f for f in fractions]
-            ranks[f"v{i}"] = counts[n], [g(p) for p in positions for g in (math.floor, math.ceil)]
-        found = _values_at_ranks(values, ranks, small)
-        for i, n in heavy:
-            for k, f in enumerate(fractions):
-                position = (counts[n] - 1) * f
-                low, high = math.floor(position), math.ceil(position)
-                result[n][k] = _interpolate(
-                    found[(f"v{i}", low)], found[(f"v{i}", high)], position - low
-                )
-    return result
-
-
-@dataclass
-class _Interval:
-    """Values strictly between low and high, with the ranks still sought among them."""
-
-    column: str
-    ranks: list[int]
-    inside: int
-    below: int = 0  # rows at or under `low`
-    low: float | None = None
-    high: float | None = None
-
-    def holds(self) -> Column:
-        c = F.col(self.column)
-        test = c.isNotNull()
-        if self.low is not None:
-            test = test & (c > self.low)
-        if self.high is not None:
-            test = test & (c < self.high)
-        return test
-
-    def values(self) -> Column:
-        return F.when(self.holds(), F.col(self.column))
+from quillgrid.sources.scratch import written
 
+PER_POWER = 4_096  # buckets of the first pass for each power of two
+PARTS = 65_536  # buckets of an open bucket in each further pass
 
-def _values_at_ranks(values: DataFrame, ranks: dict[str, tuple[int, list[int]]], small: int):
-    """Value at each zero-based rank. All open intervals share every pass."""
-    found: dict[tuple[str, int], float] = {}
-    intervals = [_Interval(c, sorted(set(r)), n) for c, (n, r) in ranks.items()]
-    few = min(small, 50_000)
-    while intervals:
-        narrow = [i for i in intervals if i.inside <= few]
-        wide = [i for i in intervals if i.inside > few]
-        if narrow:
-            found.update(_read(values, narrow))
-        intervals = _split(values, wide, found) if wide else []
-    return found
 
+def first_bucket(value: Column, per_power: int = PER_POWER) -> Column:
+    """A number that never falls as the value grows; logarithms of doubles lie within 1,075 powers of two."""
+    size = F.abs(value)
+    mark = F.when(size == float("inf"), F.lit(2 * 1_100 * per_power)).otherwise(F.floor(F.log2(size) * per_power) + 1_100 * per_power)
+    signed = F.when(value > 0, mark).otherwise(-mark)
+    return F.when(F.isnan(value), F.lit(3 * 1_100 * per_power)).when(value == 0, F.lit(0)).otherwise(signed).cast("bigint")
 
-def _read(values: DataFrame, intervals: list[_Interval]) -> dict[tuple[str, int], float]:
-    """Order the few values left in each interval and pick the sought ones."""
-    touched = reduce(lambda a, b: a | b, [i.holds() for i in intervals])
-    cells = F.array(*[F.struct(F.lit(k).alias("k"), i.values().alias("v")) for k, i in enumerate(intervals)])
-    ordered = (
-        values.where(touched)
-        .select(F.inline(cells))
-        .where("v is not null")
-        .groupBy("k")
-        .agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most `few` values each
-    )
-    wanted = F.create_map(
-        *[x for k, i in enumerate(intervals) for x in (F.lit(k), F.array(*[F.lit(r - i.below + 1) for r in i.ranks]))]
-    )
-    picked = ordered.select("k", F.transform(wanted[F.col("k")], lambda r: F.element_at("vs", r)).alias("vs")).collect()
-    return {(intervals[p["k"]].column, r): v for p in picked for r, v in zip(intervals[p["k"]].ranks, p["vs"])}
 
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
 
-def _split(values: DataFrame, intervals: list[_Interval], found: dict) -> list[_Interval]:
-    """Sketch cut points around the sought ranks, count between them, keep what is open."""
-    slack = 2.0 / SKETCH
-    sketches = []
-    for i in intervals:
-        at = [(r - i.below) / i.inside for r in i.ranks]
-        ends = [min(1.0, max(0.0, f + d)) for f in at for d in (-slack, slack)]
-        sketches.append(F.percentile_approx(i.values(), F.array(*[F.lit(e) for e in ends]), SKETCH))
-    cuts = [sorted(set(row)) for row in values.agg(*sketches).first()]
 
-    # Cells of an interval are numbered upwards: below the first cut, on it, above it, ...
-    cells = []
-    for k, (i, points) in enumerate(zip(intervals, cuts)):
-        v = F.col(i.column)
-        place = F.when(~i.holds() | v.isNull(), F.lit(None))
-        for p, q in enumerate(points):
-            place = place.when(v < q, 2 * p).when(v == q, 2 * p + 1)
-        cells.append(F.struct(F.lit(k).alias("k"), place.otherwise(2 * len(points)).alias("cell")))
-    counted = values.select(F.inline(F.array(*cells))).where("cell is not null").groupBy("k", "cell").count()
-    sizes = {(r["k"], r["cell"]): r["count"] for r in counted.collect()}
+def _first_pass(rows: DataFrame, keys: list[str], fractions: Sequence[float], per_power: int) -> DataFrame:
+    """Per group, fraction and neighbouring rank: the bucket that holds it, the rows before that, its least and greatest value."""
+    counted = _counted(rows.withColumn("_b", first_bucket(F.col("_v"), per_power)), [*keys, "_b"])
+    group = Window.partitionBy(*keys)
+    spans = counted.withColumns({"_upto": F.sum("_n").over(group.orderBy("_b")), "_all": F.sum("_n").over(group)})
+    positions = [F.struct(F.lit(k).alias("k"), ((F.col("_all") - 1) * F.lit(float(f))).alias("at")) for k, f in enumerate(fractions)]
+    ranks = F.explode(F.array_distinct(F.array(F.floor("_p.at"), F.ceil("_p.at")))).alias("_r")
+    before = F.col("_upto") - F.col("_n")
+    wanted = spans.select("*", before.alias("_before"), F.explode(F.array(*positions)).alias("_p")).select("*", ranks)
+    held = wanted.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_upto")))
+    return held.select(*keys, "_b", "_all", "_p", "_r", "_before", "_low", "_high")
 
-    still_open = []
-    for k, (i, points) in enumerate(zip(intervals, cuts)):
-        below = i.below
-        edges = [i.low, *points, i.high]
-        for cell in range(2 * len(points) + 1):
-            size = sizes.get((k, cell), 0)
-            here = [r for r in i.ranks if below <= r < below + size]
-            if cell % 2:
-                found.update({(i.column, r): points[cell // 2] for r in here})
-            elif here:
-                still_open.append(_Interval(i.column, here, size, below, edges[cell // 2], edges[cell // 2 + 1]))
-            below += size
-    return still_open
 
-
-@dataclass
-class Ranges:
-    """Cut points of a column, and the values that alone fill more than one range."""
-
-    cuts: list[float]
-    hot: list[float]
-
-
-def value_ranges(
-    frame: DataFrame, values: Sequence[str], rows: int, per_range: int = RANGE_ROWS
-) -> dict[str, Ranges]:
-    """Split each column into ranges of similar row count, all columns in one pass."""
-    ranges = min(MAX_RANGES, max(1, math.ceil(rows / per_range)))
-    if ranges == 1:
-        return {v: Ranges([-math.inf, math.inf], []) for v in values}
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    found = frame.agg(*[F.percentile_approx(F.col(v).cast("double"), steps, SKETCH) for v in values]).first()
-    result = {}
-    for v, marks in zip(values, found):
-        repeats = Counter(marks or [])
-        hot = sorted(m for m, n in repeats.items() if n > 1)
-        result[v] = Ranges([-math.inf, *sorted(repeats), math.inf], hot)
-    return result
-
-
-def with_range(frame: DataFrame, value: str, cuts: list[float], name: str = "_range") -> DataFrame:
-    if len(cuts) == 2:
-        return frame.withColumn(name, F.lit(0))
-    ranged = Bucketizer(splits=cuts, inputCol=value, outputCol=name).transform(frame)
-    return ranged.withColumn(name, F.col(name).cast("int"))
-
-
-def largest_group(frame: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest group; partial counts keep a hot group cheap."""
-    return frame.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+def _next_pass(rows: DataFrame, open_ranks: DataFrame, keys: list[str], per_power: int, parts: int) -> DataFrame:
+    """The open ranks with narrower buckets."""
+    by = [*keys, "_b", "_before"]
+    buckets = open_ranks.select(*by, F.col("_low").alias("_from"), F.col("_high").alias("_to")).distinct()
+    near = rows.withColumn("_b", first_bucket(F.col("_v"), per_power)).join(buckets, [*keys, "_b"])
+    near = near.where(F.col("_v").between(F.col("_from"), F.col("_to")))
+    part = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * parts).alias("_part")
+    counted = _counted(near.select(*by, "_v", part), [*by, "_part"])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by).orderBy("_part"))
+    spans = counted.withColumn("_upto", upto).withColumn("_start", F.col("_upto") - F.col("_n"))
+    held = open_ranks.drop("_low", "_high").join(spans, by).where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_upto")))
+    return held.select(*keys, "_b", "_all", "_p", "_r", F.col("_start").alias("_before"), "_low", "_high")
 
 
 def grouped_quantiles(
@@ -207,54 +70,74 @@ def grouped_quantiles(
     keys: Sequence[str],
     value: str,
     fractions: Sequence[float],
-    small: int = SMALL,
     into: str = "quantiles",
+    size: str = "values",
+    per_power: int = PER_POWER,
+    parts: int = PARTS,
 ) -> DataFrame:
-    """Per group, an array with one exact percentile per fraction.
+    """Per group, an array with one exact percentile per fraction, and how many values it has.
 
     Keys must not be null (label them first). Rows with a null value are ignored and
-    groups without any value are absent.
+    groups without any value are absent. NaN counts as the greatest value.
     """
     keys = list(keys)
     rows = frame.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    largest, total = (
-        rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    )
-    if largest is None or largest <= small:
-        wanted = F.array(*[F.lit(float(f)) for f in fractions])
-        return rows.groupBy(*keys).agg(F.percentile("_v", wanted).alias(into))
-
-    cuts = value_ranges(rows, ["_v"], total, small)["_v"].cuts
-    counted = with_range(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), "_v", cuts)
-    by_group = Window.partitionBy(*keys)
-    spans = (
-        counted.groupBy(*keys, "_range")
-        .agg(F.sum("_n").alias("_in"))
-        .withColumn("_upto", F.sum("_in").over(by_group.orderBy("_range")))
-        .withColumn("_all", F.sum("_in").over(by_group))
-    )
-    positions = [
-        F.struct(F.lit(k).alias("k"), ((F.col("_all") - 1) * F.lit(float(f))).alias("at"))
-        for k, f in enumerate(fractions)
-    ]
-    wanted = (
-        spans.withColumn("_p", F.explode(F.array(*positions)))
-        .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_p.at"), F.ceil("_p.at")))))
-        .where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_in")))
-    )
-    touched = wanted.select(*keys, "_range", (F.col("_upto") - F.col("_in")).alias("_before")).distinct()
-    running = counted.join(touched, [*keys, "_range"]).withColumn(
-        "_last",
-        F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_v")),
-    )
-    hit = (F.col("_r") < F.col("_last")) & (F.col("_r") >= F.col("_last") - F.col("_n"))
-    picked = running.select(*keys, "_range", "_v", "_n", "_last").join(
-        wanted.select(*keys, "_range", "_p", "_r"), [*keys, "_range"]
-    ).where(hit)
-    low, high = F.min("_v"), F.max("_v")  # the two neighbours of one position
+    held = written(_first_pass(rows, keys, fractions, per_power), "ranks")
+    settled = held.where("_low = _high")
+    while not (still_open := held.where("_low < _high")).isEmpty():
+        held = written(_next_pass(rows, still_open, keys, per_power, parts), "ranks")
+        settled = settled.unionByName(held.where("_low = _high"))
+    low, high = F.min("_low"), F.max("_low")  # the two neighbours of one position
     weight = F.first("_p.at") - F.floor(F.first("_p.at"))
-    per_fraction = picked.groupBy(*keys, F.col("_p.k").alias("_k")).agg(
-        (low + (high - low) * weight).alias("_q")
-    )
+    between = F.when((weight == 0) | (low == high), low).otherwise(low + (high - low) * weight)
+    found = settled.groupBy(*keys, F.col("_p.k").alias("_k")).agg(between.alias("_q"), F.first("_all").alias("_all"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_k", "_q"))), lambda s: s["_q"])
-    return per_fraction.groupBy(*keys).agg(ordered.alias(into))
+    return found.groupBy(*keys).agg(ordered.alias(into), F.first("_all").alias(size))
+
+
+def column_quantiles(
+    frame: DataFrame, columns: dict[str, Column], fractions: Sequence[float], per_power: int = PER_POWER, parts: int = PARTS
+) -> dict[str, list[float | None]]:
+    """Percentiles of whole columns, all in the same passes, as driver values: one short list per column.
+
+    The buckets that hold a rank are few here, so they are literals of the next pass and nothing is joined.
+    """
+    if not columns:
+        return {}
+    values = [c.cast("double") for c in columns.values()]
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), v.alias("_v")) for i, v in enumerate(values)])
+    rows = frame.select(F.inline(cells)).where("_v is not null")
+    held = [r.asDict() | {"k": r["_p"]["k"], "at": r["_p"]["at"]} for r in _first_pass(rows, ["c"], fractions, per_power).collect()]
+    while still_open := [r for r in held if r["_low"] < r["_high"]]:
+        buckets = sorted({(r["c"], r["_before"], r["_low"], r["_high"]) for r in still_open})
+        found = _narrower(frame, values, buckets, still_open, parts)
+        for r in still_open:
+            r |= found[(buckets.index((r["c"], r["_before"], r["_low"], r["_high"])), r["_r"])]
+    lists: dict[str, list[float | None]] = {n: [None] * len(fractions) for n in columns}
+    names = list(columns)
+    for r in sorted(held, key=lambda r: r["_r"]):
+        before = lists[names[r["c"]]][r["k"]]
+        weight = r["at"] - math.floor(r["at"])
+        together = r["_low"] if before is None or before == r["_low"] else before + (r["_low"] - before) * weight
+        lists[names[r["c"]]][r["k"]] = together
+    return lists
+
+
+def _narrower(frame: DataFrame, values: list[Column], buckets: list[tuple], ranks: list[dict], parts: int) -> dict[tuple[int, int], dict]:
+    """By number of bucket and rank: the part of the bucket that holds it."""
+    inside = [F.when(values[c].between(low, high), values[c]) for c, _, low, high in buckets]
+    cells = F.array(*[F.struct(F.lit(j).alias("_j"), v.alias("_v")) for j, v in enumerate(inside)])
+    wanted = [[r["_r"] for r in ranks if (r["c"], r["_before"], r["_low"], r["_high"]) == b] for b in buckets]
+    before, low, high = ([b[i] for b in buckets] for i in (1, 2, 3))
+
+    def of(literals: list, kind: str) -> Column:
+        return F.element_at(F.lit(literals).cast(f"array<{kind}>"), F.col("_j") + 1)
+
+    rows = frame.select(F.inline(cells)).where("_v is not null")
+    part = F.floor((F.col("_v") - of(low, "double")) / (of(high, "double") - of(low, "double")) * parts).alias("_part")
+    counted = _counted(rows.select("_j", "_v", part), ["_j", "_part"])
+    upto = of(before, "bigint") + F.sum("_n").over(Window.partitionBy("_j").orderBy("_part"))
+    spans = counted.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    held = F.filter(of(wanted, "array<bigint>"), lambda r: (r >= F.col("_before")) & (r < F.col("_upto")))
+    found = spans.select("_j", "_before", "_low", "_high", F.explode(F.array_distinct(held)).alias("_r")).collect()
+    return {(r["_j"], r["_r"]): {k: r[k] for k in ("_before", "_low", "_high")} for r in found}

@@ -1,24 +1,27 @@
 """Correlation matrices over numeric columns: Pearson, and Spearman by average ranks.
 
 Ranks come from the distinct values of a column, not from ordering all rows: values
-are counted once (map-side combining absorbs hot values), cut into ranges, numbered
-within a range, and shifted by the rows in earlier ranges. Rows where the partner
-column is missing are left out of the counts, so ranks are exact for every pair.
+are counted once (map-side combining absorbs hot values), put into ranges that keep
+their order, numbered within a range, and shifted by the rows in earlier ranges. Rows
+where the partner column is missing are left out of the counts, so ranks are exact for
+every pair.
 """
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators.moments import pearson
-from quillgrid.operators.quantiles import RANGE_ROWS, Ranges, value_ranges
+from quillgrid.operators.quantiles import first_bucket
 from quillgrid.sources.scratch import scratch_path, written
 
 PAIRS_PER_PASS = 120  # coefficients in one aggregation; more columns take more passes
 SALTS = 64
+RANGES_PER_POWER, RANGE_PARTS = 256, 16_384
+HOT_SHARE = 128  # one in so many rows with one value is hot
 
 
 def pearson_pairs(
@@ -40,11 +43,11 @@ def by_blocks(frame: DataFrame, pairs: list[tuple], measure: Callable[..., Colum
     return found
 
 
-def rank_tables(rows: DataFrame, columns: list[str], gaps: list[str], ranges: dict[str, Ranges]) -> DataFrame:
-    """Average rank of every distinct value: (c, v, r_all, and r_<g> per column with gaps).
+def rank_tables(rows: DataFrame, columns: list[str], gaps: list[str], spans: list[tuple[float, float]]) -> DataFrame:
+    """Average rank of every distinct value: (c, v, n_all, r_all, and r_<g> per column with gaps).
 
     `r_<g>` ranks among the rows where g is present. All columns share one shuffle of
-    (column, value) pairs.
+    (column, value) pairs. spans: least and greatest value of each column.
     """
     masks = ["all", *gaps]
     pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(v).alias("v")) for i, v in enumerate(columns)])
@@ -54,7 +57,7 @@ def rank_tables(rows: DataFrame, columns: list[str], gaps: list[str], ranges: di
         .groupBy("c", "v")
         .agg(F.count("*").alias("n_all"), *[F.count_if(f"in_{g}").alias(f"n_{g}") for g in gaps])
     )
-    counted = _with_ranges(counted, [ranges[v].cuts for v in columns])
+    counted = counted.withColumn("_range", _value_range(spans))
     ordered = Window.partitionBy("c", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("c").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per column and range; joined on the window's own partitioning.
@@ -68,32 +71,28 @@ def rank_tables(rows: DataFrame, columns: list[str], gaps: list[str], ranges: di
     return inside.join(shifts, ["c", "_range"]).select(
         "c",
         "v",
+        "n_all",
         *[(F.col(f"s_{m}") + F.col(f"p_{m}") + (F.col(f"n_{m}") + 1) / 2).alias(f"r_{m}") for m in masks],
     )
 
 
-def _with_ranges(counted: DataFrame, cuts: list[list[float]]) -> DataFrame:
-    """Range number of each value, by the cut points of its own column."""
-    if all(len(c) == 2 for c in cuts):
-        return counted.withColumn("_range", F.lit(0))
-    ids = range(len(cuts))
-    split = Bucketizer(
-        inputCols=[f"_x{i}" for i in ids], outputCols=[f"_b{i}" for i in ids], splitsArray=cuts, handleInvalid="keep"
-    )
-    apart = counted.withColumns({f"_x{i}": F.when(F.col("c") == i, F.col("v")) for i in ids})
-    own = F.coalesce(*[F.when(F.col("c") == i, F.col(f"_b{i}")) for i in ids])
-    return split.transform(apart).select(*counted.columns, own.cast("int").alias("_range"))
+def _value_range(spans: list[tuple[float, float]]) -> Column:
+    """Ranges in the order of the values: by power of two, and by equal parts of the column's span. Between them they cut
+    columns of any scale, so a range holds a small share of the distinct values however many there are."""
+    v, part = F.col("v"), F.lit(0)
+    for i, (low, high) in enumerate(spans):
+        if low is not None and low < high and math.isfinite(high - low):
+            part = F.when((F.col("c") == i) & v.between(low, high), F.floor((v - low) / (high - low) * RANGE_PARTS)).otherwise(part)
+    return F.struct(first_bucket(v, RANGES_PER_POWER).alias("power"), part.cast("bigint").alias("part"))
 
 
-def spearman_pairs(
-    frame: DataFrame, columns: dict[str, Column], per_range: int = RANGE_ROWS
-) -> dict[tuple[str, str], float | None]:
+def spearman_pairs(frame: DataFrame, columns: dict[str, Column], hot_share: int = HOT_SHARE) -> dict[tuple[str, str], float | None]:
     """All pairs: ranks are joined to the rows by value, then correlated in one pass.
 
     The rank tables are written first, so their sizes are known when the joins are
-    planned: columns with few values are joined without moving the rows. On large inputs
-    the rows of a hot value, and rows without a value, are salted over several join keys,
-    and the few hot rank rows are repeated once per salt.
+    planned: columns with few values are joined without moving the rows. The rows of a
+    value that fills more than one in `hot_share` of them, and rows without a value, are
+    salted over several join keys, and the few hot rank rows are repeated once per salt.
     """
     names = list(columns)
     if len(names) < 2:
@@ -104,25 +103,26 @@ def spearman_pairs(
         *[columns[n].cast("double").alias(v) for n, v in zip(names, values)],
         F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"),
     )
-    total, *present = rows.agg(F.count("*"), *[F.count(v) for v in values]).first()
-    gaps = [v for v, n in zip(values, present) if n < total]
-    ranges = value_ranges(rows, values, total, per_range)
+    total, *found = rows.agg(F.count("*"), *[f(v) for v in values for f in (F.count, F.min, F.max)]).first()
+    gaps = [v for k, v in enumerate(values) if found[3 * k] < total]
+    spans = [(found[3 * k + 1], found[3 * k + 2]) for k in ids]
     path = scratch_path(frame.sparkSession, "ranks")
-    rank_tables(rows, values, gaps, ranges).write.partitionBy("c").parquet(path)
+    rank_tables(rows, values, gaps, spans).write.partitionBy("c").parquet(path)
     stored = frame.sparkSession.read.parquet(path)
+    # Fewer than hot_share values of each column.
+    hot_rows = stored.where(F.col("n_all") * hot_share > total).select("c", "v").collect()
 
     ranked = rows
     for i, v in zip(ids, values):
         table = stored.where(F.col("c") == i).select(
             F.col("v").alias(v), *[F.col(f"r_{m}").alias(f"{v}_{m}") for m in ["all", *gaps] if m != v]
         )
+        hot = F.col(v).isin([r["v"] for r in hot_rows if r["c"] == i])
         on = [v]
-        if total > per_range and (ranges[v].hot or v in gaps):
-            hot = F.col(v).isin(ranges[v].hot) if ranges[v].hot else F.lit(False)
+        if v in gaps or any(r["c"] == i for r in hot_rows):
             salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
             table = table.withColumn("_s", F.explode(salts))
-            spread = hot | F.col(v).isNull()
-            ranked = ranked.withColumn("_s", F.when(spread, F.col("_salt")).otherwise(0))
+            ranked = ranked.withColumn("_s", F.when(hot | F.col(v).isNull(), F.col("_salt")).otherwise(0))
             on = [v, "_s"]
         ranked = ranked.join(table, on, "left").drop("_s")
 

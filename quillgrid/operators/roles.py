@@ -1,9 +1,7 @@
 """Which columns act as metrics, dates and dimensions."""
 
-import re
-from datetime import timedelta
-
-import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgrid.operators.profile import TableProfile
 
@@ -20,37 +18,34 @@ MIN_DATES = 3
 # -----------------------------------------------------------------------------
 
 
+def _column_table(profile: TableProfile) -> DataFrame:
+    """The profile's table of columns, with each one's place."""
+    names = [c.name for c in profile.columns]
+    return profile.columns_frame(SparkSession.active()).withColumn("place", F.array_position(F.lit(names), F.col("name")))
+
+
+def _names(columns: DataFrame) -> list[str]:
+    return [r["name"] for r in columns.select("name").collect()]
+
+
 def rank_metrics(profile: TableProfile) -> list[str]:
     """Numeric columns, best business name first, then widest spread."""
-    ranked = []
-    for place, c in enumerate(profile.of_type("numeric")):
-        if c.is_constant:
-            continue
-        tier = next(
-            (i for i, words in enumerate(METRIC_WORDS) if re.search(words, c.name, re.IGNORECASE)),
-            None,
-        )
-        spread = (c.stats.std if c.stats else None) or 0.0
-        key = (tier, 0.0, place) if tier is not None else (len(METRIC_WORDS), -spread, place)
-        ranked.append((key, c.name))
-    return [name for _, name in sorted(ranked)]
+    named = [F.when(F.col("name").rlike(f"(?i){words}"), i) for i, words in enumerate(METRIC_WORDS)]
+    spread = F.when(F.col("tier") == len(METRIC_WORDS), F.coalesce("stats.std", F.lit(0.0))).otherwise(0.0)
+    numbers = _column_table(profile).where("semantic_type = 'numeric' and not is_constant")
+    tiered = numbers.withColumn("tier", F.coalesce(*named, F.lit(len(METRIC_WORDS))))
+    return _names(tiered.orderBy("tier", spread.desc(), "place"))
 
 
 def pick_date_column(profile: TableProfile) -> str | None:
     """The date column covering the most time; the first one on a tie."""
-    spans = {
-        c.name: pd.Timestamp(c.max_date) - pd.Timestamp(c.min_date)
-        for c in profile.of_type("datetime")
-        if c.valid_dates >= MIN_DATES
-    }
-    spans = {n: s for n, s in spans.items() if s > timedelta(0)}
-    return max(spans, key=spans.__getitem__) if spans else None
+    dates = _column_table(profile).where(F.col("semantic_type") == "datetime").where(F.col("valid_dates") >= MIN_DATES)
+    first, last = (F.col(c).cast("timestamp_ntz") for c in ("min_date", "max_date"))
+    longest = dates.withColumn("span", last - first).where(last > first).orderBy(F.desc("span"), "place").limit(1)
+    return next(iter(_names(longest)), None)
 
 
 def rank_dimensions(profile: TableProfile) -> list[str]:
     """Columns to group by, fewest values first, then in the order of the table."""
-    found = pd.DataFrame(
-        [(c.name, c.semantic_type, c.unique_count) for c in profile.columns], columns=["name", "kind", "size"]
-    )
-    small = found["kind"].isin(["categorical", "boolean"]) & found["size"].between(2, MAX_DIMENSION_VALUES)
-    return found[small].sort_values("size", kind="stable")["name"].to_list()
+    groups = _column_table(profile).where(F.col("semantic_type").isin("categorical", "boolean"))
+    return _names(groups.where(F.col("unique_count").between(2, MAX_DIMENSION_VALUES)).orderBy("unique_count", "place"))

@@ -13,6 +13,7 @@ DAILY_UP_TO, WEEKLY_UP_TO = 62, 370  # days
 DELTA_ROWS, GROWTH_BUCKETS, EDGE_BUCKETS = 10, 4, 3
 DELTA_DAYS_MIN, DELTA_DAYS_MAX = 7, 90
 FREQUENCIES = {"D": "day", "W": "week", "ME": "month"}
+GAP_PIECE = 1_000  # empty buckets spelt out together
 # -----------------------------------------------------------------------------
 
 
@@ -49,15 +50,11 @@ def bucket_start(end: Column, frequency: str) -> Column:
     return F.date_sub(end, 6) if frequency == "W" else F.trunc(end, "month")
 
 
-def buckets_until(end: Column, following: Column, frequency: str) -> Column:
-    """The bucket itself and the empty ones before the following bucket, as an array."""
+def steps_between(end: Column, following: Column, frequency: str) -> Column:
+    """How many buckets after a bucket another one comes."""
     if frequency == "ME":
-        starts = F.sequence(F.trunc(end, "month"), F.trunc(F.add_months(following, -1), "month"), F.expr("interval 1 month"))
-        ends = F.transform(starts, F.last_day)
-    else:
-        days = 1 if frequency == "D" else 7
-        ends = F.sequence(end, F.date_sub(following, days), F.make_dt_interval(F.lit(days)))
-    return F.when(following.isNull(), F.array(end)).otherwise(ends)
+        return (F.year(following) - F.year(end)) * 12 + F.month(following) - F.month(end)
+    return F.floor(F.datediff(following, end) / (1 if frequency == "D" else 7)).cast("int")
 
 
 def shift_bucket(end: Column, steps: Column, frequency: str) -> Column:
@@ -70,18 +67,24 @@ def shift_bucket(end: Column, steps: Column, frequency: str) -> Column:
 def fill_gaps(series: DataFrame, frequency: str, keys: Sequence[str] = (), zero: Sequence[str] = ()) -> DataFrame:
     """Add the missing buckets of each series; columns named in `zero` become 0 there.
 
-    Each bucket brings along the empty ones up to the next, so the rows behind the
-    series are aggregated once and nothing is joined. The series holds one row per
-    bucket, so ordering it per key is ordering a calendar.
+    Each bucket brings along the empty ones up to the next as one row with their number,
+    so the rows behind the series are aggregated once and nothing is joined. A long run is
+    cut into pieces of GAP_PIECE buckets, which are dealt to different tasks before they
+    are spelt out. The series holds one row per bucket, so ordering it per key is ordering
+    a calendar.
     """
     keys = list(keys)
     following = F.lead("period").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("period"))
-    spread = (
-        series.where("period is not null")
-        .withColumn("_next", following)
-        .withColumn("_bucket", F.explode(buckets_until(F.col("period"), F.col("_next"), frequency)))
-    )
-    real = F.col("_bucket") == F.col("period")
+    steps = F.coalesce(steps_between(F.col("period"), following, frequency), F.lit(1))
+    runs = series.where("period is not null").withColumn("_steps", steps)
+    pieces = runs.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_steps") - 1, F.lit(GAP_PIECE))))
+    # A given number of tasks: by their size before they are spelt out, all pieces would go to one.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(tasks, *[column(k) for k in keys], "period", "_from")
+    last = F.least(F.col("_from") + GAP_PIECE, F.col("_steps")) - 1
+    spread = pieces.withColumn("_step", F.explode(F.sequence(F.col("_from"), last)))
+    spread = spread.withColumn("_bucket", shift_bucket(F.col("period"), F.col("_step"), frequency))
+    real = F.col("_step") == 0
     others = [c for c in series.columns if c not in {"period", *keys}]
     filled = {c: F.when(real, column(c)) for c in others}
     filled |= {c: F.coalesce(filled[c], F.lit(0)) for c in zero}

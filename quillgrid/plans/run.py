@@ -13,9 +13,8 @@ from quillgrid.functions.parsing import (
     present,
     text_of,
 )
-from quillgrid.operators.frequencies import most_frequent
 from quillgrid.operators.moments import mean, pearson, steady_mean, steady_total, total
-from quillgrid.operators.quantiles import SMALL, column_quantiles, grouped_quantiles, largest_group
+from quillgrid.operators.quantiles import column_quantiles, grouped_quantiles
 from quillgrid.operators.small import half_up, small_frame
 from quillgrid.operators.timeseries import (
     bucket_end,
@@ -90,14 +89,9 @@ def _metrics(frame: DataFrame, plan_metrics, keys: list[str], approximate: bool)
     """Metrics per group of `keys`; `frame` holds the keys and inputs v0, v1, ..."""
     functions = [_functions(frame.schema[f"v{i}"].dataType, approximate) for i in range(len(plan_metrics))]
     medians = [i for i, m in enumerate(plan_metrics) if m.agg not in functions[i]]
-    inline = bool(keys and medians) and largest_group(frame, keys) <= SMALL
-    plain = [
-        (F.percentile(f"v{i}", 0.5) if i in medians else functions[i][m.agg](F.col(f"v{i}"))).alias(f"m{i}")
-        for i, m in enumerate(plan_metrics)
-        if inline or i not in medians
-    ]
+    plain = [functions[i][m.agg](F.col(f"v{i}")).alias(f"m{i}") for i, m in enumerate(plan_metrics) if i not in medians]
     result = frame.groupBy(*keys).agg(*(plain or [F.count("*").alias("_rows")]))
-    for i in [] if inline else medians:
+    for i in medians:
         if keys:
             part = grouped_quantiles(frame, keys, f"v{i}", [0.5]).select(
                 *keys, F.col("quantiles")[0].alias(f"m{i}")
@@ -180,14 +174,9 @@ def _describe(frame: DataFrame, plan: QueryPlan) -> PlanResult:
     row = frame.agg(*measures).first()
     facts = {n: row[5 * k : 5 * k + 5] for k, n in enumerate(names)}
     numeric = [n for n in names if facts[n][0]]
-    medians = column_quantiles(
-        frame, {n: numbers[n] for n in numeric}, [0.5], {n: facts[n][0] for n in numeric}
-    )
+    medians = column_quantiles(frame, {n: numbers[n] for n in numeric}, [0.5])
     texts = [n for n in names if n not in numeric]
-    distinct = {}
-    if texts:
-        found = frame.agg(*[F.count_distinct(present(frame, n)) for n in texts]).first()
-        distinct = dict(zip(texts, found))
+    tops = _text_facts(frame, texts) if texts else {}
     rows = []
     for n in names:
         count, average, low, high, stored = facts[n]
@@ -195,9 +184,7 @@ def _describe(frame: DataFrame, plan: QueryPlan) -> PlanResult:
             cells = [half_up(x, 4) for x in (average, medians[n][0], low, high)]
             rows.append((n, count, *cells, None, None))
         else:
-            shown = frame.select(text_of(frame, n).alias("t"))
-            top = most_frequent(shown, "t").first()
-            rows.append((n, stored, None, None, None, None, distinct[n], top and top["value"]))
+            rows.append((n, stored, None, None, None, None, *tops.get(n, (0, None))))
     return PlanResult(
         small_frame(
             frame.sparkSession, rows,
@@ -207,6 +194,14 @@ def _describe(frame: DataFrame, plan: QueryPlan) -> PlanResult:
     )
 
 
+def _text_facts(frame: DataFrame, names: list[str]) -> dict[str, tuple[int, str]]:
+    """How many different values each column has, and the most frequent one: one count of (column, value) for all."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), text_of(frame, n).alias("v")) for i, n in enumerate(names)])
+    counted = frame.select(F.inline(cells)).where("v is not null").groupBy("c", "v").agg((-F.count("*")).alias("fewer"))
+    found = counted.groupBy("c").agg(F.count("*").alias("distinct"), F.min(F.struct("fewer", "v")).alias("top")).collect()
+    return {names[r["c"]]: (r["distinct"], r["top"]["v"]) for r in found}
+
+
 def _correlate(frame: DataFrame, plan: QueryPlan) -> PlanResult:
     a, b = (number_of(frame, c) for c in plan.columns)
     both = frame.select(a.alias("a"), b.alias("b")).dropna()

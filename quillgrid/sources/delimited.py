@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.errors import TableError
 from quillgrid.functions.parsing import column
+from quillgrid.sources.records import joined_records, lines_of, split_borders, split_starts
+from quillgrid.sources.scratch import Scratch
 from quillgrid.sources.sniff import SNIFF_BYTES, layout_of
 
 # --- Fixed values ------------------------------------------------------------
@@ -26,8 +28,8 @@ NA_TOKENS = (
 )
 # -----------------------------------------------------------------------------
 
-_EXTRA = "_quillgrid_extra"
-_MANIFEST = "path string, length bigint, encoding string, delimiter string, header array<string>"
+_RAW = "_quillgrid_raw"
+_MANIFEST = "path string, length bigint, encoding string, delimiter string, line_end string, header array<string>"
 
 
 def audit_files(
@@ -35,6 +37,11 @@ def audit_files(
 ) -> DataFrame:
     """Every file with the reason it would be refused, if any. Contents are not read."""
     listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+    # The source reads no row from an empty file, but lists it.
+    names = spark.createDataFrame([(_local_name(f), unquote(f)) for f in listed.inputFiles()], "name string, place string")
+    local = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    listed = names.join(listed.withColumn("name", local), "name", "left")
+    listed = listed.select(F.coalesce("path", "place").alias("path"), F.coalesce("length", F.lit(0)).alias("length"))
     extension = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
     return listed.withColumn(
         "reject_reason",
@@ -64,6 +71,7 @@ def file_manifest(files: DataFrame) -> DataFrame:
             yield batch[["path", "length"]].assign(
                 encoding=[f.encoding for f in found],
                 delimiter=[f.delimiter for f in found],
+                line_end=[f.line_end for f in found],
                 header=[f.header for f in found],
             )
 
@@ -85,64 +93,91 @@ def repair_names(names: Sequence[str]) -> list[str]:
     return repaired
 
 
-def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    """value: each line of the files. The text source splits bytes and leaves decoding to us."""
-    if not encoding.startswith("UTF-16"):
-        return spark.read.text(paths)
-    lines = spark.read.options(encoding=encoding, lineSep="\n").text(paths)
-    return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
-
-
-def _spans_lines(spark: SparkSession, paths: list[str], encoding: str) -> bool:
-    """Whether any quoted field holds a line break: some line has an odd quote count."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not _lines(spark, paths, encoding).where(quotes % 2 == 1).isEmpty()
-
-
 def _local_name(path: str) -> str:
     """One spelling of a path: without the scheme of local files, escapes undone."""
     return re.sub(r"^file:/+", "/", unquote(path))
 
 
-def _not_utf8(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The files whose bytes are not UTF-8 somewhere, by all of their lines."""
-    broken = spark.read.text(paths).where(~F.is_valid_utf8("value")).select("_metadata.file_path").distinct()
-    found = {_local_name(r[0]) for r in broken.collect()}
-    return [p for p in paths if _local_name(p) in found]
+def field_count(record: Column, delimiter: str) -> Column:
+    """How many fields a record has: its delimiters outside quoted fields, and one."""
+    mark = re.escape(delimiter)
+    bare = F.regexp_replace(F.replace(record, F.lit('""'), F.lit("")), f'(^|{mark})"[^"]*"', "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+
+
+def _exceptions(borders: DataFrame, starts: DataFrame) -> list[tuple[str, bool, bool]]:
+    """Path, broken (some bytes are not UTF-8), crossing (a quoted field holds a line break) of the files where either holds."""
+    files = borders.groupBy("path").agg(F.bool_or("broken").alias("broken"), F.bool_or("crosses").alias("crosses"))
+    ends = starts.groupBy("path").agg(F.max_by("ends_inside", "block").alias("unclosed"))
+    found = files.join(ends, "path").where("broken or crosses").collect()
+    for row in found:
+        if row["unclosed"]:
+            raise TableError(f"{row['path']}: a quoted field is never closed")
+    return [(_local_name(r["path"]), r["broken"], r["crosses"]) for r in found]
 
 
 def read_group(
-    spark: SparkSession, paths: list[str], encoding: str, delimiter: str, header: Sequence[str],
-    multi_line: bool | None = None,
-) -> DataFrame:
-    """Files of one layout as text columns; rows with too many fields are left out.
+    spark: SparkSession, paths: list[str], encoding: str, delimiter: str, header: Sequence[str], line_end: str = "\n"
+) -> DataFrame:
+    """Files of one layout as text columns; rows with too many fields are left out, short rows are padded with nulls.
 
-    The extra last column catches a surplus field, which a plain schema would cut off
-    silently. Short rows are padded with nulls.
+    One pass over all bytes finds the files that are not UTF-8 after all and those with
+    line breaks inside quoted fields. Every file stays splittable.
     """
-    if encoding == "UTF-8" and (others := _not_utf8(spark, paths)):
-        # Their heads were plain letters only; the bytes after them decide.
-        rest = [p for p in paths if p not in others]
-        parts = [(others, "ISO-8859-1"), (rest, encoding)]
-        return reduce(
-            DataFrame.unionByName,
-            [read_group(spark, p, e, delimiter, header, multi_line) for p, e in parts if p],
-        )
-    names = repair_names(header)
-    width = range(len(names))
-    wide = encoding.startswith("UTF-16")
-    if multi_line is None:
-        multi_line = _spans_lines(spark, paths, encoding)
-    reader = spark.read.schema(", ".join([*(f"c{i} string" for i in width), f"{_EXTRA} string"])).options(
-        header=True, enforceSchema=True, sep=delimiter, encoding=encoding, escape='"', multiLine=multi_line
+    with Scratch(spark, "borders") as scratch:
+        borders = scratch.written(split_borders(lines_of(spark, paths, encoding, line_end), delimiter))
+        starts = scratch.written(split_starts(borders))
+        kinds = {path: (broken and encoding == "UTF-8", crosses) for path, broken, crosses in _exceptions(borders, starts)}
+        parts: dict[tuple[bool, bool], list[str]] = {}
+        for path in paths:
+            parts.setdefault(kinds.get(_local_name(path), (False, False)), []).append(path)
+        frames = []
+        for (broken, crosses), some in sorted(parts.items()):
+            used = "ISO-8859-1" if broken else encoding
+            if crosses:
+                frames.append(_read_records(spark, some, used, delimiter, header, line_end, starts))
+            else:
+                frames.append(_read_lines(spark, some, used, delimiter, header, line_end))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _schema(width: int) -> str:
+    return ", ".join([*(f"c{i} string" for i in range(width)), f"{_RAW} string"])
+
+
+def _options(delimiter: str) -> dict[str, str]:
+    # A row whose field count is not the header's comes with its raw text.
+    return {"sep": delimiter, "escape": '"', "columnNameOfCorruptRecord": _RAW, "mode": "PERMISSIVE"}
+
+
+def _read_lines(
+    spark: SparkSession, paths: list[str], encoding: str, delimiter: str, header: Sequence[str], line_end: str
+) -> DataFrame:
+    reader = spark.read.schema(_schema(len(header))).options(
+        header=True, enforceSchema=True, encoding=encoding, columnPruning=False, **_options(delimiter)
     )
-    if wide and not multi_line:
-        reader = reader.option("lineSep", "\n")  # keeps the file splittable
-    rows = reader.csv(paths).where(F.col(_EXTRA).isNull())
+    wide = encoding.startswith("UTF-16")
+    if wide or line_end != "\n":
+        reader = reader.option("lineSep", line_end)  # keeps wide files splittable
+    return _named(reader.csv(paths), delimiter, header, wide)
+
+
+def _read_records(
+    spark: SparkSession, paths: list[str], encoding: str, delimiter: str, header: Sequence[str], line_end: str, starts: DataFrame
+) -> DataFrame:
+    records = joined_records(lines_of(spark, paths, encoding, line_end), starts, delimiter)
+    text = F.regexp_replace("record", "\r$", "")
+    parsed = F.from_csv(text, F.lit(_schema(len(header))), _options(delimiter) | {"lineSep": "\n"})
+    return _named(records.select(parsed.alias("row")).select("row.*"), delimiter, header, False)
+
+
+def _named(rows: DataFrame, delimiter: str, header: Sequence[str], wide: bool) -> DataFrame:
+    names = repair_names(header)
+    kept = rows.where(F.col(_RAW).isNull() | (field_count(F.col(_RAW), delimiter) <= len(names)))
     if wide:
         last = f"c{len(names) - 1}"
-        rows = rows.withColumn(last, F.regexp_replace(last, "\r$", ""))
-    return rows.select(*[missing_tokens(F.col(f"c{i}")).alias(n) for i, n in zip(width, names)])
+        kept = kept.withColumn(last, F.regexp_replace(last, "\r$", ""))
+    return kept.select(*[missing_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def missing_tokens(text: Column) -> Column:
@@ -174,9 +209,7 @@ def settle(frame: DataFrame) -> DataFrame:
     return rows.select(*cells)
 
 
-def read_delimited(
-    spark: SparkSession, paths: str | Sequence[str], max_bytes: int | None = None, multi_line: bool | None = None
-) -> DataFrame:
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], max_bytes: int | None = None) -> DataFrame:
     """One typed table from delimited files; refuses what the audit refuses, files over max_bytes only if it is given."""
     audited = audit_files(spark, paths, max_bytes)
     refused = audited.where("reject_reason is not null").first()
@@ -184,7 +217,7 @@ def read_delimited(
         raise TableError(f"{refused['path']}: {refused['reject_reason']}")
     layouts = (
         file_manifest(audited)
-        .groupBy("encoding", "delimiter", "header")
+        .groupBy("encoding", "delimiter", "line_end", "header")
         .agg(F.sort_array(F.collect_list("path")).alias("paths"))
         .orderBy("encoding", "delimiter")
         .collect()
@@ -192,7 +225,7 @@ def read_delimited(
     if not any(g["header"] for g in layouts):
         raise TableError("no header line")
     groups = [
-        read_group(spark, g["paths"], g["encoding"], g["delimiter"], g["header"], multi_line)
+        read_group(spark, g["paths"], g["encoding"], g["delimiter"], g["header"], g["line_end"])
         for g in layouts
         if g["header"]
     ]

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.errors import ForecastError
-from quillgrid.operators.cleaning import Comparison, Step, clean_and_compare
+from quillgrid.operators.cleaning import Step, clean_and_compare
 from quillgrid.operators.facts import extract_facts
 from quillgrid.operators.forecast import Forecast, check_eligibility, prepare_series, run_forecast
 from quillgrid.operators.profile import TableProfile, profile_table
+from quillgrid.operators.small import small_frame
 from quillgrid.operators.suggest import suggest_cleaning
 from quillgrid.sources.delimited import read_delimited, write_csv
 from quillgrid.sources.versions import CLEANED, RAW, VersionStore
@@ -19,9 +20,12 @@ class Project:
     def __init__(self, store: VersionStore, name: str):
         self.store, self.name, self.spark = store, name, store.spark
 
-    def ingest(self, paths: str | Sequence[str]) -> DataFrame:
-        """Read the files and keep them as the raw version, which is never written again."""
-        self.store.write_raw(self.name, read_delimited(self.spark, paths))
+    def ingest(self, paths: str | Sequence[str], quota_bytes: int | None = None) -> DataFrame:
+        """Read the files and keep them as the raw version, which is never written again.
+
+        With a quota, files that would take the store beyond it are refused and leave nothing behind.
+        """
+        self.store.write_raw(self.name, read_delimited(self.spark, paths), quota_bytes)
         return self.store.read(self.name, RAW)
 
     def profile(self, kind: str = RAW) -> TableProfile:
@@ -35,7 +39,7 @@ class Project:
     def suggestions(self) -> DataFrame:
         return suggest_cleaning(self.spark, self.profile())
 
-    def clean(self, steps: Sequence[Step], run: int) -> Comparison:
+    def clean(self, steps: Sequence[Step], run: int) -> DataFrame:
         """Clean the raw version. Nothing is stored unless every step succeeds."""
         raw = self.store.read(self.name, RAW)
         result, after, comparison = clean_and_compare(raw, list(steps), self.profile())
@@ -45,14 +49,19 @@ class Project:
         return comparison
 
     def facts(self) -> DataFrame | None:
-        """Metric facts of the best version, replacing earlier ones of that version."""
+        """All facts of the best version, replacing earlier ones of that version; returns those of metrics."""
         kind = self.store.best_kind(self.name)
         found = extract_facts(self.store.read(self.name, kind), self.profile(kind))
-        if found.metrics is None:
-            return None
         version = f"{self.name}-{kind}"
-        self.store.replace_facts(version, "metrics", found.metrics)
-        return self.store.read_facts("metrics").where(F.col("version") == version)
+        overview = [(k, None if v is None else str(v)) for k, v in found.overview.items()]
+        tables = {
+            "overview": small_frame(self.spark, overview, "name string, value string"),
+            "metrics": found.metrics, "segments": found.segments, "anomalies": found.anomalies, "notes": found.notes, "dates": found.dates,
+        }
+        for name, rows in tables.items():
+            if rows is not None:
+                self.store.replace_facts(version, name, rows)
+        return None if found.metrics is None else self.store.read_facts("metrics").where(F.col("version") == version)
 
     def forecast(self, metric: str, horizon: int, run: int) -> Forecast:
         """Forecast one metric of the best version and append the run."""
@@ -64,7 +73,7 @@ class Project:
         if metric not in allowed.metric_options:
             raise ForecastError(f"{metric!r} is not one of {allowed.metric_options}")
         result = run_forecast(prepare_series(frame, allowed.date_column, metric), horizon)
-        self.store.append_forecast(run, result.forecast)
+        self.store.append_forecast(self.name, run, metric, result)
         return result
 
     def export(self, path: str) -> None:

@@ -45,6 +45,12 @@ def written(frame: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables that live as long as a `with` block: written once, reread, removed at its end."""
 
@@ -61,5 +67,4 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.root)

@@ -20,6 +20,7 @@ _MARKS = (
 class Layout:
     encoding: str
     delimiter: str
+    line_end: str
     header: list[str]
 
 
@@ -48,5 +49,6 @@ def layout_of(head: bytes) -> Layout:
     encoding = encoding_of(head)
     text = head.decode(encoding, errors="replace").lstrip("﻿")
     delimiter = delimiter_of(text)
+    line_end = "\r" if "\r" in text and "\n" not in text else "\n"
     lines = (line for line in text.splitlines(keepends=True) if line.strip())
-    return Layout(encoding, delimiter, next(csv.reader(lines, delimiter=delimiter), []))
+    return Layout(encoding, delimiter, line_end, next(csv.reader(lines, delimiter=delimiter), []))

@@ -60,6 +60,25 @@ MOMENTS = {
     "Jan 6 2026": dt.datetime(2026, 1, 6),
     "January 6, 2026": dt.datetime(2026, 1, 6),
     "6 Feb 2026": dt.datetime(2026, 2, 6),
+    "01/02/2024 3:45 PM": dt.datetime(2024, 1, 2, 15, 45),
+    "13.02.2024 12:05:30.5 a.m.": dt.datetime(2024, 2, 13, 0, 5, 30, 500000),
+    "2024-01-15 10:30 pm": dt.datetime(2024, 1, 15, 22, 30),
+    "Jan 5, 2024, 12 PM": dt.datetime(2024, 1, 5, 12),
+    "01/15/24": dt.datetime(2024, 1, 15),
+    "15-1-99 08:15": dt.datetime(1999, 1, 15, 8, 15),
+    "5-Mar-68": dt.datetime(2068, 3, 5),
+    "Jan 2024": dt.datetime(2024, 1, 1),
+    "September, 2024": dt.datetime(2024, 9, 1),
+    "Mon, 15 Jan 2024": dt.datetime(2024, 1, 15),
+    "Monday, January 15th, 2024 10:30:15": dt.datetime(2024, 1, 15, 10, 30, 15),
+    "2024 Sept 3": dt.datetime(2024, 9, 3),
+    "2024-Oct-03 07:00": dt.datetime(2024, 10, 3, 7),
+    "marble 12, 2024": None,
+    "01/02/2024 13:45 PM": None,
+    "01/02/2024 3:75 PM": None,
+    "room 15 PM": None,
+    "10.0.0": None,
+    "192.168.10.12": None,
     "2026-13-01": None,
     "31/31/2026": None,
     "Foo 6 2026": None,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.operators import health
-from quillgrid.operators.isolation import isolation_outliers
+from quillgrid.operators.isolation import isolation_outliers, tree_rows
 from quillgrid.operators.profile import TableProfile, profile_table, typed_columns
 from quillgrid.operators.roles import pick_date_column, rank_dimensions, rank_metrics
 
@@ -17,37 +17,52 @@ def semantic(spark, values, name="col", kind="string"):
     return readings[0]
 
 
-@pytest.mark.parametrize(
-    ("values", "name", "kind", "expected"),
-    [
-        ([1.5, 2.5, 3.0], "col", "double", "numeric"),
-        ([dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 2)], "col", "timestamp_ntz", "datetime"),
-        ([True, False], "col", "boolean", "boolean"),
-        (["$1,234.56", "$45.00", "$2,000.99"], "col", "string", "numeric"),
-        (["15%", "5%", "0%", "20%"], "col", "string", "numeric"),
-        (["Yes", "No", "Yes"], "col", "string", "boolean"),
-        (["0", "1", "1", "0"], "col", "string", "boolean"),
-        (["Yes", "Yes", "Yes"], "col", "string", "categorical"),
-        (["Yes", None, "Yes"], "col", "string", "categorical"),
-        ([900001, 900002, 900003], "customer_id", "bigint", "id"),
-        (list(range(100_000, 100_060)), "account", "bigint", "id"),
-        ([1, 2, 2, 3, 1, 2, 4, 1], "quantity", "int", "numeric"),
-        (["North", "South", "East"] * 20, "col", "string", "categorical"),
-        ([f"a unique remark, number {i}, on things" for i in range(100)], "remark", "string", "text"),
-        ([f"ORD-{i}" for i in range(50)], "order_id", "string", "id"),
-        ([None, None], "col", "string", "text"),
-        (["20260105", "20260106", "20260107"], "code", "string", "numeric"),
-        ([f"{i}.25" for i in range(40)], "price", "string", "id"),  # unique text numbers read as ids
-    ],
-)
-def test_semantic_types(spark, values, name, kind, expected):
-    assert semantic(spark, values, name, kind).semantic == expected
-
-
-def test_partly_readable_dates(spark):
-    r = semantic(spark, ["2026-01-05", "2026-01-06", "garbage", "2026-01-08", "2026-01-09"])
-    assert (r.semantic, r.suggested, r.parse_pct) == ("datetime", "datetime", 80.0)
-    assert semantic(spark, ["05/01/2026", "Jan 6 2026", "x", "y"]).semantic == "categorical"
+def mixture(readable, n, spell):
+    """n texts, the first `readable` of them spelt so that they can be read, the others all different and not."""
+    return [spell(i) if i < readable else f"~{i}~" for i in range(n)]
+
+
+SPELLINGS = {
+    "datetime": lambda i: f"{1990 + i % 30}-{1 + i % 12:02d}-{1 + i % 28:02d}",
+    "numeric": lambda i: f"{i % 9},{i % 4}00.5%",
+}
+
+
+@pytest.mark.parametrize("target", SPELLINGS)
+@pytest.mark.parametrize("readable", [79, 80, 99])
+def test_text_is_read_where_four_fifths_can_be(spark, target, readable):
+    found = semantic(spark, mixture(readable, 100, SPELLINGS[target]))
+    if readable >= 80:
+        assert (found.semantic, found.suggested, found.parse_pct) == (target, target, float(readable))
+    else:
+        assert found.suggested is None and found.semantic in ("text", "id")
+
+
+@pytest.mark.parametrize("pair", [("y", "n"), ("1", "0"), ("TRUE", "False"), (" T ", "f")])
+def test_two_boolean_tokens_make_a_boolean(spark, pair):
+    assert semantic(spark, list(pair) * 3).semantic == "boolean"
+    assert semantic(spark, [pair[0]] * 6).semantic != "boolean"
+    assert semantic(spark, [*pair * 3, "perhaps"]).semantic != "boolean"
+
+
+@pytest.mark.parametrize(("distinct", "of", "expected"), [(20, 100, "categorical"), (21, 100, "text"), (50, 1000, "categorical"), (51, 1000, "text")])
+def test_few_different_texts_are_categories(spark, distinct, of, expected):
+    assert semantic(spark, [f"~{i % distinct}~" for i in range(of)]).semantic == expected
+
+
+@pytest.mark.parametrize(("distinct", "of", "name", "expected"), [
+    (11, 20, "sku", "id"), (10, 20, "sku", "numeric"), (21, 21, "level", "id"), (20, 20, "level", "numeric"), (97, 100, "level", "numeric"),
+])
+def test_mostly_different_whole_numbers_are_ids(spark, distinct, of, name, expected):
+    values = [1000 + i % distinct for i in range(of)]
+    assert semantic(spark, values, name, "bigint").semantic == expected
+    assert semantic(spark, [str(v) for v in values], name).semantic == expected
+
+
+def test_stored_types_speak_for_themselves(spark):
+    stored = {"timestamp_ntz": dt.datetime(2031, 5, 6), "boolean": True, "double": 0.25, "string": None}
+    expected = {"timestamp_ntz": "datetime", "boolean": "boolean", "double": "numeric", "string": "text"}
+    assert {kind: semantic(spark, [value] * 3, "stored", kind).semantic for kind, value in stored.items()} == expected
 
 
 @pytest.fixture(scope="module")
@@ -80,21 +95,21 @@ def test_counts(profile, messy):
     assert profile.duplicate_row_count == 6 == int(messy.duplicated().sum())
     assert profile.column("gap").missing_count == int(messy["gap"].isna().sum())
     assert profile.column("region").unique_count == 3
-    assert profile.column("region").sample_values == ["E", "N", "S"]
+    assert profile.column("region").samples == ["E", "N", "S"]
     assert profile.column("fixed").is_constant
     assert profile.column("ticket_id").semantic_type == "id"
-    assert profile.column("sold").valid_dates == 306
+    assert profile.column("sold").dates[0] == 306
 
 
 def test_numeric_stats(profile, messy):
-    s, x = profile.column("amount").stats, messy["amount"]
+    s, x = profile.column("amount").measures, messy["amount"]
     expected = [x.mean(), x.median(), x.std(), x.min(), x.max(), x.quantile(0.25), x.quantile(0.75), x.skew()]
-    found = [s.mean, s.median, s.std, s.min, s.max, s.q1, s.q3, s.skew]
+    found = [s[m] for m in ("mean", "median", "std", "min", "max", "q1", "q3", "skew")]
     assert found == pytest.approx(expected, abs=1e-3)
     q1, q3 = x.quantile(0.25), x.quantile(0.75)
     fence = ((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))).sum()
-    assert profile.column("amount").outlier_count_iqr == fence
-    assert profile.column("amount").outlier_count_zscore == int((((x - x.mean()) / x.std()).abs() > 3).sum())
+    assert profile.column("amount").outliers["iqr"] == fence
+    assert profile.column("amount").outliers["zscore"] == int((((x - x.mean()) / x.std()).abs() > 3).sum())
 
 
 def test_correlations(profile):
@@ -140,6 +155,15 @@ def test_isolation_finds_the_far_point(spark):
     assert isolation_outliers(frame, {"a": F.col("a")}) == 0
 
 
+@pytest.mark.parametrize("rows", [60, 3_000, 200_000])
+def test_trees_draw_from_all_rows(spark, rows):
+    points = spark.range(rows).select(F.col("id").cast("double").alias("x0"))
+    drawn = tree_rows(points, rows).toPandas()
+    sizes = drawn.groupby("tree")["x0"].agg(["count", "nunique"])
+    assert len(sizes) == 100 and (sizes == min(rows, 256)).all(axis=None)
+    assert drawn["x0"].nunique() >= min(rows, 20_000) * 0.9 and drawn["x0"].max() > 0.99 * (rows - 1)
+
+
 def test_awkward_column_names(spark):
     frame = spark.createDataFrame([(i, f"${i}.5", "ab"[i % 2]) for i in range(40)] * 2, "`k.id` int, `unit price ($)` string, `a``b` string")
     p = profile_table(frame)

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,7 +14,7 @@ from quillgrid.operators.forecast import (
 )
 from quillgrid.operators.profile import profile_table
 from quillgrid.operators.smoothing import holt_winters
-from quillgrid.operators.timeseries import frequency_for, half_growth, recent_deltas, resample
+from quillgrid.operators.timeseries import fill_gaps, frequency_for, half_growth, recent_deltas, resample
 
 
 def daily(spark, days=700, trend=0.5, amp=20.0, start="2024-01-01"):
@@ -137,3 +139,15 @@ def test_zero_actuals_and_flat_series(spark):
     first = result.forecast.orderBy("h").first()
     assert first["model"] == "seasonal_naive" and first["backtest_mape"] is None and first["mean"] == 0.0
     assert result.summary.first()["change_pct"] is None
+
+
+@pytest.mark.parametrize(("frequency", "last"), [("D", dt.date(9999, 12, 31)), ("W", dt.date(9999, 12, 26)), ("ME", dt.date(9999, 12, 31))])
+def test_a_far_date_is_spelt_out_in_many_tasks(spark, frequency, last):
+    first = {"D": dt.date(2023, 11, 13), "W": dt.date(2023, 11, 12), "ME": dt.date(2023, 12, 31)}[frequency]
+    series = spark.createDataFrame([(first, 1.0), (last, 2.0)], "period date, v double")
+    filled = fill_gaps(series, frequency, zero=["v"])
+    found = filled.agg(F.count("*"), F.min("period"), F.max("period"), F.count_distinct("period"), F.sum("v")).first()
+    steps = {"D": (last - first).days, "W": (last - first).days // 7, "ME": (last.year - first.year) * 12 + last.month - first.month}[frequency]
+    assert tuple(found) == (steps + 1, first, last, steps + 1, 3.0)
+    sizes = filled.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) > 1 and sizes.max() < 0.6 * sizes.sum()

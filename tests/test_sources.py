@@ -1,5 +1,10 @@
 """Malformed and unusual files, and stored versions."""
 
+import csv
+import io
+import random
+from urllib.parse import unquote
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -9,6 +14,7 @@ from quillgrid.operators.cleaning import Step, clean
 from quillgrid.operators.ledger import budget_rollup, with_cost
 from quillgrid.operators.profile import profile_table
 from quillgrid.sources.delimited import audit_files, read_delimited, repair_names, write_csv
+from quillgrid.sources.records import lines_of
 from quillgrid.sources.versions import VersionStore
 
 
@@ -136,6 +142,12 @@ def test_versions(spark, tmp_path):
     store.append_log("p", 2, cleaned)
     store.append_log("p", 1, cleaned)
     assert [r["run"] for r in store.read_log("p").collect()] == [1, 2]
+    store.append_log("p", 1, cleaned)  # a run that is written again replaces itself
+    assert store.read_log("p").count() == 2
+    broken = store.read("p").select("k", F.raise_error(F.lit("stop")).cast("string").alias("tags"))
+    with pytest.raises(Exception, match="stop"):
+        store.write_cleaned("p", broken)
+    assert store.read("p").count() == 1 and store.best_kind("p") == "cleaned"
     profile = profile_table(store.read("p"))
     store.write_profile("p", "cleaned", profile)
     assert store.read_profile("p", "cleaned") == profile and store.read_profile("p") is None
@@ -181,14 +193,24 @@ def test_project_from_file_to_forecast(spark, tmp_path):
     assert project.ingest(str(tmp_path / "sales.csv")).count() == 510
     assert project.profile() == project.profile()
     comparison = project.clean(accepted_steps(project.suggestions()), run=1)
-    assert (comparison.rows_after, comparison.duplicate_rows_after) == (500, 0)
-    assert comparison.health_after > comparison.health_before
+    after = {r["measure"]: (r["before"], r["after"]) for r in comparison.collect()}
+    assert (after["rows"][1], after["duplicate_rows"][1]) == (500, 0) and after["health"][1] > after["health"][0]
     assert project.store.read_log("sales").count() > 2
     assert project.facts().first()["metric"] == "revenue" and project.facts().count() == 1
     made = project.forecast("revenue", 4, run=1)
     assert made.forecast.count() == 4 == project.store.read_forecasts().count()
     with pytest.raises(ForecastError):
         project.forecast("region", 4, run=2)
+    stored = project.store.read_forecasts().first()
+    assert (stored["project"], stored["run"], stored["metric"], stored["horizon"], stored["series"]) == ("sales", 1, "revenue", 4, {})
+    assert stored["frequency"] and stored["model"] and stored["backtest_mape"] is not None
+    project.forecast("revenue", 4, run=1)
+    assert project.store.read_forecasts().count() == 4
+    assert {n: project.store.read_facts(n).count() > 0 for n in ("overview", "segments")} == {"overview": True, "segments": True}
+    other = Project(project.store, "second")
+    with pytest.raises(TableError, match="quota"):
+        other.ingest(str(tmp_path / "sales.csv"), quota_bytes=project.store.stored_bytes() + 10)
+    assert other.ingest(str(tmp_path / "sales.csv"), quota_bytes=10**9).count() == 510
     project.export(str(tmp_path / "out"))
     assert read_delimited(spark, str(tmp_path / "out" / "*.csv")).count() == 500
 
@@ -205,3 +227,55 @@ def test_scratch_folder():
     assert root(spark_master="local[2]", spark_app_id="t") == root(spark_master="local[2]", spark_app_id="t")
     with pytest.raises(RuntimeError):
         root(spark_master="yarn")
+
+
+def test_rows_are_judged_by_their_field_count(load):
+    """Surplus fields count even where they are empty, and short rows with quoted delimiters are no long ones."""
+    frame = load('a,b,c\n1,2,3\n2,3,4,,x\n3,4,5,\n4,"5,6"\n"7,""8""",\n9,5" disk,1\n9,5" disk,1,2\n')
+    assert cells(frame) == [("1", "2", 3), ("4", "5,6", None), ('7,"8"', None, None), ("9", '5" disk', 1)]
+
+
+def test_empty_files_are_named(spark, load, tmp_path):
+    (tmp_path / "none here.csv").write_text("")
+    (tmp_path / "some.csv").write_text("a\n1\n")
+    reasons = {r["path"].rsplit("/", 1)[1]: r["reject_reason"] for r in audit_files(spark, str(tmp_path)).collect()}
+    assert {unquote(k): v for k, v in reasons.items()} == {"none here.csv": "empty", "some.csv": None}
+    with pytest.raises(TableError, match="empty"):
+        read_delimited(spark, str(tmp_path))
+
+
+def test_old_line_ends(load):
+    assert cells(load(b"a,b\r1,x\r2,y\r")) == [(1, "x"), (2, "y")]
+
+
+def test_a_field_that_is_never_closed(load):
+    with pytest.raises(TableError, match="never closed"):
+        load('a,b\n1,"x\n2,y\n')
+
+
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "latin-1", "utf-16-le"])
+def test_records_over_many_splits(spark, tmp_path, encoding, split=100):
+    """Fields with line breaks, doubled quotes, delimiters and stray quotes, in splits smaller than a record."""
+    rng = random.Random(split)
+    rows = []
+    for i in range(50):
+        pieces = ["x", "é", "\n", "\r\n", '"', ",", "\n\n", "yy", " "]
+        note = "".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 4, 12, 150])))
+        rows.append((i, f"{note}.", rng.choice(["plain", '5" disk', 'a"b"'])))
+    text = '"id","the\nnote",other\n'
+    for i, note, other in rows:
+        quoted = '"' + note.replace('"', '""') + '"'
+        text += f"{i},{quoted},{other}" + rng.choice(["", "", ",surplus", ',"sur\nplus"']) + rng.choice(["\n", "\r\n", "\n\n"])
+    (tmp_path / "t.csv").write_bytes(text.encode(encoding))
+    expected = list(csv.reader(io.StringIO(text, newline="")))[1:]
+    expected = {(int(r[0]), r[1], r[2]) for r in expected if len(r) == 3}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        frame = read_delimited(spark, str(tmp_path / "t.csv"))
+        assert frame.columns == ["id", "the\nnote", "other"]
+        assert lines_of(spark, [str(tmp_path / "t.csv")], "UTF-8", "\n").select("block").distinct().count() > 15
+        found = cells(frame)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(found) == len(expected) and set(found) == expected
