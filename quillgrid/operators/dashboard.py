@@ -201,7 +201,8 @@ def histogram_table(frame: DataFrame, metrics: Sequence[str]) -> DataFrame:
         guess = F.least(F.floor((v - low) * (bins / (high - low))), F.lit(bins - 1)).cast("int")
         # Division may land a hair off an edge; the edge itself decides.
         place = (
-            F.when(v < F.lit(low) + guess * F.lit(width), guess - 1)
+            F.when(v.isNull(), F.lit(None))
+            .when(v < F.lit(low) + guess * F.lit(width), guess - 1)
             .when((v >= F.lit(low) + (guess + 1) * F.lit(width)) & (guess < bins - 1), guess + 1)
             .otherwise(guess)
         )
