@@ -3,7 +3,6 @@
 Everything here stays inside whole-stage codegen: no Python runs per row.
 """
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,6 @@ BOOLEAN_TOKENS = {
 NUMBER_MARKS = "$€£₹¥,"
 SPACES = " \t\n\r\f\v                 　"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-SHORT_YEARS = 69  # 69 to 99 are 1969 to 1999, 00 to 68 are 2000 to 2068
 LONGEST_DATE = 60
 MISSING_LABEL = "(missing)"
 # -----------------------------------------------------------------------------
@@ -26,21 +24,24 @@ MISSING_LABEL = "(missing)"
 _NUMBER = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)%?$"
 # Spellings of days. Each pattern is anchored, so a cell that is no date fails at its first letters.
 _REST = r"([ T][0-9].*)?$"
-_YEAR_FIRST = r"^[0-9]{4}[./-][0-9]"
-_YEAR_SLASHED = r"^([0-9]{4})[./]([0-9]{1,2})[./]([0-9]{1,2})" + _REST
+_PLAIN_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9:.]+)?$"
 _YEAR_DASHED = r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2}" + _REST[:-1] + r")?$"
-_YEAR_LAST = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})" + _REST
-_SHORT_YEAR = r"^(?<day>[0-9]{1,2}[/.-][0-9]{1,2}[/.-])(?=[0-9]{2}(?:[ T]|$))"
+_YEAR_SLASHED = r"^([0-9]{4})[./]([0-9]{1,2})[./]([0-9]{1,2})" + _REST
+_DAYS = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]"
+_YEAR_LAST = _DAYS + "([0-9]{4})" + _REST
+#: Two digits up to 68 are of this century.
+_RECENT, _LAST = "([0-5][0-9]|6[0-8])", "(69|[7-9][0-9])"
 _ORDINAL, _YEAR, _DAY, _NAME = "(?:st|nd|rd|th)?", "([0-9]{4}|[0-9]{2})", "([0-9]{1,2})", r"([a-z]{3,9})\.?"
 # Groups: name, day, year | day, name, year | name, year | year, name, day; then the time.
 _NAMED = (
     rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +)?(?:{_NAME}[ -]{_DAY}{_ORDINAL},?[ -]{_YEAR}|{_DAY}{_ORDINAL}[ -]{_NAME},?[ -]{_YEAR}"
     rf"|{_NAME},?[ -]([0-9]{{4}})|([0-9]{{4}})[ -]{_NAME}[ -]{_DAY})((?:,? [0-9].*)?)$"
 )
-_NAMED_PARTS = "$3$6$8$9;$1$5$7$10;$2$4$11;$12"
-_PLAIN_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9:.]+)?$"
-_HALF_DAY = r"[aApP]\.?[mM]\.?$"
-_CLOCK = r"(?i)^(.+?),?[ T]+([0-9]{1,2})(?::([0-9]{2}))?(?::([0-9]{2}(?:\.[0-9]{1,6})?))? ?([ap])\.?m\.?$"
+_NAMED_ORDER = "$3$6$8$9-$1$5$7$10-$2$4$11$12"
+#: How any spelling but the plain one begins.
+_BEGINNING = r"^ *(?:[0-9]{1,4}(?:st|nd|rd|th|ST|ND|RD|TH)?[ ./-][0-9A-Za-z]|[A-Za-z]{3,9}[., ])"
+_HALF_DAY = r"[0-9] ?[aApP]\.?[mM]\.?$"
+_CLOCK = r"(?i),?[ T]+([0-9]{1,2})(?::([0-9]{2}))?(?::([0-9]{2}(?:\.[0-9]{1,6})?))? ?([ap])\.?m\.?$"
 
 
 def strip_marks(text: Column, decimal_comma: bool = False) -> Column:
@@ -60,72 +61,56 @@ def text_to_number(text: Column, decimal_comma: bool = False) -> Column:
     return F.when(text.rlike("[0-9]"), F.regexp_extract(bare, _NUMBER, 1).try_cast("double"))
 
 
-def century(year: Column) -> Column:
-    """Two digits from SHORT_YEARS on are of the last century."""
-    prefix = F.when(year >= f"{SHORT_YEARS:02d}", "19").otherwise("20")
-    return F.when(F.length(year) == 2, F.concat(prefix, year)).otherwise(year)
-
-
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often it is used; keeps generated code small."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _named_day(parts: Column) -> Column:
-    """From year, month name, day and time."""
-    year, name, day, time = (parts[i] for i in range(4))
-    numbers = {m: i for i, long in enumerate(MONTHS, 1) for m in (long, long[:3])} | {"sept": 9}
-    month = F.create_map(*[F.lit(str(x)) for pair in numbers.items() for x in pair])[F.lower(name)]
-    day = F.when(day == "", "1").otherwise(day)
-    time = F.regexp_replace(time, "^,? ", " ")
-    return F.concat(century(year), F.lit("-"), month, F.lit("-"), day, time).try_cast("timestamp_ntz")
+def _named_day(text: Column) -> Column:
+    """Month names become numbers, a missing day the first, two digits a year; whatever is left over reads as no date."""
+    found = F.lower(F.regexp_replace(text, _NAMED, _NAMED_ORDER))
+    for number, month in enumerate(MONTHS, 1):
+        for name in (month, *(["sept"] if number == 9 else []), month[:3]):
+            found = F.replace(found, F.lit(f"-{name}-"), F.lit(f"-{number}-"))
+    found = F.replace(F.regexp_replace(found, "-$", "-1"), F.lit(","), F.lit(""))
+    found = F.regexp_replace(F.regexp_replace(found, f"^{_RECENT}-", "20$1-"), f"^{_LAST}-", "19$1-")
+    return found.try_cast("timestamp_ntz")
 
 
 def _day_and_time(t: Column) -> Column:
-    """Moments of the spellings without am and pm."""
+    """Moments of the spellings without am and pm. The text is used as seldom as can be: it may be a long expression."""
 
-    def rewritten(text: Column, pattern: str, order: str) -> Column:
-        return F.regexp_replace(text, pattern, order).try_cast("timestamp_ntz")
+    def rewritten(pattern: str, order: str) -> Column:
+        return F.regexp_replace(t, pattern, order).try_cast("timestamp_ntz")
 
-    def year_last(text: Column) -> Column:
-        return F.coalesce(rewritten(text, _YEAR_LAST, "$3-$1-$2$4"), rewritten(text, _YEAR_LAST, "$3-$2-$1$4"))
+    def year_last(year: str, century: str) -> tuple[Column, Column]:
+        pattern = _DAYS + year + _REST
+        return t.rlike(pattern), F.coalesce(*[rewritten(pattern, f"{century}$3-{order}$4") for order in ("$1-$2", "$2-$1")])
 
-    full = F.regexp_replace(t, _SHORT_YEAR, r"${day}20")
-    last = F.regexp_replace(t, _SHORT_YEAR, r"${day}19")
-    recent = F.regexp_extract(t, _SHORT_YEAR + "([0-9]{2})", 2) < f"{SHORT_YEARS:02d}"
-    year_first = F.when(t.rlike(_YEAR_DASHED), t.try_cast("timestamp_ntz")).otherwise(
-        F.when(t.rlike(_YEAR_SLASHED), rewritten(t, _YEAR_SLASHED, "$1-$2-$3$4"))
-    )
     return (
-        F.when(t.rlike(_YEAR_FIRST), year_first)
-        .when(t.rlike(_YEAR_LAST), year_last(t))
-        .when(t.rlike(_SHORT_YEAR), once(F.when(recent, full).otherwise(last), year_last))
-        .when(t.rlike(_NAMED), once(F.split(F.regexp_replace(t, _NAMED, _NAMED_PARTS), ";"), _named_day))
+        F.when(t.rlike(_YEAR_DASHED), t.try_cast("timestamp_ntz"))
+        .when(t.rlike(_YEAR_SLASHED), rewritten(_YEAR_SLASHED, "$1-$2-$3$4"))
+        .when(*year_last("([0-9]{4})", ""))
+        .when(*year_last(_RECENT, "20"))
+        .when(*year_last(_LAST, "19"))
+        .when(t.rlike(_NAMED), _named_day(t))
     )
 
 
-def _with_clock(parts: Column) -> Column:
-    """From the day, hour, minute, second and a or p."""
-    day, hour, minute, second, half = (parts[i] for i in range(5))
-    hour = hour.try_cast("int")
-    hour = F.when(hour.between(1, 12), hour % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
-    minute = F.when(minute == "", 0).otherwise(minute.try_cast("int"))
-    second = F.when(second == "", 0).otherwise(second.try_cast("decimal(8,6)"))
-    clock = F.when((minute < 60) & (second < 60), F.make_dt_interval(F.lit(0), hour, minute, second))
-    return once(day, _day_and_time) + clock
+def _half_day(text: Column) -> Column:
+    """The time since midnight of a spelling with am or pm; null where there is no such time."""
+    hour, minute, second, half = (F.regexp_extract(text, _CLOCK, i) for i in range(1, 5))
+    afternoon = F.when(F.lower(half) == "p", 12).otherwise(0)
+    # Twelve is the hour zero; a text of 0 or beyond 12 or 59 is no time.
+    hour = F.when(hour.rlike("^(0?[1-9]|1[0-2])$"), hour.try_cast("int") % 12 + afternoon)
+    minute = F.when(minute.rlike("^([0-5][0-9])?$"), F.concat(F.lit("0"), minute).try_cast("int"))
+    second = F.when(second.rlike("^([0-5][0-9].*)?$"), F.concat(F.lit("0"), second).try_cast("decimal(8,6)"))
+    return F.make_dt_interval(F.lit(0), hour, minute, second)
 
 
 def text_to_moment(text: Column) -> Column:
     """Read mixed date spellings; month comes first where day and month are ambiguous."""
-
-    def read(t: Column) -> Column:
-        clock = once(F.split(F.regexp_replace(t, _CLOCK, "$1;$2;$3;$4;$5"), ";"), _with_clock)
-        return F.when(t.rlike(_HALF_DAY) & t.rlike(_CLOCK), clock).otherwise(_day_and_time(t))
-
-    # The common spelling stays in generated code; without two digits in a row, or longer
-    # than any day name, text is passed over.
+    t = F.trim(text)
+    clock = F.when(t.rlike(_HALF_DAY), _half_day(t)).otherwise(F.make_dt_interval())
+    # The common spelling is tried first; text that begins otherwise, has no two digits in a
+    # row, or is longer than any date, is passed over.
     return F.when(text.rlike(_PLAIN_DATE), text.try_cast("timestamp_ntz")).when(
-        F.length(text).between(6, LONGEST_DATE) & text.rlike("[0-9]{2}"), once(F.trim(text), read)
+        F.length(text).between(6, LONGEST_DATE) & text.rlike(_BEGINNING) & text.rlike("[0-9]{2}"), _day_and_time(F.regexp_replace(t, _CLOCK, "")) + clock
     )
 
 
