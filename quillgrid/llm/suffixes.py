@@ -45,7 +45,7 @@ BASE = 0x9E3779B97F4A7C15
 SUFFIX_ORDER = ("anchor", "id", "place")
 SUFFIX_SCHEMA = "anchor long, id long, place long, windows binary"
 WINDOW_ORDER = ("anchor", "window", "id", "place")
-#: Decided: repeats and copies are set bits for the windows from `place` on. Else an undecided window.
+#: Decided: repeats and copies are set bits for the windows from `place` on. Else an undecided window, which may be known to repeat.
 DECIDED_SCHEMA = "anchor long, window long, id long, place long, repeats long, copies long"
 MATCH_SCHEMA = "part long, edge string, anchor long, window long, id long, place long, repeats long, copies long"
 RANGE_SCHEMA = "kind string, id long, mark long, first long, stop long"
@@ -136,17 +136,12 @@ def exploded(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts)), counts), after, np.frombuffer(b"".join(windows), np.int64)
 
 
-def undecided(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """One row per window, for the second sort."""
-    for i in range(0, rows.num_rows, ROWS):
-        part = rows.slice(i, ROWS)
-        row, after, hashes = exploded(part)
-        anchors, ids, places = (part.column(c).to_numpy()[row] for c in range(3))
-        yield record([anchors, hashes, ids, places + after, None, None], DECIDED_SCHEMA, len(row))
+def decided(rows: pa.RecordBatch, open_ends: bool = False) -> Iterator[pa.RecordBatch]:
+    """Repeats and copies of runs of equal anchors, a bit for each window of a place.
 
-
-def decided(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Repeats and copies of whole runs of equal anchors, a bit for each window of a place."""
+    With open ends the runs go on elsewhere: of equal windows all but the first are copies
+    for certain, and the first goes on as a window of its own, marked if it repeats here.
+    """
     if not rows.num_rows:
         return
     row, after, hashes = exploded(rows)
@@ -157,6 +152,11 @@ def decided(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     same = (hashes[order][1:] == hashes[order][:-1]) & (run[row][order][1:] == run[row][order][:-1])
     copy = np.concatenate([[False], same])
     repeat = copy | np.concatenate([same, [False]])
+    if open_ends:
+        first = order[~copy]
+        columns = [anchors[row[first]], hashes[first], ids[row[first]], places[row[first]] + after[first], repeat[~copy].astype(np.int64), None]
+        yield record(columns, DECIDED_SCHEMA, len(first))
+        repeat = copy
     bits = np.int64(1) << after[order]
     repeats, copies = (np.bincount(row[order][m], weights=bits[m], minlength=len(ids)).astype(np.int64) for m in (repeat, copy))
     at = np.flatnonzero(repeats)
@@ -166,8 +166,9 @@ def decided(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the sorted suffixes that share their anchor with a neighbour say of their windows.
 
-    Runs of one anchor are decided here, but for the first and the last run of the
-    partition, which may go on in another, and runs of more than TOGETHER places.
+    Runs of one anchor are decided here. The first and the last run of the partition, which
+    may go on in another, and the parts of a run of more than TOGETHER places, pass on one
+    row for each different window.
     """
     held: list[pa.RecordBatch] = []  # the run that may go on
     anchor, first, long = None, True, False
@@ -176,10 +177,9 @@ def shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         nonlocal held, first, long
         if held:
             run = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            if first or last or long:
-                yield from undecided(run)
-            elif run.num_rows > 1:
-                yield from decided(run)
+            open_ends = first or last or long
+            if open_ends or run.num_rows > 1:
+                yield from decided(run, open_ends)
         held, first, long = [], False, False
 
     for batch in batches:
@@ -198,8 +198,8 @@ def shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             held.append(batch.slice(int(cuts[-2])))
         anchor = anchors[-1]
         if sum(part.num_rows for part in held) > TOGETHER:
-            for part in held:
-                yield from undecided(part)
+            run = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield from decided(run, True)
             held, long = [], True
     yield from closed(True)
 
@@ -211,7 +211,7 @@ def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     def out(rows: list, at: np.ndarray, repeat: np.ndarray, copy: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         columns = [
-            pa.array(np.full(len(at), part)), pa.array(edges[at].tolist(), pa.string()), *(pa.array(c[at]) for c in rows),
+            pa.array(np.full(len(at), part)), pa.array(edges[at].tolist(), pa.string()), *(pa.array(c[at]) for c in rows[:4]),
             pa.array(repeat[at].astype(np.int64)), pa.array(copy[at].astype(np.int64)),
         ]
         return pa.record_batch(columns, names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
@@ -219,13 +219,13 @@ def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy() for i in range(4)]
+        rows = [batch.column(i).to_numpy() for i in range(5)]
         if held is not None:
             rows = [np.concatenate([[h], c]) for h, c in zip(held[0], rows, strict=True)]
         same = (rows[0][:-1] == rows[0][1:]) & (rows[1][:-1] == rows[1][1:])
         copy = np.concatenate([[held is not None and held[1]], same])
         edges = np.full(len(same), None, object)
-        repeat = copy[:-1] | same
+        repeat = copy[:-1] | same | (rows[4][:-1] > 0)
         wanted = repeat.copy()
         if start and len(same):
             wanted[0], edges[0], start = True, "first", False
@@ -234,8 +234,8 @@ def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield out(rows, at, repeat, copy, edges)
         held = [c[-1] for c in rows], bool(copy[-1])
     if held is not None:
-        flag = np.array([held[1]])
-        yield out([np.array([v]) for v in held[0]], np.array([0]), flag, flag, np.array(["both" if start else "last"], object))
+        copy = np.array([held[1]])
+        yield out([np.array([v]) for v in held[0]], np.array([0]), copy | (held[0][4] > 0), copy, np.array(["both" if start else "last"], object))
 
 
 def across_partitions(edges: list) -> list[tuple]:
@@ -312,7 +312,7 @@ def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text
     with Scratch(spark, "suffixes") as scratch:
         ordered = suffixes(documents, key, text).repartitionByRange(*SUFFIX_ORDER).sortWithinPartitions(*SUFFIX_ORDER)
         windows = scratch.written(ordered.mapInArrow(shared_windows, DECIDED_SCHEMA))
-        rest = windows.filter("window is not null").select(*WINDOW_ORDER)
+        rest = windows.filter("window is not null").select(*WINDOW_ORDER, "repeats")
         ordered = rest.repartitionByRange(*WINDOW_ORDER).sortWithinPartitions(*WINDOW_ORDER)
         found = scratch.written(ordered.mapInArrow(equal_neighbours, MATCH_SCHEMA))
         # Two rows per partition at most.
