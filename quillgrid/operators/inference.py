@@ -67,8 +67,8 @@ class Reading:
     parse_pct: float | None = None
 
 
-def column_facts(frame: DataFrame) -> tuple[int, list[ColumnFacts]]:
-    """Row count and per-column facts (distinct counts excluded) in one aggregation."""
+def column_facts(frame: DataFrame, texts: bool = True) -> tuple[int, list[ColumnFacts]]:
+    """Row count and per-column facts (distinct counts excluded) in one aggregation. Without `texts`, text is not read."""
     measures: list[Column] = [F.count("*").alias("rows")]
     for i, field in enumerate(frame.schema.fields):
         c = present(frame, field.name)
@@ -76,16 +76,13 @@ def column_facts(frame: DataFrame) -> tuple[int, list[ColumnFacts]]:
         kind = kind_of(field.dataType)
         if kind == "numeric" and not isinstance(field.dataType, T.IntegralType):
             measures.append(F.coalesce(F.bool_and(c % 1 == 0), F.lit(True)).alias(f"whole{i}"))
-        elif kind == "text":
+        elif kind == "text" and texts:
             text = column(field.name).cast("string")
-            token = F.lower(F.trim(text))
-            # Two different hashes are two different tokens; equal ones can only be one of ten.
-            mark = F.when(token.isNotNull(), F.xxhash64(token))
-            known = F.coalesce(F.bool_and(token.isin(list(BOOLEAN_TOKENS))), F.lit(False))
+            known, mark = _boolean_marks(text)
             measures += [
                 F.count(text_to_number(text)).alias(f"numbers{i}"),
                 F.count(text_to_moment(text)).alias(f"moments{i}"),
-                F.coalesce(known & (F.min(mark) < F.max(mark)), F.lit(False)).alias(f"tokens{i}"),
+                F.coalesce(F.bool_and(known) & (F.min(mark) < F.max(mark)), F.lit(False)).alias(f"tokens{i}"),
             ]
     row = frame.agg(*measures).first()
     facts = []
@@ -93,13 +90,46 @@ def column_facts(frame: DataFrame) -> tuple[int, list[ColumnFacts]]:
         fact = ColumnFacts(field.name, kind_of(field.dataType), row[f"present{i}"])
         if f"whole{i}" in row:
             fact.whole = row[f"whole{i}"]
-        elif fact.kind == "text":
+        elif fact.kind == "text" and texts:
             fact.numbers, fact.moments = row[f"numbers{i}"], row[f"moments{i}"]
             fact.boolean_tokens = bool(row[f"tokens{i}"])
         facts.append(fact)
     return row["rows"], facts
 
 
+def _boolean_marks(text: Column) -> tuple[Column, Column]:
+    """Whether a text is a boolean token, and its hash: two different hashes are two different tokens; equal ones can only be one of ten."""
+    token = F.lower(F.trim(text))
+    return token.isin(list(BOOLEAN_TOKENS)), F.when(token.isNotNull(), F.xxhash64(token))
+
+
+def text_facts(values: DataFrame, facts: list[ColumnFacts]) -> None:
+    """Completes the facts of text columns, distinct counts included, from `values`: one row (c, v, n) per column number and text.
+
+    Each different text is read once, however many rows hold it and however many columns there are.
+    """
+    v = F.when(F.col("c").isin([i for i, f in enumerate(facts) if f.kind == "text"]), F.col("v"))
+    known, mark = _boolean_marks(v)
+    read = values.select(
+        "c", "n", (text_to_number(v) + F.lit(0.0)).alias("number"), text_to_moment(v).isNotNull().alias("moment"), known.alias("known"), mark.alias("mark")
+    )
+    by_number = read.groupBy("c", "number").agg(
+        F.count("*").alias("texts"), F.sum("n").alias("n"), F.sum(F.when(F.col("moment"), F.col("n"))).alias("moments"),
+        F.bool_and("known").alias("known"), F.min("mark").alias("low"), F.max("mark").alias("high"),
+    )
+    found = by_number.groupBy("c").agg(
+        F.sum("texts").alias("distinct"), F.coalesce(F.sum(F.when(F.col("number").isNotNull(), F.col("n"))), F.lit(0)).alias("numbers"),
+        F.count("number").alias("distinct_numbers"), F.coalesce(F.sum("moments"), F.lit(0)).alias("moments"),
+        F.coalesce(F.bool_and("known") & (F.min("low") < F.max("high")), F.lit(False)).alias("tokens"),
+    )
+    for r in found.collect():
+        f = facts[r["c"]]
+        f.distinct = min(r["distinct"], f.present)
+        if f.kind == "text":
+            f.numbers, f.moments, f.boolean_tokens = r["numbers"], r["moments"], r["tokens"]
+            f.distinct_numbers = r["distinct_numbers"] if f.numeric_text else 0
+
+
 def _identifier(fact: ColumnFacts, distinct: int, of: int, integral: bool) -> bool:
     if of == 0:
         return False

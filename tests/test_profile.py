@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.operators import health
+from quillgrid.operators.inference import column_facts
 from quillgrid.operators.isolation import isolation_outliers, tree_rows
-from quillgrid.operators.profile import TableProfile, profile_table, typed_columns
+from quillgrid.operators.profile import TableProfile, profile_table, read_once, smallest_texts, typed_columns
 from quillgrid.operators.roles import pick_date_column, rank_dimensions, rank_metrics
 
 
@@ -175,3 +176,37 @@ def test_sketched_distinct_counts(spark):
     frame = spark.range(30_000).selectExpr("concat('v', id % 9000) as t", "cast(null as string) as gone")
     _, facts, _, _ = typed_columns(frame, approximate=True)
     assert facts[0].distinct == pytest.approx(9000, rel=0.05) and facts[1].distinct == 0
+
+
+def test_types_counts_and_samples_of_odd_values(spark):
+    """Against the facts counted row by row: gaps, NaN, both zeros, equal numbers spelt apart, dates and moments."""
+    rows = [
+        ("a" if i % 7 else None, f"{i % 5}.{'0' * (i % 3)}", ["-0.0", "0", "1e999", "", "x"][i % 5], [0.0, -0.0, float("nan"), 1.5][i % 4],
+         2**53 + i % 2, dt.date(2031, 5, 1 + i % 9), dt.datetime(2031, 5, 6, 7, 8, 9, i % 11), ["t", " T", None, "F"][i % 4])
+        for i in range(200)
+    ]
+    frame = spark.createDataFrame(rows, "a string, b string, c string, d double, e bigint, f date, g timestamp_ntz, h string")
+    total, facts, _, samples = typed_columns(frame)
+    by_row = column_facts(frame)
+    assert total == by_row[0] == 200
+    assert [(f.present, f.numbers, f.moments, f.whole, f.boolean_tokens) for f in facts] == [
+        (f.present, f.numbers, f.moments, f.whole, f.boolean_tokens) for f in by_row[1]
+    ]
+    assert [f.distinct for f in facts] == [1, 15, 5, 2, 2, 9, 11, 3]
+    assert facts[1].distinct_numbers == 5
+    assert samples["d"] == ["0.0", "1.5"] and samples["e"] == [str(2**53), str(2**53 + 1)]
+    assert samples["f"] == [f"2031-05-0{k}" for k in range(1, 6)]
+
+
+def test_samples_are_the_smallest_of_all_rows_not_of_the_first(spark):
+    frame = spark.range(30_000, numPartitions=3).select(F.lpad((29_999 - F.col("id")).cast("string"), 5, "0").alias("v"))
+    assert smallest_texts(frame) == {"v": [f"0000{k}" for k in range(5)]}
+
+
+def test_text_is_parsed_once_for_all_later_passes(spark):
+    frame = spark.createDataFrame([(f"${i},000", "2031-05-06", i) for i in range(20)], "price string, day string, n int")
+    read, numbers, moments = read_once(frame, ["price", "n"], ["day"])
+    plan = read.select(*numbers.values(), *moments.values())._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "RLIKE" not in plan.upper()
+    assert read.agg(F.sum(numbers["price"]), F.sum(numbers["n"]), F.count_distinct(moments["day"])).first()[:] == (190_000.0, 190, 1)
+    assert read_once(frame, ["n"], [])[0].inputFiles() == frame.inputFiles()
