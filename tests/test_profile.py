@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators import health
+from quillgrid.operators import health, ranks
 from quillgrid.operators.inference import column_facts
 from quillgrid.operators.isolation import isolation_outliers, tree_rows
 from quillgrid.operators.profile import TableProfile, profile_table, read_once, smallest_texts, typed_columns
@@ -210,3 +210,12 @@ def test_text_is_parsed_once_for_all_later_passes(spark):
     assert "regexp" not in plan and "RLIKE" not in plan.upper()
     assert read.agg(F.sum(numbers["price"]), F.sum(numbers["n"]), F.count_distinct(moments["day"])).first()[:] == (190_000.0, 190, 1)
     assert read_once(frame, ["n"], [])[0].inputFiles() == frame.inputFiles()
+
+
+def test_ranks_of_complete_columns_need_sums_alone(spark, monkeypatch):
+    """Their mean is known, so no pair needs deviations of its own; constants still have no coefficient."""
+    monkeypatch.setattr(ranks, "pearson", None)
+    pdf = pd.DataFrame({"a": [(7 * i) % 31 for i in range(90)], "b": [i // 4 for i in range(90)], "c": [5] * 90})
+    found = ranks.spearman_pairs(spark.createDataFrame(pdf), {n: F.col(n) for n in "abc"})
+    assert found[("a", "b")] == pytest.approx(pdf["a"].rank().corr(pdf["b"].rank()), abs=1e-12)
+    assert found[("a", "c")] is None and found[("b", "c")] is None
