@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.sources.scratch import Scratch, written
 
-SPACE = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\v\f\r"
+WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits that name a range of the seeded order: 4,096 ranges a leaf.
 RANGE_DIGITS = 3
 
@@ -47,8 +48,9 @@ class Level:
 
 
 def token_count(text: Column) -> Column:
-    words = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return F.size(F.filter(words, lambda w: w != "")).cast("long")
+    """Words become one letter each, so that no array of words is built for a long text."""
+    letters = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), SPACES, "")
+    return F.length(letters).cast("long")
 
 
 def shared_out(children: DataFrame, family: list[str], name: str) -> DataFrame:

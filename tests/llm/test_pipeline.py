@@ -69,3 +69,18 @@ def test_run(spark, tables, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_token_counts_build_no_words(spark):
+    """Counts equal those of Python's split at the same marks; the expression holds no array."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quillgrid.llm.mixing import token_count
+
+    texts = ["", " ", "a", " a  b\t\n\x0b\x0c\rc ", "x" * 5, "é ü z 😀 \x00 \x1c", "$1 \\ x", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", token_count(F.col("text")).alias("n"))
+    assert "split" not in frame._jdf.queryExecution().analyzed().toString()
+    found = {r["text"]: r["n"] for r in frame.collect()}
+    assert found == {t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts}
