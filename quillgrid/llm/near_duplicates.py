@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.components import components
-from quillgrid.llm.tokens import SMALL_SLICE, U64, binary_rows, mixed, random_words, shingles, slices, text_bytes, words
+from quillgrid.llm.tokens import SMALL_SLICE, U64, binary_rows, mixed, random_words, shingles, slices, small_batches, text_bytes, words
 from quillgrid.sources.scratch import Scratch, written
 
 SHINGLE = 5
@@ -304,6 +304,7 @@ def crossing_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame)
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (the smallest id reachable over links), kept (it is that one)."""
+    small_batches(documents.sparkSession)
     with Scratch(documents.sparkSession, "near-duplicates") as scratch:
         signed = scratch.written(signed_documents(documents, key, text))
         linkable = signed.filter("id is not null and n_shingles > 0")

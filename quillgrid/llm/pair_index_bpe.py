@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quillgrid.llm.tokens import slices, text_bytes
+from quillgrid.llm.tokens import slices, small_batches, text_bytes
 
 #: Bytes of text whose words are indexed together: bounds memory.
 PART_BYTES = 1 << 20
@@ -183,6 +183,7 @@ class Vocabulary:
 
 def encode_documents(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids, decoded of each whole text."""
+    small_batches(documents.sparkSession)
     definition = documents.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text(encoding="utf-8"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

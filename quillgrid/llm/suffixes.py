@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tokens import SMALL_SLICE, U64, Words, mixed, slices, text_bytes, words
+from quillgrid.llm.tokens import SMALL_SLICE, U64, Words, mixed, slices, small_batches, text_bytes, words
 from quillgrid.sources.scratch import Scratch, written
 
 LEAST, ANCHOR = 50, 26
@@ -309,6 +309,7 @@ def word_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """kind, id, mark, first, stop (words): ranges that repeat elsewhere (repeat) and those to give up (copy)."""
     spark = documents.sparkSession
+    small_batches(spark)
     with Scratch(spark, "suffixes") as scratch:
         ordered = suffixes(documents, key, text).repartitionByRange(*SUFFIX_ORDER).sortWithinPartitions(*SUFFIX_ORDER)
         windows = scratch.written(ordered.mapInArrow(shared_windows, DECIDED_SCHEMA))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tokens import MARKS, SMALL_SLICE, U64, Words, slices, text_bytes, words
+from quillgrid.llm.tokens import MARKS, SMALL_SLICE, U64, Words, slices, small_batches, text_bytes, words
 from quillgrid.sources.scratch import Scratch
 
 #: None: the whole word; else its first bytes. The first that is in the lexicon counts.
@@ -288,6 +288,7 @@ def fit_toxicity(
     label: str = "toxic",
 ) -> Model:
     """training: which keys (column key) may be learnt from; fold: of those, which calibrate instead."""
+    small_batches(documents.sparkSession)
     with Scratch(documents.sparkSession, "toxicity") as scratch:
         marked = labelled_keys(labels, training, fold, key, label)
         rates = class_rates(marked, train_rows)
@@ -317,6 +318,7 @@ def constant(kinds: dict, rates: tuple[float, float]) -> Model:
 
 def toxic_documents(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, and the significant passages: words counted from 0, code points, score, expected number by chance."""
+    small_batches(documents.sparkSession)
     share = documents.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,6 +341,7 @@ def toxic_documents(documents: DataFrame, model: Model, key: str = "doc_id", tex
 
 def without_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents, all columns, whose score is under one half."""
+    small_batches(documents.sparkSession)
     share = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text)
 

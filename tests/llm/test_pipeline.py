@@ -84,3 +84,52 @@ def test_token_counts_build_no_words(spark):
     assert "split" not in frame._jdf.queryExecution().analyzed().toString()
     found = {r["text"]: r["n"] for r in frame.collect()}
     assert found == {t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts}
+
+
+@pytest.fixture
+def batch_limit(spark):
+    from quillgrid.llm.tokens import BATCH_LIMIT
+
+    before = spark.conf.get(BATCH_LIMIT)
+    yield lambda value: spark.conf.set(BATCH_LIMIT, value)
+    spark.conf.set(BATCH_LIMIT, before)
+
+
+def test_stages_ask_for_small_batches(spark, tables, batch_limit):
+    """Every stage with Python workers hands them about a megabyte at once, not 10,000 texts; a lower limit is left."""
+    import pyarrow as pa
+
+    from quillgrid.llm.tokens import BATCH_BYTES, BATCH_LIMIT, small_batches
+
+    folder = tables[0]
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    long = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('some text ', 200) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "source_mixture":
+            continue
+        batch_limit("64m")
+        stage(spark, docs, str(folder))
+        found = long.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in found) == 3000 and max(r["bytes"] for r in found) < 1.1 * BATCH_BYTES, name
+    batch_limit("4k")
+    small_batches(spark)
+    assert spark.conf.get(BATCH_LIMIT) == "4k"
+
+
+def test_batches_do_not_change_results(spark, tables, batch_limit):
+    """One or two rows in a batch give what one batch for all gives, in every stage."""
+    folder = tables[0]
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "source_mixture":
+            continue
+        docs = spark.read.parquet(str(folder / "documents.parquet")).coalesce(1)
+        found = []
+        for limit in ("1m", "1k"):
+            batch_limit(limit)
+            found.append(sorted(map(str, stage(spark, docs, str(folder)).collect())))
+        assert found[0] == found[1], name
