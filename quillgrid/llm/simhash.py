@@ -103,7 +103,11 @@ STEPS = code_steps()
 
 
 def anchor_rows(classes: DataFrame) -> DataFrame:
-    """anchor, print, id, home: each class at every anchor within reach of its two halves."""
+    """anchor, print, id, home: each class at every anchor within reach of its two halves.
+
+    Spark sizes these rows by the classes they are made from, of which each gives up to 34,
+    and might broadcast them all; the hint has them joined by sorting.
+    """
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +120,8 @@ def anchor_rows(classes: DataFrame) -> DataFrame:
                 columns = [pa.array(anchors), pa.array(prints[row]), pa.array(ids[row]), pa.array(copy == 0)]
                 yield pa.record_batch(columns, names=["anchor", "print", "id", "home"])
 
-    return classes.select("print", "id").mapInArrow(placed, "anchor long, print long, id long, home boolean")
+    copies = classes.select("print", "id").mapInArrow(placed, "anchor long, print long, id long, home boolean")
+    return copies.hint("merge")
 
 
 def forest(prints: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:

@@ -133,6 +133,34 @@ def test_links_in_large_groups(spark, monkeypatch, rows_per_block):
     assert {r["id"]: r["component"] for r in found} == truth
 
 
+def test_copies_at_anchors_are_not_broadcast(spark):
+    """The classes are small enough to broadcast, their copies at the anchors are not."""
+    rng = np.random.default_rng(12)
+    prints = [int(x) for x in rng.integers(-(2**63), 2**63, 2000)]
+    prints = sorted({*prints, *(p ^ 1 << n for n, p in enumerate(prints[:50])), 0, 1, 7, -1})
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with Scratch(spark, "test") as scratch:
+        classes = scratch.written(spark.createDataFrame(list(enumerate(prints)), "id long, print long"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "512k")
+        try:
+            placed = simhash.in_blocks(simhash.anchor_rows(classes), ["anchor"])
+            found = placed.collect()
+            plan = placed._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    at = collections.defaultdict(list)
+    for i, p in enumerate(prints):
+        for half in range(2):
+            word = p >> 32 * half & 0xFFFFFFFF
+            steps = simhash.STEPS[simhash.syndromes(np.array([word]))[0]]
+            for n, step in enumerate(steps[steps >= 0].tolist()):
+                at[word ^ step | half << 32].append((i, n == 0))
+    assert sum(map(len, at.values())) > 30 * len(prints)
+    met = {(a, i, home) for a, rows in at.items() if len(rows) > 1 and any(h for _, h in rows) for i, home in rows}
+    assert len(found) == len(met) > 300 and {(r["anchor"], r["id"], r["home"]) for r in found} == met
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, row long, bucket int, low string, windows string, id string"
 
 
